@@ -94,7 +94,7 @@ def correct_flag(spark, sf):
 def _split(spark, sf, layout, domain=TWO_CLASS):
     rows = inputs.prepared(spark, sf, domain).select("id", "row_key", "label")
     cuts = stratified.fit_cuts(rows, {"split": layout}, domain.ids)
-    return cuts.assign(rows, "split").select("id", "label", "role")
+    return cuts.assign(rows, {"split": "role"}).select("id", "label", "role")
 
 
 def split_train_test(spark, sf):
@@ -339,7 +339,7 @@ def _holdout(spark, sf):
 def _two_class_fit(spark, sf):
     """All labelled rows train one model."""
     rows = inputs.prepared(spark, sf, TWO_CLASS, True)
-    return rows, naive_bayes.fit(rows, [naive_bayes.Fit("all", F.lit(True))], TWO_CLASS.ids)
+    return rows, naive_bayes.fit(rows, [naive_bayes.Fit("all", "true")], TWO_CLASS.ids)
 
 
 CANDIDATE = naive_bayes.Candidate("add_one", "all")
@@ -464,7 +464,7 @@ def logistic_regression(spark, sf):
     """Spark ML fit on the train part, scored on test."""
     rows = inputs.prepared(spark, sf, TWO_CLASS, True)
     cuts = stratified.fit_cuts(rows, {"split": stratified.train_test()}, TWO_CLASS.ids)
-    rows = cuts.assign(rows, "split")
+    rows = cuts.assign(rows, {"split": "role"})
     fitted = spark_ml.text_pipeline(max_iter=10).fit(rows.filter(F.col("role") == "train"))
     scored = fitted.transform(rows.filter(F.col("role") == "test"))
     pairs = metrics.pair_counts(scored, true="label", pred="prediction")

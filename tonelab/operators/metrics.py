@@ -15,18 +15,13 @@ from pyspark.sql import functions as F
 from tonelab.functions.labels import LabelDomain
 
 TRUE, PRED = "y_true", "y_pred"
-OVERALL = (
-    "accuracy",
-    "precision_macro",
-    "recall_macro",
-    "f1_macro",
-    "precision_weighted",
-    "recall_weighted",
-    "f1_weighted",
-)
 REPORT_DIGITS = 4
 
 
+def _names(columns: Sequence[str]) -> list[str]:
+    return [f"`{c}`" for c in columns]
+
+
 def pair_counts(df: DataFrame, by: Sequence[str] = (), true: str = TRUE, pred: str = PRED) -> DataFrame:
     """Rows per (true, predicted) pair; only pairs that occur."""
     return df.groupBy(*by, F.col(true).alias(TRUE), F.col(pred).alias(PRED)).agg(F.count("*").alias("n"))
@@ -47,19 +42,15 @@ def confusion_matrix(
     names the count column where the input already holds pair counts.
     """
     cells = [(t, p) for t in labels for p in labels]
-    one = F.lit(1).cast("bigint") if weight is None else F.col(weight)
-    zero = F.lit(0).cast("bigint")
+    one = "1L" if weight is None else f"`{weight}`"
     counts = df.groupBy(*by).agg(
         *[
-            F.coalesce(F.sum(F.when((F.col(true) == t) & (F.col(pred) == p), one)), zero).alias(f"_{i}")
+            F.expr(f"coalesce(sum({one}) FILTER (WHERE `{true}` = {t} AND `{pred}` = {p}), 0L)").alias(f"_{i}")
             for i, (t, p) in enumerate(cells)
         ]
     )
-    entries = [
-        F.struct(F.lit(t).alias(TRUE), F.lit(p).alias(PRED), F.col(f"_{i}").alias("n"))
-        for i, (t, p) in enumerate(cells)
-    ]
-    return counts.select(*by, F.inline(F.array(*entries)))
+    entries = ", ".join(f"named_struct('{TRUE}', {t}, '{PRED}', {p}, 'n', _{i})" for i, (t, p) in enumerate(cells))
+    return counts.selectExpr(*_names(by), f"inline(array({entries}))")
 
 
 def confusion_wide(matrix: DataFrame, labels: Sequence[int], by: Sequence[str] = ()) -> DataFrame:
@@ -84,90 +75,78 @@ def confusion_observed(df: DataFrame, by: Sequence[str] = (), true: str = TRUE,
     return rows.select(*by, TRUE, PRED, F.coalesce(F.element_at("cells", cell), F.lit(0)).alias("n"))
 
 
-def _ratio(a: Column, b: Column) -> Column:
-    return F.coalesce(F.try_divide(a, b), F.lit(0.0))
-
-
-def per_class(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def per_class(pairs: DataFrame, by: Sequence[str] = (), sums: Sequence[str] = ()) -> DataFrame:
     """Precision, recall, F1 and support of each class seen as true or predicted.
 
     Input: pair counts or a confusion matrix (``y_true, y_pred, n``). A zero
-    denominator gives 0.
+    denominator gives 0. ``sums`` names columns to add up by true class as well.
     """
-    hit = F.when(F.col(TRUE) == F.col(PRED), F.col("n")).otherwise(0)
-    none = F.lit(0).cast("bigint")
-    sides = F.array(
-        F.struct(F.col(TRUE).alias("label"), F.col("n").alias("support"), none.alias("predicted"), hit.alias("tp")),
-        F.struct(F.col(PRED).alias("label"), none.alias("support"), F.col("n").alias("predicted"), none.alias("tp")),
+    extra = [f", '{c}', `{c}`" for c in sums]
+    none = [f", '{c}', 0 * `{c}`" for c in sums]
+    sides = (
+        f"named_struct('label', {TRUE}, 'support', n, 'predicted', 0L, 'tp', if({TRUE} = {PRED}, n, 0L){''.join(extra)}),"
+        f" named_struct('label', {PRED}, 'support', 0L, 'predicted', n, 'tp', 0L{''.join(none)})"
     )
-    sums = (
-        pairs.filter(F.col("n") > 0)
-        .select(*by, F.inline(sides))
+    totals = (
+        pairs.filter("n > 0")
+        .selectExpr(*_names(by), f"inline(array({sides}))")
         .groupBy(*by, "label")
-        .agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "tp")])
+        .agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "tp", *sums)])
     )
-    return sums.select(
-        *by,
-        "label",
-        _ratio(F.col("tp"), F.col("predicted")).alias("precision"),
-        _ratio(F.col("tp"), F.col("support")).alias("recall"),
-        _ratio(2 * F.col("tp"), F.col("predicted") + F.col("support")).alias("f1"),
+    return totals.selectExpr(
+        *_names([*by, "label"]),
+        "coalesce(try_divide(tp, predicted), 0D) AS precision",
+        "coalesce(try_divide(tp, support), 0D) AS recall",
+        "coalesce(try_divide(2 * tp, predicted + support), 0D) AS f1",
         "support",
         "tp",
+        *_names(sums),
     )
 
 
-def overall(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+_MACRO = {f"{m}_macro": f"avg({m})" for m in ("precision", "recall", "f1")}
+_WEIGHTED = {f"{m}_weighted": f"sum({m} * support) / sum(support)" for m in ("precision", "recall", "f1")}
+_OVERALL = {"accuracy": "sum(tp) / sum(support)", **_MACRO, **_WEIGHTED}
+
+
+def overall(pairs: DataFrame, by: Sequence[str] = (), means: Sequence[str] = ()) -> DataFrame:
     """Accuracy with macro and weighted precision, recall and F1.
 
     Macro F1 is the mean of the class F1 values, not the harmonic mean of macro
-    precision and macro recall.
+    precision and macro recall. ``means`` names summed columns (such as a loss)
+    to report per row.
     """
-    total = F.sum("support")
-    macro = [F.avg(m).alias(f"{m}_macro") for m in ("precision", "recall", "f1")]
-    weighted = [(F.sum(F.col(m) * F.col("support")) / total).alias(f"{m}_weighted") for m in ("precision", "recall", "f1")]
-    return per_class(pairs, by).groupBy(*by).agg((F.sum("tp") / total).alias("accuracy"), *macro, *weighted)
+    expressions = _OVERALL | {c: f"sum(`{c}`) / sum(support)" for c in means}
+    columns = [F.expr(e).alias(name) for name, e in expressions.items()]
+    return per_class(pairs, by, means).groupBy(*by).agg(*columns)
 
 
 def classification_report(pairs: DataFrame, domain: LabelDomain, by: Sequence[str] = ()) -> DataFrame:
     """Class rows by display name, then accuracy, macro avg and weighted avg, 4 decimals."""
     classes = per_class(pairs, by)
-
-    def digits(c) -> Column:
-        return F.round(c, REPORT_DIGITS)
-
-    support = F.sum("support").alias("support")
     rows = classes.select(
         *by,
         domain.decode(F.col("label")).alias("name"),
-        *[digits(F.col(m)).alias(m) for m in ("precision", "recall", "f1")],
+        *[F.round(m, REPORT_DIGITS).alias(m) for m in ("precision", "recall", "f1")],
         "support",
     )
-    weights = F.sum("support")
     summary = classes.groupBy(*by).agg(
-        *[F.avg(m).alias(f"macro_{m}") for m in ("precision", "recall", "f1")],
-        *[(F.sum(F.col(m) * F.col("support")) / weights).alias(f"weighted_{m}") for m in ("precision", "recall", "f1")],
-        (F.sum("tp") / weights).alias("accuracy"),
-        support,
+        *[F.expr(f"round({e}, {REPORT_DIGITS})").alias(name) for name, e in _OVERALL.items()],
+        F.sum("support").alias("support"),
     )
-    no_value = F.lit(None).cast("double")
-    lines = [
-        F.struct(
-            F.lit("accuracy").alias("name"),
-            no_value.alias("precision"),
-            no_value.alias("recall"),
-            digits(F.col("accuracy")).alias("f1"),
-            F.col("support"),
-        )
-    ] + [
-        F.struct(
-            F.lit(f"{kind} avg").alias("name"),
-            *[digits(F.col(f"{kind}_{m}")).alias(m) for m in ("precision", "recall", "f1")],
-            F.col("support"),
+
+    def line(name: str, precision: str, recall: str, f1: str) -> str:
+        return (
+            f"named_struct('name', '{name}', 'precision', {precision}, 'recall', {recall},"
+            f" 'f1', {f1}, 'support', support)"
         )
-        for kind in ("macro", "weighted")
+
+    lines = [
+        line("accuracy", "CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)", "accuracy"),
+        line("macro avg", "precision_macro", "recall_macro", "f1_macro"),
+        line("weighted avg", "precision_weighted", "recall_weighted", "f1_weighted"),
     ]
-    return rows.unionByName(summary.select(*by, F.inline(F.array(*lines))))
+    return rows.unionByName(summary.selectExpr(*_names(by), f"inline(array({', '.join(lines)}))"))
 
 
 def exact_match(df: DataFrame, by: Sequence[str] = ("task", "style"), pred="pred_text", gold="gold_text") -> DataFrame:

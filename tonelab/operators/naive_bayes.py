@@ -16,16 +16,14 @@ gives the same scores, bit for bit.
 
 from __future__ import annotations
 
-import functools
 import math
-import operator
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonelab.functions.scores import argmax, cross_entropy, softmax
+from tonelab.functions.scores import argmax
 from tonelab.functions.tokens import words
 from tonelab.sources.scratch import materialize
 
@@ -47,16 +45,17 @@ DOCUMENT = ""
 
 @dataclass(frozen=True)
 class Fit:
-    """Which rows train a model, and how many words of each text it reads (None: all)."""
+    """Which rows train a model (a SQL condition), and how many words of each text
+    it reads (None: all)."""
 
     name: str
-    in_train: Column
+    in_train: str
     max_tokens: int | None = None
 
 
 @dataclass(frozen=True)
 class Candidate:
-    """A scored model: a fit with smoothing and prior weight."""
+    """A scored model: a fit with smoothing (above 0) and prior weight."""
 
     name: str
     fit: str
@@ -93,6 +92,10 @@ class CountModel:
         return self.token_bytes + self.n_rows * (slots * 9 + 32)
 
 
+# Wide lists of near-equal expressions are written as SQL text: one call each
+# instead of a dozen, which matters with many fits and settings.
+
+
 def _column(fit: str, label: int) -> str:
     return f"n_{fit}_{label}"
 
@@ -109,8 +112,8 @@ def token_rows(df: DataFrame, columns: Sequence[Column | str], limited: bool, te
     return df.select(*columns, exploded)
 
 
-def _within(limit: int | None) -> Column:
-    return F.lit(True) if limit is None else F.col("position") <= F.lit(limit)
+def _within(limit: int | None) -> str:
+    return "true" if limit is None else f"position <= {limit}"
 
 
 def fit(
@@ -118,45 +121,45 @@ def fit(
 ) -> CountModel:
     """Count tokens for all fits in one pass over the rows that train any of them."""
     limited = any(f.max_tokens is not None for f in fits)
-    flags = {f"_in_{f.name}": F.coalesce(f.in_train, F.lit(False)) for f in fits}
-    used = functools.reduce(operator.or_, flags.values())
-    rows = df.filter(used).select(
-        F.col(label).alias("label"), F.col(text).alias("text"), *[c.alias(n) for n, c in flags.items()]
+    conditions = dict.fromkeys(f.in_train for f in fits)
+    flags = {condition: f"_in_{i}" for i, condition in enumerate(conditions)}
+    rows = df.filter(" OR ".join(f"({condition})" for condition in conditions)).selectExpr(
+        f"`{label}` AS label", f"`{text}` AS text", *[f"({condition}) AS {flag}" for condition, flag in flags.items()]
     )
-    counts = token_rows(rows, ["label", *flags], limited).groupBy("token").agg(
-        *[
-            F.count_if(F.col(f"_in_{f.name}") & (F.col("label") == c) & _within(f.max_tokens)).alias(
-                _column(f.name, c)
-            )
-            for f in fits
-            for c in labels
-        ],
-        F.count("*").alias("n_total"),
+    counts = (
+        token_rows(rows, ["label", *flags.values()], limited)
+        .groupBy("token")
+        .agg(
+            *[
+                F.expr(f"count_if({flags[f.in_train]} AND label = {c} AND {_within(f.max_tokens)})").alias(
+                    _column(f.name, c)
+                )
+                for f in fits
+                for c in labels
+            ],
+            F.count("*").alias("n_total"),
+        )
     )
     limits = {f.name: f.max_tokens for f in fits}
     return _with_totals(materialize(counts, "token-counts"), limits, labels)
 
 
-def _seen(fit: str, labels: Sequence[int]) -> Column:
+def _seen(fit: str, labels: Sequence[int]) -> str:
     """Is the token in the vocabulary of the fit?"""
-    return functools.reduce(operator.or_, [F.col(_column(fit, c)) > 0 for c in labels])
+    return "(" + " + ".join(_column(fit, c) for c in labels) + " > 0)"
 
 
 def _with_totals(counts: DataFrame, limits: Mapping[str, int | None], labels: Sequence[int]) -> CountModel:
     """Totals per fit: one row of numbers, read from the written counts."""
-    word = F.col("token") != DOCUMENT
-
-    def total(c: Column, where: Column) -> Column:
-        return F.coalesce(F.sum(F.when(where, c)), F.lit(0))
-
+    word = f"token <> '{DOCUMENT}'"
     columns = [_column(f, c) for f in limits for c in labels]
-    row = counts.agg(
-        *[total(F.col(n), word).alias(f"t_{n}") for n in columns],
-        *[total(F.col(n), ~word).alias(f"d_{n}") for n in columns],
-        *[F.count_if(word & _seen(f, labels)).alias(f"v_{f}") for f in limits],
-        total(F.col("n_total"), word).alias("n_tokens"),
-        total(F.octet_length("token"), word).alias("token_bytes"),
-        F.count("*").alias("n_rows"),
+    row = counts.selectExpr(
+        *[f"coalesce(sum({n}) FILTER (WHERE {word}), 0) AS t_{n}" for n in columns],
+        *[f"coalesce(sum({n}) FILTER (WHERE NOT {word}), 0) AS d_{n}" for n in columns],
+        *[f"count_if({word} AND {_seen(f, labels)}) AS v_{f}" for f in limits],
+        f"coalesce(sum(n_total) FILTER (WHERE {word}), 0) AS n_tokens",
+        "coalesce(sum(octet_length(token)), 0) AS token_bytes",
+        "count(*) AS n_rows",
     ).first()
     return CountModel(
         counts=counts,
@@ -171,26 +174,23 @@ def _with_totals(counts: DataFrame, limits: Mapping[str, int | None], labels: Se
     )
 
 
-def _log_weight(model: CountModel, m: Candidate, label: int) -> Column:
+def _log_weight(model: CountModel, m: Candidate, label: int) -> str:
     """Log probability of the token given the class; null outside the vocabulary of the fit."""
-    n = F.col(_column(m.fit, label)) + F.lit(float(m.smoothing))
-    return F.when(_seen(m.fit, model.labels), F.log(n) - F.lit(math.log(model.denominator(m, label) or 1.0)))
+    total = math.log(model.denominator(m, label) or 1.0)
+    smoothed = f"{_column(m.fit, label)} + {float(m.smoothing)!r}D"
+    return f"CASE WHEN {_seen(m.fit, model.labels)} THEN ln({smoothed}) - {total!r}D END"
 
 
 def log_probabilities(model: CountModel, candidates: Sequence[Candidate]) -> DataFrame:
     """Model table in long form: ``token, model, label, n, log_prob``."""
-    entries = [
-        F.struct(
-            F.lit(m.name).alias("model"),
-            F.lit(c).alias("label"),
-            F.col(_column(m.fit, c)).alias("n"),
-            _log_weight(model, m, c).alias("log_prob"),
-        )
+    entries = ", ".join(
+        f"named_struct('model', '{m.name}', 'label', {c}, 'n', {_column(m.fit, c)},"
+        f" 'log_prob', {_log_weight(model, m, c)})"
         for m in candidates
         for c in model.labels
-    ]
+    )
     words_only = model.counts.filter(F.col("token") != DOCUMENT)
-    return words_only.select("token", F.inline(F.array(*entries))).filter(F.col("log_prob").isNotNull())
+    return words_only.selectExpr("token", f"inline(array({entries}))").filter("log_prob IS NOT NULL")
 
 
 def score(
@@ -212,10 +212,10 @@ def score(
     prior.
     """
     slots = [(m, c, f"w_{i}_{c}") for i, m in enumerate(candidates) for c in model.labels]
-    weights = model.counts.filter(F.col("token") != DOCUMENT).select(
+    weights = model.counts.filter(F.col("token") != DOCUMENT).selectExpr(
         "token",
         "n_total",
-        *[F.round(_log_weight(model, m, c) * FIXED_POINT).cast("bigint").alias(w) for m, c, w in slots],
+        *[f"CAST(round({_log_weight(model, m, c)} * {FIXED_POINT!r}D) AS BIGINT) AS {w}" for m, c, w in slots],
     )
     limited = any(model.limits[m.fit] is not None for m in candidates)
     tokens = token_rows(df, [key, *carry], limited, text)
@@ -223,21 +223,21 @@ def score(
         joined = tokens.join(F.broadcast(weights.drop("n_total")), "token", "left")
     else:
         joined = _join_head_and_tail(tokens, weights, model.n_tokens, head_share)
-    zero = F.lit(0).cast("bigint")
     sums = joined.groupBy(key, *carry).agg(
         *[
-            F.coalesce(F.sum(F.when(_within(model.limits[m.fit]), F.col(w))), zero).alias(w)
+            F.expr(f"coalesce(sum(CASE WHEN {_within(model.limits[m.fit])} THEN {w} END), 0L)").alias(w)
             for m, _, w in slots
         ]
     )
-
-    def logit(m: Candidate, c: int, w: str) -> Column:
-        return F.round(F.col(w) / F.lit(FIXED_POINT) + F.lit(model.prior(m, c)), SCORE_DIGITS)
-
-    logits = [
-        F.array(*[logit(m, c, w) for n, c, w in slots if n is m]).alias(f"logits_{m.name}") for m in candidates
-    ]
-    return sums.select(key, *carry, *logits)
+    logits = {
+        m.name: ", ".join(
+            f"round({w} / {FIXED_POINT!r}D + {model.prior(m, c)!r}D, {SCORE_DIGITS})" for n, c, w in slots if n is m
+        )
+        for m in candidates
+    }
+    return sums.selectExpr(
+        *[f"`{c}`" for c in (key, *carry)], *[f"array({terms}) AS logits_{name}" for name, terms in logits.items()]
+    )
 
 
 def _join_head_and_tail(tokens: DataFrame, weights: DataFrame, n_tokens: int, head_share: int) -> DataFrame:
@@ -259,21 +259,11 @@ def _join_head_and_tail(tokens: DataFrame, weights: DataFrame, n_tokens: int, he
 
 def predictions(scored: DataFrame, candidates: Sequence[Candidate], columns: Sequence[str]) -> DataFrame:
     """Long form: ``columns, model, logits, y_pred``. Narrow."""
-    entries = [
-        F.struct(F.lit(m.name).alias("model"), F.col(f"logits_{m.name}").alias("logits")) for m in candidates
-    ]
-    long = scored.select(*columns, F.inline(F.array(*entries)))
+    entries = ", ".join(f"named_struct('model', '{m.name}', 'logits', logits_{m.name})" for m in candidates)
+    long = scored.selectExpr(*[f"`{c}`" for c in columns], f"inline(array({entries}))")
     return long.withColumn("y_pred", argmax(F.col("logits")))
 
 
-def with_probabilities(df: DataFrame) -> DataFrame:
-    return df.withColumn("probabilities", softmax(F.col("logits")))
-
-
-def with_loss(df: DataFrame, label: str = "label") -> DataFrame:
-    return df.withColumn("loss", cross_entropy(F.col("logits"), F.col(label)))
-
-
 def save(model: CountModel, path: str, mode: str = "errorifexists") -> None:
     """Write the counts and the list of fits as two Parquet tables below ``path``."""
     spark = model.counts.sparkSession

@@ -113,8 +113,9 @@ def kfold(k: int, test: Fraction = FIFTH) -> Layout:
     return layout
 
 
-def order_hash(key: Column, seed: int) -> Column:
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string")))
+def order_hash(key: str, seed: int) -> str:
+    """SQL for the value that orders the rows of a class."""
+    return f"md5(concat_ws('|', '{int(seed)}', CAST(`{key}` AS STRING)))"
 
 
 @dataclass(frozen=True)
@@ -123,23 +124,21 @@ class Cuts:
 
     bounds: dict[str, dict[int, list[tuple[str, str | None]]]]
     sizes: dict[str, dict[str, dict[int, int]]]
-    seed: int
-    key: str
+    hash_sql: str
     label: str
 
-    def role(self, layout: str) -> Column:
-        """Role of a row as a plain expression."""
-        h = order_hash(F.col(self.key), self.seed)
-        expr = F.lit(None).cast("string")
-        for label, stretches in sorted(self.bounds[layout].items(), reverse=True):
-            inner = F.lit(stretches[-1][0])
-            for name, last in reversed(stretches[:-1]):
-                inner = F.when(h <= F.lit(last), F.lit(name)).otherwise(inner)
-            expr = F.when(F.col(self.label) == F.lit(label), inner).otherwise(expr)
-        return expr
+    def assign(self, df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+        """Add the role in each layout: ``columns`` maps layout to column name. Narrow."""
+        hashed = df.withColumn("_hash", F.expr(self.hash_sql))
+        return hashed.withColumns({c: F.expr(self._role(layout)) for layout, c in columns.items()}).drop("_hash")
 
-    def assign(self, df: DataFrame, layout: str, column: str = "role") -> DataFrame:
-        return df.withColumn(column, self.role(layout))
+    def _role(self, layout: str) -> str:
+        by_label = []
+        for label, stretches in self.bounds[layout].items():
+            whens = "".join(f" WHEN _hash <= '{last}' THEN '{name}'" for name, last in stretches[:-1])
+            end = f"'{stretches[-1][0]}'"
+            by_label.append(f" WHEN `{self.label}` = {label} THEN {f'CASE{whens} ELSE {end} END' if whens else end}")
+        return f"CASE{''.join(by_label)} END"
 
     def size(self, layout: str, role: str) -> int:
         return sum(self.sizes[layout].get(role, {}).values())
@@ -153,12 +152,15 @@ def fit_cuts(
     label: str = "label",
     key: str = "row_key",
     seed: int = 42,
+    hash_column: str | None = None,
     prefix_digits: int = PREFIX_DIGITS,
 ) -> Cuts:
-    """Find the hash bounds of every layout over the rows of ``df``."""
-    rows = df.filter(F.col(label).isin(*labels)).select(
-        F.col(label).alias("label"), order_hash(F.col(key), seed).alias("h")
-    )
+    """Find the hash bounds of every layout over the rows of ``df``.
+
+    ``hash_column`` names a column that already holds ``order_hash``.
+    """
+    hash_sql = f"`{hash_column}`" if hash_column else order_hash(key, seed)
+    rows = df.filter(F.col(label).isin(*labels)).selectExpr(f"`{label}` AS label", f"{hash_sql} AS h")
     prefix = F.substring("h", 1, prefix_digits).alias("bucket")
     buckets = rows.groupBy("label", prefix).agg(F.count("*").alias("n")).persist()
     try:
@@ -171,7 +173,7 @@ def fit_cuts(
         buckets.unpersist()
     bounds = {name: {c: _stretches(parts, c, counts[c], hashes) for c in labels} for name, parts in segments.items()}
     sizes = {name: {role: dict(by_label) for role, by_label in parts} for name, parts in segments.items()}
-    return Cuts(bounds, sizes, seed, key, label)
+    return Cuts(bounds, sizes, hash_sql, label)
 
 
 def _inner_ranks(all_segments, label: int, n: int) -> list[int]:
@@ -200,14 +202,11 @@ def _hash_at_ranks(rows: DataFrame, buckets: DataFrame, ranks: Mapping[int, list
     """(label, rank) -> hash of the row with that rank."""
     if not any(ranks.values()):
         return {}
-    wanted = F.array().cast("array<bigint>")
-    for c, rs in ranks.items():
-        if rs:
-            wanted = F.when(F.col("label") == c, F.array(*[F.lit(r).cast("bigint") for r in rs])).otherwise(wanted)
+    lists = "".join(f" WHEN label = {c} THEN array({', '.join(f'{r}L' for r in rs)})" for c, rs in ranks.items() if rs)
+    wanted = F.expr(f"CASE{lists} ELSE array() END")
 
-    def ranks_within(size: str):
-        before = F.col("upto") - F.col(size)
-        return F.filter(F.col("ranks"), lambda r: (r > before) & (r <= F.col("upto")))
+    def ranks_within(size: str) -> Column:
+        return F.expr(f"filter(ranks, r -> r > upto - {size} AND r <= upto)")
 
     # The bucket table is bounded, so a window per label over it is small.
     per_label = W.Window.partitionBy("label").orderBy("bucket").rowsBetween(W.Window.unboundedPreceding, 0)
@@ -249,15 +248,15 @@ class Run:
     def name(self) -> str:
         return f"k{self.k}_f{self.fold}"
 
-    def role(self, layout_role: Column) -> Column:
-        """Role in this run, from the role in the layout."""
+    def role(self, column: str) -> str:
+        """SQL for the role in this run, from the column with the role in the layout."""
         if self.k == 1:
-            return layout_role
-        return (
-            F.when(layout_role == "test", F.lit("test"))
-            .when(layout_role == f"fold{self.fold}", F.lit("val"))
-            .otherwise(F.lit("train"))
-        )
+            return column
+        return f"CASE {column} WHEN 'test' THEN 'test' WHEN 'fold{self.fold}' THEN 'val' ELSE 'train' END"
+
+    def trains(self, column: str) -> str:
+        """SQL condition for training rows of this run."""
+        return f"{column} = 'train'" if self.k == 1 else f"{column} NOT IN ('test', 'fold{self.fold}')"
 
     def sizes(self, cuts: Cuts) -> dict[str, int]:
         test = cuts.size(self.layout, "test")
@@ -277,14 +276,11 @@ def fold_runs(ks: Sequence[int] = (1, 3)) -> list[Run]:
 
 def role_rows(df: DataFrame, cuts: Cuts, runs: Sequence[Run], columns: Sequence[str]) -> DataFrame:
     """One row per input row and run: ``columns, K, fold, role``. Narrow."""
-    entries = [
-        F.struct(
-            F.lit(r.k).alias("K"), F.lit(r.fold).alias("fold"), r.role(F.col(f"_{r.layout}")).alias("role")
-        )
-        for r in runs
-    ]
-    roles = {f"_{layout}": cuts.role(layout) for layout in dict.fromkeys(r.layout for r in runs)}
-    return df.withColumns(roles).select(*columns, F.inline(F.array(*entries)))
+    layouts = {run.layout: f"_{run.layout}" for run in runs}
+    entries = ", ".join(
+        f"named_struct('K', {r.k}, 'fold', {r.fold}, 'role', {r.role(layouts[r.layout])})" for r in runs
+    )
+    return cuts.assign(df, layouts).selectExpr(*[f"`{c}`" for c in columns], f"inline(array({entries}))")
 
 
 def split_sizes(assigned: DataFrame, by: Sequence[str] = ("K", "fold", "role")) -> DataFrame:

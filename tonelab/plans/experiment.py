@@ -7,8 +7,6 @@ columns of those jobs, never a loop over them.
 
 from __future__ import annotations
 
-import functools
-import operator
 import time
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
@@ -17,13 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonelab.functions.labels import LabelDomain
-from tonelab.functions.scores import argmax, probability_columns, softmax
+from tonelab.functions.scores import argmax, cross_entropy, probability_columns, softmax
 from tonelab.operators import metrics, naive_bayes, runs, stratified
 from tonelab.operators.naive_bayes import Candidate, CountModel, Fit
 from tonelab.operators.stratified import Cuts, Layout, Run
 from tonelab.sources.scratch import materialize
 
 KEY = "row_key"
+HASH = "row_hash"
 BY = ("K", "fold", "setting", "role")
 
 
@@ -73,19 +72,24 @@ class Experiment:
 
     def measured(self) -> DataFrame:
         """Loss and overall metrics per run, setting and role."""
-        loss = self.pairs.groupBy(*BY).agg((F.sum("loss") / F.sum("n")).alias("loss"))
-        return metrics.overall(self.pairs, BY).join(F.broadcast(loss), list(BY))
+        return metrics.overall(self.pairs, BY, means=["loss"])
 
     def chosen(self, metric: str = "f1_macro", maximise: bool = True) -> DataFrame:
-        """Setting with the best validation metric per run."""
-        val = self.measured().filter(F.col("role") == "val")
-        return runs.best_trial(val, ["K", "fold"], metric, [], trial="setting", maximise=maximise).select(
-            "K", "fold", "setting", F.col(metric).alias(f"val_{metric}")
+        """Per run: the setting with the best validation metric, and its test metrics.
+
+        The first setting wins ties. One aggregation per step over a few rows.
+        """
+        m = self.measured()
+        names = [c for c in m.columns if c not in BY]
+        both = m.groupBy("K", "fold", "setting").agg(
+            F.expr(f"max(`{metric}`) FILTER (WHERE role = 'val')").alias(f"val_{metric}"),
+            *[F.expr(f"max(`{c}`) FILTER (WHERE role = 'test')").alias(c) for c in names],
         )
+        return runs.best_trial(both, ["K", "fold"], f"val_{metric}", names, trial="setting", maximise=maximise)
 
     def test_pairs(self) -> DataFrame:
         """Pair counts on the test rows for the chosen setting of each run."""
-        test = self.pairs.filter(F.col("role") == "test")
+        test = self.pairs.filter("role = 'test'")
         return test.join(F.broadcast(self.chosen().select("K", "fold", "setting")), ["K", "fold", "setting"])
 
     def chosen_candidate(self, run: Run) -> Candidate:
@@ -122,52 +126,57 @@ def run_experiment(
     """
     watch = Stopwatch()
     labels = domain.ids
-    rows = materialize(prepared, "rows")
+    order = F.expr(stratified.order_hash(KEY, seed))
+    rows = materialize(prepared.withColumn(HASH, order), "rows")
     watch.lap("preparation")
 
-    cuts = stratified.fit_cuts(rows, layouts, labels, key=KEY, seed=seed)
-    rows = rows.withColumns({_role_column(name): cuts.role(name) for name in layouts})
-    roles = {run: run.role(F.col(_role_column(run.layout))) for run in all_runs}
+    cuts = stratified.fit_cuts(rows, layouts, labels, hash_column=HASH)
+    rows = cuts.assign(rows, {name: _role_column(name) for name in layouts})
     limits = list(dict.fromkeys(s.max_tokens for s in settings))
-    fits = [Fit(_fit_name(run, limit), roles[run] == "train", limit) for run in all_runs for limit in limits]
+    fits = [Fit(_fit_name(run, limit), run.trains(_role_column(run.layout)), limit) for run in all_runs for limit in limits]
     model = naive_bayes.fit(rows, fits, labels)
     watch.lap("training")
 
     experiment = Experiment(
         rows, domain, cuts, tuple(all_runs), tuple(settings), model, rows, validate_on_test, watch
     )
-    pairs = materialize(_score_held_out(experiment, roles), "pairs")
+    pairs = materialize(_score_held_out(experiment), "pairs")
     watch.lap("evaluation")
     return replace(experiment, pairs=pairs)
 
 
-def _score_held_out(e: Experiment, roles: Mapping[Run, object]) -> DataFrame:
+def _role(run: Run) -> str:
+    return run.role(_role_column(run.layout))
+
+
+def _score_held_out(e: Experiment) -> DataFrame:
     """Pair counts and summed loss per run, setting and role over val and test rows."""
     slots = [(run, i, e.candidate(run, i)) for run in e.runs for i in range(len(e.settings))]
     carry = ["label", *dict.fromkeys(_role_column(run.layout) for run in e.runs)]
-    held_out = functools.reduce(operator.or_, [role != "train" for role in roles.values()])
-    scored = naive_bayes.score(e.rows.filter(held_out), e.model, [c for _, _, c in slots], key=KEY, carry=carry)
-    entries = [
-        F.struct(
-            F.lit(run.k).alias("K"),
-            F.lit(run.fold).alias("fold"),
-            F.lit(i).alias("setting"),
-            role.alias("role"),
-            F.col(f"logits_{c.name}").alias("logits"),
-        )
+    scored = naive_bayes.score(_held_out_rows(e), e.model, [c for _, _, c in slots], key=KEY, carry=carry)
+    entries = ", ".join(
+        f"named_struct('K', {run.k}, 'fold', {run.fold}, 'setting', {i}, 'role', {role}, 'logits', logits_{c.name})"
         for run, i, c in slots
-        for role in _measured_as(roles[run], e.leaky)
-    ]
-    long = scored.select("label", F.inline(F.array(*entries))).filter(F.col("role").isin("val", "test"))
-    long = naive_bayes.with_loss(long.withColumn("y_pred", argmax(F.col("logits"))))
-    return long.groupBy(*BY, F.col("label").alias("y_true"), "y_pred").agg(
+        for role in _measured_as(run, e.leaky)
+    )
+    long = scored.selectExpr("label", f"inline(array({entries}))").filter("role IN ('val', 'test')")
+    loss = cross_entropy("logits", "label", len(e.domain.names))
+    measured = long.withColumns({"y_pred": argmax(F.col("logits")), "loss": loss})
+    return measured.groupBy(*BY, F.col("label").alias("y_true"), "y_pred").agg(
         F.count("*").alias("n"), F.sum("loss").alias("loss")
     )
 
 
-def _measured_as(role, leaky: bool):
+def _held_out_rows(e: Experiment) -> DataFrame:
+    """Rows that are val or test in some run; with folds that is every row."""
+    if any(run.k > 1 for run in e.runs):
+        return e.rows
+    return e.rows.filter(" OR ".join(f"{_role(run)} <> 'train'" for run in e.runs))
+
+
+def _measured_as(run: Run, leaky: bool) -> list[str]:
     """A test row counts as validation row too when validating on the test part."""
-    return [role, F.when(role == "test", F.lit("val"))] if leaky else [role]
+    return [_role(run), f"CASE WHEN {_role(run)} = 'test' THEN 'val' END"] if leaky else [_role(run)]
 
 
 def predict_rows(e: Experiment, candidate: Candidate, rows: DataFrame | None = None) -> DataFrame:

@@ -34,8 +34,7 @@ def holdout_experiment(
 
 def test_metrics(e: Experiment) -> DataFrame:
     """Loss and overall metrics on the test part, with the chosen setting."""
-    test = e.measured().filter(F.col("role") == "test").drop("role")
-    return test.join(F.broadcast(e.chosen()), ["K", "fold", "setting"]).withColumn("leaky", F.lit(e.leaky))
+    return e.chosen().withColumn("leaky", F.lit(e.leaky))
 
 
 def test_report(e: Experiment) -> DataFrame:

@@ -36,15 +36,12 @@ def fold_results(e: Experiment, timings: bool = False) -> DataFrame:
     All folds share one training and one evaluation job, so with ``timings``
     every row shows the seconds of the shared job.
     """
-    test = e.measured().filter(F.col("role") == "test")
-    best = test.join(F.broadcast(e.chosen()), ["K", "fold", "setting"])
-    sizes = _size_columns(e)
-    out = best.select(
+    out = e.chosen().selectExpr(
         "K",
         "fold",
-        *[c.alias(n) for n, c in sizes.items()],
-        F.col("loss").alias("eval_loss"),
-        *[F.col(m).alias(f"eval_{m}") for m in EVAL_METRICS],
+        *[f"{sql} AS {name}" for name, sql in _sizes(e).items()],
+        "loss AS eval_loss",
+        *[f"{m} AS eval_{m}" for m in EVAL_METRICS],
         "setting",
     )
     if timings:
@@ -55,15 +52,13 @@ def fold_results(e: Experiment, timings: bool = False) -> DataFrame:
     return out
 
 
-def _size_columns(e: Experiment):
-    columns = {}
-    for part in ("train_n", "val_n", "test_n"):
-        expr = F.lit(None).cast("bigint")
-        for run in e.runs:
-            hit = (F.col("K") == run.k) & (F.col("fold") == run.fold)
-            expr = F.when(hit, F.lit(run.sizes(e.cuts)[part]).cast("bigint")).otherwise(expr)
-        columns[part] = expr
-    return columns
+def _sizes(e: Experiment) -> dict[str, str]:
+    """SQL for the part sizes of a run; they are known from the fitted split."""
+    sizes = [(run, run.sizes(e.cuts)) for run in e.runs]
+    return {
+        part: "CASE" + "".join(f" WHEN K = {r.k} AND fold = {r.fold} THEN {n[part]}L" for r, n in sizes) + " END"
+        for part in ("train_n", "val_n", "test_n")
+    }
 
 
 def fold_summary(results: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tonelab.functions.labels import LabelDomain
 from tonelab.operators import stratified
@@ -35,13 +34,22 @@ def search_experiment(
 
 def trial_results(e: Experiment) -> DataFrame:
     """One row per trial: its setting and its validation metrics."""
-    val = e.measured().filter(F.col("role") == "val")
-    columns = {}
-    for name, kind in (("smoothing", "double"), ("prior_weight", "double"), ("max_tokens", "int")):
-        expr = F.lit(None).cast(kind)
-        for i, s in enumerate(e.settings):
-            expr = F.when(F.col("setting") == i, F.lit(getattr(s, name)).cast(kind)).otherwise(expr)
-        columns[name] = expr
-    return val.select(
-        (F.col("setting") + 1).alias("trial"), *[c.alias(n) for n, c in columns.items()], "loss", "accuracy", "f1_macro"
+    values = {
+        name: "CASE setting"
+        + "".join(f" WHEN {i} THEN {_literal(getattr(s, name))}" for i, s in enumerate(e.settings))
+        + " END"
+        for name in ("smoothing", "prior_weight", "max_tokens")
+    }
+    return e.measured().filter("role = 'val'").selectExpr(
+        "setting + 1 AS trial",
+        *[f"{sql} AS {name}" for name, sql in values.items()],
+        "loss",
+        "accuracy",
+        "f1_macro",
     )
+
+
+def _literal(value: float | int | None) -> str:
+    if value is None:
+        return "CAST(NULL AS INT)"
+    return f"{value!r}D" if isinstance(value, float) else str(value)
