@@ -79,7 +79,7 @@ def epochs(spark: SparkSession, sf: str) -> DataFrame:
         F.col("user_id").alias("run"),
         "event_id",
         "ts",
-        F.to_date("ts").alias("day"),
+        F.date_trunc("hour", "ts").alias("hour"),
         F.col("value").alias("metric"),
         "event_type",
         "props",

@@ -548,11 +548,8 @@ SELECT task, 'prefix', round(avg((g.gold = b2.gold)::INTEGER), 6), count(*) FROM
   CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS seconds FROM events GROUP BY user_id)
 SELECT run, n_rows, round(seconds, 6) AS seconds, round(seconds / n_rows, 6) AS seconds_per_row,
   round(n_rows / seconds, 6) AS rows_per_second, round(((n_rows + 15) // 16) / seconds, 6) AS steps_per_second FROM l""",
-    "best_epoch": with_(
-        [EPOCHS],
-        """SELECT run, epoch, metric FROM ep
-QUALIFY row_number() OVER (PARTITION BY run ORDER BY metric DESC, epoch) = 1""",
-    ),
+    "best_epoch": """SELECT user_id AS run, event_id AS epoch, value AS metric FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) = 1""",
     "early_stop": with_(
         [
             EPOCHS,

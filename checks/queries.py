@@ -225,16 +225,14 @@ def throughput(spark, sf):
 # --- run logs -------------------------------------------------------------------
 
 
-def _numbered(spark, sf):
-    return runs.number_epochs(inputs.epochs(spark, sf), ["run"], "day", ["ts", "event_id"])
-
-
 def best_epoch(spark, sf):
-    return runs.best_epoch(_numbered(spark, sf), ["run"], "metric")
+    log = inputs.epochs(spark, sf).withColumnRenamed("event_id", "epoch")
+    return runs.best_epoch(log, ["run"], "metric")
 
 
 def early_stop(spark, sf):
-    return runs.early_stop(_numbered(spark, sf), ["run"], "metric", patience=2)
+    log = runs.number_epochs(inputs.epochs(spark, sf), ["run"], "hour", ["ts", "event_id"])
+    return runs.early_stop(log, ["run"], "metric", patience=2)
 
 
 def best_trial(spark, sf):
@@ -462,10 +460,10 @@ def batch_text_model(spark, sf):
 
 def logistic_regression(spark, sf):
     """Spark ML fit on the train part, scored on test."""
-    rows = inputs.prepared(spark, sf, TWO_CLASS, True)
+    rows = scratch.materialize(inputs.prepared(spark, sf, TWO_CLASS, True), "rows")
     cuts = stratified.fit_cuts(rows, {"split": stratified.train_test()}, TWO_CLASS.ids)
     rows = cuts.assign(rows, {"split": "role"})
-    fitted = spark_ml.text_pipeline(max_iter=10).fit(rows.filter(F.col("role") == "train"))
+    fitted = spark_ml.text_classifier(max_iter=10).fit(rows.filter(F.col("role") == "train"))
     scored = fitted.transform(rows.filter(F.col("role") == "test"))
     pairs = metrics.pair_counts(scored, true="label", pred="prediction")
     return metrics.classification_report(pairs, TWO_CLASS)

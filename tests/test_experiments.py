@@ -79,7 +79,7 @@ def test_holdout(single):
     assert len(cells) == 9 and sum(cells.values()) == 20
     assert {r["name"] for r in holdout.test_report(single).collect()} == {"Negative", "Positive", "accuracy", "macro avg", "weighted avg"}
     stages = {r["stage"] for r in single.stopwatch.table(single.rows.sparkSession).collect()}
-    assert stages == {"preparation", "training", "evaluation"}
+    assert stages >= {"preparation", "training", "evaluation"}
 
 
 def test_prediction_export(single, tmp_path):
@@ -95,6 +95,13 @@ def test_prediction_export(single, tmp_path):
         assert sorted(map(str, back.collect())) == sorted(map(str, out.collect()))
 
 
+def test_export_adds_the_inference_stage(single, tmp_path):
+    summary = holdout.export_predictions(single, str(tmp_path / "out"), "csv")
+    assert "inference" in {r["stage"] for r in summary.collect()}
+    tables.write_table(summary, str(tmp_path / "runtime"), "csv")
+    assert tables.read_table(summary.sparkSession, str(tmp_path / "out"), "csv").count() == 200
+
+
 def test_csv_keeps_line_breaks_and_quotes(spark, tmp_path):
     df = spark.createDataFrame([(1, 'say "hi"\nthere, you', "a\\b")], "id int, text string, sentiment string")
     tables.write_table(df, str(tmp_path / "t"), "csv")
@@ -166,9 +173,9 @@ def test_spark_ml_round_trip_and_evaluator(spark, prepared, tmp_path):
     cuts = stratified.fit_cuts(prepared, {"s": stratified.train_test()}, (0, 1))
     rows = cuts.assign(prepared, {"s": "role"})
     train, test = rows.filter("role = 'train'"), rows.filter("role = 'test'")
-    model = spark_ml.text_pipeline(features=1 << 10, max_iter=5).fit(train)
-    spark_ml.save_pipeline(model, str(tmp_path / "m"))
-    again = spark_ml.load_pipeline(str(tmp_path / "m"))
+    model = spark_ml.text_classifier(features=1 << 10, max_iter=5).fit(train)
+    spark_ml.save_model(model, str(tmp_path / "m"))
+    again = spark_ml.load_model(str(tmp_path / "m"))
     evaluator = spark_ml.MetricEvaluator()
     score = evaluator.evaluate(model.transform(test))
     assert score == evaluator.evaluate(again.transform(test)) and score > 0.9
@@ -180,7 +187,7 @@ def test_cross_validation_with_our_folds(prepared):
     cuts = stratified.fit_cuts(prepared, {"k3": stratified.kfold(3)}, (0, 1))
     rows = cuts.assign(prepared, {"k3": "role"}).filter("role <> 'test'")
     rows = rows.withColumn("fold", F.expr("CAST(substring(role, 5) AS INT) - 1"))
-    pipeline = spark_ml.text_pipeline(features=1 << 8, max_iter=2)
+    pipeline = spark_ml.text_classifier(features=1 << 8, max_iter=2)
     grid = ParamGridBuilder().addGrid(pipeline.getStages()[-1].regParam, [0.01]).build()
     cv = CrossValidator(estimator=pipeline, estimatorParamMaps=grid, evaluator=spark_ml.MetricEvaluator(), numFolds=3, foldCol="fold")
     assert cv.fit(rows).avgMetrics[0] > 0.8
@@ -214,4 +221,4 @@ def test_scoring_plan_joins_once(single):
 def test_scratch_folder_comes_from_the_session(spark, monkeypatch):
     old = spark.conf.get(scratch.SETTING, None)
     monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: "/shared/x/" if key == scratch.SETTING else old)
-    assert scratch.scratch_path(spark, "t").startswith("/shared/x/tonelab/t-")
+    assert scratch.scratch_path(spark, "t").startswith(f"/shared/x/tonelab/{spark.sparkContext.applicationId}/t-")

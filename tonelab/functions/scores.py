@@ -2,17 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tonelab.functions.labels import LabelDomain
 
 
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it in ``body``.
+
+    A column used inside a lambda is evaluated for every element; as a lambda
+    argument it is evaluated once. Without this softmax is cubic in the length.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def softmax(logits: Column) -> Column:
     """Softmax of an array column, shifted by its maximum so it cannot overflow."""
-    shifted = F.transform(logits, lambda x: F.exp(x.cast("double") - F.array_max(logits).cast("double")))
-    total = F.aggregate(shifted, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(shifted, lambda x: x / total)
+
+    def shifted(top: Column) -> Column:
+        return F.transform(logits, lambda x: F.exp(x.cast("double") - top))
+
+    def normalised(terms: Column) -> Column:
+        total = F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x)
+        return _bind(total, lambda t: F.transform(terms, lambda x: x / t))
+
+    return _bind(F.array_max(logits).cast("double"), lambda top: _bind(shifted(top), normalised))
 
 
 def argmax(scores: Column) -> Column:

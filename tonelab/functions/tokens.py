@@ -10,19 +10,20 @@ MAX_SOURCE_TOKENS = 256
 MAX_TARGET_TOKENS = {"label": 4, "label_short": 2, "free_text": 64}
 
 
-def words(clean: Column) -> Column:
+def words(clean: Column, pieces: int = -1) -> Column:
     """Lower-cased words of the whole text; ``['']`` for the empty text.
 
     Cleaned text has no blank at either end, so splitting on runs of blanks
-    leaves no empty word, and no filter over the array is needed.
+    leaves no empty word, and no filter over the array is needed. With
+    ``pieces`` splitting stops there and the last piece is the uncut rest.
     """
-    return F.split(F.lower(clean), " +")
+    return F.split(F.lower(clean), " +", pieces)
 
 
 def bounded_tokens(clean: Column, limit: int = MAX_SOURCE_TOKENS) -> Column:
     """The first ``limit`` words."""
     none = F.array().cast("array<string>")
-    return F.when(clean == "", none).otherwise(F.slice(words(clean), 1, limit))
+    return F.when(clean == "", none).otherwise(F.slice(words(clean, limit + 1), 1, limit))
 
 
 def pad_tokens(tokens: Column, length: int, pad: str = "<pad>") -> Column:

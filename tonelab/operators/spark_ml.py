@@ -16,7 +16,7 @@ from tonelab.operators import metrics
 FEATURES = 1 << 16
 
 
-def text_pipeline(
+def text_classifier(
     *, features: int = FEATURES, reg_param: float = 0.01, max_iter: int = 20, label: str = "label", text: str = "text"
 ) -> Pipeline:
     """Words -> hashed counts -> IDF -> multinomial logistic regression.
@@ -35,12 +35,12 @@ def text_pipeline(
     )
 
 
-def save_pipeline(model: PipelineModel, path: str) -> None:
+def save_model(model: PipelineModel, path: str) -> None:
     """Save the fitted model together with its text front end."""
     model.write().overwrite().save(path)
 
 
-def load_pipeline(path: str) -> PipelineModel:
+def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 

@@ -46,7 +46,11 @@ class Stopwatch:
     seconds: dict[str, float] = field(default_factory=dict)
     started: float = field(default_factory=time.time)
 
+    def start(self) -> None:
+        self.started = time.time()
+
     def lap(self, stage: str) -> None:
+        """Book the time since the start or the last lap on a stage."""
         now = time.time()
         self.seconds[stage] = self.seconds.get(stage, 0.0) + now - self.started
         self.started = now
@@ -140,7 +144,8 @@ def run_experiment(
     experiment = Experiment(
         rows, domain, cuts, tuple(all_runs), tuple(settings), model, rows, validate_on_test, watch
     )
-    pairs = materialize(_score_held_out(experiment), "pairs")
+    # A few rows per run and setting: in one partition the metrics need no shuffle.
+    pairs = materialize(_score_held_out(experiment), "pairs").coalesce(1)
     watch.lap("evaluation")
     return replace(experiment, pairs=pairs)
 

@@ -11,6 +11,7 @@ from tonelab.functions.labels import LabelDomain
 from tonelab.operators import metrics, stratified
 from tonelab.operators.stratified import Run
 from tonelab.plans.experiment import DEFAULT_SETTINGS, Experiment, Setting, predict_rows, run_experiment
+from tonelab.sources.tables import write_table
 
 HOLDOUT = Run(1, 1, "holdout")
 
@@ -51,6 +52,14 @@ def predict_all(e: Experiment) -> DataFrame:
     return predict_rows(e, e.chosen_candidate(HOLDOUT)).drop("label")
 
 
+def export_predictions(e: Experiment, path: str, fmt: str = "parquet") -> DataFrame:
+    """Write the predictions of all rows; returns the runtime summary with the inference stage."""
+    e.stopwatch.start()
+    write_table(predict_all(e), path, fmt)
+    e.stopwatch.lap("inference")
+    return e.stopwatch.table(e.rows.sparkSession)
+
+
 def predict_test(e: Experiment) -> DataFrame:
     """Predictions for the test rows only, with a flag for correct ones."""
     test = e.rows.filter(F.col("role_holdout") == "test")

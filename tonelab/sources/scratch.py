@@ -32,8 +32,13 @@ def _local_root() -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{scratch_root(spark)}/tonelab/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder.
+
+    Tables of one application share a folder named by its id, so they can be
+    removed together once it has ended.
+    """
+    application = spark.sparkContext.applicationId
+    return f"{scratch_root(spark)}/tonelab/{application}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
