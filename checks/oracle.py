@@ -451,6 +451,16 @@ def report_sql(before: list[str], src: str, names: tuple[str, ...]) -> str:
 THREE_NAMES, TWO_NAMES = ("negative", "off", "positive"), ("negative", "positive")
 ROLES = "SELECT id, label, role FROM roles"
 
+COMPARE = with_(
+    [*holdout_model(), *score_ctes("true")],
+    f"""SELECT id AS row_key, t.sentiment, smoothing_0, smoothing_1, smoothing_2,
+  (lower(smoothing_0) = t.sentiment)::INTEGER + (lower(smoothing_1) = t.sentiment)::INTEGER
+    + (lower(smoothing_2) = t.sentiment)::INTEGER AS n_agree_gold,
+  len(list_distinct([smoothing_0, smoothing_1, smoothing_2]))::INTEGER AS n_distinct
+FROM (SELECT id, {', '.join(f"max({display('y_pred', THREE_NAMES)}) FILTER (WHERE setting = {i}) AS smoothing_{i}" for i in range(3))}
+  FROM scored GROUP BY id) JOIN three t USING (id)""",
+)
+
 ORACLE = {
     "load_reviews": with_([SHEET], "SELECT * FROM sheet"),
     "select_by_position": with_(BASE[:2], "SELECT * FROM raw"),
@@ -486,15 +496,8 @@ SELECT doc_id, line, {clean('text')} AS text FROM l WHERE {clean('text')} <> ''"
     "attach_predictions": with_(
         [*RATED, RAW], "SELECT raw.id, text, raw.sentiment, y_pred FROM raw LEFT JOIN rated USING (id)"
     ),
-    "compare_models": with_(
-        [*holdout_model(), *score_ctes("true")],
-        f"""SELECT id AS row_key, t.sentiment, smoothing_0, smoothing_1, smoothing_2,
-  (lower(smoothing_0) = t.sentiment)::INTEGER + (lower(smoothing_1) = t.sentiment)::INTEGER
-    + (lower(smoothing_2) = t.sentiment)::INTEGER AS n_agree_gold,
-  len(list_distinct([smoothing_0, smoothing_1, smoothing_2]))::INTEGER AS n_distinct
-FROM (SELECT id, {', '.join(f"max({display('y_pred', THREE_NAMES)}) FILTER (WHERE setting = {i}) AS smoothing_{i}" for i in range(3))}
-  FROM scored GROUP BY id) JOIN three t USING (id)""",
-    ),
+    "compare_models": COMPARE,
+    "compare_models_one_pass": COMPARE,
     "row_count": with_([*BASE, THREE], "SELECT count(*) AS n_rows FROM three"),
     "label_counts": with_([*BASE, THREE], "SELECT sentiment, count(*) AS n FROM three GROUP BY sentiment"),
     "confusion_matrix": with_(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -132,18 +130,30 @@ def attach_predictions(spark, sf):
     return compare.attach_predictions(rows, predictions, "id")
 
 
-def compare_models(spark, sf):
-    """The holdout model at three smoothings, side by side over all rows."""
+def _three_models(spark, sf):
+    """The holdout model at three smoothings: scores of all rows, one column per model."""
     e = _holdout(spark, sf)
     candidates = [e.candidate(holdout.HOLDOUT, i) for i in range(len(e.settings))]
     scored = naive_bayes.score(e.rows, e.model, candidates, carry=["sentiment"])
-    long = naive_bayes.predictions(scored, candidates, ["row_key", "sentiment"])
     names = {c.name: f"smoothing_{i}" for i, c in enumerate(candidates)}
-    model = functools.reduce(lambda w, kv: w.when(F.col("model") == kv[0], kv[1]), names.items(), F.when(F.lit(False), ""))
-    long = long.withColumn("model", model).withColumn("pred_sentiment", THREE_CLASS.decode(F.col("y_pred")))
+    return scored, candidates, names
+
+
+def compare_models(spark, sf):
+    """From a long table of predictions, as several exports below each other give it."""
+    scored, candidates, names = _three_models(spark, sf)
+    long = naive_bayes.predictions(scored, candidates, ["row_key", "sentiment"]).replace(names, subset=["model"])
+    long = long.withColumn("pred_sentiment", THREE_CLASS.decode(F.col("y_pred")))
     return compare.compare_models(long, list(names.values()))
 
 
+def compare_models_one_pass(spark, sf):
+    """The same from one scoring pass, where the predictions already stand side by side."""
+    scored, _, names = _three_models(spark, sf)
+    decoded = [THREE_CLASS.decode(scores.argmax(F.col(f"logits_{c}"))).alias(name) for c, name in names.items()]
+    return compare.with_agreement(scored.select("row_key", "sentiment", *decoded), list(names.values()))
+
+
 # --- aggregations ---------------------------------------------------------------
 
 
@@ -193,26 +203,21 @@ def classification_report(spark, sf):
 
 def exact_match(spark, sf):
     """Majority guesses per task: within the language (prompt) or over all rows (prefix)."""
-    rows = inputs.sheet(spark, sf).select(
-        "lang", F.col("source").alias("topic"), text.missing_to_off(text.normalise_label(F.col("sentiment"))).alias("sentiment")
-    )
-    tasks = F.inline(
-        F.array(
-            F.struct(F.lit("sentiment").alias("task"), F.col("sentiment").alias("gold_text")),
-            F.struct(F.lit("topic").alias("task"), F.col("topic").alias("gold_text")),
-        )
+    label = text.missing_to_off(text.normalise_label(F.col("sentiment")))
+    rows = inputs.sheet(spark, sf).select("lang", F.col("source").alias("topic"), label.alias("sentiment"))
+    examples = rows.selectExpr(
+        "lang",
+        "inline(array(named_struct('task', 'sentiment', 'gold_text', sentiment),"
+        " named_struct('task', 'topic', 'gold_text', topic)))",
     )
-    gold = rows.select("lang", tasks)
-
-    def majority(by):
-        counts = gold.groupBy(*by, "gold_text").agg(F.count("*").alias("n"))
-        best = F.min_by("gold_text", F.struct(-F.col("n"), F.col("gold_text")))
-        return counts.groupBy(*by).agg(best.alias("pred_text"))
-
-    # At most tasks x languages rows: a dimension of the data, not its length.
-    prompt = gold.join(F.broadcast(majority(["task", "lang"])), ["task", "lang"]).withColumn("style", F.lit("prompt"))
-    prefix = gold.join(F.broadcast(majority(["task"])), ["task"]).withColumn("style", F.lit("prefix"))
-    return rounded(metrics.exact_match(prompt.unionByName(prefix)))
+    styles = "inline(array(named_struct('style', 'prompt', 'scope', lang), named_struct('style', 'prefix', 'scope', 'all')))"
+    counts = examples.groupBy("task", "lang", "gold_text").agg(F.count("*").alias("n"))
+    totals = counts.selectExpr("task", "gold_text", "n", styles).groupBy("task", "style", "scope", "gold_text").agg(F.sum("n").alias("n"))
+    best = F.min_by("gold_text", F.struct(-F.col("n"), F.col("gold_text"))).alias("pred_text")
+    # Two tasks times two styles times the languages: a handful of rows.
+    guesses = totals.groupBy("task", "style", "scope").agg(best)
+    answered = examples.selectExpr("task", "gold_text", styles).join(F.broadcast(guesses), ["task", "style", "scope"])
+    return rounded(metrics.exact_match(answered))
 
 
 def throughput(spark, sf):
@@ -231,7 +236,9 @@ def best_epoch(spark, sf):
 
 
 def early_stop(spark, sf):
-    log = runs.number_epochs(inputs.epochs(spark, sf), ["run"], "hour", ["ts", "event_id"])
+    events = inputs.epochs(spark, sf).select("run", "event_id", "ts", "hour", "metric")
+    numbered = runs.number_epochs(events, ["run"], "hour", ["ts", "event_id"])
+    log = scratch.materialize(numbered.select("run", "epoch", "metric"), "epochs")
     return runs.early_stop(log, ["run"], "metric", patience=2)
 
 
@@ -495,7 +502,7 @@ QUERIES = {
         normalise_label, missing_to_off, keep_label_domain, dataset_with_off, dataset_remove_off,
         encode_label, decode_label, correct_flag,
         split_train_test, split_80_10_10, split_64_16_20, kfold_assign, kfold_all_k, split_sizes,
-        attach_predictions, compare_models,
+        attach_predictions, compare_models, compare_models_one_pass,
         row_count, label_counts, confusion_matrix, confusion_wide, confusion_padded, confusion_observed,
         metrics_per_class, metrics_overall, classification_report, exact_match, throughput,
         best_epoch, early_stop, best_trial, runtime_summary, runtime_by_run, append_results,

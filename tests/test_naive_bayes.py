@@ -142,3 +142,19 @@ def test_hot_token_and_long_text(spark):
     reference = plain({k: y for k, _, y, _ in data}, {k: t for k, t, _, _ in data})
     assert wide["add_one"]["long"] == pytest.approx(reference["long"], abs=5e-5)
     assert wide["add_one"]["r7"] == pytest.approx(reference["r7"], abs=2e-6)
+
+
+def test_hot_unknown_and_overlong_tokens(spark):
+    """Tokens that no training row has, and tokens of any length, on the large route."""
+    junk = "x" * 5000
+    data = [(f"t{i}", f"known{i % 3} plain", i % 2, "train") for i in range(30)]
+    data += [(f"u{i}", "flood " * 40 + junk + f" known{i % 3}", i % 2, "test") for i in range(60)]
+    df = spark.createDataFrame(data, "row_key string, text string, label int, role string")
+    model = naive_bayes.fit(df, FITS[:1], (0, 1))
+    assert model.vocabulary["main"] == 4
+    frequent = model.counts.filter(f"n_total * 10 >= {model.n_tokens}").collect()
+    assert {r["token"] for r in frequent} == {"flood"}
+    small = scored(df, model, CANDIDATES[:1])
+    assert scored(df, model, CANDIDATES[:1], broadcast_bytes=0, head_share=10) == small
+    train = {k: y for k, _, y, r in data if r == "train"}
+    same(small["add_one"], plain(train, {k: t for k, t, _, _ in data}))

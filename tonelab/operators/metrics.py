@@ -122,31 +122,30 @@ def overall(pairs: DataFrame, by: Sequence[str] = (), means: Sequence[str] = ())
 
 
 def classification_report(pairs: DataFrame, domain: LabelDomain, by: Sequence[str] = ()) -> DataFrame:
-    """Class rows by display name, then accuracy, macro avg and weighted avg, 4 decimals."""
-    classes = per_class(pairs, by)
-    rows = classes.select(
-        *by,
-        domain.decode(F.col("label")).alias("name"),
-        *[F.round(m, REPORT_DIGITS).alias(m) for m in ("precision", "recall", "f1")],
-        "support",
-    )
-    summary = classes.groupBy(*by).agg(
-        *[F.expr(f"round({e}, {REPORT_DIGITS})").alias(name) for name, e in _OVERALL.items()],
-        F.sum("support").alias("support"),
-    )
+    """Class rows by display name, then accuracy, macro avg and weighted avg, 4 decimals.
+
+    The class rows of a group (two or three) are gathered next to its totals, so
+    the report is one pass over the pair counts.
+    """
 
     def line(name: str, precision: str, recall: str, f1: str) -> str:
-        return (
-            f"named_struct('name', '{name}', 'precision', {precision}, 'recall', {recall},"
-            f" 'f1', {f1}, 'support', support)"
-        )
-
-    lines = [
-        line("accuracy", "CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)", "accuracy"),
-        line("macro avg", "precision_macro", "recall_macro", "f1_macro"),
-        line("weighted avg", "precision_weighted", "recall_weighted", "f1_weighted"),
+        values = {"precision": precision, "recall": recall, "f1": f1}
+        digits = "".join(f", '{k}', round({v}, {REPORT_DIGITS})" for k, v in values.items())
+        return f"named_struct('name', {name}{digits}, 'support', support)"
+
+    classes = per_class(pairs, by).withColumn("name", domain.decode(F.col("label")))
+    grouped = classes.groupBy(*by).agg(
+        F.collect_list(F.expr(line("name", "precision", "recall", "f1"))).alias("lines"),
+        *[F.expr(e).alias(name) for name, e in _OVERALL.items()],
+        F.sum("support").alias("support"),
+    )
+    none = "CAST(NULL AS DOUBLE)"
+    totals = [
+        line("'accuracy'", none, none, "accuracy"),
+        line("'macro avg'", "precision_macro", "recall_macro", "f1_macro"),
+        line("'weighted avg'", "precision_weighted", "recall_weighted", "f1_weighted"),
     ]
-    return rows.unionByName(summary.selectExpr(*_names(by), f"inline(array({', '.join(lines)}))"))
+    return grouped.selectExpr(*_names(by), f"inline(concat(lines, array({', '.join(totals)})))")
 
 
 def exact_match(df: DataFrame, by: Sequence[str] = ("task", "style"), pred="pred_text", gold="gold_text") -> DataFrame:

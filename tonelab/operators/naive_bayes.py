@@ -31,12 +31,12 @@ FIXED_POINT = 1e9
 SCORE_DIGITS = 6
 
 # Size check of the join in ``score``. A weight table of up to BROADCAST_BYTES is
-# broadcast whole. Beyond that only frequent, not overlong tokens are: those with
-# at least 1/HEAD_SHARE of all occurrences, so at most HEAD_SHARE rows of at most
-# HEAD_TOKEN_BYTES each.
+# broadcast whole. Beyond that only frequent tokens are: those with at least
+# 1/HEAD_SHARE of all occurrences, so at most HEAD_SHARE rows. Tokens longer than
+# SHORT_BYTES are joined by a digest, which bounds the size of those rows too.
 BROADCAST_BYTES = 64 * 1024 * 1024
 HEAD_SHARE = 20_000
-HEAD_TOKEN_BYTES = 256
+SHORT_BYTES = 64
 
 # Every text starts with one empty token. Words are never empty, so the group of
 # this token holds the document counts, and a row without words is not lost.
@@ -119,11 +119,16 @@ def _within(limit: int | None) -> str:
 def fit(
     df: DataFrame, fits: Sequence[Fit], labels: Sequence[int], *, label: str = "label", text: str = "text"
 ) -> CountModel:
-    """Count tokens for all fits in one pass over the rows that train any of them."""
+    """Count tokens for all fits in one pass over ``df``.
+
+    Pass the table that will be scored, not only training rows: rows that train
+    nothing add to ``n_total`` alone, and that is what finds the frequent tokens
+    of the scored rows, also those no training row has.
+    """
     limited = any(f.max_tokens is not None for f in fits)
     conditions = dict.fromkeys(f.in_train for f in fits)
     flags = {condition: f"_in_{i}" for i, condition in enumerate(conditions)}
-    rows = df.filter(" OR ".join(f"({condition})" for condition in conditions)).selectExpr(
+    rows = df.selectExpr(
         f"`{label}` AS label", f"`{text}` AS text", *[f"({condition}) AS {flag}" for condition, flag in flags.items()]
     )
     counts = (
@@ -220,7 +225,8 @@ def score(
     limited = any(model.limits[m.fit] is not None for m in candidates)
     tokens = token_rows(df, [key, *carry], limited, text)
     if model.weight_bytes(candidates) <= broadcast_bytes:
-        joined = tokens.join(F.broadcast(weights.drop("n_total")), "token", "left")
+        known = weights.drop("n_total").filter(" OR ".join(f"{w} IS NOT NULL" for _, _, w in slots))
+        joined = tokens.join(F.broadcast(known), "token", "left")
     else:
         joined = _join_head_and_tail(tokens, weights, model.n_tokens, head_share)
     sums = joined.groupBy(key, *carry).agg(
@@ -247,9 +253,11 @@ def _join_head_and_tail(tokens: DataFrame, weights: DataFrame, n_tokens: int, he
     number is bounded, so they are broadcast and never shuffled; the others are
     spread over many rare keys. The first branch keeps every row.
     """
-    frequent = (F.col("n_total") * head_share >= F.lit(n_tokens)) & (
-        F.octet_length("token") <= HEAD_TOKEN_BYTES
-    )
+    # Words hold no newline, so a digest behind one never equals a word.
+    short = F.expr(f"if(octet_length(token) <= {SHORT_BYTES}, token, concat('\n', md5(token)))")
+    tokens = tokens.withColumn("token", short)
+    weights = weights.withColumn("token", short)
+    frequent = F.col("n_total") * head_share >= F.lit(n_tokens)
     head = weights.filter(frequent).drop("n_total")
     tail = weights.filter(~frequent).drop("n_total")
     near = tokens.join(F.broadcast(head), "token", "left")

@@ -78,27 +78,36 @@ def early_stop(
     """Epoch at which each run stops: the first one that is the ``patience``-th in a
     row without a better metric. Null where a run never stops early.
 
-    Epochs are numbered 1, 2, 3, ... Running maxima are taken within chunks of
-    epochs and carried from chunk to chunk, so no window holds a whole run.
+    Epochs are numbered 1, 2, 3, ... A run stops ``patience`` epochs after the
+    first record that is not followed by another one in time. Rows are only
+    ranked within chunks of epochs; each chunk then becomes one row with its first
+    and last record, so no window holds the rows of a whole run.
     """
     value = F.col(metric) if higher else -F.col(metric)
-    df = log.select(*run, F.col(epoch).alias("_e"), value.alias("_v")).withColumn(
-        "_chunk", F.floor(F.col("_e") / chunk_epochs)
-    )
-    within = W.Window.partitionBy(*run, "_chunk").orderBy("_e")
-    earlier = within.rowsBetween(W.Window.unboundedPreceding, -1)
-    upto = within.rowsBetween(W.Window.unboundedPreceding, 0)
+    df = log.select(*run, F.col(epoch).alias("_e"), value.alias("_v"))
+    df = df.withColumn("_chunk", F.floor(F.col("_e") / chunk_epochs))
     df = _with_carry(df, run, "_chunk", F.col("_v"), F.max, "_carry")
-    best_before = F.greatest(F.max("_v").over(earlier), F.col("_carry"))
-    df = df.withColumn("_best", best_before).drop("_carry")
-    improved = F.col("_v").isNotNull() & (F.col("_best").isNull() | (F.col("_v") > F.col("_best")))
-    df = df.withColumn("_improved", F.when(improved, F.col("_e"))).drop("_best")
-    df = _with_carry(df, run, "_chunk", F.col("_improved"), F.max, "_carry")
-    last = F.greatest(F.max("_improved").over(upto), F.col("_carry"))
-    df = df.withColumn("_waited", F.col("_e") - last)
-    return df.groupBy(*run).agg(
-        F.min(F.when(F.col("_waited") >= patience, F.col("_e"))).alias("stop_epoch"),
-        F.max("_e").alias("last_epoch"),
+    earlier = (
+        W.Window.partitionBy(*run, "_chunk").orderBy("_e").rowsBetween(W.Window.unboundedPreceding, -1)
+    )
+    best = F.greatest(F.max("_v").over(earlier), F.col("_carry"))
+    record = F.col("_v").isNotNull() & (F.col("_best").isNull() | (F.col("_v") > F.col("_best")))
+    df = df.withColumn("_best", best).withColumn("_record", F.when(record, F.col("_e")))
+    df = df.withColumn("_previous", F.max("_record").over(earlier))
+    late = F.col("_record") - F.col("_previous") > patience
+    chunks = df.groupBy(*run, "_chunk").agg(
+        F.min("_record").alias("_first"),
+        F.max("_record").alias("_last"),
+        F.min(F.when(late, F.col("_previous") + patience)).alias("_inside"),
+        F.max("_e").alias("_end"),
+    )
+    later = W.Window.partitionBy(*run).orderBy("_chunk").rowsBetween(1, W.Window.unboundedFollowing)
+    whole = W.Window.partitionBy(*run)
+    chunks = chunks.withColumns({"_next": F.min("_first").over(later), "last_epoch": F.max("_end").over(whole)})
+    wait = F.coalesce(F.col("_next") - 1, F.col("last_epoch")) - F.col("_last")
+    between = F.when(wait >= patience, F.col("_last") + patience)
+    return chunks.groupBy(*run).agg(
+        F.min(F.least("_inside", between)).alias("stop_epoch"), F.max("last_epoch").alias("last_epoch")
     )
 
 
