@@ -187,6 +187,9 @@ def model_ctes(src: str, classes: int, settings) -> list[str]:
     ln(coalesce(n, 0) + alpha) - ln(coalesce(t, 0) + alpha * v) AS lw
   FROM voc CROSS JOIN classes c JOIN settings USING (setting) JOIN size USING (K, fold, setting)
   LEFT JOIN tot USING (K, fold, setting, label) LEFT JOIN cnt USING (K, fold, setting, token, label))""",
+        # Log odds against the first class, of tokens and of priors.
+        "odds AS (SELECT a.*, a.lw - b.lw AS lo FROM w a JOIN w b USING (K, fold, setting, token) WHERE b.label = 0)",
+        "prior_odds AS (SELECT a.K, a.fold, a.label, a.lp - b.lp AS lp FROM prior a JOIN prior b USING (K, fold) WHERE b.label = 0)",
     ]
 
 
@@ -195,14 +198,14 @@ def score_ctes(where: str) -> list[str]:
     return [
         f"wanted AS (SELECT * FROM member WHERE {where})",
         """sums AS (
-  SELECT K, fold, setting, id, w.label, sum(CAST(round(lw * 1e9) AS BIGINT)) AS s
+  SELECT K, fold, setting, id, o.label, sum(CAST(round(lo * 1e9) AS BIGINT)) AS s
   FROM wanted m JOIN tok USING (id) JOIN settings st ON (st.lim IS NULL OR pos <= st.lim)
-  JOIN w USING (K, fold, setting, token) GROUP BY ALL)""",
+  JOIN odds o USING (K, fold, setting, token) GROUP BY ALL)""",
         """logit AS (
   SELECT m.K, m.fold, st.setting, m.id, m.label AS y_true, m.role, c.label AS c,
     round(coalesce(s, 0)::DOUBLE / 1e9 + pw * lp, 6) AS x
   FROM wanted m CROSS JOIN settings st CROSS JOIN classes c
-  JOIN prior p ON (p.K = m.K AND p.fold = m.fold AND p.label = c.label)
+  JOIN prior_odds p ON (p.K = m.K AND p.fold = m.fold AND p.label = c.label)
   LEFT JOIN sums z ON (z.K = m.K AND z.fold = m.fold AND z.setting = st.setting AND z.id = m.id AND z.label = c.label))""",
         """top AS (SELECT K, fold, setting, id, max(x) AS mx FROM logit GROUP BY ALL)""",
         """scored AS (
@@ -372,7 +375,7 @@ ONE = DEFAULT_SETTINGS[:1]
 NB_MODEL = with_(full_fit(ONE), "SELECT token, 'add_one' AS model, label, n, round(lw, 6) AS log_prob FROM w")
 NB_PREDICT = with_(
     [*full_fit(ONE), *score_ctes("true")],
-    "SELECT id AS row_key, y_true AS label, xs[1] AS logit_0, xs[2] AS logit_1, y_pred FROM scored",
+    "SELECT id AS row_key, y_true AS label, xs[2] AS log_odds, y_pred FROM scored",
 )
 PREDICT_ALL = with_(
     HOLDOUT_ALL,

@@ -355,23 +355,20 @@ def nb_model(spark, sf):
     return rounded(naive_bayes.log_probabilities(model, [CANDIDATE]))
 
 
-def nb_predict(spark, sf):
+def _nb_scores(spark, sf, **kwargs):
     rows, model = _two_class_fit(spark, sf)
-    scored = naive_bayes.score(rows, model, [CANDIDATE], carry=["label"])
+    scored = naive_bayes.score(rows, model, [CANDIDATE], carry=["label"], **kwargs)
     logits = F.col("logits_add_one")
-    return scored.select(
-        "row_key", "label", logits[0].alias("logit_0"), logits[1].alias("logit_1"), scores.argmax(logits).alias("y_pred")
-    )
+    return scored.select("row_key", "label", logits[1].alias("log_odds"), scores.argmax(logits).alias("y_pred"))
+
+
+def nb_predict(spark, sf):
+    return _nb_scores(spark, sf)
 
 
 def nb_predict_large_vocabulary(spark, sf):
-    """The same scores by the route for a vocabulary too large to broadcast."""
-    rows, model = _two_class_fit(spark, sf)
-    scored = naive_bayes.score(rows, model, [CANDIDATE], carry=["label"], broadcast_bytes=0, head_share=200)
-    logits = F.col("logits_add_one")
-    return scored.select(
-        "row_key", "label", logits[0].alias("logit_0"), logits[1].alias("logit_1"), scores.argmax(logits).alias("y_pred")
-    )
+    """The same scores by the route for a vocabulary too large to broadcast: 32 KB at most."""
+    return _nb_scores(spark, sf, broadcast_bytes=32 * 1024)
 
 
 def predict_all(spark, sf):

@@ -26,7 +26,7 @@ def rows(spark):
 
 
 def plain(train, texts, alpha=1.0, weight=1.0, limit=None):
-    """Logits of two classes, from word lists."""
+    """Log odds of two classes against the first, from word lists."""
     words = {k: t.lower().split()[:limit] for k, t in texts.items()}
     counts = {c: Counter(w for k, y in train.items() if y == c for w in words[k]) for c in (0, 1)}
     vocabulary = set(counts[0]) | set(counts[1])
@@ -38,7 +38,7 @@ def plain(train, texts, alpha=1.0, weight=1.0, limit=None):
             total = sum(counts[c].values()) + alpha * len(vocabulary)
             prior = weight * math.log((sum(y == c for y in train.values()) + 1) / (n + 2))
             logits.append(prior + sum(math.log((counts[c][w] + alpha) / total) for w in ws if w in vocabulary))
-        out[key] = logits
+        out[key] = [0.0, logits[1] - logits[0]]
     return out
 
 
@@ -87,8 +87,8 @@ def test_many_fits_in_one_job(rows):
 def test_large_vocabulary_route_gives_the_same(rows):
     model = naive_bayes.fit(rows, FITS, (0, 1))
     small = scored(rows, model, CANDIDATES)
-    for share in (1, 4, 10**6):
-        assert scored(rows, model, CANDIDATES, broadcast_bytes=0, head_share=share) == small
+    for budget in (0, 300, 500):
+        assert scored(rows, model, CANDIDATES, broadcast_bytes=budget) == small
 
 
 def test_scores_do_not_depend_on_partitioning(rows):
@@ -103,7 +103,7 @@ def test_carried_columns_and_prior_only_rows(rows):
     assert out.columns == ["row_key", "label", "role", "logits_add_one"]
     by_key = {r["row_key"]: r for r in out.collect()}
     assert len(by_key) == len(ROWS)
-    prior = [math.log(2 / 5), math.log(3 / 5)]
+    prior = [0.0, math.log(3 / 5) - math.log(2 / 5)]
     assert by_key["f"]["logits_add_one"] == pytest.approx(prior, abs=1e-6)
     assert by_key["g"]["logits_add_one"] == pytest.approx(prior, abs=1e-6)
 
@@ -137,7 +137,7 @@ def test_hot_token_and_long_text(spark):
     model = naive_bayes.fit(df, FITS[:1], (0, 1))
     assert sum(model.tokens["main"].values()) == 200 * 51 + 20002
     wide = scored(df, model, CANDIDATES[:1])
-    assert scored(df, model, CANDIDATES[:1], broadcast_bytes=0, head_share=10) == wide
+    assert scored(df, model, CANDIDATES[:1], broadcast_bytes=1050) == wide
     # Weights are cut at nine decimals, so twenty thousand of them may differ by 1e-5.
     reference = plain({k: y for k, _, y, _ in data}, {k: t for k, t, _, _ in data})
     assert wide["add_one"]["long"] == pytest.approx(reference["long"], abs=5e-5)
@@ -154,7 +154,8 @@ def test_hot_unknown_and_overlong_tokens(spark):
     assert model.vocabulary["main"] == 4
     frequent = model.counts.filter(f"n_total * 10 >= {model.n_tokens}").collect()
     assert {r["token"] for r in frequent} == {"flood"}
+    assert naive_bayes._head_share(1050, CANDIDATES[:1], (0, 1)) == 10
     small = scored(df, model, CANDIDATES[:1])
-    assert scored(df, model, CANDIDATES[:1], broadcast_bytes=0, head_share=10) == small
+    assert scored(df, model, CANDIDATES[:1], broadcast_bytes=1050) == small
     train = {k: y for k, _, y, r in data if r == "train"}
     same(small["add_one"], plain(train, {k: t for k, t, _, _ in data}))

@@ -7,7 +7,8 @@
 * Smoothing and prior weight do not change counts. Any number of them are
   scored from the same count table (``Candidate``).
 * ``score`` joins tokens to the count table once, with one weight column per
-  (candidate, class).
+  candidate and class after the first: only differences between classes matter,
+  so weights are log odds against the first class.
 
 Log weights are kept as fixed-point integers while they are summed. Integer sums
 do not depend on the order of the rows, so a retried task or another partitioning
@@ -31,12 +32,12 @@ FIXED_POINT = 1e9
 SCORE_DIGITS = 6
 
 # Size check of the join in ``score``. A weight table of up to BROADCAST_BYTES is
-# broadcast whole. Beyond that only frequent tokens are: those with at least
-# 1/HEAD_SHARE of all occurrences, so at most HEAD_SHARE rows. Tokens longer than
-# SHORT_BYTES are joined by a digest, which bounds the size of those rows too.
-BROADCAST_BYTES = 64 * 1024 * 1024
-HEAD_SHARE = 20_000
+# broadcast whole. Beyond that only the frequent tokens that fit are (see
+# ``_head_share``). Tokens longer than SHORT_BYTES are joined by a digest, which
+# bounds the size of those rows too.
+BROADCAST_BYTES = 256 * 1024 * 1024
 SHORT_BYTES = 64
+ROW_BYTES, SLOT_BYTES = 32, 9
 
 # Every text starts with one empty token. Words are never empty, so the group of
 # this token holds the document counts, and a row without words is not lost.
@@ -88,8 +89,7 @@ class CountModel:
 
     def weight_bytes(self, candidates: Sequence[Candidate]) -> int:
         """Size of the weight table of these candidates, nulls and row headers included."""
-        slots = len(candidates) * len(self.labels)
-        return self.token_bytes + self.n_rows * (slots * 9 + 32)
+        return self.token_bytes + self.n_rows * _row_bytes(candidates, self.labels)
 
 
 # Wide lists of near-equal expressions are written as SQL text: one call each
@@ -100,6 +100,16 @@ def _column(fit: str, label: int) -> str:
     return f"n_{fit}_{label}"
 
 
+def _row_bytes(candidates: Sequence[Candidate], labels: Sequence[int]) -> int:
+    return ROW_BYTES + SLOT_BYTES * len(candidates) * (len(labels) - 1)
+
+
+def _head_share(broadcast_bytes: int, candidates: Sequence[Candidate], labels: Sequence[int]) -> int:
+    """How many frequent tokens fit into the budget. At most that many have at least
+    1/share of all occurrences, so taking those keeps to the budget."""
+    return max(1, broadcast_bytes // (SHORT_BYTES + _row_bytes(candidates, labels)))
+
+
 def token_rows(df: DataFrame, columns: Sequence[Column | str], limited: bool, text: str = "text") -> DataFrame:
     """One row per word of the whole text, after one empty token per row.
 
@@ -207,20 +217,25 @@ def score(
     carry: Sequence[str] = (),
     text: str = "text",
     broadcast_bytes: int = BROADCAST_BYTES,
-    head_share: int = HEAD_SHARE,
 ) -> DataFrame:
     """Logits of every candidate for every row: ``key, carry, logits_<candidate>``.
 
+    A logit is the log odds against the first class, whose own logit is 0.
     ``carry`` names short columns that depend on the key; they ride along as
     grouping columns instead of being joined back. Tokens outside a fit's
     vocabulary count for nothing, and a row without any known token keeps its
     prior.
     """
-    slots = [(m, c, f"w_{i}_{c}") for i, m in enumerate(candidates) for c in model.labels]
+    first, *others = model.labels
+    slots = [(m, c, f"w_{i}_{c}") for i, m in enumerate(candidates) for c in others]
+
+    def odds(m: Candidate, c: int) -> str:
+        return f"({_log_weight(model, m, c)}) - ({_log_weight(model, m, first)})"
+
     weights = model.counts.filter(F.col("token") != DOCUMENT).selectExpr(
         "token",
         "n_total",
-        *[f"CAST(round({_log_weight(model, m, c)} * {FIXED_POINT!r}D) AS BIGINT) AS {w}" for m, c, w in slots],
+        *[f"CAST(round(({odds(m, c)}) * {FIXED_POINT!r}D) AS BIGINT) AS {w}" for m, c, w in slots],
     )
     limited = any(model.limits[m.fit] is not None for m in candidates)
     tokens = token_rows(df, [key, *carry], limited, text)
@@ -228,21 +243,23 @@ def score(
         known = weights.drop("n_total").filter(" OR ".join(f"{w} IS NOT NULL" for _, _, w in slots))
         joined = tokens.join(F.broadcast(known), "token", "left")
     else:
-        joined = _join_head_and_tail(tokens, weights, model.n_tokens, head_share)
+        share = _head_share(broadcast_bytes, candidates, model.labels)
+        joined = _join_head_and_tail(tokens, weights, model.n_tokens, share)
     sums = joined.groupBy(key, *carry).agg(
         *[
             F.expr(f"coalesce(sum(CASE WHEN {_within(model.limits[m.fit])} THEN {w} END), 0L)").alias(w)
             for m, _, w in slots
         ]
     )
-    logits = {
-        m.name: ", ".join(
-            f"round({w} / {FIXED_POINT!r}D + {model.prior(m, c)!r}D, {SCORE_DIGITS})" for n, c, w in slots if n is m
-        )
-        for m in candidates
-    }
+
+    def logit(m: Candidate, c: int, w: str) -> str:
+        prior = model.prior(m, c) - model.prior(m, first)
+        return f"round({w} / {FIXED_POINT!r}D + {prior!r}D, {SCORE_DIGITS})"
+
+    logits = {m.name: ", ".join(logit(m, c, w) for n, c, w in slots if n is m) for m in candidates}
     return sums.selectExpr(
-        *[f"`{c}`" for c in (key, *carry)], *[f"array({terms}) AS logits_{name}" for name, terms in logits.items()]
+        *[f"`{c}`" for c in (key, *carry)],
+        *[f"array(0D, {terms}) AS logits_{name}" for name, terms in logits.items()],
     )
 
 
