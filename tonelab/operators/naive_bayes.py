@@ -189,11 +189,14 @@ def _with_totals(counts: DataFrame, limits: Mapping[str, int | None], labels: Se
     )
 
 
+def _log_total(model: CountModel, m: Candidate, label: int) -> float:
+    return math.log(model.denominator(m, label) or 1.0)
+
+
 def _log_weight(model: CountModel, m: Candidate, label: int) -> str:
     """Log probability of the token given the class; null outside the vocabulary of the fit."""
-    total = math.log(model.denominator(m, label) or 1.0)
     smoothed = f"{_column(m.fit, label)} + {float(m.smoothing)!r}D"
-    return f"CASE WHEN {_seen(m.fit, model.labels)} THEN ln({smoothed}) - {total!r}D END"
+    return f"CASE WHEN {_seen(m.fit, model.labels)} THEN ln({smoothed}) - {_log_total(model, m, label)!r}D END"
 
 
 def log_probabilities(model: CountModel, candidates: Sequence[Candidate]) -> DataFrame:
@@ -230,18 +233,19 @@ def score(
     slots = [(m, c, f"w_{i}_{c}") for i, m in enumerate(candidates) for c in others]
 
     def odds(m: Candidate, c: int) -> str:
-        return f"({_log_weight(model, m, c)}) - ({_log_weight(model, m, first)})"
+        smoothed = [f"ln({_column(m.fit, x)} + {float(m.smoothing)!r}D)" for x in (c, first)]
+        shift = _log_total(model, m, c) - _log_total(model, m, first)
+        return f"CASE WHEN {_seen(m.fit, model.labels)} THEN {smoothed[0]} - {smoothed[1]} - {shift!r}D END"
 
     weights = model.counts.filter(F.col("token") != DOCUMENT).selectExpr(
         "token",
         "n_total",
-        *[f"CAST(round(({odds(m, c)}) * {FIXED_POINT!r}D) AS BIGINT) AS {w}" for m, c, w in slots],
+        *[f"CAST(round({odds(m, c)} * {FIXED_POINT!r}D) AS BIGINT) AS {w}" for m, c, w in slots],
     )
     limited = any(model.limits[m.fit] is not None for m in candidates)
     tokens = token_rows(df, [key, *carry], limited, text)
     if model.weight_bytes(candidates) <= broadcast_bytes:
-        known = weights.drop("n_total").filter(" OR ".join(f"{w} IS NOT NULL" for _, _, w in slots))
-        joined = tokens.join(F.broadcast(known), "token", "left")
+        joined = tokens.join(F.broadcast(weights.drop("n_total")), "token", "left")
     else:
         share = _head_share(broadcast_bytes, candidates, model.labels)
         joined = _join_head_and_tail(tokens, weights, model.n_tokens, share)
