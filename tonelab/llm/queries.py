@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonelab.llm import embeddings, simhash
+from tonelab.llm import embeddings, lines, simhash
 from tonelab.llm.rows import table
 
 
@@ -15,6 +15,40 @@ def op2_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf, "embeddings"), threshold=0.9)
 
 
+def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    cut = lines.drop_repeated_lines(table(spark, sf, "documents"))
+    return cut.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
+
+
+#: Two lines within one edit agree in the first or the second half of the longer one's length.
+LINE_SQL = """
+WITH raws AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS raw,
+         generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents),
+cut AS (SELECT *, trim(raw, ' ' || chr(9) || chr(13)) AS line FROM raws),
+uniq AS (
+  SELECT line, length(line) AS n, min(struct_pack(doc_id := doc_id, no := no)) AS place
+  FROM cut WHERE line != '' GROUP BY line),
+halves AS (
+  SELECT line, place, n + more AS whole, half, CASE half WHEN 0 THEN left(line, (n + more) // 2)
+         ELSE right(line, n + more - (n + more) // 2) END AS part
+  FROM uniq, (VALUES (0), (1)) AS m(more), (VALUES (0), (1)) AS h(half) WHERE n >= 20),
+near AS (
+  SELECT DISTINCT b.line FROM halves a JOIN halves b USING (whole, half, part)
+  WHERE a.place < b.place AND levenshtein(a.line, b.line) = 1),
+marked AS (
+  SELECT doc_id, no, raw, line != '' AS filled,
+         line != '' AND (line IN (FROM near) OR struct_pack(doc_id := doc_id, no := no) > place) AS gone
+  FROM cut LEFT JOIN uniq USING (line)),
+done AS (
+  SELECT doc_id, count(*) FILTER (filled) AS n_lines, count(*) FILTER (gone) AS n_removed,
+         coalesce(string_agg(raw, chr(10) ORDER BY no) FILTER (NOT gone), '') AS kept
+  FROM marked GROUP BY doc_id)
+SELECT doc_id, coalesce(n_lines, 0)::INT AS n_lines, coalesce(n_removed, 0)::INT AS n_removed, md5(kept) AS text_md5
+FROM documents LEFT JOIN done USING (doc_id)
+"""
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf, "documents"), shingle=4, radius=4)
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
@@ -22,6 +56,6 @@ def op7_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_embedding_near_dedup, op7_simhash_near_dedup)
+    f.__name__: f for f in (op2_embedding_near_dedup, op6_line_dedup, op7_simhash_near_dedup)
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op6_line_dedup": LINE_SQL}

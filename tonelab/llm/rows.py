@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -48,10 +48,11 @@ def map_frames(df: DataFrame, f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.
 
 
 def numbered(docs: DataFrame, key: str) -> DataFrame:
-    """Add ``_row``: a unique long, in the order of ``key`` where that is unique.
+    """Add ``_row``: a unique long in the order of ``key``, nulls last.
 
-    If ``key`` holds nulls or repeats, the table is written once with a running number,
-    so that every later pass sees the same numbers; null keys come last.
+    A key that is a whole number without nulls and repeats is the row number itself. Else
+    the table is sorted and written once with a running number, so that every later pass
+    sees the same numbers; a random second sort column spreads equal keys over tasks.
     """
     if ROW in docs.columns:
         raise ValueError(f"the column name {ROW} is taken")
@@ -59,12 +60,8 @@ def numbered(docs: DataFrame, key: str) -> DataFrame:
     bad = counted.where(F.col(key).isNull() | (F.col("n") > 1)).limit(1).count()
     if not bad and dict(docs.dtypes)[key] in ("bigint", "int", "smallint", "tinyint"):
         return docs.withColumn(ROW, F.col(key).cast("bigint"))
-    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
-
-
-def order_of(key: str) -> Column:
-    """Rank of a row: by key, nulls last, then by running number."""
-    return F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col(ROW).alias("row"))
+    ordered = docs.withColumn(ROW, F.rand(7)).orderBy(F.col(key).asc_nulls_last(), ROW)
+    return written(ordered.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
 
 
 def without(docs: DataFrame, gone: DataFrame, key: str = ROW) -> DataFrame:

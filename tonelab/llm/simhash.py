@@ -85,7 +85,7 @@ def links(distinct: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame
     keyed = distinct.select("fp", F.explode(masks).alias("x")).select(
         "fp", F.col("x.t").alias("t"), F.col("fp").bitwiseAND(F.col("x.m")).alias("k")
     )
-    sizes = keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = rows.written(keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     parts = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("fp", F.lit(1)), parts.cast("bigint")).cast("int")
     met = keyed.join(sizes, ["t", "k"]).select("fp", "t", "k", parts.alias("parts"), own.alias("own"))
@@ -129,7 +129,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     joined = components(links(found.select("fp").distinct(), radius)).withColumnRenamed("node", "fp")
     group = F.coalesce("component", "fp").alias("group")
     named = rows.written(found.join(joined, "fp", "left").select(key, rows.ROW, "fp", group), "groups")
-    first = named.groupBy("group").agg(F.min(rows.order_of(key)).alias("first"))
-    return named.join(first, "group").select(
-        key, rows.ROW, "fp", F.col("first.key").alias("component_id"), (F.col("first.row") == F.col(rows.ROW)).alias("kept")
-    )
+    first = named.groupBy("group").agg(F.min(rows.ROW).alias("first"), F.min(key).alias("component_id"))
+    first = rows.written(first, "first")
+    kept = (F.col("first") == F.col(rows.ROW)).alias("kept")
+    return named.join(first, "group").select(key, rows.ROW, "fp", "component_id", kept)
