@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonelab.llm import embeddings, lines, simhash
+from tonelab.llm import embeddings, language, lines, packing, simhash, tokens
 from tonelab.llm.rows import table
 
 
@@ -15,6 +15,10 @@ def op2_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf, "embeddings"), threshold=0.9)
 
 
+def op4_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    return language.identify(table(spark, sf, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     cut = lines.drop_repeated_lines(table(spark, sf, "documents"))
     return cut.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
@@ -55,7 +59,18 @@ def op7_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", digits, "component_id", "kept")
 
 
+def op8_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(table(spark, sf, "documents"))
+
+
+def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_embedding_near_dedup, op6_line_dedup, op7_simhash_near_dedup)
+    f.__name__: f for f in (
+        op2_embedding_near_dedup, op4_language_id, op6_line_dedup, op7_simhash_near_dedup, op8_packing, op10_token_counts,
+    )
+
 }
 ORACLE: dict[str, str] = {"op6_line_dedup": LINE_SQL}
