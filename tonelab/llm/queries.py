@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonelab.llm import embeddings, language, lines, packing, simhash, tokens
+from tonelab.llm import embeddings, fixity, language, lines, packing, rows, simhash, spans, templates, tokens
 from tonelab.llm.rows import table
 
 
@@ -15,10 +15,20 @@ def op2_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf, "embeddings"), threshold=0.9)
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return templates.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def op4_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return language.identify(table(spark, sf, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that lost a passage, and what is left of them."""
+    cut = spans.drop_repeated_spans(table(spark, sf, "documents")).where("n_removed > 0")
+    return cut.select("doc_id", "n_sentences", "n_removed", F.md5("text").alias("text_md5"))
+
+
 def op6_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     cut = lines.drop_repeated_lines(table(spark, sf, "documents"))
     return cut.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
@@ -63,14 +73,52 @@ def op8_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"))
 
 
+def op9_warc_fixity(spark: SparkSession, sf: str) -> DataFrame:
+    """Audit of a second replica in which some records are damaged, lost or cut off by rule."""
+    pages = table(spark, sf, "pages")
+    name = fixity.warc_record(F.col("page_id"), F.col("url"), F.col("html"))
+    ours = rows.written(fixity.layout(pages.select("page_id", name.alias("record")), "page_id", "record"), "layout")
+    part = F.col("page_id") % 97
+    body = F.when(part == 0, F.overlay("html", F.lit("\0"), F.lit(1))).otherwise(F.col("html"))
+    record = fixity.warc_record(F.col("page_id"), F.col("url"), body)
+    record = F.when(part == 1, F.left(record, F.lit(100))).otherwise(record)
+    read = pages.select("page_id", F.octet_length(record).cast("bigint").alias("length"), F.sha2(record.cast("binary"), 256).alias("digest"))
+    theirs = ours.select("archive", "offset", "page_id").join(read.where(part != 2), "page_id")
+    return fixity.audit(ours, theirs, "page_id")
+
+
+#: The same damage found by comparing every record.
+FIXITY_SQL = """
+WITH cut AS (
+  SELECT page_id, 'WARC/1.0' || e || 'WARC-Type: resource' || e || 'WARC-Date: 2024-01-01T00:00:00Z' || e || 'WARC-Record-ID: <urn:page:'
+         || page_id || '>' || e || 'WARC-Target-URI: ' || url || e || 'Content-Type: text/html' || e || 'Content-Length: '
+         || strlen(html) || e || e AS head, html, e || e AS foot
+  FROM pages, (SELECT chr(13) || chr(10) AS e)),
+ours AS (SELECT page_id, head || html || foot AS record FROM cut),
+theirs AS (
+  SELECT page_id, CASE page_id % 97 WHEN 0 THEN head || chr(0) || substr(html, 2) || foot
+         WHEN 1 THEN left(head || html || foot, 100) WHEN 2 THEN NULL ELSE head || html || foot END AS record
+  FROM cut),
+placed AS (
+  SELECT page_id, 'pages-' || (page_id // 1024) AS archive, record,
+         coalesce(sum(strlen(record)) OVER (PARTITION BY page_id // 1024 ORDER BY page_id
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset"
+  FROM ours)
+SELECT archive, "offset", p.page_id, CASE WHEN t.record IS NULL THEN 'missing' ELSE 'changed' END AS kind,
+       strlen(p.record) AS length, sha256(p.record) AS digest, strlen(t.record) AS their_length, sha256(t.record) AS their_digest
+FROM placed p JOIN theirs t USING (page_id) WHERE p.record IS DISTINCT FROM t.record
+"""
+
+
 def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_embedding_near_dedup, op4_language_id, op6_line_dedup, op7_simhash_near_dedup, op8_packing, op10_token_counts,
+        op2_embedding_near_dedup, op3_benchmark_decontamination, op4_language_id, op5_substring_dedup, op6_line_dedup,
+        op7_simhash_near_dedup, op8_packing, op9_warc_fixity, op10_token_counts,
     )
 
 }
-ORACLE: dict[str, str] = {"op6_line_dedup": LINE_SQL}
+ORACLE: dict[str, str] = {"op6_line_dedup": LINE_SQL, "op9_warc_fixity": FIXITY_SQL}
