@@ -183,8 +183,10 @@ def fold(key: str, folds: int, which: int) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % folds == which, F.lit(False))
 
 
-def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", dim: int = DIM) -> DataFrame:
-    """One row per row of ``docs``: ``key``, ``held_out``, ``lang_pred``, ``score``.
+def identify(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", dim: int = DIM, also: tuple[str, ...] = ()
+) -> DataFrame:
+    """One row per row of ``docs``: ``key``, columns ``also``, ``held_out``, ``lang_pred``, ``score``.
 
     The model is learned from the rows with a text and a language whose key's CRC-32 does
     not leave 2 on division by 4 (rows with a null key teach nothing); prediction reads the
@@ -192,4 +194,4 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     """
     held = fold(key, 4, 2)
     languages, vectors = fit(docs.where(~held & F.col(key).isNotNull()), text, lang, dim)
-    return predict(docs.select(key, held.alias("held_out"), text), text, languages, vectors)
+    return predict(docs.select(key, *also, held.alias("held_out"), text), text, languages, vectors)

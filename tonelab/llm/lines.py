@@ -116,9 +116,10 @@ def repeated_lines(docs: DataFrame, text: str = "text", near_chars: int = NEAR_C
 
 
 def drop_repeated_lines(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", near_chars: int = NEAR_CHARS, limit: int = rows.BROADCAST_ROWS
-) -> DataFrame:
-    """``docs`` with repeated lines taken out of ``text``, and ``n_lines``, ``n_removed``.
+    docs: DataFrame, key: str = "doc_id", text: str = "text", near_chars: int = NEAR_CHARS, limit: int = rows.BROADCAST_ROWS,
+    counts: tuple[str, str] = ("n_lines", "n_removed"),
+) -> DataFrame:
+    """``docs`` with repeated lines taken out of ``text``, and the columns ``counts``: lines, lines removed.
 
     Lines are compared without outer blanks over the whole table. In the order of ``key``
     (nulls last) and line number, a line goes if an equal line stands before it, or, from
@@ -126,20 +127,19 @@ def drop_repeated_lines(
     deleted. A line counts as standing before it even if it goes itself, so of a chain of
     near copies the earliest line stays. Blank lines stay and are not counted. A null text
     stays null with 0 lines. Rows are never dropped; ``text`` may become empty. All other
-    columns are returned as they are. ``limit``: rows that may be broadcast.
+    columns are returned as they are, but those named as ``counts``, which are replaced.
+    ``limit``: rows that may be broadcast.
     """
-    taken = {"n_lines", "n_removed", "_lines", "_gone"} & set(docs.columns)
-    if taken:
-        raise ValueError(f"column names are taken: {sorted(taken)}")
+    held, gone_in = rows.OWN + "lines", rows.OWN + "gone"
     whole = rows.numbered(docs, key)
-    gone = rows.written(repeated_lines(whole, text, near_chars, limit).withColumnRenamed("gone", "_gone"), "gone")
-    size = gone.agg(F.sum(F.size("_gone") + 1)).first()[0] or 0
-    cut = whole.withColumn("_lines", F.split(text, "\n")).join(rows.small(gone, size, limit), rows.ROW, "left")
-    keep = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
-    left = F.array_join(F.transform(keep, lambda i: F.get("_lines", i)), "\n")
-    filled = F.filter("_lines", lambda x: F.trim(x, F.lit(BLANKS)) != "")
+    gone = rows.written(repeated_lines(whole, text, near_chars, limit).withColumnRenamed("gone", gone_in), "gone")
+    size = gone.agg(F.sum(F.size(gone_in) + 1)).first()[0] or 0
+    cut = whole.withColumn(held, F.split(text, "\n")).join(rows.small(gone, size, limit), rows.ROW, "left")
+    keep = F.array_except(F.sequence(F.lit(0), F.size(held) - 1), gone_in)
+    left = F.array_join(F.transform(keep, lambda i: F.get(held, i)), "\n")
+    filled = F.filter(held, lambda x: F.trim(x, F.lit(BLANKS)) != "")
     return cut.select(
-        *[F.when(F.col("_gone").isNull(), F.col(text)).otherwise(left).alias(c) if c == text else F.col(c) for c in docs.columns],
-        F.coalesce(F.size(filled), F.lit(0)).alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"),
+        *[F.when(F.col(gone_in).isNull(), F.col(text)).otherwise(left).alias(c) if c == text else F.col(c) for c in docs.columns if c not in counts],
+        F.coalesce(F.size(filled), F.lit(0)).alias(counts[0]),
+        F.coalesce(F.size(gone_in), F.lit(0)).alias(counts[1]),
     )

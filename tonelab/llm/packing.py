@@ -28,15 +28,17 @@ OPEN = 16
 FAN_IN = 32
 END = 1
 #: Words whose ids a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 20
 ID_BYTES = 4
+#: Words encoded in one call, parted by a digit, which is an id of its own; and signs at their end.
+JOINED, MARK, SIGNS = 256, "0", b".,;:!?"
 
 
 class Encoder:
     """Ids of a text as little-endian 32-bit numbers.
 
-    The tokenizer never joins characters across ASCII white space, so words are encoded one
-    by one and frequent words once.
+    The tokenizer lowers case and never joins characters across white space, nor a letter and
+    a sign. So words are encoded one by one, without signs at their end, and frequent ones once.
     """
 
     def __init__(self, path: str):
@@ -46,18 +48,42 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[bytes, bytes] = {}
+        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
 
     def encode(self, text: bytes | None) -> bytes:
-        words = text.split() if text else []
-        new = list(set(words).difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED:
+        words = text.lower().split() if text else []
+        new = set(words).difference(self.known)
+        if len(self.known) + 2 * len(new) > REMEMBERED:
             self.known.clear()
-            new = list(set(words))
+            new = set(words)
         if new:
-            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            self.known.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(new, coded, strict=True))
+            self.learn(new)
         return b"".join(map(self.known.__getitem__, words))
 
+    def learn(self, new: set[bytes]) -> None:
+        parts, whole = {}, set()
+        for w in new:
+            stem = w.rstrip(SIGNS)
+            if stem != w and stem[-1:].isalpha():
+                parts[w] = (stem, w[len(stem) :])
+                whole.update(parts[w])
+            else:
+                whole.add(w)
+        missing = sorted(whole.difference(self.known))
+        plain = [w for w in missing if MARK.encode() not in w]
+        for at in range(0, len(plain), JOINED):
+            part = plain[at : at + JOINED]
+            ids = self.ids(f" {MARK} ".join(w.decode("utf-8", "replace") for w in part))
+            cuts = [-1, *np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)]
+            self.known.update((w, ids[a + 1 : b].tobytes()) for w, a, b in zip(part, cuts[:-1], cuts[1:], strict=True))
+        for w in missing:
+            if MARK.encode() in w:
+                self.known[w] = self.ids(w.decode("utf-8", "replace")).tobytes()
+        self.known.update((w, self.known[a] + self.known[b]) for w, (a, b) in parts.items())
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
 
 @functools.cache
 def encoder(path: str) -> Encoder:
@@ -152,9 +178,10 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packer = Packer(length, windows, first_id(0))
+        code = encoder(path)
         for b in batches:
             for doc, t in zip(b["doc"].astype(object), b["text"], strict=True):
-                ids = encoder(path).encode(t) + end
+                ids = code.encode(t) + end
                 packer.add(doc, 0, ids, len(ids) // ID_BYTES)
             yield packer.rows()
         packer.leave()

@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonelab.llm import embeddings, fixity, language, lines, packing, rows, simhash, spans, templates, tokens
+from tonelab.llm import embeddings, fixity, language, lines, packing, rows, simhash, spans, suffix_tree, templates, tokens
 from tonelab.llm.rows import table
 
 
+def op1_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    held = language.fold("doc_id", 5, 1)
+    found = suffix_tree.score(docs, docs.where(~held))
+    return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf, "embeddings"), threshold=0.9)
 
@@ -116,7 +123,7 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_embedding_near_dedup, op3_benchmark_decontamination, op4_language_id, op5_substring_dedup, op6_line_dedup,
+        op1_lm_scoring, op2_embedding_near_dedup, op3_benchmark_decontamination, op4_language_id, op5_substring_dedup, op6_line_dedup,
         op7_simhash_near_dedup, op8_packing, op9_warc_fixity, op10_token_counts,
     )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,9 @@ from pyspark.sql.types import StructType
 
 from tonelab.sources.scratch import scratch_path
 
-ROW = "_row"
+#: Internal columns start with this; a table that has such a name is one of ours.
+OWN = "_tonelab_"
+ROW = OWN + "row"
 #: Rows of two or three numbers that may be broadcast: about 50 MB on each executor.
 BROADCAST_ROWS = 1_000_000
 
@@ -48,14 +51,14 @@ def map_frames(df: DataFrame, f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.
 
 
 def numbered(docs: DataFrame, key: str) -> DataFrame:
-    """Add ``_row``: a unique long in the order of ``key``, nulls last.
+    """Add the column ROW: a unique long in the order of ``key``, nulls last, unless it is there.
 
     A key that is a whole number without nulls and repeats is the row number itself. Else
     the table is sorted and written once with a running number, so that every later pass
     sees the same numbers; a random second sort column spreads equal keys over tasks.
     """
-    if ROW in docs.columns:
-        raise ValueError(f"the column name {ROW} is taken")
+    if ROW in docs.columns:  # numbered before
+        return docs
     counted = docs.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     bad = counted.where(F.col(key).isNull() | (F.col("n") > 1)).limit(1).count()
     if not bad and dict(docs.dtypes)[key] in ("bigint", "int", "smallint", "tinyint"):
@@ -64,6 +67,25 @@ def numbered(docs: DataFrame, key: str) -> DataFrame:
     return written(ordered.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
 
 
+def bit_filter(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A filter of ``bits`` bits as bytes: a set bit for each hash, by its lowest bits.
+
+    Its size, also on the way to the driver, does not depend on the table.
+    """
+    slot = F.col(column).bitwiseAND(bits - 1)
+    marks = hashes.select(F.floor(slot / 8).cast("int").alias("byte"), F.call_function("shiftleft", F.lit(1), (slot % 8).cast("int")).alias("bit"))
+    found = marks.groupBy("byte").agg(F.bit_or("bit").alias("bits")).toPandas()
+    held = np.zeros(bits // 8, np.uint8)
+    held[found["byte"].to_numpy(int)] = found["bits"].to_numpy(np.uint8)
+    return held
+
+
+def in_filter(held: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each hash (uint64) may be in the filter; never false for one that is."""
+    at = hashes & np.uint64(8 * len(held) - 1)
+    return ((held[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
 def without(docs: DataFrame, gone: DataFrame, key: str = ROW) -> DataFrame:
     """Rows of ``docs`` whose key is not in ``gone``; texts are not moved if ``gone`` is small."""
     gone = written(gone.select(key), "gone")

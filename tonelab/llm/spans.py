@@ -9,7 +9,6 @@ under a run that occurred before are removed.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,63 +18,91 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonelab.llm import rows
+from tonelab.llm.lexicon import Lexicon
 
 #: A run: the fewest sentences from its start on with at least so many sentences and words.
 SENTENCES, WORDS = 3, 24
-#: Sentences with more words are cut after words whose checksum is divisible by CUT.
+#: Sentences with more words are cut after words whose hash is divisible by CUT.
 LONG, CUT = 8, 3
-_SENTENCE = re.compile(rb"[^.!?\n]+[.!?]*|[.!?]+")
+#: Texts that are cut at once.
+TEXTS = 256
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+_BASE = 0x9E3779B97F4A7C15
+BYTES, SEEN, KEPT = (rows.OWN + name for name in ("bytes", "seen", "kept"))
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def sentences(text: bytes) -> list[tuple[int, int, int, int]]:
-    """(first byte, end byte, words, hash) of each sentence; hashes ignore case A-Z and white space."""
-    low, out = text.lower(), []
-    digest = xxhash.xxh64_intdigest
-    for m in _SENTENCE.finditer(low):
-        words = m[0].split()
-        if not words:
-            continue
-        if len(words) <= LONG:
-            out.append((m.start(), m.end(), len(words), digest(b" ".join(words))))
-            continue
-        start, held = m.start(), []
-        for w in _WORD.finditer(low, m.start(), m.end()):
-            held.append(w[0])
-            if zlib.crc32(w[0]) % CUT == 0:
-                out.append((start, w.end(), len(held), digest(b" ".join(held))))
-                start, held = w.end(), []
-        if held:
-            out.append((start, m.end(), len(held), digest(b" ".join(held))))
-    return out
-
-
-def spans(cut: list[tuple[int, int, int, int]], least: int = SENTENCES, words: int = WORDS) -> list[tuple[int, int, int]]:
-    """(hash, first sentence, end sentence) of the run that starts at each sentence."""
-    if not cut:
-        return []
-    packed = np.array([c[3] for c in cut], np.uint64).tobytes()
-    upto = np.concatenate([[0], np.cumsum([c[2] for c in cut])])
-    start = np.arange(len(cut))
-    end = np.maximum(np.searchsorted(upto, upto[:-1] + words), start + least)
-    fit = end <= len(cut)
-    digest = xxhash.xxh64_intdigest
-    return [(digest(packed[8 * a : 8 * b]), a, b) for a, b in zip(start[fit].tolist(), end[fit].tolist(), strict=True)]
-
-
-def _signed(values) -> np.ndarray:
-    return np.fromiter(values, np.uint64).view(np.int64)
+def describe(word: bytes) -> tuple[int, bool]:
+    """Hash, and whether the word ends a sentence."""
+    return xxhash.xxh64_intdigest(word), word.rstrip(b"\"')").endswith((b".", b"!", b"?"))
+
+
+def words_known() -> Lexicon:
+    return Lexicon(describe, [np.uint64, bool])
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+class Cut:
+    """Sentences and runs of a list of texts (bytes or None), ignoring case A-Z and white space.
+
+    ``text``, ``first``, ``end``: number of the text and the words of each sentence, counted in the
+    text; ``run_*``: text, first and end sentence, and hash of the run that starts at a sentence.
+    """
+
+    def __init__(self, texts: list[bytes | None], known: Lexicon, least: int, words: int):
+        lines = [[line.split() for line in t.lower().split(b"\n")] if t else [] for t in texts]
+        flat = [w for t in lines for line in t for w in line]
+        hashes, ends = known.look_up(flat)
+        ends = ends.copy()
+        per_line = np.array([len(line) for t in lines for line in t], np.int64)
+        ends[np.cumsum(per_line)[per_line > 0] - 1] = True
+        per_text = np.array([sum(map(len, t)) for t in lines], np.int64)
+        # Long sentences end after chosen words as well.
+        last = np.flatnonzero(ends)
+        size = np.diff(last, prepend=-1)
+        ends |= np.repeat(size > LONG, size) & (hashes % np.uint64(CUT) == 0)
+        last = np.flatnonzero(ends)
+        begin = np.append(0, last[:-1] + 1) if len(last) else last
+        size = last + 1 - begin
+        within = np.arange(len(flat)) - np.repeat(begin, size)
+        spread = hashes * _powers(_BASE, int(size.max(initial=0)))[within]
+        sentence = _mixed(np.add.reduceat(spread, begin)) if len(last) else hashes
+        self.text = np.repeat(np.arange(len(texts)), per_text)[begin]
+        offset = (np.cumsum(per_text) - per_text)[self.text]
+        self.first, self.end = begin - offset, last + 1 - offset
+        self.sentences = np.bincount(self.text, minlength=len(texts))
+        # A run: sums of sentence hashes times powers by place, turned back to its start.
+        n = len(last)
+        upto = np.append(0, np.cumsum(size))
+        start = np.arange(n)
+        stop = np.maximum(np.searchsorted(upto, upto[:-1] + words), start + least)
+        fit = stop <= np.searchsorted(self.text, self.text, "right")
+        start, stop = start[fit], stop[fit]
+        sums = np.append(np.uint64(0), np.cumsum(sentence * _powers(_BASE, n), dtype=np.uint64))
+        self.run_hash = _mixed((sums[stop] - sums[start]) * _powers(_INVERSE, n)[start] + (stop - start).astype(np.uint64)).view(np.int64)
+        self.run_text, self.run_first, self.run_end = self.text[start], start, stop
 
 
 def _hashes(whole: DataFrame, text: str, least: int, words: int) -> DataFrame:
     """``h``, ``_row``: each hash once a row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = words_known()
         for b in batches:
-            for at in range(0, len(b), 256):
-                part = b.iloc[at : at + 256]
-                found = [_signed({s[0] for s in spans(sentences(t), least, words)}) if t else np.zeros(0, np.int64) for t in part["t"]]
-                yield pd.DataFrame({"h": np.concatenate(found), rows.ROW: np.repeat(part[rows.ROW].to_numpy(), [len(f) for f in found])})
+            for at in range(0, len(b), TEXTS):
+                part = b.iloc[at : at + TEXTS]
+                cut = Cut(list(part["t"]), known, least, words)
+                yield pd.DataFrame({"h": cut.run_hash, rows.ROW: part[rows.ROW].to_numpy()[cut.run_text]}).drop_duplicates()
 
     return rows.map_frames(whole.select(rows.ROW, F.col(text).cast("binary").alias("t")), run, f"h bigint, {rows.ROW} bigint")
 
@@ -89,49 +116,58 @@ def drop_repeated_spans(
     that occurred before: in a row with a smaller ``key`` (nulls last), or earlier in its
     own text. What is left keeps its bytes. Shorter texts have no run. A null text stays null.
     Rows are never dropped; a text may become empty. Equal rows: the first one stays whole.
-    All other columns are returned as they are. ``limit``: repeated hashes that may be broadcast.
+    All other columns are returned as they are, but ``n_sentences`` and ``n_removed``, which
+    are replaced. ``limit``: repeated hashes that may be broadcast.
     """
-    if {"n_sentences", "n_removed", "_bytes", "_seen"} & set(docs.columns):
-        raise ValueError("the column names n_sentences, n_removed, _bytes and _seen are taken")
     whole = rows.numbered(docs, key)
     found = _hashes(whole, text, least, words)
     counted = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(rows.ROW).alias("first"))
     repeated = rows.written(counted.where("n > 1").select("h", "first"), "repeated-runs")
     later = found.join(rows.small(repeated, limit=limit), "h").where(F.col(rows.ROW) > F.col("first"))
-    seen = rows.written(later.groupBy(rows.ROW).agg(F.collect_list("h").alias("_seen")), "seen")
-    size = seen.agg(F.sum(F.size("_seen") + 1)).first()[0] or 0
-    joined = whole.withColumn("_bytes", F.col(text).cast("binary")).join(rows.small(seen, size, limit), rows.ROW, "left")
+    seen = rows.written(later.groupBy(rows.ROW).agg(F.collect_list("h").alias(SEEN)), "seen")
+    size = seen.agg(F.sum(F.size(SEEN) + 1)).first()[0] or 0
+    joined = whole.withColumn(BYTES, F.col(text).cast("binary")).join(rows.small(seen, size, limit), rows.ROW, "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = words_known()
         for b in batches:
-            kept, total, gone = [], [], []
-            for t, old in zip(b["_bytes"], b["_seen"], strict=True):
-                cut = sentences(t) if t else []
-                met = set() if old is None else set(np.asarray(old, np.int64).view(np.uint64).tolist())
-                covered = np.zeros(len(cut) + 1, np.int64)
-                for h, first, end in spans(cut, least, words):
-                    if h in met:
-                        covered[first] += 1
-                        covered[end] -= 1
-                    met.add(h)
-                out = np.cumsum(covered)[:-1] > 0
-                total.append(len(cut))
-                gone.append(int(out.sum()))
-                kept.append(t if not gone[-1] else b"".join(_left(t, cut, out)))
-            yield b.drop(columns=["_bytes", "_seen"]).assign(_kept=kept, n_sentences=total, n_removed=gone)
+            for at in range(0, len(b), TEXTS):
+                part = b.iloc[at : at + TEXTS]
+                texts = list(part[BYTES])
+                cut = Cut(texts, known, least, words)
+                old = [np.zeros(0, np.int64) if s is None else s for s in part[SEEN]]
+                seen = pd.DataFrame({"h": np.concatenate(old), "t": np.repeat(np.arange(len(old)), [len(s) for s in old]), "seen": True})
+                met = pd.DataFrame({"h": cut.run_hash, "t": cut.run_text})
+                again = met.duplicated().to_numpy() | met.merge(seen, "left", ["h", "t"])["seen"].notna().to_numpy()
+                covered = np.zeros(len(cut.text) + 1, np.int64)
+                np.add.at(covered, cut.run_first[again], 1)
+                np.add.at(covered, cut.run_end[again], -1)
+                gone = np.cumsum(covered)[:-1] > 0
+                removed = np.bincount(cut.text[gone], minlength=len(texts))
+                kept = list(texts)
+                for i in np.flatnonzero(removed):
+                    own = _own(cut, i, gone)
+                    kept[i] = _left(texts[i], cut.first[own], cut.end[own])
+                yield part.drop(columns=[BYTES, SEEN]).assign(**{KEPT: kept}, n_sentences=cut.sentences, n_removed=removed)
 
     kinds = dict(docs.dtypes)
-    others = [c for c in docs.columns if c != text]
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in others] + ["_kept binary", "n_sentences int", "n_removed int"])
-    cut = rows.map_frames(joined.select(*others, "_bytes", "_seen"), run, schema)
-    return cut.select(*[F.col("_kept").cast("string").alias(c) if c == text else F.col(c) for c in docs.columns], "n_sentences", "n_removed")
-
-
-def _left(text: bytes, cut: list[tuple[int, int, int, int]], out: np.ndarray) -> Iterator[bytes]:
-    """The text without the sentences marked in ``out``; what lies between sentences stays."""
-    at = 0
-    for (start, end, _, _), off in zip(cut, out, strict=True):
-        if off:
-            yield text[at:start]
-            at = end
-    yield text[at:]
+    counts = ("n_sentences", "n_removed")
+    others = [c for c in docs.columns if c not in (text, *counts)]
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in others] + [f"{KEPT} binary", "n_sentences int", "n_removed int"])
+    cut = rows.map_frames(joined.select(*others, BYTES, SEEN), run, schema)
+    return cut.select(*[F.col(KEPT).cast("string").alias(c) if c == text else F.col(c) for c in docs.columns if c not in counts], *counts)
+
+
+def _own(cut: Cut, i: int, gone: np.ndarray) -> np.ndarray:
+    a, b = np.searchsorted(cut.text, [i, i + 1])
+    return a + np.flatnonzero(gone[a:b])
+
+
+def _left(text: bytes, first: np.ndarray, end: np.ndarray) -> bytes:
+    """The text without the words from ``first`` to ``end``; the white space around them stays."""
+    places = [m.span() for m in _WORD.finditer(text)]
+    at, out = 0, []
+    for a, b in zip(first.tolist(), end.tolist(), strict=True):
+        out.append(text[at : places[a][0]])
+        at = places[b - 1][1]
+    return b"".join([*out, text[at:]])

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonelab.llm import rows
+from tonelab.llm.lexicon import Lexicon
 
 WINDOW = 10
 #: Items with fewer tokens than a window are matched whole, down to this length.
@@ -26,8 +27,6 @@ SHORTEST = 5
 LITERAL = 0.4
 #: Bits of the filter that tasks hold; a fixed size, however large the benchmark is.
 FILTER_BITS = 1 << 23
-#: Words whose classes a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 1 << 18
 #: Texts that are looked up at once.
 TEXTS = 256
 # Number words and units of measure.
@@ -49,40 +48,24 @@ _ENDS = tuple(".!?:")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Words:
-    """Class, hash and sentence end of word forms; what is known is kept as three arrays."""
-
-    def __init__(self):
-        self.place: dict[bytes, int] = {}
-        self.kind, self.hash, self.end = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
-
-    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        new = set(words).difference(self.place)
-        if len(self.place) + len(new) > REMEMBERED:
-            self.__init__()
-            new = set(words)
-        kinds, hashes, ends = [], [], []
-        for w in new:
-            raw = w.decode("utf-8", "replace")
-            bare = raw.strip(_EDGES)
-            low = bare.lower()
-            if not bare:
-                kind = NOTHING
-            elif _NUMBER.fullmatch(low):
-                kind = NUMBER
-            elif low in _UNITS:
-                kind = UNIT
-            else:
-                kind = NAME if bare[0].isupper() and bare[1:].islower() else LITERAL_KIND
-            self.place[w] = len(self.kind) + len(kinds)
-            kinds.append(kind)
-            hashes.append(xxhash.xxh64_intdigest(low))
-            ends.append(raw.rstrip("\"')”’»").endswith(_ENDS))
-        self.kind = np.append(self.kind, np.array(kinds, np.int64))
-        self.hash = np.append(self.hash, np.array(hashes, np.uint64))
-        self.end = np.append(self.end, np.array(ends, bool))
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        return self.kind[at], self.hash[at], self.end[at]
+def describe(word: bytes) -> tuple[int, int, bool]:
+    """Class, hash and whether it ends a sentence."""
+    raw = word.decode("utf-8", "replace")
+    bare = raw.strip(_EDGES)
+    low = bare.lower()
+    if not bare:
+        kind = NOTHING
+    elif _NUMBER.fullmatch(low):
+        kind = NUMBER
+    elif low in _UNITS:
+        kind = UNIT
+    else:
+        kind = NAME if bare[0].isupper() and bare[1:].islower() else LITERAL_KIND
+    return kind, xxhash.xxh64_intdigest(low), raw.rstrip("\"')”’»").endswith(_ENDS)
+
+
+def words() -> Lexicon:
+    return Lexicon(describe, [np.int64, np.uint64, bool])
 
 
 def template(kind: np.ndarray, value: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,9 +89,9 @@ def template(kind: np.ndarray, value: np.ndarray, end: np.ndarray) -> tuple[np.n
     return np.where(kind == LITERAL_KIND, value, kind.astype(np.uint64)), kind, value
 
 
-def templates(texts: list[bytes | None], known: Words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def templates(texts: list[bytes | None], known: Lexicon) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     split = [t.split() if t else [] for t in texts]
-    kind, value, end = known.look_up([w for words in split for w in words])
+    kind, value, end = known.look_up([w for part in split for w in part])
     at = np.cumsum([0, *map(len, split)])
     return (template(kind[a:b], value[a:b], end[a:b]) for a, b in zip(at[:-1], at[1:], strict=True))
 
@@ -129,7 +112,7 @@ def _hits(texts: DataFrame, sizes: list[int] | None, test, longest: int) -> Data
     """``id, h, pos, slots, exact`` of windows that pass ``test``; ``slots``: kind and value in order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Words()
+        known = words()
         for b in batches:
             out = []
             found = (x for a in range(0, len(b), TEXTS) for x in templates(list(b["t"].iloc[a : a + TEXTS]), known))
@@ -152,10 +135,13 @@ def _hits(texts: DataFrame, sizes: list[int] | None, test, longest: int) -> Data
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", window: int = WINDOW
-) -> DataFrame:
+    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", window: int = WINDOW,
+    also: tuple[str, ...] = (),
+) -> DataFrame:
     """One row per document and benchmark item that it holds: ``key, item, n_windows, n_tokens, same_values``.
 
+    Columns ``also`` of the documents are added.
+
     A match is an aligned run of windows with equal templates (several runs: the one with most
     windows counts) whose slot values map one to one; ``same_values`` tells a copy from a
     question with other values. Items with fewer tokens than ``window`` must be there whole;
@@ -167,21 +153,10 @@ def contaminated(
     asked = benchmark.select(F.col(item).alias("id"), F.col(text).cast("binary").alias("t"))
     wanted = rows.written(_hits(asked, None, lambda h: np.ones(len(h), bool), window).distinct(), "benchmark-windows")
     sizes = sorted(r[0] for r in wanted.select("size").distinct().collect())
-    # At most FILTER_BITS / 8 rows: bounded, whatever the benchmark's size.
-    slot = F.pmod(F.col("h"), F.lit(FILTER_BITS))
-    bits = wanted.select(F.floor(slot / 8).cast("int").alias("byte"), F.call_function("shiftleft", F.lit(1), (slot % 8).cast("int")).alias("bit"))
-    marks = bits.groupBy("byte").agg(F.bit_or("bit").alias("bits")).toPandas()
-    held = np.zeros(FILTER_BITS // 8, np.uint8)
-    held[marks["byte"].to_numpy(int)] = marks["bits"].to_numpy(np.uint8)
-    share = spark.sparkContext.broadcast(held)
-
-    def maybe(h: np.ndarray) -> np.ndarray:
-        at = h & np.uint64(FILTER_BITS - 1)
-        return (share.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
-
-    numbered = rows.numbered(docs.select(key, text), key)
+    share = spark.sparkContext.broadcast(rows.bit_filter(wanted, "h", FILTER_BITS))
+    numbered = rows.numbered(docs.select(*dict.fromkeys((key, text, *also))), key)
     texts = numbered.select(F.col(rows.ROW).alias("id"), F.col(text).cast("binary").alias("t"))
-    found = _hits(texts, sizes, maybe, window)
+    found = _hits(texts, sizes, lambda h: rows.in_filter(share.value, h), window)
     asked_for = wanted.select("h", "size", F.col("id").alias(item), F.col("pos").alias("at"), F.col("slots").alias("theirs"))
     met = found.join(rows.small(asked_for), ["h", "size"]).where(F.size("slots") == F.size("theirs"))
     pairs = F.arrays_zip("theirs", "slots")
@@ -193,5 +168,5 @@ def contaminated(
     one_to_one = (F.size("map") == F.size(F.array_distinct("map.theirs"))) & (F.size("map") == F.size(F.array_distinct("map.slots")))
     sure = runs.where(one_to_one).withColumn("same", F.forall("map", lambda m: m["theirs"] == m["slots"]))
     best = sure.groupBy("id", item).agg(F.max(F.struct("n_windows", "n_tokens", "same")).alias("best"))
-    named = best.withColumnRenamed("id", rows.ROW).join(numbered.select(rows.ROW, key), rows.ROW)
-    return named.select(key, item, "best.n_windows", "best.n_tokens", F.col("best.same").alias("same_values"))
+    named = best.withColumnRenamed("id", rows.ROW).join(numbered.select(*dict.fromkeys((rows.ROW, key, *also))), rows.ROW)
+    return named.select(key, *also, item, "best.n_windows", "best.n_tokens", F.col("best.same").alias("same_values"))

@@ -21,7 +21,9 @@ from tonelab.llm import rows
 
 START = "▁"
 #: Pre-tokens whose counts a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 20
+#: Texts whose pre-tokens share a trie.
+TEXTS = 1024
 #: Frequent pieces come first in the file: piece number r has probability ~ 1 / (r + SHIFT).
 SHIFT = 10
 
@@ -38,6 +40,7 @@ class Vocabulary:
         self.score = {model.id_to_piece(i): -math.log(r + SHIFT) for r, i in enumerate(plain)}
         self.byte = -math.log(size + SHIFT) - 1
         self.longest = max(map(len, self.score), default=1)
+        self.known: dict[bytes, int] = {}
 
     def counts(self, sorted_words: list[str]) -> list[int]:
         """Number of pieces of the best segmentation of each word; words sorted and distinct.
@@ -53,10 +56,9 @@ class Vocabulary:
                 shared += 1
             del best[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                size = len(word[end - 1].encode("utf-8", "surrogatepass"))
                 score, n = best[end - 1]
-                found = (score + size * byte, -(-n + size)) if word[end - 1] not in self.score else None
-                top = (found[0], -found[1]) if found else (-math.inf, 0)
+                size = len(word[end - 1].encode("utf-8", "surrogateescape"))
+                top = (score + size * byte, -n - size) if word[end - 1] not in self.score else (-math.inf, 0)
                 for start in range(max(0, end - longest), end):
                     own = get(word[start:end])
                     if own is not None:
@@ -69,6 +71,19 @@ class Vocabulary:
         return out
 
 
+    def look_up(self, texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
+        """Pre-tokens and tokens of each text."""
+        split = [t.split() if t else [] for t in texts]
+        met = set().union(*split)
+        new = met.difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known, new = {}, met
+        # Sorted as text: prefixes of characters, not of bytes, are shared.
+        order = sorted((START + w.decode("utf-8", "surrogateescape"), w) for w in new)
+        self.known.update(zip((w for _, w in order), self.counts([s for s, _ in order]), strict=True))
+        return ((len(w), sum(map(self.known.__getitem__, w))) for w in split)
+
+
 @functools.cache
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
@@ -85,20 +100,9 @@ def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
     path = path or public_tokenizers.path("piece_bpe_32k.model")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[bytes, int] = {}
         for b in batches:
-            split = [t.split() if t else [] for t in b["text"]]
-            met = set().union(*split)
-            new = met.difference(known)
-            if len(known) + len(new) > REMEMBERED:
-                known, new = {}, met
-            # Sorted as text: prefixes of characters, not of bytes, are shared.
-            order = sorted((START + w.decode("utf-8", "surrogateescape"), w) for w in new)
-            known.update(zip((w for _, w in order), vocabulary(path).counts([s for s, _ in order]), strict=True))
-            yield pd.DataFrame({
-                "key": b["key"].astype(object), "n_pretokens": [len(w) for w in split],
-                "n_tokens": [sum(map(known.__getitem__, w)) for w in split],
-            })
+            found = [x for at in range(0, len(b), TEXTS) for x in vocabulary(path).look_up(list(b["text"].iloc[at : at + TEXTS]))]
+            yield pd.DataFrame({"key": b["key"].astype(object), "n_pretokens": [x for x, _ in found], "n_tokens": [y for _, y in found]})
 
     kind = dict(docs.dtypes)[key]
     texts = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
