@@ -93,7 +93,7 @@ def test_suffix_tree(spark, head):
     for _ in range(60):
         t = [0, 1]
         for _ in range(80):
-            t.append(int(rng.choice(follow[t[-2], t[-1]])) if rng.random() < 0.8 else int(rng.integers(0, 14)))
+            t.append(int(rng.choice(follow[t[-2], t[-1]])) if rng.random() < 0.8 else int(rng.integers(0, 12)))
         texts.append(" ".join(f"w{x}" for x in t))
     table = cases.plain(spark, dict(enumerate(texts)))
     got = suffix_tree.score(table, table.where("doc_id < 45"), min_context=20, head=head).collect()
@@ -158,13 +158,13 @@ def test_language_vectors():
 
 
 def brute_spans(texts):
-    """Removed sentences by comparing runs word by word."""
+    """Removed sentences by comparing runs of sentences word by word."""
     seen, out = set(), {}
     for d in sorted(texts):
         known = spans.words_known()
         cut = spans.Cut([texts[d].encode()], known, spans.SENTENCES, spans.WORDS)
         words = texts[d].encode().lower().split()
-        own = [tuple(words[cut.first[a] : cut.end[b - 1]]) for a, b in zip(cut.run_first, cut.run_end, strict=True)]
+        own = [tuple(tuple(words[cut.first[i] : cut.end[i]]) for i in range(a, b)) for a, b in zip(cut.run_first, cut.run_end, strict=True)]
         gone = set()
         for run, a, b in zip(own, cut.run_first, cut.run_end, strict=True):
             if run in seen:

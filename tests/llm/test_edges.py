@@ -107,7 +107,7 @@ def test_stages(spark, tmp_path, stage):
     kept = [r["doc_id"] for r in got.collect()]
     expected = {
         "language_id": [1, 2, 2, 8, 9, 10, 11, None], "line_dedup": [1, 5, 6, 7, 8, 9, 10, None],
-        "simhash_near_dedup": [1, 5, 7, 8, 9, 10, 11], "benchmark_decontamination": [5, 6, 7, 8, 9, 10, 11, None],
+        "simhash_near_dedup": [1, 5, 7, 8, 9, 10, 11, None], "benchmark_decontamination": [5, 6, 7, 8, 9, 10, 11, None],
     }.get(stage[0])
     assert expected is None or sorted(kept, key=str) == sorted(expected, key=str)
     assert stage[1](spark, docs.limit(0), str(tmp_path)).count() == 0

@@ -122,12 +122,14 @@ def _compare(classes: DataFrame, width: int, threshold: float, tile: int) -> Dat
     """Rows ``(u, null, n)``: links of a class to other classes; ``(u, v, 0)``: spanning links."""
     spark = classes.sparkSession
     total, second, n = _moments(classes, width)
+    if not n:
+        return spark.createDataFrame([], "u string, v string, n bigint")
     tile = max(tile, math.isqrt(n))
     _, axes = np.linalg.eigh(second)
     axes = axes[:, ::-1].copy()
     lead = min(width, 16)
-    middle = (total / max(n, 1)) @ axes
-    splits = max(0, min(lead, math.ceil(math.log2(max(n, 1) / tile)))) if n else 0
+    middle = (total / n) @ axes
+    splits = max(0, min(lead, math.ceil(math.log2(n / tile))))
     step = max(1, width // 4)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
