@@ -73,11 +73,12 @@ def bit_filter(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
     Its size, also on the way to the driver, does not depend on the table.
     """
     slot = F.col(column).bitwiseAND(bits - 1)
-    marks = hashes.select(F.floor(slot / 8).cast("int").alias("byte"), F.call_function("shiftleft", F.lit(1), (slot % 8).cast("int")).alias("bit"))
-    found = marks.groupBy("byte").agg(F.bit_or("bit").alias("bits")).toPandas()
-    held = np.zeros(bits // 8, np.uint8)
-    held[found["byte"].to_numpy(int)] = found["bits"].to_numpy(np.uint8)
-    return held
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), (slot % 64).cast("int"))
+    marks = hashes.select(F.floor(slot / 64).cast("int").alias("word"), one.alias("bit"))
+    found = marks.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    held = np.zeros(bits // 64, np.int64)
+    held[found["word"].to_numpy(int)] = found["bits"].to_numpy(np.int64)
+    return held.view(np.uint8)
 
 
 def in_filter(held: np.ndarray, hashes: np.ndarray) -> np.ndarray:

@@ -34,7 +34,7 @@ DEPTH = 3
 #: Occurrences of a context; occurrences of a word after it; discount; nats gained.
 MIN_CONTEXT, MIN_PAIR, DISCOUNT, GAIN = 50, 4, 0.75, 5.0
 #: Terms held by every task, bits of the filters, texts and n-grams taken at once.
-HEAD, BITS, TEXTS, HELD = 1 << 21, 1 << 25, 256, 1 << 22
+HEAD, BITS, TEXTS, HELD = 1 << 19, 1 << 25, 256, 1 << 22
 #: Contexts with more occurrences are counted in PARTS parts by their next word.
 BUSY, PARTS = 1 << 16, 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
