@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tonelab.functions.labels import LabelDomain
 from tonelab.functions.text import clean_text
 from tonelab.operators import clean
-from tonelab.sources.tables import read_table, select_by_position, spread_small_scan
+from tonelab.sources.tables import read_table, select_by_position
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -32,23 +32,21 @@ def raw_sentiment():
     )
 
 
-def sheet(spark: SparkSession, sf: str, spread: bool = False) -> DataFrame:
+def sheet(spark: SparkSession, sf: str) -> DataFrame:
     documents = table(spark, sf, "documents")
-    if spread:
-        documents = spread_small_scan(documents, "doc_id")
     joined = documents.join(table(spark, sf, "labels"), "doc_id", "left")
     return joined.select(
         "doc_id", "lang", "source", "n_chars", "quality", "toxic", "text", raw_sentiment().alias("sentiment")
     )
 
 
-def reviews(spark: SparkSession, sf: str, spread: bool = False) -> DataFrame:
-    return select_by_position(sheet(spark, sf, spread))
+def reviews(spark: SparkSession, sf: str) -> DataFrame:
+    return select_by_position(sheet(spark, sf))
 
 
-def prepared(spark: SparkSession, sf: str, domain: LabelDomain, spread: bool = False) -> DataFrame:
+def prepared(spark: SparkSession, sf: str, domain: LabelDomain) -> DataFrame:
     """Cleaned rows with label and row key; document ids are unique."""
-    return clean.prepare_reviews(reviews(spark, sf, spread), domain).withColumn("row_key", F.col("id"))
+    return clean.prepare_reviews(reviews(spark, sf), domain).withColumn("row_key", F.col("id"))
 
 
 def multitask(spark: SparkSession, sf: str) -> DataFrame:

@@ -159,7 +159,7 @@ ALL_K = """member AS (
 
 def settings_cte(settings) -> str:
     rows = ", ".join(
-        f"({i}, {s.smoothing!r}::DOUBLE, {s.prior_weight!r}::DOUBLE, {s.max_tokens or 'NULL'}::INTEGER)"
+        f"({i}, {s.smoothing!r}::DOUBLE, {s.prior_weight!r}::DOUBLE, NULL::INTEGER)"
         for i, s in enumerate(settings)
     )
     return f"settings(setting, alpha, pw, lim) AS (VALUES {rows})"
@@ -203,7 +203,7 @@ def score_ctes(where: str) -> list[str]:
   JOIN odds o USING (K, fold, setting, token) GROUP BY ALL)""",
         """logit AS (
   SELECT m.K, m.fold, st.setting, m.id, m.label AS y_true, m.role, c.label AS c,
-    round(coalesce(s, 0)::DOUBLE / 1e9 + pw * lp, 6) AS x
+    coalesce(s, 0)::DOUBLE / 1e9 + pw * lp AS x
   FROM wanted m CROSS JOIN settings st CROSS JOIN classes c
   JOIN prior_odds p ON (p.K = m.K AND p.fold = m.fold AND p.label = c.label)
   LEFT JOIN sums z ON (z.K = m.K AND z.fold = m.fold AND z.setting = st.setting AND z.id = m.id AND z.label = c.label))""",
@@ -348,7 +348,7 @@ FROM (SELECT DISTINCT source FROM documents), (SELECT unnest(range(1, {n + 1})):
 def search_model() -> list[str]:
     space = {n: drawn(n, p, "'count_model'") for n, p in COUNT_MODEL_SPACE.items()}
     drawn_rows = f"""settings AS (
-  SELECT trial - 1 AS setting, {space['smoothing']} AS alpha, {space['prior_weight']} AS pw, {space['max_tokens']} AS lim
+  SELECT trial - 1 AS setting, {space['smoothing']} AS alpha, {space['prior_weight']} AS pw, NULL::INTEGER AS lim
   FROM (SELECT unnest(range(1, {TEXT_TRIALS + 1}))::INTEGER AS trial))"""
     return [
         *BASE,
@@ -375,7 +375,7 @@ ONE = DEFAULT_SETTINGS[:1]
 NB_MODEL = with_(full_fit(ONE), "SELECT token, 'add_one' AS model, label, n, round(lw, 6) AS log_prob FROM w")
 NB_PREDICT = with_(
     [*full_fit(ONE), *score_ctes("true")],
-    "SELECT id AS row_key, y_true AS label, xs[2] AS log_odds, y_pred FROM scored",
+    "SELECT id AS row_key, y_true AS label, round(xs[2], 6) AS log_odds, y_pred FROM scored",
 )
 PREDICT_ALL = with_(
     HOLDOUT_ALL,
@@ -624,8 +624,7 @@ SELECT doc_id, rtrim(array_to_string(t, ' ') || CASE WHEN len(t) = 0 THEN '' ELS
             *score_ctes("role = 'val'"),
             *MEASURED,
         ],
-        f"""SELECT id, t.text, t.sentiment, t.label, lower({display('y_pred', TWO_NAMES)}) AS pred_text_raw,
-  {display('y_pred', TWO_NAMES)} AS pred_sentiment, y_pred = t.label AS correct, true AS leaky
+        f"""SELECT id, t.text, t.sentiment, t.label, {display('y_pred', TWO_NAMES)} AS pred_sentiment, y_pred = t.label AS correct, true AS leaky
 FROM scored JOIN chosen USING (K, fold, setting) JOIN two t USING (id)""",
     ),
     "holdout_metrics": with_(HOLDOUT_MEASURED, HOLDOUT_TEST_METRICS),
@@ -653,7 +652,7 @@ LEFT JOIN tp USING (y_true, y_pred) GROUP BY ALL""",
     "hp_trials_classifier": trial_sql(CLASSIFIER_SPACE, CLASSIFIER_TRIALS),
     "search_trials": with_(
         search_model(),
-        """SELECT setting + 1 AS trial, round(alpha, 6) AS smoothing, round(pw, 6) AS prior_weight, lim AS max_tokens,
+        """SELECT setting + 1 AS trial, round(alpha, 6) AS smoothing, round(pw, 6) AS prior_weight,
   round(loss, 6) AS loss, round(accuracy, 6) AS accuracy, round(f1_macro, 6) AS f1_macro
 FROM ov JOIN ls USING (K, fold, setting, role) JOIN settings USING (setting) WHERE role = 'val'""",
     ),
@@ -671,3 +670,24 @@ SELECT conv_id, turn, pred_text_raw, {label_text('pred_text_raw', FALLBACKS['thr
     "export_predictions": PREDICT_ALL,
     "saved_model": NB_MODEL,
 }
+ORACLE |= {
+    "best_epoch_diverged": """SELECT run, epoch, metric FROM (
+  SELECT user_id AS run, event_id AS epoch, value AS metric,
+    row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r
+  FROM events WHERE event_id % 7 <> 0 AND value IS NOT NULL) WHERE r = 1""",
+    "best_trial_diverged": """SELECT run, trial, metric, event_type FROM (
+  SELECT user_id AS run, event_id AS trial, value AS metric, event_type,
+    row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS r
+  FROM events WHERE event_id % 7 <> 0 AND value IS NOT NULL) WHERE r = 1""",
+    "csv_round_trip": f"SELECT id, sentiment FROM ({ORACLE['select_by_position']})",
+    "predict_all_repeated_ids": with_(
+        [*BASE, THREE],
+        """SELECT id, 2 AS n_rows, true AS same_prediction FROM three
+UNION ALL SELECT NULL, count(*), true FROM three""",
+    ),
+    "logistic_regression": with_(
+        [*BASE, TWO, *train_test_ctes("two")],
+        """SELECT label, count(*) FILTER (role = 'train') AS n_train, count(*) FILTER (role = 'test') AS n_test,
+  true AS beats_majority FROM roles GROUP BY label""",
+    ),
+}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from checks import inputs
 from tonelab.functions import generated, prompts, scores, text, tokens
 from tonelab.functions.labels import THREE_CLASS, TWO_CLASS
-from tonelab.operators import batch_scorer, clean, compare, metrics, naive_bayes, runs, spark_ml, stratified, trials
+from tonelab.operators import batch_scorer, clean, compare, keys, metrics, naive_bayes, runs, spark_ml, stratified, trials
 from tonelab.plans import holdout, kfold, search
 from tonelab.sources import scratch, tables
 
@@ -235,6 +235,21 @@ def best_epoch(spark, sf):
     return runs.best_epoch(log, ["run"], "metric")
 
 
+def _diverged(log, key):
+    """The log with a metric that is not a number in every seventh row."""
+    return log.withColumn("metric", F.when(F.col(key) % 7 == 0, F.lit(float("nan"))).otherwise(F.col("metric")))
+
+
+def best_epoch_diverged(spark, sf):
+    log = inputs.epochs(spark, sf).withColumnRenamed("event_id", "epoch")
+    return runs.best_epoch(_diverged(log, "epoch"), ["run"], "metric")
+
+
+def best_trial_diverged(spark, sf):
+    log = inputs.epochs(spark, sf).select("run", F.col("event_id").alias("trial"), "metric", "event_type")
+    return runs.best_trial(_diverged(log, "trial"), ["run"], "metric", ["event_type"], maximise=False)
+
+
 def early_stop(spark, sf):
     events = inputs.epochs(spark, sf).select("run", "event_id", "ts", "hour", "metric")
     numbered = runs.number_epochs(events, ["run"], "hour", ["ts", "event_id"])
@@ -269,7 +284,7 @@ def _runtime(spark, sf, by):
 def append_results(spark, sf):
     """Fold rows of two label domains in one table."""
     two = _kfold_results(spark, sf).withColumn("classes", F.lit(2))
-    e = kfold.kfold_experiment(inputs.prepared(spark, sf, THREE_CLASS, True), THREE_CLASS, ks=(3,))
+    e = kfold.kfold_experiment(inputs.prepared(spark, sf, THREE_CLASS), THREE_CLASS, ks=(3,))
     three = rounded(kfold.fold_results(e)).withColumn("classes", F.lit(3))
     return runs.append_results(two, three)
 
@@ -338,12 +353,12 @@ def pad_tokens(spark, sf):
 
 
 def _holdout(spark, sf):
-    return holdout.holdout_experiment(inputs.prepared(spark, sf, THREE_CLASS, True), THREE_CLASS)
+    return holdout.holdout_experiment(inputs.prepared(spark, sf, THREE_CLASS), THREE_CLASS)
 
 
 def _two_class_fit(spark, sf):
     """All labelled rows train one model."""
-    rows = inputs.prepared(spark, sf, TWO_CLASS, True)
+    rows = inputs.prepared(spark, sf, TWO_CLASS)
     return rows, naive_bayes.fit(rows, [naive_bayes.Fit("all", "true")], TWO_CLASS.ids)
 
 
@@ -359,7 +374,7 @@ def _nb_scores(spark, sf, **kwargs):
     rows, model = _two_class_fit(spark, sf)
     scored = naive_bayes.score(rows, model, [CANDIDATE], carry=["label"], **kwargs)
     logits = F.col("logits_add_one")
-    return scored.select("row_key", "label", logits[1].alias("log_odds"), scores.argmax(logits).alias("y_pred"))
+    return rounded(scored.select("row_key", "label", logits[1].alias("log_odds"), scores.argmax(logits).alias("y_pred")))
 
 
 def nb_predict(spark, sf):
@@ -375,9 +390,20 @@ def predict_all(spark, sf):
     return rounded(holdout.predict_all(_holdout(spark, sf)))
 
 
+def predict_all_repeated_ids(spark, sf):
+    """Every review twice and once more without an id: each row gets its prediction, equal rows the same."""
+    reviews = inputs.reviews(spark, sf)
+    nameless = reviews.withColumn("id", F.lit(None).cast(dict(reviews.dtypes)["id"]))
+    table = reviews.unionByName(reviews).unionByName(nameless)
+    rows = clean.prepare_reviews(table, THREE_CLASS, required=("text",))
+    e = holdout.holdout_experiment(keys.with_occurrence_key(rows, rows.columns), THREE_CLASS)
+    same = F.col("id").isNull() | (F.count_distinct("pred_id", "prob_off") == 1)
+    return holdout.predict_all(e).groupBy("id").agg(F.count("*").alias("n_rows"), same.alias("same_prediction"))
+
+
 def predict_test(spark, sf):
     """Train and test only: the test part also picks the setting, so rows are marked leaky."""
-    rows = inputs.prepared(spark, sf, TWO_CLASS, True)
+    rows = inputs.prepared(spark, sf, TWO_CLASS)
     return holdout.predict_test(holdout.holdout_experiment(rows, TWO_CLASS, validate_on_test=True))
 
 
@@ -394,7 +420,7 @@ def holdout_confusion(spark, sf):
 
 
 def _kfold_results(spark, sf):
-    e = kfold.kfold_experiment(inputs.prepared(spark, sf, TWO_CLASS, True), TWO_CLASS)
+    e = kfold.kfold_experiment(inputs.prepared(spark, sf, TWO_CLASS), TWO_CLASS)
     return rounded(kfold.fold_results(e))
 
 
@@ -403,7 +429,7 @@ def kfold_results(spark, sf):
 
 
 def kfold_summary(spark, sf):
-    e = kfold.kfold_experiment(inputs.prepared(spark, sf, TWO_CLASS, True), TWO_CLASS)
+    e = kfold.kfold_experiment(inputs.prepared(spark, sf, TWO_CLASS), TWO_CLASS)
     return rounded(kfold.fold_summary(kfold.fold_results(e)))
 
 
@@ -419,13 +445,13 @@ def hp_trials_classifier(spark, sf):
 
 
 def search_trials(spark, sf):
-    e = search.search_experiment(inputs.prepared(spark, sf, TWO_CLASS, True), TWO_CLASS)
+    e = search.search_experiment(inputs.prepared(spark, sf, TWO_CLASS), TWO_CLASS)
     return rounded(search.trial_results(e))
 
 
 def search_best(spark, sf):
     """Test metrics of the best trial."""
-    e = search.search_experiment(inputs.prepared(spark, sf, TWO_CLASS, True), TWO_CLASS)
+    e = search.search_experiment(inputs.prepared(spark, sf, TWO_CLASS), TWO_CLASS)
     return rounded(holdout.test_metrics(e))
 
 
@@ -463,14 +489,21 @@ def batch_text_model(spark, sf):
 
 
 def logistic_regression(spark, sf):
-    """Spark ML fit on the train part, scored on test."""
-    rows = scratch.materialize(inputs.prepared(spark, sf, TWO_CLASS, True), "rows")
+    """Spark ML fits over a grid, scored on test: rows per class and part, and whether the best
+    accuracy is at least the share of the largest class."""
+    rows = scratch.materialize(inputs.prepared(spark, sf, TWO_CLASS), "rows")
     cuts = stratified.fit_cuts(rows, {"split": stratified.train_test()}, TWO_CLASS.ids)
     rows = cuts.assign(rows, {"split": "role"})
-    fitted = spark_ml.text_classifier(max_iter=10).fit(rows.filter(F.col("role") == "train"))
-    scored = fitted.transform(rows.filter(F.col("role") == "test"))
-    pairs = metrics.pair_counts(scored, true="label", pred="prediction")
-    return metrics.classification_report(pairs, TWO_CLASS)
+    train, test = (rows.filter(F.col("role") == part) for part in ("train", "test"))
+    pipeline = spark_ml.text_classifier(features=1 << 20)
+    model = pipeline.getStages()[-1]
+    grid = [{model.regParam: reg, model.maxIter: steps} for reg, steps in ((0.01, 10), (1000.0, 5))]
+    scored = [fitted.transform(test).select("label", "prediction") for _, fitted in pipeline.fitMultiple(train, grid)]
+    hits = [F.col("label") == F.col("prediction") for _ in scored]
+    best = F.greatest(*[F.lit(s.filter(h).count()) for s, h in zip(scored, hits, strict=True)])
+    parts = rows.groupBy("label").agg(F.count_if(F.col("role") == "train").alias("n_train"), F.count_if(F.col("role") == "test").alias("n_test"))
+    largest = parts.agg(F.max("n_test")).first()[0]
+    return parts.withColumn("beats_majority", best >= F.lit(largest))
 
 
 # --- sinks ----------------------------------------------------------------------
@@ -484,6 +517,14 @@ def export_predictions(spark, sf):
     return tables.read_table(spark, path, "csv", out.schema)
 
 
+def csv_round_trip(spark, sf):
+    """Outer blanks, empty strings and nulls, written as CSV and read back."""
+    path = scratch.scratch_path(spark, "csv")
+    out = inputs.reviews(spark, sf).select("id", "sentiment")
+    tables.write_table(out, path, "csv")
+    return tables.read_table(spark, path, "csv", out.schema)
+
+
 def saved_model(spark, sf):
     """The count model written, loaded again, and its table read."""
     _, model = _two_class_fit(spark, sf)
@@ -502,14 +543,14 @@ QUERIES = {
         attach_predictions, compare_models, compare_models_one_pass,
         row_count, label_counts, confusion_matrix, confusion_wide, confusion_padded, confusion_observed,
         metrics_per_class, metrics_overall, classification_report, exact_match, throughput,
-        best_epoch, early_stop, best_trial, runtime_summary, runtime_by_run, append_results,
+        best_epoch, best_epoch_diverged, early_stop, best_trial, best_trial_diverged, runtime_summary, runtime_by_run, append_results,
         sentiment_prompt, task_prompt, multitask_examples, text_to_label, text_fallback,
         softmax_scores, argmax_scores, bounded_tokens, pad_tokens,
-        nb_model, nb_predict, nb_predict_large_vocabulary, predict_all, predict_test,
+        nb_model, nb_predict, nb_predict_large_vocabulary, predict_all, predict_all_repeated_ids, predict_test,
         holdout_metrics, holdout_report, holdout_confusion, kfold_results, kfold_summary,
         hp_trials, hp_trials_classifier, search_trials, search_best,
         batch_classifier, batch_text_model, logistic_regression,
-        export_predictions, saved_model,
+        export_predictions, csv_round_trip, saved_model,
     )
 }
 

@@ -117,3 +117,13 @@ def test_attach_predictions_keeps_rows(spark):
     predictions = spark.createDataFrame([(2, 1)], "row_key int, y_pred int")
     out = compare.attach_predictions(rows, predictions).collect()
     assert {r["row_key"]: r["y_pred"] for r in out} == {1: None, 2: 1}
+
+
+def test_nan_never_wins(spark):
+    nan = float("nan")
+    log = spark.createDataFrame([(1, e, m) for e, m in enumerate((0.5, nan, 0.7, 0.6, 0.6), 1)], "run int, epoch int, m double")
+    assert runs.best_epoch(log, ["run"], "m").first()["epoch"] == 3
+    assert runs.best_epoch(log, ["run"], "m", higher=False).first()["epoch"] == 1
+    for up, want in ((True, 3), (False, 1)):
+        assert runs.best_trial(log, ["run"], "m", [], trial="epoch", maximise=up).first()["epoch"] == want
+    assert runs.early_stop(log, ["run"], "m").first()["stop_epoch"] == 5

@@ -32,6 +32,11 @@ def clean_text(c: Column) -> Column:
     return strip(F.replace(c.cast("string"), F.lit("\n"), F.lit(" ")))
 
 
+def stripped_text(c: Column) -> Column:
+    """Cast to string and strip; newlines inside stay (prompts replace them later)."""
+    return strip(c.cast("string"))
+
+
 def normalise_label(c: Column) -> Column:
     """Cast to string, strip, lower-case."""
     return F.lower(strip(c.cast("string")))

@@ -1,4 +1,4 @@
-"""Row keys for tables whose ids repeat."""
+"""Row keys for tables whose ids are null or repeat."""
 
 from __future__ import annotations
 
@@ -7,29 +7,37 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tonelab.sources.scratch import materialize
+
 CHUNK = 4096
 
+# Repeated digests that may be broadcast.
+BROADCAST_ROWS = 1_000_000
+
 
 def with_occurrence_key(df: DataFrame, columns: Sequence[str], key: str = "row_key") -> DataFrame:
     """Give every row a unique key that does not depend on the layout.
 
-    The key is a digest of ``columns`` and the number of the copy. Copies are
-    equal in all ``columns``, so they are counted (combined on the map side) and
-    written out again: a row that makes up a third of the table is one
-    aggregation buffer per task, and its copies come back in chunks spread over
-    all tasks. No window and no group is ever held in one task. ``columns`` must
-    be all columns of the table that are to be kept.
+    The key is a digest of ``columns`` and the number of the copy. Digests are counted first, a
+    narrow shuffle; rows whose digest is unique keep their place and get number 0. Copies are
+    equal in all ``columns``, so they are counted (combined on the map side) and written out
+    again: a row that makes up a third of the table is one aggregation buffer per task, and
+    its copies come back in chunks spread over all tasks. No window and no group is ever
+    held in one task. ``columns`` must be all columns of the table that are to be kept.
     """
     columns = list(columns)
     zero = F.lit(0).cast("bigint")
     digest = F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
-    counted = df.groupBy(*columns).agg(F.count("*").alias("_copies")).withColumn("_digest", digest)
-    chunks = counted.withColumn("_chunk", F.explode(F.sequence(zero, F.expr(f"(_copies - 1) div {CHUNK}"))))
-    spread = chunks.repartition("_digest", "_chunk")
+    tagged = df.select(*columns, digest.alias("_digest"))
+    counted = tagged.groupBy("_digest").agg(F.count("*").alias("_copies"))
+    repeated = materialize(counted.filter("_copies > 1").select("_digest"), "repeated")
+    few = repeated.count() <= BROADCAST_ROWS
+    repeated = F.broadcast(repeated) if few else repeated
+    unique = tagged.join(repeated, "_digest", "left_anti").withColumn("_copy", zero)
+    copies = tagged.join(repeated, "_digest", "left_semi").groupBy("_digest", *columns).agg(F.count("*").alias("_copies"))
+    chunks = copies.withColumn("_chunk", F.explode(F.sequence(zero, F.expr(f"(_copies - 1) div {CHUNK}"))))
     first = F.col("_chunk") * CHUNK
     last = F.least(first + CHUNK, F.col("_copies")) - 1
-    return (
-        spread.withColumn("_copy", F.explode(F.sequence(first, last)))
-        .withColumn(key, F.concat_ws("-", "_digest", F.col("_copy").cast("string")))
-        .select(key, *columns)
-    )
+    spread = chunks.repartition("_digest", "_chunk").withColumn("_copy", F.explode(F.sequence(first, last)))
+    named = F.concat_ws("-", "_digest", F.col("_copy").cast("string")).alias(key)
+    return unique.select(named, *columns).unionByName(spread.select(named, *columns))

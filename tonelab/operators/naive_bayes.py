@@ -29,7 +29,6 @@ from tonelab.functions.tokens import words
 from tonelab.sources.scratch import materialize
 
 FIXED_POINT = 1e9
-SCORE_DIGITS = 6
 
 # Size check of the join in ``score``. A weight table of up to BROADCAST_BYTES is
 # broadcast whole. Beyond that only the frequent tokens that fit are (see
@@ -258,7 +257,7 @@ def score(
 
     def logit(m: Candidate, c: int, w: str) -> str:
         prior = model.prior(m, c) - model.prior(m, first)
-        return f"round({w} / {FIXED_POINT!r}D + {prior!r}D, {SCORE_DIGITS})"
+        return f"{w} / {FIXED_POINT!r}D + {prior!r}D"
 
     logits = {m.name: ", ".join(logit(m, c, w) for n, c, w in slots if n is m) for m in candidates}
     return sums.selectExpr(
@@ -278,7 +277,7 @@ def _join_head_and_tail(tokens: DataFrame, weights: DataFrame, n_tokens: int, he
     short = F.expr(f"if(octet_length(token) <= {SHORT_BYTES}, token, concat('\n', md5(token)))")
     tokens = tokens.withColumn("token", short)
     weights = weights.withColumn("token", short)
-    frequent = F.col("n_total") * head_share >= F.lit(n_tokens)
+    frequent = F.col("n_total") >= F.lit(-(-n_tokens // head_share))
     head = weights.filter(frequent).drop("n_total")
     tail = weights.filter(~frequent).drop("n_total")
     near = tokens.join(F.broadcast(head), "token", "left")

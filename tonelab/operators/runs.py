@@ -16,11 +16,16 @@ from pyspark.sql import window as W
 from tonelab.functions.durations import format_duration
 
 
+def _number(metric: str) -> Column:
+    """The metric, or null where it is not a number: a diverged run never wins."""
+    return F.when(~F.isnan(metric), F.col(metric))
+
+
 def best_epoch(log: DataFrame, run: Sequence[str], metric: str, epoch: str = "epoch", higher: bool = True) -> DataFrame:
-    """Best epoch per run; the earliest one on ties. Null metrics never win."""
-    value = F.col(metric) if higher else -F.col(metric)
+    """Best epoch per run; the earliest one on ties. Null and NaN metrics never win."""
+    value = _number(metric) if higher else -_number(metric)
     order = F.struct(value.alias("value"), (-F.col(epoch)).alias("early"))
-    top = log.filter(F.col(metric).isNotNull()).groupBy(*run).agg(F.max(order).alias("top"))
+    top = log.filter(_number(metric).isNotNull()).groupBy(*run).agg(F.max(order).alias("top"))
     best = F.col("top.value") if higher else -F.col("top.value")
     return top.select(*run, (-F.col("top.early")).alias(epoch), best.alias(metric))
 
@@ -33,11 +38,11 @@ def best_trial(
     trial: str = "trial",
     maximise: bool = True,
 ) -> DataFrame:
-    """Trial with the best objective per search; the lowest trial number on ties."""
-    value = F.col(objective) if maximise else -F.col(objective)
+    """Trial with the best objective per search; the lowest trial number on ties. Null and NaN never win."""
+    value = _number(objective) if maximise else -_number(objective)
     order = F.struct(value, -F.col(trial))
     chosen = F.max_by(F.struct(trial, objective, *params), order).alias("best")
-    return trials.filter(F.col(objective).isNotNull()).groupBy(*by).agg(chosen).select(*by, "best.*")
+    return trials.filter(_number(objective).isNotNull()).groupBy(*by).agg(chosen).select(*by, "best.*")
 
 
 def _same_keys(a: str, b: str, columns: Sequence[str]) -> Column:
@@ -76,14 +81,15 @@ def early_stop(
     higher: bool = True,
 ) -> DataFrame:
     """Epoch at which each run stops: the first one that is the ``patience``-th in a
-    row without a better metric. Null where a run never stops early.
+    row without a better metric. Null where a run never stops early. A null or NaN metric
+    is never better.
 
     Epochs are numbered 1, 2, 3, ... A run stops ``patience`` epochs after the
     first record that is not followed by another one in time. Rows are only
     ranked within chunks of epochs; each chunk then becomes one row with its first
     and last record, so no window holds the rows of a whole run.
     """
-    value = F.col(metric) if higher else -F.col(metric)
+    value = _number(metric) if higher else -_number(metric)
     df = log.select(*run, F.col(epoch).alias("_e"), value.alias("_v"))
     df = df.withColumn("_chunk", F.floor(F.col("_e") / chunk_epochs))
     df = _with_carry(df, run, "_chunk", F.col("_v"), F.max, "_carry")

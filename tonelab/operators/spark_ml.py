@@ -13,15 +13,14 @@ from pyspark.sql import DataFrame
 
 from tonelab.operators import metrics
 
-FEATURES = 1 << 16
-
 
 def text_classifier(
-    *, features: int = FEATURES, reg_param: float = 0.01, max_iter: int = 20, label: str = "label", text: str = "text"
+    *, features: int, reg_param: float = 0.01, max_iter: int = 20, label: str = "label", text: str = "text"
 ) -> Pipeline:
     """Words -> hashed counts -> IDF -> multinomial logistic regression.
 
-    The feature space has a fixed width, so the model does not grow with the data.
+    ``features`` is the width of the feature space: words whose hashes meet share a weight, so
+    take many more than there are words. The model does not grow with the data.
     """
     return Pipeline(
         stages=[

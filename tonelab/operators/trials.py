@@ -84,11 +84,10 @@ TEXT_SPACE: Space = {
 }
 TEXT_TRIALS = 5
 
-# Search space of the count model.
+# Search space of the count model. Texts are always read whole.
 COUNT_MODEL_SPACE: Space = {
     "smoothing": LogUniform(0.01, 10.0),
     "prior_weight": Uniform(0.0, 1.0),
-    "max_tokens": Choice((128, 256, None)),
 }
 
 

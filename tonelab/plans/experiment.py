@@ -28,11 +28,10 @@ BY = ("K", "fold", "setting", "role")
 
 @dataclass(frozen=True)
 class Setting:
-    """Tuned values of the count model. ``max_tokens`` None reads whole texts."""
+    """Tuned values of the count model, which reads whole texts."""
 
     smoothing: float = 1.0
     prior_weight: float = 1.0
-    max_tokens: int | None = None
 
 
 # Settings from which validation picks, in order of preference on ties.
@@ -102,11 +101,11 @@ class Experiment:
 
     def candidate(self, run: Run, index: int) -> Candidate:
         s = self.settings[index]
-        return Candidate(f"{run.name}_s{index}", _fit_name(run, s.max_tokens), s.smoothing, s.prior_weight)
+        return Candidate(f"{run.name}_s{index}", _fit_name(run), s.smoothing, s.prior_weight)
 
 
-def _fit_name(run: Run, limit: int | None) -> str:
-    return f"{run.name}_all" if limit is None else f"{run.name}_{limit}"
+def _fit_name(run: Run) -> str:
+    return f"{run.name}_all"
 
 
 def _role_column(layout: str) -> str:
@@ -132,12 +131,14 @@ def run_experiment(
     labels = domain.ids
     order = F.expr(stratified.order_hash(KEY, seed))
     rows = materialize(prepared.withColumn(HASH, order), "rows")
+    per_key = rows.groupBy(KEY).agg(F.count("*").alias("n"))
+    if per_key.filter(f"n > 1 OR {KEY} IS NULL").limit(1).count():
+        raise ValueError(f"{KEY} is null or repeats; see operators.keys.with_occurrence_key")
     watch.lap("preparation")
 
     cuts = stratified.fit_cuts(rows, layouts, labels, hash_column=HASH)
     rows = cuts.assign(rows, {name: _role_column(name) for name in layouts})
-    limits = list(dict.fromkeys(s.max_tokens for s in settings))
-    fits = [Fit(_fit_name(run, limit), run.trains(_role_column(run.layout)), limit) for run in all_runs for limit in limits]
+    fits = [Fit(_fit_name(run), run.trains(_role_column(run.layout))) for run in all_runs]
     model = naive_bayes.fit(rows, fits, labels)
     watch.lap("training")
 

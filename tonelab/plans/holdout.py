@@ -69,7 +69,6 @@ def predict_test(e: Experiment) -> DataFrame:
         "text",
         "sentiment",
         "label",
-        F.lower("pred_sentiment").alias("pred_text_raw"),
         "pred_sentiment",
         (F.col("pred_id") == F.col("label")).alias("correct"),
         F.lit(e.leaky).alias("leaky"),

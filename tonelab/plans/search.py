@@ -38,7 +38,7 @@ def trial_results(e: Experiment) -> DataFrame:
         name: "CASE setting"
         + "".join(f" WHEN {i} THEN {_literal(getattr(s, name))}" for i, s in enumerate(e.settings))
         + " END"
-        for name in ("smoothing", "prior_weight", "max_tokens")
+        for name in ("smoothing", "prior_weight")
     }
     return e.measured().filter("role = 'val'").selectExpr(
         "setting + 1 AS trial",

@@ -12,20 +12,23 @@ from pyspark.sql.types import StructType
 REVIEW_POSITIONS = (0, 6, 7)
 REVIEW_COLUMNS = ("id", "text", "sentiment")
 
-# Most tasks one split of a small scan is dealt out to.
-SPREAD = 8
+# Both ways the same, so that outer blanks, empty strings and nulls come back as they were.
+CSV = {
+    "header": True, "quote": '"', "escape": '"', "nullValue": "\\N",
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema: StructType | str | None = None) -> DataFrame:
     """Read a whole table: ``parquet``, ``orc``, ``json`` or ``csv`` with a header row.
 
-    CSV fields may hold line breaks, so one CSV file is one task; store large
+    In CSV, ``\\N`` is null and an empty field an empty string. Fields may hold line breaks, so one CSV file is one task; store large
     tables as Parquet or as many CSV files. Give CSV and JSON a schema, or the
     types are inferred in an extra pass.
     """
     reader = spark.read.schema(schema) if schema is not None else spark.read
     if fmt == "csv":
-        reader = reader.options(header=True, multiLine=True, quote='"', escape='"')
+        reader = reader.options(multiLine=True, emptyValue="", **CSV)
         if schema is None:
             reader = reader.option("inferSchema", True)
     return reader.format(fmt).load(path)
@@ -54,22 +57,10 @@ def read_reviews(
 def write_table(
     df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (), mode: str = "errorifexists"
 ) -> None:
-    """Write a result as a folder of part files; CSV gets a header and no index."""
+    """Write a result as a folder of part files; CSV gets a header and no index, and ``\\N`` for null."""
     writer = df.write.mode(mode)
     if fmt == "csv":
-        writer = writer.options(header=True, quote='"', escape='"')
+        writer = writer.options(emptyValue='""', **CSV)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.format(fmt).save(path)
-
-
-def spread_small_scan(scan: DataFrame, key: str) -> DataFrame:
-    """Deal the rows of a plain file scan out to all cores if it has fewer splits than cores.
-
-    A table of a few row groups would keep most cores idle in the heavy steps
-    that follow. Fewer splits than cores also bounds what is shuffled to
-    ``cores * spark.sql.files.maxPartitionBytes``; larger scans are left alone.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    splits = scan.rdd.getNumPartitions()
-    return scan if splits >= cores else scan.repartition(min(cores, SPREAD * splits), key)
