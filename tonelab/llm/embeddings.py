@@ -44,7 +44,7 @@ def _moments(vectors: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, in
 
     parts = rows.map_frames(vectors.select("v"), partial, "i int, x array<double>, n bigint")
     flat = parts.select("i", "n", F.posexplode("x").alias("j", "x"))
-    sums = flat.groupBy("i", "j").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).toPandas()
+    sums = flat.groupBy("i", "j").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).toArrow().to_pandas()
     if sums.empty:
         return np.zeros(width), np.zeros((width, width)), 0
     grid = sums.pivot(index="i", columns="j", values="x").to_numpy()
@@ -159,7 +159,7 @@ def _compare(classes: DataFrame, width: int, threshold: float, tile: int) -> Dat
     # As many rows as tiles: at most the square root of the number of vectors, or n / TILE.
     meta = flat.groupBy("tile").agg(
         F.array_sort(F.collect_list(F.struct("d", "low", "high"))).alias("box"), F.max("rest").alias("rest")
-    ).orderBy("tile").toPandas()
+    ).orderBy("tile").toArrow().to_pandas()
     names = meta["tile"].to_list()
     low = np.array([[z["low"] for z in box] for box in meta["box"]]).reshape(len(names), -1)
     high = np.array([[z["high"] for z in box] for box in meta["box"]]).reshape(len(names), -1)

@@ -75,7 +75,7 @@ def bit_filter(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
     slot = F.col(column).bitwiseAND(bits - 1)
     one = F.call_function("shiftleft", F.lit(1).cast("bigint"), (slot % 64).cast("int"))
     marks = hashes.select(F.floor(slot / 64).cast("int").alias("word"), one.alias("bit"))
-    found = marks.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    found = marks.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow().to_pandas()
     held = np.zeros(bits // 64, np.int64)
     held[found["word"].to_numpy(int)] = found["bits"].to_numpy(np.int64)
     return held.view(np.uint8)

@@ -304,7 +304,7 @@ def score(
             break
         least = size
     top = F.col("size") >= (least if least is not None else 1 << 30)
-    held = table.where(top).select("key", "value").toPandas()  # at most ``head`` rows
+    held = table.where(top).select("key", "value").toArrow().to_pandas()  # at most ``head`` rows
     heavy = share(Table(held["key"].to_numpy().view(np.uint64), held["value"].to_numpy()))
     tail = table.where(~top)
     light = share(rows.bit_filter(tail, "key", BITS))
