@@ -30,11 +30,13 @@ from tonelab.llm import rows
 from tonelab.llm.lexicon import Lexicon
 from tonelab.llm.linking import runs
 
-DEPTH = 3
+DEPTH = 2
 #: Occurrences of a context; occurrences of a word after it; discount; nats gained.
-MIN_CONTEXT, MIN_PAIR, DISCOUNT, GAIN = 50, 4, 0.75, 5.0
+MIN_CONTEXT, MIN_PAIR, DISCOUNT, GAIN = 50, 8, 0.75, 5.0
 #: Terms held by every task, bits of the filters, texts and n-grams taken at once.
-HEAD, BITS, TEXTS, HELD = 1 << 19, 1 << 25, 256, 1 << 22
+HEAD, BITS, TEXTS, HELD = 3 << 19, 1 << 27, 256, 1 << 21
+#: Word forms that a worker remembers.
+REMEMBERED = 1 << 19
 #: Contexts with more occurrences are counted in PARTS parts by their next word.
 BUSY, PARTS = 1 << 16, 64
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -55,8 +57,8 @@ def _describe(word: bytes) -> tuple[int]:
     return (xxhash.xxh64_intdigest(word),)
 
 
-def known_words() -> Lexicon:
-    return Lexicon(_describe, [np.uint64])
+def known_words(more=None, more_types=()) -> Lexicon:
+    return Lexicon(_describe, [np.uint64], REMEMBERED, more, more_types)
 
 
 class Grams:
@@ -64,7 +66,7 @@ class Grams:
 
     def __init__(self, texts: list[bytes | None], known: Lexicon):
         split = [t.lower().split() if t else [] for t in texts]
-        (self.word,) = known.look_up([w for words in split for w in (*words, b"")])
+        self.word, *self.more = known.look_up([w for words in split for w in (*words, b"")])
         size = np.array([len(words) + 1 for words in split], np.int64)
         self.text = np.repeat(np.arange(len(texts)), size)
         self.place = np.arange(len(self.word)) - np.repeat(np.cumsum(size) - size, size)
@@ -235,7 +237,7 @@ class Table:
     """Numbers by 64-bit key, in arrays with open addressing."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        size = 1 << max(4, (2 * len(keys)).bit_length())
+        size = 1 << max(4, (5 * len(keys) // 4).bit_length())
         self.mask = np.uint64(size - 1)
         self.keys, self.values, self.used = np.zeros(size, np.uint64), np.zeros(size), np.zeros(size, bool)
         slot = _mixed(keys) & self.mask
@@ -311,7 +313,15 @@ def score(
     numbered = rows.numbered(docs.select(key, text), key)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = known_words()
+        def per_word(word: np.ndarray) -> list[np.ndarray]:
+            """Terms of the word and of the context it is, and whether they are found or may exist."""
+            out = []
+            for keys in (word, _mixed(_mixed(word) ^ _CONTEXT)):
+                own, hit = heavy.value.look_up(keys)
+                out += [own, hit, ~hit & rows.in_filter(light.value, keys)]
+            return out
+
+        known = known_words(per_word, [np.float64, bool, bool] * 2)
         for b in _chunks(batches):
             g, n_texts = Grams(list(b["t"]), known), len(b)
             ids = b[rows.ROW].to_numpy()
@@ -324,16 +334,28 @@ def score(
                 later_text.append(g.text[at[maybe]])
                 return np.bincount(g.text[at], own, n_texts), hit, maybe
 
-            every = np.arange(len(g.word))
-            base_sum, hit, _ = value(every, g.word)
+            def later(at: np.ndarray, keys: np.ndarray) -> None:
+                later_key.append(keys)
+                later_text.append(g.text[at])
+
+            base, hit, maybe, rest, is_state, may_be = g.more
+            base_sum = np.bincount(g.text, base, n_texts)
+            later(np.flatnonzero(maybe), g.word[maybe])
             n_known = np.bincount(g.text[hit], minlength=n_texts)
             n_tokens = np.bincount(g.text, minlength=n_texts)
-            more, at = np.zeros(n_texts), every
+            more, at = np.zeros(n_texts), np.flatnonzero(g.place >= 1) if depth else np.zeros(0, np.int64)
             for k in range(1, depth + 1):
-                at = at[g.place[at] >= k]
-                context = g.context(k)[at]
-                sums, hit, maybe = value(at, _mixed(context ^ _CONTEXT))
-                at, context = at[hit | maybe], context[hit | maybe]
+                if k == 1:  # the context is the word before
+                    sums = np.bincount(g.text[at], rest[at - 1], n_texts)
+                    open_at = at[may_be[at - 1]]
+                    later(open_at, _mixed(g.context(1)[open_at] ^ _CONTEXT))
+                    at = at[is_state[at - 1] | may_be[at - 1]]
+                    context = g.context(1)[at]
+                else:
+                    at = at[g.place[at] >= k]
+                    context = g.context(k)[at]
+                    sums, hit, maybe = value(at, _mixed(context ^ _CONTEXT))
+                    at, context = at[hit | maybe], context[hit | maybe]
                 more += sums + value(at, pair_key(context, g.word[at]))[0]
             yield pd.DataFrame({
                 rows.ROW: ids, "n_tokens": n_tokens, "n_known": n_known, "base": base_sum + n_tokens * unknown, "more": more,
