@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,6 +33,9 @@ REMEMBERED = 1 << 20
 ID_BYTES = 4
 #: Words encoded in one call, parted by a digit, which is an id of its own; and signs at their end.
 JOINED, MARK, SIGNS = 256, "0", b".,;:!?"
+#: Words of these letters are the same after the tokenizer's normalising and splitting.
+LETTERS = re.compile("[a-zß-öø-ÿ]+")
+ACCENTED = [*map(chr, (*range(0xDF, 0xF7), *range(0xF8, 0x100)))]
 
 
 class Encoder:
@@ -39,6 +43,7 @@ class Encoder:
 
     The tokenizer lowers case and never joins characters across white space, nor a letter and
     a sign. So words are encoded one by one, without signs at their end, and frequent ones once.
+    A word of plain letters goes to the tokenizer's model as it is, others through all its steps.
     """
 
     def __init__(self, path: str):
@@ -48,6 +53,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        spell = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.spelling = str.maketrans({c: spell(c)[0][0] for c in ACCENTED})
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
 
     def encode(self, text: bytes | None) -> bytes:
@@ -69,7 +77,14 @@ class Encoder:
                 whole.update(parts[w])
             else:
                 whole.add(w)
-        missing = sorted(whole.difference(self.known))
+        missing = []
+        for w in sorted(whole.difference(self.known)):
+            word = w.decode("utf-8", "replace")
+            if LETTERS.fullmatch(word):
+                found = self.model.tokenize(word.translate(self.spelling))
+                self.known[w] = np.array([t.id for t in found], "<u4").tobytes()
+            else:
+                missing.append(w)
         plain = [w for w in missing if MARK.encode() not in w]
         for at in range(0, len(plain), JOINED):
             part = plain[at : at + JOINED]
