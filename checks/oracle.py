@@ -670,7 +670,20 @@ SELECT conv_id, turn, pred_text_raw, {label_text('pred_text_raw', FALLBACKS['thr
     "export_predictions": PREDICT_ALL,
     "saved_model": NB_MODEL,
 }
+# Prefix and policy are written out here, so that a wrong constant of the package is found.
+ANSWERED = """answered AS (
+  SELECT id, text, sentiment, label AS y_true, role, CASE n % 3 WHEN 0 THEN ' Positive!' WHEN 1 THEN 'neg' ELSE 'unsure' END AS pred_text_raw,
+    CASE n % 3 WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE 1 END AS y_pred
+  FROM (SELECT *, length('sentiment classification (negative, off, positive): ' || text) AS n FROM three JOIN (SELECT id, role FROM roles) USING (id)))"""
+ANSWERS = [*BASE, THREE, *holdout_ctes("three"), ANSWERED]
 ORACLE |= {
+    "text_experiment_metrics": with_(
+        [*ANSWERS, *class_metrics("answered", "role, "), f"o AS (SELECT role, {OVERALL} FROM pc GROUP BY role)"],
+        f"SELECT role, {rounded(METRIC_NAMES)} FROM o",
+    ),
+    "text_experiment_export": with_(
+        ANSWERS, f"SELECT id, text, sentiment, pred_text_raw, {display('y_pred', THREE_NAMES)} AS pred_sentiment FROM answered"
+    ),
     "best_epoch_diverged": """SELECT run, epoch, metric FROM (
   SELECT user_id AS run, event_id AS epoch, value AS metric,
     row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r

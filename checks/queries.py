@@ -10,7 +10,7 @@ from checks import inputs
 from tonelab.functions import generated, prompts, scores, text, tokens
 from tonelab.functions.labels import THREE_CLASS, TWO_CLASS
 from tonelab.operators import batch_scorer, clean, compare, keys, metrics, naive_bayes, runs, spark_ml, stratified, trials
-from tonelab.plans import holdout, kfold, search
+from tonelab.plans import holdout, kfold, search, text_to_text
 from tonelab.sources import scratch, tables
 
 DIGITS = 6
@@ -488,6 +488,32 @@ def batch_text_model(spark, sf):
     return out.drop("text")
 
 
+def _by_length():
+    """A stand-in text model: its answer depends on the length of the prompt."""
+    answers = (" Positive!", "neg", "unsure")
+
+    def predict(prompt: np.ndarray) -> np.ndarray:
+        return np.array([answers[len(str(p)) % 3] for p in prompt], dtype=object)
+
+    return predict
+
+
+def _text_experiment(spark, sf):
+    return text_to_text.text_experiment(inputs.prepared(spark, sf, THREE_CLASS), _by_length)
+
+
+def text_experiment_metrics(spark, sf):
+    return rounded(_text_experiment(spark, sf).measured())
+
+
+def text_experiment_export(spark, sf):
+    """Generated texts and their labels written as CSV and read back."""
+    path = scratch.scratch_path(spark, "text-export")
+    e = _text_experiment(spark, sf)
+    e.export(path, "csv")
+    return tables.read_table(spark, path, "csv", e.predictions().schema)
+
+
 def logistic_regression(spark, sf):
     """Spark ML fits over a grid, scored on test: rows per class and part, and whether the best
     accuracy is at least the share of the largest class."""
@@ -549,7 +575,7 @@ QUERIES = {
         nb_model, nb_predict, nb_predict_large_vocabulary, predict_all, predict_all_repeated_ids, predict_test,
         holdout_metrics, holdout_report, holdout_confusion, kfold_results, kfold_summary,
         hp_trials, hp_trials_classifier, search_trials, search_best,
-        batch_classifier, batch_text_model, logistic_regression,
+        batch_classifier, batch_text_model, text_experiment_metrics, text_experiment_export, logistic_regression,
         export_predictions, csv_round_trip, saved_model,
     )
 }

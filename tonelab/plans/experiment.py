@@ -112,6 +112,13 @@ def _role_column(layout: str) -> str:
     return f"role_{layout}"
 
 
+def require_keys(rows: DataFrame) -> None:
+    """Refuse null and repeated keys."""
+    per_key = rows.groupBy(KEY).agg(F.count("*").alias("n"))
+    if per_key.filter(f"n > 1 OR {KEY} IS NULL").limit(1).count():
+        raise ValueError(f"{KEY} is null or repeats; see operators.keys.with_occurrence_key")
+
+
 def run_experiment(
     prepared: DataFrame,
     domain: LabelDomain,
@@ -131,9 +138,7 @@ def run_experiment(
     labels = domain.ids
     order = F.expr(stratified.order_hash(KEY, seed))
     rows = materialize(prepared.withColumn(HASH, order), "rows")
-    per_key = rows.groupBy(KEY).agg(F.count("*").alias("n"))
-    if per_key.filter(f"n > 1 OR {KEY} IS NULL").limit(1).count():
-        raise ValueError(f"{KEY} is null or repeats; see operators.keys.with_occurrence_key")
+    require_keys(rows)
     watch.lap("preparation")
 
     cuts = stratified.fit_cuts(rows, layouts, labels, hash_column=HASH)
