@@ -49,6 +49,17 @@ def plan(df):
     return out.getvalue()
 
 
+def test_written_fold_results(spark, folds, tmp_path):
+    kfold.write_results(folds, str(tmp_path))
+    read = {name: spark.read.parquet(f"{tmp_path}/{name}") for name in ("fold_results", "fold_summary", "runtime")}
+    rows = read["fold_results"].collect()
+    assert len(rows) == 4 and read["fold_summary"].count() == 2 and read["runtime"].count() == 3
+    for r in rows:
+        assert r["epoch"] == 1.0 and r["eval_runtime"] == r["test_seconds"]
+        assert r["eval_samples_per_second"] == pytest.approx(r["test_n"] / r["eval_runtime"])
+        assert r["eval_steps_per_second"] == pytest.approx(-(-r["test_n"] // kfold.EVAL_BATCH) / r["eval_runtime"])
+
+
 def test_fold_results(folds):
     rows = kfold.fold_results(folds, timings=True).orderBy("K", "fold").collect()
     assert [(r["K"], r["fold"]) for r in rows] == [(1, 1), (3, 1), (3, 2), (3, 3)]
