@@ -30,9 +30,9 @@ from tonelab.llm import rows
 from tonelab.llm.lexicon import Lexicon
 from tonelab.llm.linking import runs
 
-DEPTH = 2
+DEPTH = 3
 #: Occurrences of a context; occurrences of a word after it; discount; nats gained.
-MIN_CONTEXT, MIN_PAIR, DISCOUNT, GAIN = 50, 8, 0.75, 5.0
+MIN_CONTEXT, MIN_PAIR, DISCOUNT, GAIN = 50, 4, 0.75, 5.0
 #: Terms held by every task, bits of the filters, texts and n-grams taken at once.
 HEAD, BITS, TEXTS, HELD = 3 << 19, 1 << 27, 256, 1 << 21
 #: Word forms that a worker remembers.
