@@ -1,14 +1,16 @@
 """Benchmark decontamination by canonical templates.
 
 Numbers, names and units are replaced by typed placeholders. Windows of template tokens of
-the benchmark are joined with those of the documents by hash, and the values in the slots of
-all windows of an aligned match must map one to one, so a question asked again with other
-numbers or names is found and a chance meeting of templates is not.
+the benchmark are joined with those of the documents by hash, and the slots of an aligned
+match must map item to document consistently and cover the item, so a question asked again
+with other numbers or names is found and a chance meeting of templates is not. Windows of
+plain words are joined as well, so a copy is found whatever its templates are.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +23,14 @@ from tonelab.llm import rows
 from tonelab.llm.lexicon import Lexicon
 
 WINDOW = 10
-#: Items with fewer tokens than a window are matched whole, down to this length.
+#: Items with fewer tokens than a window are matched whole; with other values down to this length.
 SHORTEST = 5
-#: Distinct literal tokens that a window must have, as a share of its length.
+#: Distinct literal tokens that a window met with other values must have, as a share of its length.
 LITERAL = 0.4
+#: Windows of an item that a match with other values must have, as a share; LONG times a window's length is always enough.
+COVER, LONG = 0.5, 2
+#: Plain words, and templates with a title-case word that begins a sentence as a literal and as a name.
+PLAIN, AS_LITERAL, AS_NAME = 0, 1, 2
 #: Bits of the filter that tasks hold; a fixed size, however large the benchmark is.
 FILTER_BITS = 1 << 23
 #: Texts that are looked up at once.
@@ -68,70 +74,157 @@ def words() -> Lexicon:
     return Lexicon(describe, [np.int64, np.uint64, bool])
 
 
-def template(kind: np.ndarray, value: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes (a placeholder's for slots), kinds and value hashes of a text's words.
+class Reading:
+    """Tokens of a list of texts: hashes (a placeholder's for slots), kinds, value hashes and text numbers.
 
-    A title-case word is a name unless it begins a sentence or the text; names that follow
-    each other are one. Words of punctuation alone are left out.
+    Names that follow each other are one, but not across the begin of a sentence. Words of
+    punctuation alone are left out.
     """
-    begins = np.ones(len(kind), bool)
-    begins[1:] = end[:-1]
-    kind = np.where((kind == NAME) & begins, LITERAL_KIND, kind)
+
+    def __init__(self, reading: int, kind: np.ndarray, value: np.ndarray, begins: np.ndarray, text: np.ndarray, texts: int):
+        self.reading = reading
+        if reading == AS_LITERAL:
+            kind = np.where((kind == NAME) & begins, LITERAL_KIND, kind)
+        if reading != PLAIN and len(kind):
+            first = np.ones(len(kind), bool)
+            first[1:] = (kind[1:] != NAME) | (kind[:-1] != NAME) | begins[1:]
+            starts = np.flatnonzero(first)
+            place = np.arange(len(kind)) - np.repeat(starts, np.diff(np.append(starts, len(kind))))
+            value = np.where(kind == NAME, value * (2 * place.astype(np.uint64) + np.uint64(1)), value)  # John Smith is not Smith John
+            value, kind, text = np.add.reduceat(value, starts), kind[starts], text[starts]
+        self.token = value if reading == PLAIN else np.where(kind == LITERAL_KIND, value, kind.astype(np.uint64))
+        self.kind, self.value, self.text = kind, value, text
+        self.length = np.bincount(text, minlength=texts)
+        self.first = np.cumsum(self.length) - self.length
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places at which a window of one text starts, and its hash."""
+        n = max(len(self.token) - size + 1, 0)
+        out = np.full(n, np.uint64(size + (0 if self.reading == PLAIN else 1 << 32)))
+        for i in range(size):
+            out = out * _BASE + self.token[i : i + n]
+            out ^= out >> np.uint64(29)
+        at = np.flatnonzero(self.text[:n] == self.text[size - 1 : size - 1 + n])
+        return at, out[at]
+
+
+def readings(texts: list[bytes | None], known: Lexicon) -> Iterator[Reading]:
+    """The plain words, and the two templates; one if no title-case word begins a sentence or line."""
+    lines = [[line.split() for line in t.splitlines()] if t else [] for t in texts]
+    kind, value, end = known.look_up([w for t in lines for line in t for w in line])
+    text = np.repeat(np.arange(len(texts)), [sum(map(len, t)) for t in lines])
     real = np.flatnonzero(kind != NOTHING)
-    kind, value, begins = kind[real], value[real], begins[real]
-    first = np.ones(len(kind), bool)
-    first[1:] = (kind[1:] != NAME) | (kind[:-1] != NAME) | begins[1:]
-    if not first.all():
-        starts = np.flatnonzero(first)
-        place = np.arange(len(kind)) - np.repeat(starts, np.diff(np.append(starts, len(kind))))
-        value = np.where(kind == NAME, value * (2 * place.astype(np.uint64) + np.uint64(1)), value)  # John Smith is not Smith John
-        value, kind = np.add.reduceat(value, starts), kind[starts]
-    return np.where(kind == LITERAL_KIND, value, kind.astype(np.uint64)), kind, value
-
-
-def templates(texts: list[bytes | None], known: Lexicon) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    split = [t.split() if t else [] for t in texts]
-    kind, value, end = known.look_up([w for part in split for w in part])
-    at = np.cumsum([0, *map(len, split)])
-    return (template(kind[a:b], value[a:b], end[a:b]) for a, b in zip(at[:-1], at[1:], strict=True))
-
-
-def windows(token: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the window that starts at each token."""
-    n = len(token) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.full(n, np.uint64(size))
-    for i in range(size):
-        out = out * _BASE + token[i : i + n]
-        out ^= out >> np.uint64(29)
-    return out
-
-
-def _hits(texts: DataFrame, sizes: list[int] | None, test, longest: int) -> DataFrame:
-    """``id, h, pos, slots, exact`` of windows that pass ``test``; ``slots``: kind and value in order."""
+    ended = np.append(0, np.cumsum(end))[real]  # a word begins if anything since the last one ended a sentence
+    begins = (np.diff(ended, prepend=-1) > 0) | (np.diff(text[real], prepend=-1) > 0)
+    kind, value, text = kind[real], value[real], text[real]
+    for reading in (PLAIN, AS_LITERAL):
+        yield Reading(reading, kind, value, begins, text, len(texts))
+
+
+def _hits(texts: DataFrame, sizes: list[tuple[bool, int]] | None, test, longest: int) -> DataFrame:
+    """``id, h, reading, pos, size, slots, whole`` of windows that pass ``test``.
+
+    ``slots``: kind and value in order; ``whole``: windows of the text. A plain window is there
+    once a text. ``sizes``: whether of plain words, and length; None: each text's own.
+    """
+
+    def one(r: Reading, size: int, ids: np.ndarray) -> Iterator[tuple]:
+        at, h = r.windows(size)
+        fit = test(h)
+        if sizes is None:
+            fit &= np.minimum(r.length, longest)[r.text[at]] == size
+        at, h = at[fit], h[fit]
+        if r.reading == PLAIN:
+            keep = ~pd.DataFrame({"t": r.text[at], "h": h}).duplicated().to_numpy()
+            at, h = at[keep], h[keep]
+        for p, own in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
+            t = r.text[p]
+            whole = r.length[t] - size + 1
+            if r.reading == PLAIN:
+                yield ids[t], own, PLAIN, p - r.first[t], size, [], whole
+                continue
+            literal = r.kind[p : p + size] == LITERAL_KIND
+            if len(set(r.token[p : p + size][literal].tolist())) >= LITERAL * size:
+                slots = np.flatnonzero(~literal) + p
+                yield ids[t], own, r.reading, p - r.first[t], size, [f"{r.kind[s]}:{r.value[s]:x}" for s in slots], whole
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = words()
         for b in batches:
             out = []
-            found = (x for a in range(0, len(b), TEXTS) for x in templates(list(b["t"].iloc[a : a + TEXTS]), known))
-            for i, (token, kind, value) in zip(b["id"].astype(object), found, strict=True):
-                own = sizes if sizes is not None else [min(longest, len(token))]
-                for size in own:
-                    if size < SHORTEST:
-                        continue
-                    h = windows(token, size)
-                    for p in np.flatnonzero(test(h)).tolist():
-                        literal = kind[p : p + size] == LITERAL_KIND
-                        if len(set(token[p : p + size][literal].tolist())) < LITERAL * size:
-                            continue
-                        slots = np.flatnonzero(~literal) + p
-                        values = [f"{kind[s]}:{value[s]:x}" for s in slots]
-                        out.append((i, h[p : p + 1].view(np.int64)[0], p, size, values))
-            yield pd.DataFrame(out, columns=["id", "h", "pos", "size", "slots"])
-
-    return rows.map_frames(texts, run, f"id {dict(texts.dtypes)['id']}, h bigint, pos int, size int, slots array<string>")
+            for a in range(0, len(b), TEXTS):
+                part = b.iloc[a : a + TEXTS]
+                ids = part["id"].astype(object).to_numpy()
+                for r in readings(list(part["t"]), known):
+                    plain = r.reading == PLAIN
+                    for size in range(1 if plain else SHORTEST, longest + 1):
+                        if sizes is None or (plain, size) in sizes:
+                            out += one(r, size, ids)
+            yield pd.DataFrame(out, columns=["id", "h", "reading", "pos", "size", "slots", "whole"])
+
+    kind = dict(texts.dtypes)["id"]
+    return rows.map_frames(texts, run, f"id {kind}, h bigint, reading int, pos int, size int, slots array<string>, whole int")
+
+
+class Stretch:
+    """Slot pairs of consecutive windows: consistent if no value of the item became two and no two names or units one."""
+
+    def __init__(self):
+        self.pairs, self.images, self.sources = Counter(), Counter(), Counter()
+
+    def add(self, pairs: set[tuple[str, str]]) -> None:
+        for theirs, ours in pairs:
+            if not self.pairs[theirs, ours]:
+                self.images[theirs] += 1
+                self.sources[ours] += 1
+            self.pairs[theirs, ours] += 1
+
+    def drop(self, pairs: set[tuple[str, str]]) -> None:
+        for theirs, ours in pairs:
+            self.pairs[theirs, ours] -= 1
+            if not self.pairs[theirs, ours]:
+                self.images[theirs] -= 1
+                self.sources[ours] -= 1
+
+    def takes(self, pairs: set[tuple[str, str]]) -> bool:
+        return all(self.images[t] == 1 and self.sources[o] == 1 for t, o in pairs)
+
+
+def judge(found: list[tuple], whole: int, window: int) -> tuple[int, int, bool | None, int]:
+    """Windows, tokens and whether all values are equal of the best stretch (None: there is none), and contradicted equal windows.
+
+    ``found``: ``at, size, theirs, ours`` of the windows of one alignment, in order. Values that
+    differ need a consistent map over all of the alignment that covers enough of the item,
+    or a long stretch with one.
+    """
+    pairs = [set(zip(f[2], f[3], strict=True)) for f in found]
+    same = [all(t == o for t, o in p) for p in pairs]
+    held, start, best = Stretch(), 0, (0, 0)
+    if all((held.add(p), held.takes(p))[1] for p in pairs):
+        best = (len(pairs), 0)
+    n, start = best[0], -best[1]
+    equal = n > 0 and all(same[start : start + n])
+    if n == len(found):
+        fine = n > 0
+    else:
+        fine = False
+    if not fine:
+        return 0, 0, None, 0 if n == len(found) else sum(same)
+    return n, max(f[0] + f[1] for f in found[start : start + n]) - found[start][0], equal, 0 if n == len(found) else sum(same)
+
+
+def _judged(runs: DataFrame, item: str, window: int) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for i, name, whole, found in zip(b["id"], b["name"].astype(object), b["whole"], b["found"], strict=True):
+                n, size, equal, against = judge([(f["at"], f["size"], f["theirs"], f["slots"]) for f in found], whole, window)
+                out.append((i, None if pd.isna(name) else name, n, size, equal, against))
+            yield pd.DataFrame(out, columns=["id", "name", "n_windows", "n_tokens", "same", "against"])
+
+    kinds = dict(runs.dtypes)
+    schema = f"id {kinds['id']}, name {kinds[item]}, n_windows bigint, n_tokens int, same boolean, against int"
+    return rows.map_frames(runs.select("id", F.col(item).alias("name"), "whole", "found"), run, schema).withColumnRenamed("name", item)
 
 
 def contaminated(
@@ -142,31 +235,44 @@ def contaminated(
 
     Columns ``also`` of the documents are added.
 
-    A match is an aligned run of windows with equal templates (several runs: the one with most
-    windows counts) whose slot values map one to one; ``same_values`` tells a copy from a
-    question with other values. Items with fewer tokens than ``window`` must be there whole;
+    A match is a window of equal words, or an aligned run of windows with equal templates
+    (several: the one with most windows counts) whose slot values map consistently and that
+    covers enough of the item; ``same_values`` tells a copy from a question with other
+    values. Equal windows inside a run whose values contradict each other count if they are
+    many enough for themselves. Items with fewer tokens than ``window`` must be there whole;
     those under SHORTEST tokens, and windows with too few different literal tokens, match
-    nothing. Null and empty texts match nothing; null and repeated keys or items are matched
-    as they are and returned once a row and item. Other columns are ignored.
+    word for word only. Null and empty texts match nothing; null and repeated keys or items
+    are matched as they are and returned once a row and item. Other columns are ignored.
     """
     spark = docs.sparkSession
     asked = benchmark.select(F.col(item).alias("id"), F.col(text).cast("binary").alias("t"))
     wanted = rows.written(_hits(asked, None, lambda h: np.ones(len(h), bool), window).distinct(), "benchmark-windows")
-    sizes = sorted(r[0] for r in wanted.select("size").distinct().collect())
+    plain = F.col("reading") == PLAIN
+    sizes = [tuple(r) for r in wanted.select(plain, "size").distinct().collect()]
     share = spark.sparkContext.broadcast(rows.bit_filter(wanted, "h", FILTER_BITS))
     numbered = rows.numbered(docs.select(*dict.fromkeys((key, text, *also))), key)
     texts = numbered.select(F.col(rows.ROW).alias("id"), F.col(text).cast("binary").alias("t"))
-    found = _hits(texts, sizes, lambda h: rows.in_filter(share.value, h), window)
-    asked_for = wanted.select("h", "size", F.col("id").alias(item), F.col("pos").alias("at"), F.col("slots").alias("theirs"))
-    met = found.join(rows.small(asked_for), ["h", "size"]).where(F.size("slots") == F.size("theirs"))
-    pairs = F.arrays_zip("theirs", "slots")
-    runs = met.groupBy("id", item, (F.col("pos") - F.col("at")).alias("shift")).agg(
-        F.count_distinct("at").alias("n_windows"),
-        (F.max(F.col("at") + F.col("size")) - F.min("at")).alias("n_tokens"),
-        F.array_distinct(F.flatten(F.collect_set(pairs))).alias("map"),
+    found = rows.written(_hits(texts, sizes, lambda h: rows.in_filter(share.value, h), window).drop("whole"), "document-windows")
+    # Templates.
+    asked_for = wanted.where(~plain).select(
+        "h", "size", F.col("id").alias(item), F.col("pos").alias("at"), F.col("slots").alias("theirs"), F.col("reading").alias("read"), "whole"
     )
-    one_to_one = (F.size("map") == F.size(F.array_distinct("map.theirs"))) & (F.size("map") == F.size(F.array_distinct("map.slots")))
-    sure = runs.where(one_to_one).withColumn("same", F.forall("map", lambda m: m["theirs"] == m["slots"]))
-    best = sure.groupBy("id", item).agg(F.max(F.struct("n_windows", "n_tokens", "same")).alias("best"))
+    met = found.where(~plain).join(rows.small(asked_for), ["h", "size"]).where(F.size("slots") == F.size("theirs"))
+    aligned = met.groupBy("id", item, "read", "reading", "whole", (F.col("pos") - F.col("at")).alias("shift"))
+    runs = aligned.agg(F.sort_array(F.collect_set(F.struct("at", "size", "theirs", "slots"))).alias("found"))
+    sure = F.when(F.col("same").isNotNull(), F.struct("n_windows", "n_tokens", "same"))
+    other = _judged(runs, item, window).select("id", item, sure.alias("run"), F.lit(None).alias("copy"), F.lit(None).alias("need"), "against")
+    # Equal words.
+    asked_for = wanted.where(plain).groupBy("h", "size", F.col("id").alias(item)).agg(F.min("pos").alias("at"), F.min("whole").alias("whole"))
+    met = found.where(plain).select("id", "h", "size").join(rows.small(rows.written(asked_for, "benchmark-words")), ["h", "size"])
+    span = (F.max(F.col("at") + F.col("size")) - F.min("at")).alias("n_tokens")
+    need = F.least(F.min("whole") * COVER, F.lit(float(LONG * window))).alias("need")
+    copies = met.groupBy("id", item).agg(F.count_distinct("h").alias("n_windows"), span, need)
+    copy = F.struct("n_windows", "n_tokens", F.lit(True).alias("same")).alias("copy")
+    equal = copies.select("id", item, F.lit(None).alias("run"), copy, "need", F.lit(0).alias("against"))
+    every = other.unionByName(equal).groupBy("id", item)
+    every = every.agg(F.max("run").alias("run"), F.max("copy").alias("copy"), F.max("need").alias("need"), F.max("against").alias("against"))
+    enough = F.col("copy.n_windows") > F.col("against")
+    best = every.select("id", item, F.greatest("run", F.when(enough, F.col("copy"))).alias("best")).where("best IS NOT NULL")
     named = best.withColumnRenamed("id", rows.ROW).join(numbered.select(*dict.fromkeys((rows.ROW, key, *also))), rows.ROW)
     return named.select(key, *also, item, "best.n_windows", "best.n_tokens", F.col("best.same").alias("same_values"))
