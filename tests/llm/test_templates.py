@@ -14,3 +14,10 @@ def test_thin_and_short_items(spark):
     sums = "Compute 12 + 15 + 18 + 21 + 24 + 27."
     assert found(spark, sums, "So here: " + sums + " Well.", sums.replace("12", "13").replace("24", "25"), "nothing") == {0: True}
     assert found(spark, "Define photosynthesis.", "Please define photosynthesis now.", "define it") == {0: True}
+
+
+def test_sentence_starts(spark):
+    item = "Tom has 12 pears. Tom eats 4 pears. How many are left?"
+    assert found(spark, item, "Ask this. Ida has 15 pears. Ida eats 6 pears. How many are left?") == {0: False}
+    item = "What is the capital of Peru in winter?"
+    assert found(spark, item, "Quiz page\n" + item, "Quiz page\n" + item.replace("Peru", "Chile"), "- " + item) == {0: True, 1: False, 2: True}

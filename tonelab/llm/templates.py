@@ -112,13 +112,17 @@ def readings(texts: list[bytes | None], known: Lexicon) -> Iterator[Reading]:
     """The plain words, and the two templates; one if no title-case word begins a sentence or line."""
     lines = [[line.split() for line in t.splitlines()] if t else [] for t in texts]
     kind, value, end = known.look_up([w for t in lines for line in t for w in line])
+    per_line = np.array([len(line) for t in lines for line in t], np.int64)
+    end = end.copy()
+    end[np.cumsum(per_line)[per_line > 0] - 1] = True
     text = np.repeat(np.arange(len(texts)), [sum(map(len, t)) for t in lines])
     real = np.flatnonzero(kind != NOTHING)
     ended = np.append(0, np.cumsum(end))[real]  # a word begins if anything since the last one ended a sentence
-    begins = (np.diff(ended, prepend=-1) > 0) | (np.diff(text[real], prepend=-1) > 0)
+    begins = np.diff(ended, prepend=-1) > 0
     kind, value, text = kind[real], value[real], text[real]
-    for reading in (PLAIN, AS_LITERAL):
-        yield Reading(reading, kind, value, begins, text, len(texts))
+    for reading in (PLAIN, AS_LITERAL, AS_NAME):
+        if reading != AS_NAME or (begins & (kind == NAME)).any():
+            yield Reading(reading, kind, value, begins, text, len(texts))
 
 
 def _hits(texts: DataFrame, sizes: list[tuple[bool, int]] | None, test, longest: int) -> DataFrame:
