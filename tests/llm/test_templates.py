@@ -21,3 +21,9 @@ def test_sentence_starts(spark):
     assert found(spark, item, "Ask this. Ida has 15 pears. Ida eats 6 pears. How many are left?") == {0: False}
     item = "What is the capital of Peru in winter?"
     assert found(spark, item, "Quiz page\n" + item, "Quiz page\n" + item.replace("Peru", "Chile"), "- " + item) == {0: True, 1: False, 2: True}
+
+
+def test_chance_meeting(spark):
+    item = "He wrote a long history of the North and the South in the War of those years which nobody has read since then at all"
+    text = "She left some money of the Bank and the Court in the City of her birth to a cousin"
+    assert found(spark, item, text, item.replace("North", "East").replace("South", "West")) == {1: False}

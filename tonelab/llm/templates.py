@@ -209,7 +209,9 @@ def judge(found: list[tuple], whole: int, window: int) -> tuple[int, int, bool |
     n, start = best[0], -best[1]
     equal = n > 0 and all(same[start : start + n])
     if n == len(found):
-        fine = n > 0
+        again = any(len(set(f[2])) < len(f[2]) and not s for f, s in zip(found, same, strict=True))
+        ends = found[0][0] == 0 and found[-1][0] == whole - 1
+        fine = equal or ends or n >= min(COVER * whole, LONG * window) or (n > 1 and again)
     else:
         fine = False
     if not fine:
