@@ -27,3 +27,10 @@ def test_chance_meeting(spark):
     item = "He wrote a long history of the North and the South in the War of those years which nobody has read since then at all"
     text = "She left some money of the Bank and the Court in the City of her birth to a cousin"
     assert found(spark, item, text, item.replace("North", "East").replace("South", "West")) == {1: False}
+
+
+def test_contradictions(spark):
+    item = "The old mill has 12 wheels and " + " ".join(f"w{i}x" for i in range(40)) + " and then the new mill got 12 more of them"
+    assert set(found(spark, item, item.replace("12", "31", 1))) == {0}
+    item = "A farmer sells 3 geese and 5 ducks at the market"
+    assert found(spark, item, item.replace("3", "4").replace("5", "4")) == {0: False}

@@ -191,7 +191,8 @@ class Stretch:
                 self.sources[ours] -= 1
 
     def takes(self, pairs: set[tuple[str, str]]) -> bool:
-        return all(self.images[t] == 1 and self.sources[o] == 1 for t, o in pairs)
+        number = f"{NUMBER}:"
+        return all(self.images[t] == 1 and (o.startswith(number) or self.sources[o] == 1) for t, o in pairs)
 
 
 def judge(found: list[tuple], whole: int, window: int) -> tuple[int, int, bool | None, int]:
@@ -204,8 +205,12 @@ def judge(found: list[tuple], whole: int, window: int) -> tuple[int, int, bool |
     pairs = [set(zip(f[2], f[3], strict=True)) for f in found]
     same = [all(t == o for t, o in p) for p in pairs]
     held, start, best = Stretch(), 0, (0, 0)
-    if all((held.add(p), held.takes(p))[1] for p in pairs):
-        best = (len(pairs), 0)
+    for i, p in enumerate(pairs):
+        held.add(p)
+        while not held.takes(p) and start <= i:
+            held.drop(pairs[start])
+            start += 1
+        best = max(best, (i + 1 - start, -start))
     n, start = best[0], -best[1]
     equal = n > 0 and all(same[start : start + n])
     if n == len(found):
@@ -213,7 +218,7 @@ def judge(found: list[tuple], whole: int, window: int) -> tuple[int, int, bool |
         ends = found[0][0] == 0 and found[-1][0] == whole - 1
         fine = equal or ends or n >= min(COVER * whole, LONG * window) or (n > 1 and again)
     else:
-        fine = False
+        fine = n >= LONG * window
     if not fine:
         return 0, 0, None, 0 if n == len(found) else sum(same)
     return n, max(f[0] + f[1] for f in found[start : start + n]) - found[start][0], equal, 0 if n == len(found) else sum(same)
@@ -278,7 +283,7 @@ def contaminated(
     equal = copies.select("id", item, F.lit(None).alias("run"), copy, "need", F.lit(0).alias("against"))
     every = other.unionByName(equal).groupBy("id", item)
     every = every.agg(F.max("run").alias("run"), F.max("copy").alias("copy"), F.max("need").alias("need"), F.max("against").alias("against"))
-    enough = F.col("copy.n_windows") > F.col("against")
+    enough = (F.col("copy.n_windows") > F.col("against")) | (F.col("copy.n_windows") >= F.col("need"))
     best = every.select("id", item, F.greatest("run", F.when(enough, F.col("copy"))).alias("best")).where("best IS NOT NULL")
     named = best.withColumnRenamed("id", rows.ROW).join(numbered.select(*dict.fromkeys((rows.ROW, key, *also))), rows.ROW)
     return named.select(key, *also, item, "best.n_windows", "best.n_tokens", F.col("best.same").alias("same_values"))
