@@ -44,6 +44,7 @@ class Encoder:
     The tokenizer lowers case and never joins characters across white space, nor a letter and
     a sign. So words are encoded one by one, without signs at their end, and frequent ones once.
     A word of plain letters goes to the tokenizer's model as it is, others through all its steps.
+    A text is cut at special tokens as they are written, before lowering; each is its id.
     """
 
     def __init__(self, path: str):
@@ -51,7 +52,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.without_special = Tokenizer.from_file(path)  # for what lowering turns into special tokens
+        self.without_special.encode_special_tokens = True
+        special = {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.special = {t: np.array([i], "<u4").tobytes() for t, i in special.items()}
+        longest = sorted(special, key=len, reverse=True)
+        self.at_special = re.compile(b"(" + b"|".join(map(re.escape, longest)) + b")") if special else None
         self.known: dict[bytes, bytes] = {}
         self.model = self.tokenizer.model
         spell = self.tokenizer.pre_tokenizer.pre_tokenize_str
@@ -59,6 +65,13 @@ class Encoder:
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
 
     def encode(self, text: bytes | None) -> bytes:
+        if not text or not self.at_special or not self.at_special.search(text):
+            return self.plain(text)
+        parts = self.at_special.split(text)
+        return b"".join(self.special[p] if i % 2 else self.plain(p) for i, p in enumerate(parts))
+
+    def plain(self, text: bytes | None) -> bytes:
+        """Ids of a text without special tokens; those that lower case makes are no special tokens."""
         words = text.lower().split() if text else []
         new = set(words).difference(self.known)
         if len(self.known) + 2 * len(new) > REMEMBERED:
@@ -97,7 +110,7 @@ class Encoder:
         self.known.update((w, self.known[a] + self.known[b]) for w, (a, b) in parts.items())
 
     def ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self.without_special.encode(text, add_special_tokens=False).ids, "<u4")
 
 
 @functools.cache
