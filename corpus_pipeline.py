@@ -14,10 +14,15 @@ from tonelab.llm import language, lines, packing, rows, simhash, templates
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in which no language is found: null texts and texts without a letter."""
+    """Drop documents in which no language is found: null texts and texts without a letter.
+
+    Texts with a letter stay, also if no row has taught a language.
+    """
+    letter = rows.OWN + "letter"
     whole = rows.numbered(docs, "doc_id")
-    found = language.identify(whole, also=(rows.ROW,))
-    return rows.without(whole, found.where(F.col("lang_pred") == language.UNKNOWN)).select(docs.columns)
+    told = whole.withColumn(letter, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    found = language.identify(told, also=(rows.ROW, letter))
+    return rows.without(whole, found.where((F.col("lang_pred") == language.UNKNOWN) & ~F.col(letter))).select(docs.columns)
 
 
 def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
