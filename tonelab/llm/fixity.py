@@ -31,18 +31,19 @@ def warc_record(key: Column, url: Column, body: Column) -> Column:
     return F.concat(*head, held, F.lit("\r\n\r\n"))
 
 
-def layout(records: DataFrame, key: str, record: str, per_archive: int = PER_ARCHIVE) -> DataFrame:
-    """``archive, offset, length, digest, key``: records placed one after the other, by key.
+def layout(records: DataFrame, key: str, record: str, per_archive: int = PER_ARCHIVE, also: tuple[str, ...] = ()) -> DataFrame:
+    """``archive, offset, length, digest, key`` and columns ``also``: records placed one after the other, by key.
 
     An archive holds the records of ``per_archive`` consecutive keys, so no archive grows with
     the table; rows without a key are dealt to archives by their digest. Contents are hashed
     where they are; only digests are moved.
     """
-    narrow = records.select(F.col(key), F.octet_length(record).cast("bigint").alias("length"), F.sha2(F.col(record).cast("binary"), 256).alias("digest"))
+    length, digest = F.octet_length(record).cast("bigint").alias("length"), F.sha2(F.col(record).cast("binary"), 256).alias("digest")
+    narrow = records.select(F.col(key), length, digest, *also)
     number = F.coalesce(F.floor(F.col(key) / per_archive).cast("string"), F.concat(F.lit("x"), F.substring("digest", 1, 4)))
     ahead = Window.partitionBy("archive").orderBy(key, "digest").rowsBetween(Window.unboundedPreceding, -1)
     placed = narrow.withColumn("archive", F.concat(F.lit("pages-"), number))
-    return placed.select("archive", F.coalesce(F.sum("length").over(ahead), F.lit(0)).alias("offset"), "length", "digest", key)
+    return placed.select("archive", F.coalesce(F.sum("length").over(ahead), F.lit(0)).alias("offset"), "length", "digest", key, *also)
 
 
 def tree(manifest: DataFrame, levels: int) -> list[DataFrame]:

@@ -84,13 +84,14 @@ def op9_warc_fixity(spark: SparkSession, sf: str) -> DataFrame:
     """Audit of a second replica in which some records are damaged, lost or cut off by rule."""
     pages = table(spark, sf, "pages")
     name = fixity.warc_record(F.col("page_id"), F.col("url"), F.col("html"))
-    ours = rows.written(fixity.layout(pages.select("page_id", name.alias("record")), "page_id", "record"), "layout")
-    part = F.col("page_id") % 97
+    part = F.coalesce(F.col("page_id") % 97, F.lit(-1))
     body = F.when(part == 0, F.overlay("html", F.lit("\0"), F.lit(1))).otherwise(F.col("html"))
     record = fixity.warc_record(F.col("page_id"), F.col("url"), body)
     record = F.when(part == 1, F.left(record, F.lit(100))).otherwise(record)
-    read = pages.select("page_id", F.octet_length(record).cast("bigint").alias("length"), F.sha2(record.cast("binary"), 256).alias("digest"))
-    theirs = ours.select("archive", "offset", "page_id").join(read.where(part != 2), "page_id")
+    read = (F.octet_length(record).cast("bigint").alias("their_length"), F.sha2(record.cast("binary"), 256).alias("their_digest"))
+    both = fixity.layout(pages.select("page_id", name.alias("record"), *read), "page_id", "record", also=("their_length", "their_digest"))
+    ours = rows.written(both, "layout")
+    theirs = ours.where(part != 2).select("archive", "offset", "page_id", F.col("their_length").alias("length"), F.col("their_digest").alias("digest"))
     return fixity.audit(ours, theirs, "page_id")
 
 
