@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonelab.llm import embeddings, fixity, language, lines, packing, rows, simhash, spans, suffix_tree, templates, tokens
+from tonelab.llm import embeddings, fim, fixity, language, lines, packing, rows, simhash, spans, suffix_tree, templates, tokens
 from tonelab.llm.rows import table
 
 
@@ -122,11 +122,40 @@ def op10_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
+    """Cuts of all texts, and digests of the new text and of the text rebuilt from it."""
+    done = fim.fill_in_middle(table(spark, sf, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return done.select(
+        "doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", digest(F.col("fim_text")).alias("output_sha256"),
+        digest(fim.restored(F.col("fim_text"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
+#: The units as a list, cut in three.
+MIDDLE_SQL = r"""
+WITH drawn AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || doc_id) AS digest FROM documents),
+cut AS (
+  SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+         list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(digest, i, 8))::BIGINT) AS h FROM drawn),
+placed AS (
+  SELECT *, len(units) AS n, least(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS a, greatest(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50 THEN 'plain'
+              WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM cut),
+parts AS (
+  SELECT *, array_to_string(units[1:a], '') AS p, array_to_string(units[a + 1:b], '') AS m, array_to_string(units[b + 1:], '') AS s FROM placed)
+SELECT doc_id, n, form, CASE WHEN form != 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form != 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+              ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_lm_scoring, op2_embedding_near_dedup, op3_benchmark_decontamination, op4_language_id, op5_substring_dedup, op6_line_dedup,
-        op7_simhash_near_dedup, op8_packing, op9_warc_fixity, op10_token_counts,
+        op7_simhash_near_dedup, op8_packing, op9_warc_fixity, op10_token_counts, op11_fill_in_middle,
     )
 
 }
-ORACLE: dict[str, str] = {"op6_line_dedup": LINE_SQL, "op9_warc_fixity": FIXITY_SQL}
+ORACLE: dict[str, str] = {"op6_line_dedup": LINE_SQL, "op9_warc_fixity": FIXITY_SQL, "op11_fill_in_middle": MIDDLE_SQL}
