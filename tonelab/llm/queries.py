@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonelab.llm import embeddings, fim, fixity, language, lines, packing, rows, simhash, spans, suffix_tree, templates, tokens
+from tonelab.llm import embeddings, fim, fixity, language, lines, manifest, mixing, packing, rows, simhash, spans, suffix_tree, templates, tokens
 from tonelab.llm.rows import table
 
 
@@ -151,11 +152,101 @@ FROM parts
 """
 
 
+def op12_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Proofs of all documents; of a third of them the text is lower-cased before it is verified."""
+    docs = table(spark, sf, "documents")
+    hurt = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    other = rows.OWN + "other"
+    told = docs.withColumn(other, manifest.leaf(docs, text=F.when(hurt, lowered).otherwise(F.col("text"))))
+    made = manifest.build(told, also=other)
+    found = manifest.prove(made)
+    folded = manifest.fold(F.col("other"), F.col("path"))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", manifest.proof(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"),
+        (folded == F.col("root")).alias("verified"),
+    )
+
+
+def op13_source_mix(spark: SparkSession, sf: str) -> DataFrame:
+    _, accounts = mixing.mix(table(spark, sf, "documents"))
+    return accounts.select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: The trees level by level; siblings of every node on a leaf's path; the damaged leaf folded up again.
+MANIFEST_SQL = """
+WITH RECURSIVE told AS (
+  SELECT *, doc_id::VARCHAR AS id, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM documents),
+coded AS (
+  SELECT *, list_reduce(list_concat([4294967295::BIGINT], range(8 * strlen(id))::BIGINT[]), lambda c, i:
+    CASE WHEN xor(c, CASE WHEN i % 8 = 0 THEN ord(substr(id, (i // 8)::INT + 1, 1)) ELSE 0 END) % 2 = 1
+         THEN xor(xor(c, CASE WHEN i % 8 = 0 THEN ord(substr(id, (i // 8)::INT + 1, 1)) ELSE 0 END) // 2, 3988292384)
+         ELSE xor(c, CASE WHEN i % 8 = 0 THEN ord(substr(id, (i // 8)::INT + 1, 1)) ELSE 0 END) // 2 END) AS crc FROM told),
+leaves AS (
+  SELECT doc_id, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id) - 1 AS rank, count(*) OVER (PARTITION BY tree) AS n,
+         head, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(strlen(text) || ':' || CASE WHEN xor(crc, 4294967295) % 3 = 0
+                THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END, '-')) AS other
+  FROM (SELECT *, coalesce(strlen(id) || ':' || id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+               || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head FROM coded)),
+low AS (
+  SELECT 0 AS h, tree, rank AS pos, leaf AS digest, n FROM leaves
+  UNION ALL
+  SELECT h + 1, tree, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)), (n + 7) // 8 FROM low WHERE n > 1 GROUP BY h, tree, pos // 8, n),
+high AS (
+  SELECT 0 AS h, tree AS pos, digest, count(*) OVER () AS n FROM low WHERE n = 1
+  UNION ALL
+  SELECT h + 1, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)), (n + 7) // 8 FROM high WHERE n > 1 GROUP BY h, pos // 8, n),
+all_nodes AS (SELECT 0 AS part, h, tree, pos, digest, n FROM low UNION ALL SELECT 1, h, 0, pos, digest, n FROM high),
+climb AS (
+  SELECT doc_id, tree AS home, 0 AS part, 0 AS h, tree, rank AS pos, other AS mine, n FROM leaves
+  UNION ALL
+  SELECT doc_id, home, CASE WHEN n = 1 THEN 1 ELSE part END, CASE WHEN n = 1 THEN 0 ELSE h + 1 END, CASE WHEN n = 1 THEN 0 ELSE tree END,
+         CASE WHEN n = 1 THEN home ELSE pos // 8 END,
+         CASE WHEN n = 1 THEN mine ELSE (
+           SELECT sha256(string_agg(CASE WHEN a.pos = c.pos THEN c.mine ELSE a.digest END, '' ORDER BY a.pos))
+           FROM all_nodes a WHERE a.part = c.part AND a.h = c.h AND a.tree = c.tree AND a.pos // 8 = c.pos // 8) END,
+         CASE WHEN n = 1 THEN (SELECT max(n) FROM high) ELSE (n + 7) // 8 END
+  FROM climb c WHERE part = 0 OR n > 1),
+proofs AS (
+  SELECT doc_id, sha256(coalesce(string_agg(a.digest, '' ORDER BY c.part, c.h, a.pos) FILTER (a.pos != c.pos), '')) AS proof_sha256
+  FROM climb c LEFT JOIN all_nodes a ON c.n > 1 AND a.part = c.part AND a.h = c.h AND a.tree = c.tree AND a.pos // 8 = c.pos // 8 GROUP BY doc_id)
+SELECT doc_id, leaf, low.digest AS subroot, high.digest AS root, proof_sha256, climb.mine AS folded_root, climb.mine = high.digest AS verified
+FROM leaves JOIN low ON low.tree = leaves.tree AND low.n = 1 JOIN high ON high.n = 1 JOIN proofs USING (doc_id)
+JOIN climb USING (doc_id) WHERE climb.part = 1 AND climb.n = 1
+"""
+
+
+#: Targets by taking the fullest sources out one after the other; words taken as stretches of a line.
+MIX_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         md5('42:' || (row_number() OVER (ORDER BY doc_id) - 1)) AS h FROM documents),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w
+  FROM sized GROUP BY source),
+filled AS (
+  SELECT *, coalesce(sum(2.0::DOUBLE * source_size) OVER below, 0) AS used, sum(w) OVER rest AS left_w, 1.5::DOUBLE * sum(source_size) OVER () AS wanted
+  FROM sources WINDOW below AS (ORDER BY source_size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+                      rest AS (ORDER BY source_size / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+stop AS (
+  SELECT wanted - used AS remaining, left_w FROM filled WHERE (wanted - used) * w / left_w <= 2 * source_size ORDER BY used, left_w DESC LIMIT 1),
+aims AS (
+  SELECT source, source_size, coalesce(least(remaining * w / left_w, 2.0::DOUBLE * source_size), 2.0::DOUBLE * source_size) AS target
+  FROM sources LEFT JOIN stop ON true),
+line AS (
+  SELECT doc_id, size, s.source, sum(size) OVER (PARTITION BY s.source ORDER BY h) - size AS a FROM sized s)
+SELECT doc_id, size, source_size, target,
+       (greatest(0, least(a + size, round(target)::BIGINT) - a) + greatest(0, least(a + size + source_size, round(target)::BIGINT) - a - source_size))::BIGINT AS taken
+FROM line JOIN aims ON line.source IS NOT DISTINCT FROM aims.source
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_lm_scoring, op2_embedding_near_dedup, op3_benchmark_decontamination, op4_language_id, op5_substring_dedup, op6_line_dedup,
-        op7_simhash_near_dedup, op8_packing, op9_warc_fixity, op10_token_counts, op11_fill_in_middle,
+        op7_simhash_near_dedup, op8_packing, op9_warc_fixity, op10_token_counts, op11_fill_in_middle, op12_merkle_manifest, op13_source_mix,
     )
 
 }
-ORACLE: dict[str, str] = {"op6_line_dedup": LINE_SQL, "op9_warc_fixity": FIXITY_SQL, "op11_fill_in_middle": MIDDLE_SQL}
+ORACLE: dict[str, str] = {"op6_line_dedup": LINE_SQL, "op9_warc_fixity": FIXITY_SQL, "op11_fill_in_middle": MIDDLE_SQL, "op12_merkle_manifest": MANIFEST_SQL, "op13_source_mix": MIX_SQL}
