@@ -4,11 +4,10 @@ import pytest
 
 import __spark_entry__ as contract
 from checks import compare
+from checks.oracle import ORACLE
+from checks.queries import QUERIES
 from tests.conftest import SMALL
 
-QUERIES = contract.queries()
-SQL = contract.oracle_sql()
-
 
 @pytest.fixture(scope="module")
 def con():
@@ -16,12 +15,13 @@ def con():
 
 
 def test_every_sql_has_a_query():
-    assert set(SQL) <= set(QUERIES)
+    assert set(ORACLE) <= set(QUERIES)
+    assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    problem, rows, _ = compare.difference(spark, con, SMALL, name)
+    problem, rows, _ = compare.difference(spark, con, SMALL, QUERIES[name], ORACLE.get(name))
     assert problem is None
     assert rows > 0
 
