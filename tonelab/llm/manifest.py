@@ -88,6 +88,7 @@ def build(docs: DataFrame, key: str = "doc_id", by: str = "lang", fields: Sequen
     """
     extra = F.col(also) if also else F.lit(None).cast("string")
     narrow = docs.select(F.col(by).alias("by"), F.col(key).alias("key"), leaf(docs, fields).alias("leaf"), extra.alias("other"))
+    narrow = rows.written(narrow, "narrow")  # the sort reads its input twice
     placed = rows.written(order.ranked(narrow, ["by"], ["key", "leaf"]).drop(order.NUMBER), "leaves")
     counted = rows.written(placed.groupBy("by").agg(F.count(F.lit(1)).alias("n")), "trees")
     numbers = rows.written(order.ranked(counted, [], ["by"], "tree").drop(order.NUMBER), "trees")

@@ -95,6 +95,7 @@ def measured(docs: DataFrame, key: str, source: str, text: str) -> DataFrame:
     The hash is that of the row's rank by key, source and text, so equal keys are spread as well.
     """
     narrow = docs.select(F.col(key).alias("key"), F.col(source).alias(SOURCE), words(F.col(text)).alias(SIZE), F.xxhash64(text).alias("text"))
+    narrow = rows.written(narrow, "narrow")  # the sort reads its input twice
     placed = order.ranked(narrow, [], ["key", SOURCE, "text"]).drop("text")
     return placed.withColumn(LINE, F.md5(F.concat(F.lit("42:"), F.col("rank").cast("string")).cast("binary"))).drop("rank")
 
