@@ -1,6 +1,7 @@
 """Substring dedup by sliding runs of consecutive sentences.
 
-A text is cut into sentences; long ones are cut further after words chosen by their hash, so
+A text is cut into sentences; long ones are cut further after words chosen by their hash, and
+where none is chosen for a while, after the least of the last few words, so
 copies of a passage are cut alike wherever it stands. Every run of consecutive sentences
 with enough words is hashed, hashes are joined over the whole table, and the sentences
 under a run that occurred before are removed.
@@ -22,8 +23,11 @@ from tonelab.llm.lexicon import Lexicon
 
 #: A run: the fewest sentences from its start on with at least so many sentences and words.
 SENTENCES, WORDS = 3, 24
-#: Sentences with more words are cut after words whose hash is divisible by CUT.
+#: Sentences with more words are cut after words whose hash is divisible by CUT, and after a word
+#: whose hash is the least of the last LONG words if none of those is chosen.
 LONG, CUT = 8, 3
+#: Bits of the filter that tells in which texts a repeated run may be.
+BITS = 1 << 27
 #: Texts that are cut at once.
 TEXTS = 256
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -70,7 +74,7 @@ class Cut:
         # Long sentences end after chosen words as well.
         last = np.flatnonzero(ends)
         size = np.diff(last, prepend=-1)
-        ends |= np.repeat(size > LONG, size) & (hashes % np.uint64(CUT) == 0)
+        ends |= _cuts_inside(hashes, np.append(0, last[:-1] + 1)[: len(last)], size)
         last = np.flatnonzero(ends)
         begin = np.append(0, last[:-1] + 1) if len(last) else last
         size = last + 1 - begin
@@ -93,8 +97,24 @@ class Cut:
         self.run_text, self.run_first, self.run_end = self.text[start], start, stop
 
 
+def _cuts_inside(hashes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """After which words long sentences are cut; a word is judged by the LONG words up to it alone.
+
+    In a run of one word every one is the least, in a repeated pattern its least word.
+    """
+    long = np.repeat(size > LONG, size)
+    chosen = hashes % np.uint64(CUT) == 0
+    least, upto = hashes.copy(), np.append(0, np.cumsum(chosen))
+    for back in range(1, LONG):
+        np.minimum(least[back:], hashes[:-back] if back < len(hashes) else hashes[:0], out=least[back:])
+    within = np.arange(len(hashes)) - np.repeat(begin, size)
+    at = np.arange(len(hashes)) + 1
+    none = upto[at] == upto[np.maximum(at - LONG, 0)]
+    return long & (chosen | ((within >= LONG - 1) & none & (hashes == least)))
+
+
 def _hashes(whole: DataFrame, text: str, least: int, words: int) -> DataFrame:
-    """``h``, ``_row``: each hash once a row."""
+    """``_row, hs``: the hashes of a row's runs, each once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = words_known()
@@ -102,9 +122,25 @@ def _hashes(whole: DataFrame, text: str, least: int, words: int) -> DataFrame:
             for at in range(0, len(b), TEXTS):
                 part = b.iloc[at : at + TEXTS]
                 cut = Cut(list(part["t"]), known, least, words)
-                yield pd.DataFrame({"h": cut.run_hash, rows.ROW: part[rows.ROW].to_numpy()[cut.run_text]}).drop_duplicates()
+                met = pd.DataFrame({"t": cut.run_text, "h": cut.run_hash}).drop_duplicates()
+                ends = np.searchsorted(met["t"].to_numpy(), np.arange(1, len(part)))
+                yield pd.DataFrame({rows.ROW: part[rows.ROW].to_numpy(), "hs": np.split(met["h"].to_numpy(), ends)})
+
+    return rows.map_frames(whole.select(rows.ROW, F.col(text).cast("binary").alias("t")), run, f"{rows.ROW} bigint, hs array<bigint>")
+
+
+def _maybe_repeated(found: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``h, _row``: the hashes that a filter of the repeated ones lets through; no repeated one is lost."""
+    held = found.sparkSession.sparkContext.broadcast(rows.bit_filter(repeated, "h", BITS))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            h = np.concatenate([np.zeros(0, np.int64), *b["hs"]])
+            whose = np.repeat(b[rows.ROW].to_numpy(), b["hs"].map(len))
+            may = rows.in_filter(held.value, h.view(np.uint64))
+            yield pd.DataFrame({"h": h[may], rows.ROW: whose[may]})
 
-    return rows.map_frames(whole.select(rows.ROW, F.col(text).cast("binary").alias("t")), run, f"h bigint, {rows.ROW} bigint")
+    return rows.map_frames(found, run, f"h bigint, {rows.ROW} bigint")
 
 
 def drop_repeated_spans(
@@ -114,16 +150,16 @@ def drop_repeated_spans(
 
     A sentence goes if it lies under a run of at least ``least`` sentences and ``words`` words
     that occurred before: in a row with a smaller ``key`` (nulls last), or earlier in its
-    own text. What is left keeps its bytes. Shorter texts have no run. A null text stays null.
+    own text. What is left keeps its bytes. Shorter texts have no run, very long ones are cut whole. A null text stays null.
     Rows are never dropped; a text may become empty. Equal rows: the first one stays whole.
     All other columns are returned as they are, but ``n_sentences`` and ``n_removed``, which
     are replaced. ``limit``: repeated hashes that may be broadcast.
     """
     whole = rows.numbered(docs, key)
-    found = _hashes(whole, text, least, words)
-    counted = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(rows.ROW).alias("first"))
+    found = rows.written(_hashes(whole, text, least, words), "runs")
+    counted = found.select(F.explode("hs").alias("h"), rows.ROW).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(rows.ROW).alias("first"))
     repeated = rows.written(counted.where("n > 1").select("h", "first"), "repeated-runs")
-    later = found.join(rows.small(repeated, limit=limit), "h").where(F.col(rows.ROW) > F.col("first"))
+    later = _maybe_repeated(found, repeated).join(rows.small(repeated, limit=limit), "h").where(F.col(rows.ROW) > F.col("first"))
     seen = rows.written(later.groupBy(rows.ROW).agg(F.collect_list("h").alias(SEEN)), "seen")
     size = seen.agg(F.sum(F.size(SEEN) + 1)).first()[0] or 0
     joined = whole.withColumn(BYTES, F.col(text).cast("binary")).join(rows.small(seen, size, limit), rows.ROW, "left")
