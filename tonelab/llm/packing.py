@@ -28,8 +28,8 @@ OPEN = 16
 #: Open windows of so many tasks are packed again in one task.
 FAN_IN = 32
 END = 1
-#: Words whose ids a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 1 << 20
+#: Words whose ids a worker remembers: half of them met lately, half before that.
+REMEMBERED = 1 << 18
 ID_BYTES = 4
 #: Words encoded in one call, parted by a digit, which is an id of its own; and signs at their end.
 JOINED, MARK, SIGNS = 256, "0", b".,;:!?"
@@ -59,6 +59,7 @@ class Encoder:
         longest = sorted(special, key=len, reverse=True)
         self.at_special = re.compile(b"(" + b"|".join(map(re.escape, longest)) + b")") if special else None
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.model = self.tokenizer.model
         spell = self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.spelling = str.maketrans({c: spell(c)[0][0] for c in ACCENTED})
@@ -74,9 +75,12 @@ class Encoder:
         """Ids of a text without special tokens; those that lower case makes are no special tokens."""
         words = text.lower().split() if text else []
         new = set(words).difference(self.known)
-        if len(self.known) + 2 * len(new) > REMEMBERED:
-            self.known.clear()
+        if len(self.known) + 2 * len(new) > REMEMBERED // 2:  # what was not met since the last time goes
+            self.older, self.known = self.known, {}
             new = set(words)
+        again = new & self.older.keys()
+        self.known.update((w, self.older[w]) for w in again)
+        new -= again
         if new:
             self.learn(new)
         return b"".join(map(self.known.__getitem__, words))
