@@ -13,16 +13,24 @@ from pyspark.sql import functions as F
 from tonelab.llm import language, lines, packing, rows, simhash, templates
 
 
+#: Cosine from which a predicted language that contradicts the recorded one is believed.
+SURE = 0.5
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents in which no language is found: null texts and texts without a letter.
+    """Drop documents in which no language is found, and those whose text is surely of another than the recorded one.
 
-    Texts with a letter stay, also if no row has taught a language.
+    Null texts and texts without a letter have none. Another language counts from a cosine of SURE
+    on, so short texts, of which little can be told, stay. Texts without a recorded language stay,
+    and so do all texts with a letter if no row has taught a language.
     """
     letter = rows.OWN + "letter"
     whole = rows.numbered(docs, "doc_id")
     told = whole.withColumn(letter, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    found = language.identify(told, also=(rows.ROW, letter))
-    return rows.without(whole, found.where((F.col("lang_pred") == language.UNKNOWN) & ~F.col(letter))).select(docs.columns)
+    found = language.identify(told, also=(rows.ROW, letter, "lang"))
+    none = (F.col("lang_pred") == language.UNKNOWN) & ~F.col(letter)
+    other = (F.col("lang_pred") != language.UNKNOWN) & (F.col("lang_pred") != F.col("lang")) & (F.col("score") >= SURE)
+    return rows.without(whole, found.where(none | other)).select(docs.columns)
 
 
 def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
