@@ -25,7 +25,7 @@ SPACE = 32
 #: Characters whose n-grams are counted at once, texts whose vectors are summed at once.
 CHARS, TEXTS = 1 << 20, 64
 #: n-grams whose vectors are held at once; n-gram counts of a task before they are passed on.
-GRAMS, HELD = 1 << 14, 1 << 20
+GRAMS, HELD = 1 << 12, 1 << 18
 
 
 @functools.cache

@@ -85,6 +85,9 @@ class Encoder:
             self.learn(new)
         return b"".join(map(self.known.__getitem__, words))
 
+    def forget(self) -> None:
+        self.known, self.older = {}, {}
+
     def learn(self, new: set[bytes]) -> None:
         parts, whole = {}, set()
         for w in new:
@@ -218,6 +221,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
             yield packer.rows()
         packer.leave()
         yield packer.rows()
+        code.forget()  # the worker lives on, for other work
 
     def again(level: int, last: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
