@@ -14,7 +14,7 @@ from tonelab.llm import language, lines, packing, rows, simhash, templates
 
 
 #: Cosine from which a predicted language that contradicts the recorded one is believed.
-SURE = 0.5
+SURE = 0.9
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
