@@ -704,3 +704,89 @@ UNION ALL SELECT NULL, count(*), true FROM three""",
   true AS beats_majority FROM roles GROUP BY label""",
     ),
 }
+
+
+# --- trained classifier ---------------------------------------------------------
+
+# Places, factor of the learning rate and patience, as the queries have them.
+WIDTH, STEP, PATIENCE = 2048, 100000, 1
+TRIAL_SQL = {n: drawn(n, p, "'classifier'") for n, p in CLASSIFIER_SPACE.items()}
+# One row per trial and step holds all weights as a list. A step joins the rows of its batch, adds up
+# their gradient by place (a zero for every place first) and moves the list.
+TRAINED = [
+    *BASE,
+    TWO,
+    *nested_ctes("two"),
+    "words AS (SELECT id, unnest(string_split_regex(lower(text), ' +')) AS token FROM two)",
+    f"""hits AS (
+  SELECT id, 1 + CAST('0x' || substr(md5(token), 1, 8) AS BIGINT) % {WIDTH - 1} AS i, count(*) AS n
+  FROM words WHERE token <> '' GROUP BY ALL)""",
+    """places AS (
+  SELECT id, i, n / sqrt((sum(n * n) OVER (PARTITION BY id))::DOUBLE) AS x FROM hits UNION ALL SELECT id, 0, 1.0 FROM two)""",
+    "vectors AS (SELECT id, list(i + 1 ORDER BY i) AS ix, list(x ORDER BY i) AS xs FROM places GROUP BY id)",
+    """rowz AS (
+  SELECT id, label, role, ix, xs, row_number() OVER (PARTITION BY role ORDER BY md5('42|' || id), id) - 1 AS pos
+  FROM roles JOIN vectors USING (id))""",
+    f"""trials AS (
+  SELECT trial, {TRIAL_SQL['learning_rate']} AS learning_rate, {TRIAL_SQL['per_device_train_batch_size']} AS b,
+    {TRIAL_SQL['num_train_epochs']} AS epochs, {TRIAL_SQL['weight_decay']} AS decay
+  FROM (SELECT unnest(range(1, {CLASSIFIER_TRIALS + 1}))::INTEGER AS trial))""",
+    "plan AS (SELECT *, (SELECT count(*) FROM rowz WHERE role = 'train') AS n FROM trials)",
+    f"""steps AS (
+  SELECT trial, 0 AS k, list_resize([]::DOUBLE[], {WIDTH}, 0.0) AS w FROM plan
+  UNION ALL
+  SELECT trial, k + 1, list_transform(w, lambda v, j: v * (1 - learning_rate * decay) - g[j]) FROM (
+    SELECT trial, k, any_value(w) AS w, any_value(learning_rate) AS learning_rate, any_value(decay) AS decay, list(g ORDER BY i) AS g FROM (
+      SELECT trial, k, i, any_value(w) AS w, any_value(learning_rate) AS learning_rate, any_value(decay) AS decay,
+        any_value(learning_rate) * {STEP} * sum(gx) / max(m) AS g FROM (
+        SELECT trial, k, w, learning_rate, decay, m, unnest(ix) AS i, unnest(list_transform(xs, lambda x: x * r)) AS gx FROM (
+          SELECT s.trial, s.k, s.w, p.learning_rate, p.decay, count(*) OVER (PARTITION BY s.trial) AS m,
+            ix || range(1, {WIDTH + 1}) AS ix, list_resize(xs, len(xs) + {WIDTH}, 0.0) AS xs,
+            1 / (1 + exp(-list_dot_product(list_select(s.w, ix), xs))) - label AS r
+          FROM steps s JOIN plan p USING (trial) JOIN rowz t ON t.role = 'train' AND t.pos // p.b = s.k % ((p.n + p.b - 1) // p.b)
+          WHERE s.k < p.epochs * ((p.n + p.b - 1) // p.b)))
+      GROUP BY trial, k, i)
+    GROUP BY trial, k))""",
+    """kept AS (
+  SELECT s.trial, s.k // ((n + b - 1) // b) AS epoch, w FROM steps s JOIN plan USING (trial)
+  WHERE k > 0 AND k % ((n + b - 1) // b) = 0)""",
+    """scores AS (
+  SELECT trial, epoch, id, role, label AS y_true, list_dot_product(list_select(w, ix), xs) AS z FROM kept, rowz WHERE role <> 'train')""",
+    """judged AS (
+  SELECT *, CASE WHEN z > 0 THEN 1 ELSE 0 END AS y_pred, ln(1 + exp(CASE y_true WHEN 1 THEN -z ELSE z END)) AS miss FROM scores)""",
+    *class_metrics("(SELECT * FROM judged WHERE role = 'val')", "trial, epoch, ", "vp"),
+    f"vo AS (SELECT trial, epoch, {OVERALL} FROM vp GROUP BY ALL)",
+    """whole AS (
+  SELECT trial, epoch, loss, accuracy, f1_macro FROM vo
+  JOIN (SELECT trial, epoch, avg(miss) AS loss FROM judged WHERE role = 'val' GROUP BY ALL) USING (trial, epoch))""",
+    """marked AS (
+  SELECT *, f1_macro > coalesce(max(f1_macro) OVER (PARTITION BY trial ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS better
+  FROM whole)""",
+    "since AS (SELECT *, max(epoch) FILTER (better) OVER (PARTITION BY trial ORDER BY epoch) AS record FROM marked)",
+    f"stops AS (SELECT trial, min(epoch) FILTER (epoch - record >= {PATIENCE}) AS stop_epoch, max(epoch) AS last_epoch FROM since GROUP BY trial)",
+    "logged AS (SELECT w.* FROM whole w JOIN stops USING (trial) WHERE epoch <= coalesce(stop_epoch, last_epoch))",
+    "tops AS (SELECT * FROM logged QUALIFY row_number() OVER (PARTITION BY trial ORDER BY f1_macro DESC, epoch) = 1)",
+    "winner AS (SELECT trial, epoch FROM tops ORDER BY f1_macro DESC, trial LIMIT 1)",
+]
+
+
+def recursive(ctes: list[str], body: str) -> str:
+    return with_(ctes, body).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+ORACLE |= {
+    "search_classifier": recursive(
+        TRAINED,
+        f"""SELECT trial, round(learning_rate, 6) AS learning_rate, b AS per_device_train_batch_size, epochs AS num_train_epochs,
+  round(decay, 6) AS weight_decay, (SELECT max(epoch) FROM logged l WHERE l.trial = t.trial) AS epochs_trained,
+  epoch AS best_epoch, {rounded(("loss", "accuracy", "f1_macro"))}, trial = (SELECT trial FROM winner) AS chosen
+FROM trials t JOIN tops USING (trial)""",
+    ),
+    "training_log": recursive(TRAINED, f"SELECT trial, epoch, {rounded(('loss', 'accuracy', 'f1_macro'))} FROM logged"),
+    "early_stop_trained": recursive(TRAINED, "SELECT trial, stop_epoch, last_epoch FROM stops"),
+    "best_epoch_restored": recursive(
+        TRAINED,
+        """SELECT id, y_true AS label, trial, epoch, y_pred AS pred_id, round(z, 6) AS log_odds
+FROM judged JOIN winner USING (trial, epoch) WHERE role = 'test'""",
+    ),
+}

@@ -10,7 +10,7 @@ from checks import inputs
 from tonelab.functions import generated, prompts, scores, text, tokens
 from tonelab.functions.labels import THREE_CLASS, TWO_CLASS
 from tonelab.operators import batch_scorer, clean, compare, keys, metrics, naive_bayes, runs, spark_ml, stratified, trials
-from tonelab.plans import holdout, kfold, search, text_to_text
+from tonelab.plans import holdout, kfold, search, text_to_text, training
 from tonelab.sources import scratch, tables
 
 DIGITS = 6
@@ -455,6 +455,37 @@ def search_best(spark, sf):
     return rounded(holdout.test_metrics(e))
 
 
+# Hashed places and patience of the trained classifier here.
+TRAIN_WIDTH, TRAIN_PATIENCE = 2048, 1
+
+
+def _trained(spark, sf):
+    return training.search_classifier(inputs.prepared(spark, sf, TWO_CLASS), TWO_CLASS, width=TRAIN_WIDTH, patience=TRAIN_PATIENCE)
+
+
+def search_classifier(spark, sf):
+    """The drawn settings of the classifier, trained together: one row per trial with its best epoch."""
+    return rounded(_trained(spark, sf).results())
+
+
+def training_log(spark, sf):
+    """Validation metrics after each epoch of each trial; stopped trials have no later epochs."""
+    return rounded(_trained(spark, sf).log)
+
+
+def early_stop_trained(spark, sf):
+    """Stop epochs found from the whole log of trials that were never stopped."""
+    prepared = inputs.prepared(spark, sf, TWO_CLASS)
+    log = training.search_classifier(prepared, TWO_CLASS, width=TRAIN_WIDTH, patience=None).log
+    return runs.early_stop(log, ["trial"], "f1_macro", patience=TRAIN_PATIENCE)
+
+
+def best_epoch_restored(spark, sf):
+    """Predictions of the test part by the weights of the best epoch, read back from the weight table."""
+    found = _trained(spark, sf).predict(columns=("row_key", "label"))
+    return rounded(found.select(F.col("row_key").alias("id"), "label", "trial", "epoch", "pred_id", F.col("logits")[1].alias("log_odds")))
+
+
 VECTOR_LENGTH = 64
 
 
@@ -575,6 +606,7 @@ QUERIES = {
         nb_model, nb_predict, nb_predict_large_vocabulary, predict_all, predict_all_repeated_ids, predict_test,
         holdout_metrics, holdout_report, holdout_confusion, kfold_results, kfold_summary,
         hp_trials, hp_trials_classifier, search_trials, search_best,
+        search_classifier, training_log, early_stop_trained, best_epoch_restored,
         batch_classifier, batch_text_model, text_experiment_metrics, text_experiment_export, logistic_regression,
         export_predictions, csv_round_trip, saved_model,
     )
