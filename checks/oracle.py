@@ -699,12 +699,48 @@ ORACLE |= {
 UNION ALL SELECT NULL, count(*), true FROM three""",
     ),
     "logistic_regression": with_(
-        [*BASE, TWO, *train_test_ctes("two")],
-        """SELECT label, count(*) FILTER (role = 'train') AS n_train, count(*) FILTER (role = 'test') AS n_test,
-  true AS beats_majority FROM roles GROUP BY label""",
+        [*BASE, TWO, *nested_ctes("two")],
+        """SELECT label, count(*) AS n_test, count(*) AS n_same, true AS beats_majority
+FROM roles WHERE role = 'test' GROUP BY label""",
     ),
+    "kfold_user_metrics": with_(
+        [
+            *KFOLD_RESULTS,
+            """sides AS (
+  SELECT K, fold, sum(tp) / sum(support) AS po, sum(support * predicted) / (sum(support) * sum(support)) AS pe,
+    avg(tp / support) FILTER (support > 0) AS eval_balanced_accuracy
+  FROM pc_s JOIN chosen USING (K, fold, setting) WHERE role = 'test' GROUP BY ALL)""",
+        ],
+        """SELECT K, fold, round((po - pe) / (1 - pe), 6) AS eval_kappa, round(eval_balanced_accuracy, 6) AS eval_balanced_accuracy,
+  round(po, 6) AS eval_accuracy FROM sides""",
+    ),
+    "count_estimator": with_(
+        [
+            *BASE,
+            TWO,
+            *ranked("two"),
+            *held("h1", "n0", 1, 5),
+            *fold_ctes(3),
+            """member AS (
+  SELECT 1 AS K, 1 AS fold, id, label, CASE WHEN role = 'test' THEN 'test' ELSE 'train' END AS role FROM folds
+  UNION ALL
+  SELECT 3, f.i, id, label, CASE WHEN role = 'fold' || f.i THEN 'val' ELSE 'train' END
+  FROM folds, (SELECT unnest([1, 2, 3]) AS i) f WHERE role <> 'test')""",
+            *model_ctes("two", 2, DEFAULT_SETTINGS),
+            *score_ctes("role <> 'train'"),
+            *MEASURED,
+            """winner AS (
+  SELECT setting FROM ov WHERE K = 3 AND role = 'val' GROUP BY setting ORDER BY round(avg(f1_macro), 12) DESC, setting LIMIT 1)""",
+        ],
+        """SELECT id AS row_key, y_true AS label, round(xs[2], 6) AS log_odds, y_pred
+FROM scored JOIN winner USING (setting) WHERE K = 1 AND role = 'test'""",
+    ),
+    "saved_artefact": PREDICT_ALL,
+    "stream_predictions": f"SELECT * EXCLUDE (sentiment) FROM ({PREDICT_ALL})",
 }
 
+ORACLE["predict_all_joined"] = ORACLE["predict_all"]
+
 
 # --- trained classifier ---------------------------------------------------------
 

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +13,7 @@ from checks import inputs
 from tonelab.functions import generated, prompts, scores, text, tokens
 from tonelab.functions.labels import THREE_CLASS, TWO_CLASS
 from tonelab.operators import batch_scorer, clean, compare, keys, metrics, naive_bayes, runs, spark_ml, stratified, trials
-from tonelab.plans import holdout, kfold, search, text_to_text, training
+from tonelab.plans import artefact, experiment, holdout, kfold, search, text_to_text, training
 from tonelab.sources import scratch, tables
 
 DIGITS = 6
@@ -390,6 +393,12 @@ def predict_all(spark, sf):
     return rounded(holdout.predict_all(_holdout(spark, sf)))
 
 
+def predict_all_joined(spark, sf):
+    """The same by the route for a model that no task can hold: scores joined to the texts."""
+    e = _holdout(spark, sf)
+    return rounded(experiment.predict_rows(e, e.chosen_candidate(holdout.HOLDOUT), lookup_bytes=0).drop("label"))
+
+
 def predict_all_repeated_ids(spark, sf):
     """Every review twice and once more without an id: each row gets its prediction, equal rows the same."""
     reviews = inputs.reviews(spark, sf)
@@ -546,21 +555,71 @@ def text_experiment_export(spark, sf):
 
 
 def logistic_regression(spark, sf):
-    """Spark ML fits over a grid, scored on test: rows per class and part, and whether the best
-    accuracy is at least the share of the largest class."""
-    rows = scratch.materialize(inputs.prepared(spark, sf, TWO_CLASS), "rows")
-    cuts = stratified.fit_cuts(rows, {"split": stratified.train_test()}, TWO_CLASS.ids)
+    """Spark ML fits over a grid on vectors written once, the best one on validation saved and loaded: test rows
+    per class, how many the loaded model predicts like the fitted one, and whether it beats the largest class."""
+    rows = scratch.materialize(inputs.prepared(spark, sf, TWO_CLASS).select("row_key", "text", "label"), "rows")
+    cuts = stratified.fit_cuts(rows, {"split": stratified.nested()}, TWO_CLASS.ids)
     rows = cuts.assign(rows, {"split": "role"})
-    train, test = (rows.filter(F.col("role") == part) for part in ("train", "test"))
-    pipeline = spark_ml.text_classifier(features=1 << 20)
-    model = pipeline.getStages()[-1]
+    front = spark_ml.text_front_end(features=1 << 18).fit(rows.filter("role = 'train'"))
+    vectors = scratch.materialize(front.transform(rows).select("row_key", "label", "role", "features"), "vectors")
+    train, val, test = (vectors.filter(F.col("role") == part) for part in ("train", "val", "test"))
+    model = LogisticRegression()
     grid = [{model.regParam: reg, model.maxIter: steps} for reg, steps in ((0.01, 10), (1000.0, 5))]
-    scored = [fitted.transform(test).select("label", "prediction") for _, fitted in pipeline.fitMultiple(train, grid)]
-    hits = [F.col("label") == F.col("prediction") for _ in scored]
-    best = F.greatest(*[F.lit(s.filter(h).count()) for s, h in zip(scored, hits, strict=True)])
-    parts = rows.groupBy("label").agg(F.count_if(F.col("role") == "train").alias("n_train"), F.count_if(F.col("role") == "test").alias("n_test"))
-    largest = parts.agg(F.max("n_test")).first()[0]
-    return parts.withColumn("beats_majority", best >= F.lit(largest))
+    fitted = dict(model.fitMultiple(train, grid))
+    evaluator = spark_ml.MetricEvaluator()
+    best = max(sorted(fitted), key=lambda i: evaluator.evaluate(fitted[i].transform(val)))
+    path = scratch.scratch_path(spark, "ml-model")
+    spark_ml.save_model(PipelineModel([*front.stages, fitted[best]]), path)
+    again = spark_ml.load_model(path).transform(rows.filter("role = 'test'")).select("row_key", F.col("prediction").alias("again"))
+    both = scratch.materialize(fitted[best].transform(test).select("row_key", "label", "prediction").join(again, "row_key"), "both")
+    hits = both.filter("label = again").count()
+    counts = both.groupBy("label").agg(F.count("*").alias("n_test"), F.count_if(F.col("prediction") == F.col("again")).alias("n_same"))
+    largest = counts.agg(F.max("n_test")).first()[0]
+    return counts.withColumn("beats_majority", F.lit(hits > largest))
+
+
+def count_estimator(spark, sf):
+    """The count model as a Spark ML stage: smoothing chosen by cross-validation on our folds, saved, loaded, test rows scored."""
+    rows = scratch.materialize(inputs.prepared(spark, sf, TWO_CLASS).select("row_key", "text", "label"), "rows")
+    cuts = stratified.fit_cuts(rows, {"k": stratified.kfold(3)}, TWO_CLASS.ids)
+    rows = cuts.assign(rows, {"k": "role"})
+    train = rows.filter("role <> 'test'").withColumn("fold", F.expr("CAST(substring(role, 5) AS INT) - 1"))
+    classifier = spark_ml.CountClassifier()
+    grid = [{classifier.smoothing: s} for s in (1.0, 0.1, 0.01)]
+    cv = CrossValidator(estimator=classifier, estimatorParamMaps=grid, evaluator=spark_ml.MetricEvaluator(), numFolds=3, foldCol="fold")
+    path = scratch.scratch_path(spark, "count-stage")
+    PipelineModel([cv.fit(train).bestModel]).write().save(path)
+    scored = spark_ml.load_model(path).transform(rows.filter("role = 'test'"))
+    return rounded(scored.select("row_key", "label", F.col("logits")[1].alias("log_odds"), F.col("prediction").cast("int").alias("y_pred")))
+
+
+def saved_artefact(spark, sf):
+    """Raw rows scored from the folder alone: cleaning rules, label domain, chosen setting and counts."""
+    path = scratch.scratch_path(spark, "artefact")
+    with _holdout(spark, sf) as e:
+        artefact.save(e, path)
+    return rounded(artefact.load(spark, path).predict(inputs.reviews(spark, sf)))
+
+
+def stream_predictions(spark, sf):
+    """Documents read as a stream, two files a batch, scored by the saved model and written; texts need no label."""
+    path, source, out, state = (scratch.scratch_path(spark, n) for n in ("artefact", "stream-in", "stream-out", "stream-state"))
+    with _holdout(spark, sf) as e:
+        artefact.save(e, path)
+    documents = inputs.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    documents.repartition(4, "id").write.parquet(source)  # a folder of files that stream in
+    stream = spark.readStream.schema(documents.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    scored = rounded(artefact.load(spark, path).predict(stream))
+    query = scored.writeStream.format("parquet").option("checkpointLocation", state).option("path", out).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(scored.schema).parquet(out)
+
+
+def kfold_user_metrics(spark, sf):
+    """Two metrics of the user's own, measured on the test part of each fold beside the others."""
+    extra = {"kappa": metrics.KAPPA, "balanced_accuracy": metrics.BALANCED_ACCURACY}
+    e = kfold.kfold_experiment(inputs.prepared(spark, sf, TWO_CLASS), TWO_CLASS, extra=extra)
+    return rounded(kfold.fold_results(e).select("K", "fold", "eval_kappa", "eval_balanced_accuracy", "eval_accuracy"))
 
 
 # --- sinks ----------------------------------------------------------------------
@@ -603,11 +662,12 @@ QUERIES = {
         best_epoch, best_epoch_diverged, early_stop, best_trial, best_trial_diverged, runtime_summary, runtime_by_run, append_results,
         sentiment_prompt, task_prompt, multitask_examples, text_to_label, text_fallback,
         softmax_scores, argmax_scores, bounded_tokens, pad_tokens,
-        nb_model, nb_predict, nb_predict_large_vocabulary, predict_all, predict_all_repeated_ids, predict_test,
+        nb_model, nb_predict, nb_predict_large_vocabulary, predict_all, predict_all_joined, predict_all_repeated_ids, predict_test,
         holdout_metrics, holdout_report, holdout_confusion, kfold_results, kfold_summary,
         hp_trials, hp_trials_classifier, search_trials, search_best,
         search_classifier, training_log, early_stop_trained, best_epoch_restored,
         batch_classifier, batch_text_model, text_experiment_metrics, text_experiment_export, logistic_regression,
+        count_estimator, saved_artefact, stream_predictions, kfold_user_metrics,
         export_predictions, csv_round_trip, saved_model,
     )
 }

@@ -7,7 +7,7 @@ columns (model, K, fold, ...), so many runs are measured in one job.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,6 +81,11 @@ def per_class(pairs: DataFrame, by: Sequence[str] = (), sums: Sequence[str] = ()
     Input: pair counts or a confusion matrix (``y_true, y_pred, n``). A zero
     denominator gives 0. ``sums`` names columns to add up by true class as well.
     """
+    return _class_totals(pairs, by, sums).drop("predicted")
+
+
+def _class_totals(pairs: DataFrame, by: Sequence[str], sums: Sequence[str]) -> DataFrame:
+    """``per_class`` with ``predicted``, the rows predicted as the class."""
     extra = [f", '{c}', `{c}`" for c in sums]
     none = [f", '{c}', 0 * `{c}`" for c in sums]
     sides = (
@@ -99,6 +104,7 @@ def per_class(pairs: DataFrame, by: Sequence[str] = (), sums: Sequence[str] = ()
         "coalesce(try_divide(tp, support), 0D) AS recall",
         "coalesce(try_divide(2 * tp, predicted + support), 0D) AS f1",
         "support",
+        "predicted",
         "tp",
         *_names(sums),
     )
@@ -109,16 +115,30 @@ _WEIGHTED = {f"{m}_weighted": f"sum({m} * support) / sum(support)" for m in ("pr
 _OVERALL = {"accuracy": "sum(tp) / sum(support)", **_MACRO, **_WEIGHTED}
 
 
-def overall(pairs: DataFrame, by: Sequence[str] = (), means: Sequence[str] = ()) -> DataFrame:
+# Metrics that a user may ask for as ``extra``.
+BALANCED_ACCURACY = "sum(recall) FILTER (WHERE support > 0) / count_if(support > 0)"
+KAPPA = (
+    "try_divide(sum(tp) / sum(support) - sum(support * predicted) / (sum(support) * sum(support)),"
+    " 1 - sum(support * predicted) / (sum(support) * sum(support)))"
+)
+
+
+def overall(
+    pairs: DataFrame, by: Sequence[str] = (), means: Sequence[str] = (), extra: Mapping[str, str] | None = None
+) -> DataFrame:
     """Accuracy with macro and weighted precision, recall and F1.
 
     Macro F1 is the mean of the class F1 values, not the harmonic mean of macro
     precision and macro recall. ``means`` names summed columns (such as a loss)
-    to report per row.
+    to report per row. ``extra`` holds the user's metrics by name: each an SQL aggregate over
+    one row per class with ``label, precision, recall, f1, support, predicted, tp``.
     """
     expressions = _OVERALL | {c: f"sum(`{c}`) / sum(support)" for c in means}
+    if taken := expressions.keys() & (extra or {}):
+        raise ValueError(f"metrics that exist already: {sorted(taken)}")
+    expressions |= extra or {}
     columns = [F.expr(e).alias(name) for name, e in expressions.items()]
-    return per_class(pairs, by, means).groupBy(*by).agg(*columns)
+    return _class_totals(pairs, by, means).groupBy(*by).agg(*columns)
 
 
 def classification_report(pairs: DataFrame, domain: LabelDomain, by: Sequence[str] = ()) -> DataFrame:

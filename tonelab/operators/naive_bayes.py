@@ -9,6 +9,9 @@
 * ``score`` joins tokens to the count table once, with one weight column per
   candidate and class after the first: only differences between classes matter,
   so weights are log odds against the first class.
+* ``with_logits`` looks the words of a text up in a sorted table that each task holds, if the
+  measured weights are small enough for that. It is a map: no row is moved, no text joined
+  back, and a streaming DataFrame can be scored with it.
 
 Log weights are kept as fixed-point integers while they are summed. Integer sums
 do not depend on the order of the rows, so a retried task or another partitioning
@@ -21,6 +24,9 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +43,8 @@ FIXED_POINT = 1e9
 BROADCAST_BYTES = 256 * 1024 * 1024
 SHORT_BYTES = 64
 ROW_BYTES, SLOT_BYTES = 32, 9
+# Weights that every Python worker may hold for ``with_logits``.
+LOOKUP_BYTES = 64 * 1024 * 1024
 
 # Every text starts with one empty token. Words are never empty, so the group of
 # this token holds the document counts, and a row without words is not lost.
@@ -228,19 +236,7 @@ def score(
     vocabulary count for nothing, and a row without any known token keeps its
     prior.
     """
-    first, *others = model.labels
-    slots = [(m, c, f"w_{i}_{c}") for i, m in enumerate(candidates) for c in others]
-
-    def odds(m: Candidate, c: int) -> str:
-        smoothed = [f"ln({_column(m.fit, x)} + {float(m.smoothing)!r}D)" for x in (c, first)]
-        shift = _log_total(model, m, c) - _log_total(model, m, first)
-        return f"CASE WHEN {_seen(m.fit, model.labels)} THEN {smoothed[0]} - {smoothed[1]} - {shift!r}D END"
-
-    weights = model.counts.filter(F.col("token") != DOCUMENT).selectExpr(
-        "token",
-        "n_total",
-        *[f"CAST(round({odds(m, c)} * {FIXED_POINT!r}D) AS BIGINT) AS {w}" for m, c, w in slots],
-    )
+    slots, weights = _weights(model, candidates)
     limited = any(model.limits[m.fit] is not None for m in candidates)
     tokens = token_rows(df, [key, *carry], limited, text)
     if model.weight_bytes(candidates) <= broadcast_bytes:
@@ -255,17 +251,75 @@ def score(
         ]
     )
 
-    def logit(m: Candidate, c: int, w: str) -> str:
-        prior = model.prior(m, c) - model.prior(m, first)
-        return f"{w} / {FIXED_POINT!r}D + {prior!r}D"
+    return sums.selectExpr(*[f"`{c}`" for c in (key, *carry)], *_logits(model, slots, [w for _, _, w in slots]))
+
+
+Slots = Sequence[tuple[Candidate, int, str]]
+
+
+def _weights(model: CountModel, candidates: Sequence[Candidate]) -> tuple[Slots, DataFrame]:
+    """Candidate, class and column of each weight, and the weight table: ``token, n_total``, weights in fixed point."""
+    first, *others = model.labels
+    slots = [(m, c, f"w_{i}_{c}") for i, m in enumerate(candidates) for c in others]
+
+    def odds(m: Candidate, c: int) -> str:
+        smoothed = [f"ln({_column(m.fit, x)} + {float(m.smoothing)!r}D)" for x in (c, first)]
+        shift = _log_total(model, m, c) - _log_total(model, m, first)
+        return f"CASE WHEN {_seen(m.fit, model.labels)} THEN {smoothed[0]} - {smoothed[1]} - {shift!r}D END"
 
-    logits = {m.name: ", ".join(logit(m, c, w) for n, c, w in slots if n is m) for m in candidates}
-    return sums.selectExpr(
-        *[f"`{c}`" for c in (key, *carry)],
-        *[f"array(0D, {terms}) AS logits_{name}" for name, terms in logits.items()],
+    return slots, model.counts.filter(F.col("token") != DOCUMENT).selectExpr(
+        "token",
+        "n_total",
+        *[f"CAST(round({odds(m, c)} * {FIXED_POINT!r}D) AS BIGINT) AS {w}" for m, c, w in slots],
     )
 
 
+def _logits(model: CountModel, slots: Slots, sums: Sequence[str]) -> list[str]:
+    """SQL of ``logits_<candidate>`` from the summed weights: zero for the first class, then sum and prior."""
+    out: dict[str, list[str]] = {}
+    for (m, c, _), total in zip(slots, sums, strict=True):
+        prior = model.prior(m, c) - model.prior(m, model.labels[0])
+        out.setdefault(m.name, []).append(f"{total} / {FIXED_POINT!r}D + {prior!r}D")
+    return [f"array(0D, {', '.join(terms)}) AS logits_{name}" for name, terms in out.items()]
+
+
+def can_look_up(model: CountModel, candidates: Sequence[Candidate], limit: int = LOOKUP_BYTES) -> bool:
+    """Whether ``with_logits`` can score the candidates: small weights, and no limit on the words read."""
+    return all(model.limits[m.fit] is None for m in candidates) and model.weight_bytes(candidates) <= limit
+
+
+def with_logits(df: DataFrame, model: CountModel, candidates: Sequence[Candidate], *, text: str = "text") -> DataFrame:
+    """``df`` with ``logits_<candidate>``: the logits of ``score``, bit for bit, in one map over the rows.
+
+    Only for a model that ``can_look_up`` accepts: its weights come to the driver and go to every worker.
+    """
+    if not can_look_up(model, candidates):
+        raise ValueError(f"the weights of {len(candidates)} candidates are too large to look up; see score")
+    slots, weights = _weights(model, candidates)
+    names = [w for _, _, w in slots]
+    table = weights.where(" OR ".join(f"{w} IS NOT NULL" for w in names) or "false").select("token", *names).toArrow()
+    tokens = pc.cast(table.column("token"), pa.large_string()).combine_chunks()
+    values = np.zeros((len(names), len(tokens) + 1), np.int64)  # the last place is that of unknown words
+    for row, name in zip(values, names, strict=True):
+        row[:-1] = pc.fill_null(table.column(name), 0).to_numpy()
+    shared = df.sparkSession.sparkContext.broadcast((tokens, values))
+
+    def sums(lowered: pa.Array) -> pa.Array:
+        known, weight = shared.value
+        split = pc.split_pattern(pc.cast(lowered, pa.large_string()), " ")
+        sizes = pc.list_value_length(split).to_numpy()
+        if not len(sizes):
+            return pa.array([], pa.list_(pa.int64()))
+        at = pc.fill_null(pc.index_in(pc.list_flatten(split), value_set=known), len(known)).to_numpy()
+        starts = np.append(0, np.cumsum(sizes)[:-1]).astype(np.int64)  # a text has one piece at least
+        found = np.stack([np.add.reduceat(w[at], starts) for w in weight]) if len(weight) else np.zeros((0, len(sizes)), np.int64)
+        ends = np.arange(0, found.size + 1, max(1, len(names)), dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends[: len(sizes) + 1]), pa.array(found.T.ravel()))
+
+    held = df.withColumn("_sums", F.arrow_udf(sums, "array<bigint>")(F.lower(F.coalesce(text, F.lit("")))))
+    return held.selectExpr(*[f"`{c}`" for c in df.columns], *_logits(model, slots, [f"_sums[{i}]" for i in range(len(names))]))
+
+
 def _join_head_and_tail(tokens: DataFrame, weights: DataFrame, n_tokens: int, head_share: int) -> DataFrame:
     """Join against a vocabulary too large to broadcast.
 
@@ -292,6 +346,13 @@ def predictions(scored: DataFrame, candidates: Sequence[Candidate], columns: Seq
     return long.withColumn("y_pred", argmax(F.col("logits")))
 
 
+def one_fit(model: CountModel, fit: str, name: str) -> CountModel:
+    """The model of one fit under a name of its own: the words it has seen, and the document counts."""
+    columns = [f"{_column(fit, c)} AS {_column(name, c)}" for c in model.labels]
+    kept = model.counts.where(f"{_seen(fit, model.labels)} OR token = '{DOCUMENT}'").selectExpr("token", *columns, "n_total")
+    return _with_totals(kept, {name: model.limits[fit]}, model.labels)
+
+
 def save(model: CountModel, path: str, mode: str = "errorifexists") -> None:
     """Write the counts and the list of fits as two Parquet tables below ``path``."""
     spark = model.counts.sparkSession

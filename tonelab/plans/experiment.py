@@ -19,7 +19,7 @@ from tonelab.functions.scores import argmax, cross_entropy, probability_columns,
 from tonelab.operators import metrics, naive_bayes, runs, stratified
 from tonelab.operators.naive_bayes import Candidate, CountModel, Fit
 from tonelab.operators.stratified import Cuts, Layout, Run
-from tonelab.sources.scratch import materialize
+from tonelab.sources.scratch import materialize, remove, scope
 
 KEY = "row_key"
 HASH = "row_hash"
@@ -61,7 +61,11 @@ class Stopwatch:
 
 @dataclass(frozen=True)
 class Experiment:
-    """Fitted and measured runs. ``pairs`` holds a few rows per run and setting."""
+    """Fitted and measured runs. ``pairs`` holds a few rows per run and setting.
+
+    ``extra``: the user's own metrics (see ``metrics.overall``). ``folder`` holds the written rows,
+    counts and pairs until the experiment is closed.
+    """
 
     rows: DataFrame
     domain: LabelDomain
@@ -72,10 +76,23 @@ class Experiment:
     pairs: DataFrame
     leaky: bool
     stopwatch: Stopwatch
+    extra: Mapping[str, str] = field(default_factory=dict)
+    folder: str | None = None
+
+    def close(self) -> None:
+        """Remove what the experiment has written, the copy of the texts above all."""
+        if self.folder:
+            remove(self.rows.sparkSession, self.folder)
+
+    def __enter__(self) -> Experiment:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
     def measured(self) -> DataFrame:
         """Loss and overall metrics per run, setting and role."""
-        return metrics.overall(self.pairs, BY, means=["loss"])
+        return metrics.overall(self.pairs, BY, means=["loss"], extra=self.extra)
 
     def chosen(self, metric: str = "f1_macro", maximise: bool = True) -> DataFrame:
         """Per run: the setting with the best validation metric, and its test metrics.
@@ -128,32 +145,34 @@ def run_experiment(
     *,
     seed: int = 42,
     validate_on_test: bool = False,
+    extra: Mapping[str, str] | None = None,
 ) -> Experiment:
     """``prepared`` holds ``row_key, id, text, sentiment, label`` with unique keys.
 
     ``validate_on_test`` uses the test part for validation too, for protocols
     without a validation part; results are then marked as leaky.
     """
-    watch = Stopwatch()
-    labels = domain.ids
-    order = F.expr(stratified.order_hash(KEY, seed))
-    rows = materialize(prepared.withColumn(HASH, order), "rows")
-    require_keys(rows)
-    watch.lap("preparation")
-
-    cuts = stratified.fit_cuts(rows, layouts, labels, hash_column=HASH)
-    rows = cuts.assign(rows, {name: _role_column(name) for name in layouts})
-    fits = [Fit(_fit_name(run), run.trains(_role_column(run.layout))) for run in all_runs]
-    model = naive_bayes.fit(rows, fits, labels)
-    watch.lap("training")
-
-    experiment = Experiment(
-        rows, domain, cuts, tuple(all_runs), tuple(settings), model, rows, validate_on_test, watch
-    )
-    # A few rows per run and setting: in one partition the metrics need no shuffle.
-    pairs = materialize(_score_held_out(experiment), "pairs").coalesce(1)
-    watch.lap("evaluation")
-    return replace(experiment, pairs=pairs)
+    with scope(prepared.sparkSession, "experiment") as folder:
+        watch = Stopwatch()
+        labels = domain.ids
+        order = F.expr(stratified.order_hash(KEY, seed))
+        rows = materialize(prepared.withColumn(HASH, order), "rows")
+        require_keys(rows)
+        watch.lap("preparation")
+
+        cuts = stratified.fit_cuts(rows, layouts, labels, hash_column=HASH)
+        rows = cuts.assign(rows, {name: _role_column(name) for name in layouts})
+        fits = [Fit(_fit_name(run), run.trains(_role_column(run.layout))) for run in all_runs]
+        model = naive_bayes.fit(rows, fits, labels)
+        watch.lap("training")
+
+        experiment = Experiment(
+            rows, domain, cuts, tuple(all_runs), tuple(settings), model, rows, validate_on_test, watch, dict(extra or {}), folder
+        )
+        # A few rows per run and setting: in one partition the metrics need no shuffle.
+        pairs = materialize(_score_held_out(experiment), "pairs").coalesce(1)
+        watch.lap("evaluation")
+        return replace(experiment, pairs=pairs)
 
 
 def _role(run: Run) -> str:
@@ -190,25 +209,30 @@ def _measured_as(run: Run, leaky: bool) -> list[str]:
     return [_role(run), f"CASE WHEN {_role(run)} = 'test' THEN 'val' END"] if leaky else [_role(run)]
 
 
-def predict_rows(e: Experiment, candidate: Candidate, rows: DataFrame | None = None) -> DataFrame:
+def predict_rows(
+    e: Experiment, candidate: Candidate, rows: DataFrame | None = None, lookup_bytes: int = naive_bayes.LOOKUP_BYTES
+) -> DataFrame:
     """Score rows and put the predictions next to them: the prediction export.
 
-    Scores come back as one short row per key; they meet the texts in one
-    equi-join on the unique key.
+    With weights that a task can hold the rows are scored where they are, and nothing is shuffled.
+    With a larger model scores come back as one short row per key; they meet the texts in
+    one equi-join on the unique key.
     """
     rows = e.rows if rows is None else rows
-    scored = naive_bayes.score(rows, e.model, [candidate], key=KEY)
-    logits = F.col(f"logits_{candidate.name}")
-    scored = scored.select(
-        KEY, argmax(logits).alias("pred_id"), softmax(logits).alias("_p")
-    )
-    columns = probability_columns(F.col("_p"), e.domain)
-    return rows.join(scored, KEY).select(
-        "id",
-        "text",
-        "sentiment",
-        "label",
-        "pred_id",
-        e.domain.decode(F.col("pred_id")).alias("pred_sentiment"),
-        *[c.alias(n) for n, c in columns.items()],
-    )
+    name = f"logits_{candidate.name}"
+    if naive_bayes.can_look_up(e.model, [candidate], lookup_bytes):
+        scored = naive_bayes.with_logits(rows, e.model, [candidate])
+    else:
+        scored = rows.join(naive_bayes.score(rows, e.model, [candidate], key=KEY), KEY)
+    return with_prediction(scored, name, e.domain).select("id", "text", "sentiment", "label", *prediction_columns(e.domain))
+
+
+def prediction_columns(domain: LabelDomain) -> list[str]:
+    return ["pred_id", "pred_sentiment", *(f"prob_{name}" for name in domain.names)]
+
+
+def with_prediction(scored: DataFrame, logits: str, domain: LabelDomain) -> DataFrame:
+    """Predicted id and name and one probability column per class in the place of the logits."""
+    out = scored.withColumns({"pred_id": argmax(F.col(logits)), "_p": softmax(F.col(logits))})
+    columns = {"pred_sentiment": domain.decode(F.col("pred_id")), **probability_columns(F.col("_p"), domain)}
+    return out.withColumns(columns).drop(logits, "_p")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,12 +24,13 @@ def holdout_experiment(
     layout: stratified.Layout | None = None,
     seed: int = 42,
     validate_on_test: bool = False,
+    extra: Mapping[str, str] | None = None,
 ) -> Experiment:
     """80/10/10 by default. With ``validate_on_test`` there is no val part (80/20)."""
     if layout is None:
         layout = stratified.train_test() if validate_on_test else stratified.train_val_test()
     return run_experiment(
-        prepared, domain, {"holdout": layout}, [HOLDOUT], settings, seed=seed, validate_on_test=validate_on_test
+        prepared, domain, {"holdout": layout}, [HOLDOUT], settings, seed=seed, validate_on_test=validate_on_test, extra=extra
     )
 
 

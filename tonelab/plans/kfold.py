@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,9 +26,10 @@ def kfold_experiment(
     settings: Sequence[Setting] = DEFAULT_SETTINGS,
     *,
     seed: int = 42,
+    extra: Mapping[str, str] | None = None,
 ) -> Experiment:
     return run_experiment(
-        prepared, domain, stratified.fold_layouts(ks), stratified.fold_runs(ks), settings, seed=seed
+        prepared, domain, stratified.fold_layouts(ks), stratified.fold_runs(ks), settings, seed=seed, extra=extra
     )
 
 
@@ -44,7 +45,7 @@ def fold_results(e: Experiment, timings: bool = False) -> DataFrame:
         "fold",
         *[f"{sql} AS {name}" for name, sql in _sizes(e).items()],
         "loss AS eval_loss",
-        *[f"{m} AS eval_{m}" for m in EVAL_METRICS],
+        *[f"`{m}` AS `eval_{m}`" for m in (*EVAL_METRICS, *e.extra)],
         "setting",
     )
     if timings:
@@ -71,9 +72,9 @@ def _sizes(e: Experiment) -> dict[str, str]:
     }
 
 
-def fold_summary(results: DataFrame) -> DataFrame:
-    """Mean and sample standard deviation per K of the metrics present in ``results``."""
-    wanted = [f"eval_{m}" for m in EVAL_METRICS] + list(TIMINGS)
+def fold_summary(results: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """Mean and sample standard deviation per K of the metrics present in ``results``; ``extra``: names of the user's."""
+    wanted = [f"eval_{m}" for m in (*EVAL_METRICS, *extra)] + list(TIMINGS)
     return runs.fold_summary(results, [m for m in wanted if m in results.columns])
 
 
@@ -81,5 +82,5 @@ def write_results(e: Experiment, path: str, fmt: str = "parquet") -> None:
     """Write fold results, their summary and the runtime table below ``path``."""
     results = fold_results(e, timings=True)
     write_table(results, f"{path}/fold_results", fmt)
-    write_table(fold_summary(results), f"{path}/fold_summary", fmt)
+    write_table(fold_summary(results, tuple(e.extra)), f"{path}/fold_summary", fmt)
     write_table(e.stopwatch.table(e.rows.sparkSession), f"{path}/runtime", fmt)

@@ -21,7 +21,7 @@ from tonelab.operators import gradient, metrics, runs, stratified
 from tonelab.operators.gradient import Trial
 from tonelab.operators.trials import CLASSIFIER_SPACE, CLASSIFIER_TRIALS, Space, draw_settings
 from tonelab.plans.experiment import HASH, KEY, require_keys
-from tonelab.sources.scratch import materialize, scratch_path
+from tonelab.sources.scratch import materialize, remove, scope, scratch_path
 
 WIDTH = 1 << 18
 PATIENCE = 2
@@ -40,6 +40,11 @@ class Training:
     weights: DataFrame
     metric: str
     higher: bool
+    folder: str
+
+    def close(self) -> None:
+        """Remove vectors, log and weights."""
+        remove(self.vectors.sparkSession, self.folder)
 
     def best_epochs(self) -> DataFrame:
         """Best epoch of each trial: ``trial, epoch`` and the metric."""
@@ -90,38 +95,39 @@ def train(
     Texts are hashed to ``width`` places once, whole, and written; no epoch reads a text. Null and
     NaN metrics are never better. Without training rows the weights stay zero.
     """
-    spark, classes = prepared.sparkSession, len(domain.names)
-    rows = prepared.withColumn(HASH, F.expr(stratified.order_hash(KEY, seed)))
-    vectors = gradient.prepared(rows, width, [KEY, HASH, "label"])
-    require_keys(vectors)
-    cuts = stratified.fit_cuts(vectors, {"split": layout or stratified.nested()}, domain.ids, hash_column=HASH)
-    vectors = cuts.assign(vectors, {"split": "role"})
-    n_train = cuts.size("split", "train")
-    dealt = materialize(gradient.shards(vectors.where("role = 'train'"), n_train, HASH, KEY, size=shard), "shards")
-    held = vectors.where("role = 'val'")
-    log, table = scratch_path(spark, "epoch-log"), scratch_path(spark, "epoch-weights")
-    weights = {t.number: np.zeros((classes - 1, width)) for t in trials}
-    live, best = list(trials), {t.number: (None, 0) for t in trials}
-    loss = cross_entropy("logits", "label", classes)
-    done = 0
-    while live:
-        done += 1
-        gradient.epoch(dealt, n_train, live, weights).write.parquet(f"{table}/epoch={done}")
-        weights = gradient.to_arrays(spark.read.parquet(f"{table}/epoch={done}"), classes, width)
-        weights = {t.number: weights.get(t.number, np.zeros((classes - 1, width))) for t in live}
-        counted = gradient.pairs(gradient.scored(held, weights, ["label"]), argmax(F.col("logits")), loss)
-        metrics.overall(counted, ["trial"], means=["loss"]).select("trial", *LOG).coalesce(1).write.parquet(f"{log}/epoch={done}")
-        reached = {r["trial"]: r[metric] for r in spark.read.parquet(f"{log}/epoch={done}").collect()}  # one row a trial
-        for t in live:
-            value = reached.get(t.number)
-            value = None if value is None or np.isnan(value) else (value if higher else -value)
-            top, _ = best[t.number]
-            if value is not None and (top is None or value > top):
-                best[t.number] = (value, done)
-        live = [t for t in live if done < t.epochs and (patience is None or done - best[t.number][1] < patience)]
-    read = lambda path, schema: spark.read.schema(f"{schema}, epoch int").parquet(path)
-    logged = read(log, "trial int, " + ", ".join(f"{c} double" for c in LOG))
-    return Training(vectors, domain, width, tuple(trials), logged, read(table, gradient.WEIGHTS), metric, higher)
+    with scope(prepared.sparkSession, "training") as folder:
+        spark, classes = prepared.sparkSession, len(domain.names)
+        rows = prepared.withColumn(HASH, F.expr(stratified.order_hash(KEY, seed)))
+        vectors = gradient.prepared(rows, width, [KEY, HASH, "label"])
+        require_keys(vectors)
+        cuts = stratified.fit_cuts(vectors, {"split": layout or stratified.nested()}, domain.ids, hash_column=HASH)
+        vectors = cuts.assign(vectors, {"split": "role"})
+        n_train = cuts.size("split", "train")
+        dealt = materialize(gradient.shards(vectors.where("role = 'train'"), n_train, HASH, KEY, size=shard), "shards")
+        held = vectors.where("role = 'val'")
+        log, table = scratch_path(spark, "epoch-log"), scratch_path(spark, "epoch-weights")
+        weights = {t.number: np.zeros((classes - 1, width)) for t in trials}
+        live, best = list(trials), {t.number: (None, 0) for t in trials}
+        loss = cross_entropy("logits", "label", classes)
+        done = 0
+        while live:
+            done += 1
+            gradient.epoch(dealt, n_train, live, weights).write.parquet(f"{table}/epoch={done}")
+            weights = gradient.to_arrays(spark.read.parquet(f"{table}/epoch={done}"), classes, width)
+            weights = {t.number: weights.get(t.number, np.zeros((classes - 1, width))) for t in live}
+            counted = gradient.pairs(gradient.scored(held, weights, ["label"]), argmax(F.col("logits")), loss)
+            metrics.overall(counted, ["trial"], means=["loss"]).select("trial", *LOG).coalesce(1).write.parquet(f"{log}/epoch={done}")
+            reached = {r["trial"]: r[metric] for r in spark.read.parquet(f"{log}/epoch={done}").collect()}  # one row a trial
+            for t in live:
+                value = reached.get(t.number)
+                value = None if value is None or np.isnan(value) else (value if higher else -value)
+                top, _ = best[t.number]
+                if value is not None and (top is None or value > top):
+                    best[t.number] = (value, done)
+            live = [t for t in live if done < t.epochs and (patience is None or done - best[t.number][1] < patience)]
+        read = lambda path, schema: spark.read.schema(f"{schema}, epoch int").parquet(path)
+        logged = read(log, "trial int, " + ", ".join(f"{c} double" for c in LOG))
+        return Training(vectors, domain, width, tuple(trials), logged, read(table, gradient.WEIGHTS), metric, higher, folder)
 
 
 def draw_trials(n_trials: int = CLASSIFIER_TRIALS, space: Space = CLASSIFIER_SPACE, search: str = "classifier", seed: int = 42) -> list[Trial]:
