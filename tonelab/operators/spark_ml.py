@@ -85,8 +85,8 @@ class CountClassifier(Estimator, _CountParams, DefaultParamsReadable, DefaultPar
         count_only = {self.smoothing, self.priorWeight}
         if not all(set(p) <= count_only for p in paramMaps):
             return super().fitMultiple(dataset, paramMaps)
-        fitted = self._fit(dataset)
-        return iter([(i, fitted.copy(p)) for i, p in enumerate(paramMaps)])
+        counts = self._fit(dataset).counts
+        return iter([(i, self.copy(p)._copyValues(CountClassifierModel(counts))) for i, p in enumerate(paramMaps)])
 
 
 #: Name of the one fit and of the one candidate of a ``CountClassifierModel``.
