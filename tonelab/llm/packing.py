@@ -64,6 +64,7 @@ class Encoder:
         spell = self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.spelling = str.maketrans({c: spell(c)[0][0] for c in ACCENTED})
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.raw = [i.to_bytes(ID_BYTES, "little") for i in range(self.tokenizer.get_vocab_size())]
 
     def encode(self, text: bytes | None) -> bytes:
         if not text or not self.at_special or not self.at_special.search(text):
@@ -89,22 +90,22 @@ class Encoder:
         self.known, self.older = {}, {}
 
     def learn(self, new: set[bytes]) -> None:
-        parts, whole = {}, set()
+        parts, whole, known, raw, tokenize = {}, set(), self.known, self.raw, self.model.tokenize
         for w in new:
-            stem = w.rstrip(SIGNS)
-            if stem != w and stem[-1:].isalpha():
+            if w.isalpha() or not (stem := w.rstrip(SIGNS)) or stem == w or not stem[-1:].isalpha():
+                whole.add(w)
+            else:
                 parts[w] = (stem, w[len(stem) :])
                 whole.update(parts[w])
-            else:
-                whole.add(w)
         missing = []
-        for w in sorted(whole.difference(self.known)):
-            word = w.decode("utf-8", "replace")
-            if LETTERS.fullmatch(word):
-                found = self.model.tokenize(word.translate(self.spelling))
-                self.known[w] = np.array([t.id for t in found], "<u4").tobytes()
+        for w in whole.difference(known):
+            if w.isalpha():  # of bytes: letters a to z alone
+                known[w] = b"".join([raw[t.id] for t in tokenize(w.decode("ascii"))])
+            elif LETTERS.fullmatch(word := w.decode("utf-8", "replace")):
+                known[w] = b"".join([raw[t.id] for t in tokenize(word.translate(self.spelling))])
             else:
                 missing.append(w)
+        missing.sort()
         plain = [w for w in missing if MARK.encode() not in w]
         for at in range(0, len(plain), JOINED):
             part = plain[at : at + JOINED]
