@@ -11,65 +11,56 @@ The logarithm of a word's probability is a sum: the base term of the word, and f
 suffix its discount and, if the word is known there, a correction. Scoring is therefore a
 join of the n-grams of the texts with one table of terms. The most frequent terms, a fixed
 number, are held by every task; a filter of fixed size tells which others may exist, and
-only those n-grams are shuffled.
+only those n-grams are shuffled: as lists per range of hashes, to the terms of that range.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonelab.llm import rows
-from tonelab.llm.lexicon import Lexicon
+from tonelab.llm import hashing, rows
+from tonelab.llm.hashing import mixed as _mixed
 from tonelab.llm.linking import runs
 
 DEPTH = 3
 #: Occurrences of a context; occurrences of a word after it; discount; nats gained.
 MIN_CONTEXT, MIN_PAIR, DISCOUNT, GAIN = 50, 4, 0.75, 5.0
-#: Terms held by every task, bits of the filters, texts and n-grams taken at once.
-HEAD, BITS, TEXTS, HELD = 3 << 19, 1 << 27, 256, 1 << 21
-#: Word forms that a worker remembers.
-REMEMBERED = 1 << 19
+#: Terms held by every task, bits of the filters, bytes of text and n-grams taken at once.
+HEAD, BITS, BYTES, HELD = 3 << 19, 1 << 27, 1 << 20, 1 << 19
+#: Terms of a range of hashes that one task looks up in, and ranges at least.
+RANGE, RANGES = 1 << 19, 32
 #: Contexts with more occurrences are counted in PARTS parts by their next word.
 BUSY, PARTS = 1 << 16, 64
-_BASE = np.uint64(0x9E3779B97F4A7C15)
 _CONTEXT, _PAIR = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(32))
+#: Stands for the end of a text.
+END = np.uint64(0xEF46DB3751D8E999)
 
 
 def pair_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return _mixed(context * _PAIR + word)
 
 
-def _describe(word: bytes) -> tuple[int]:
-    return (xxhash.xxh64_intdigest(word),)
-
-
-def known_words(more=None, more_types=()) -> Lexicon:
-    return Lexicon(_describe, [np.uint64], REMEMBERED, more, more_types)
-
-
 class Grams:
-    """Hashed words of some texts, each with an end sign (the empty word), and their contexts."""
-
-    def __init__(self, texts: list[bytes | None], known: Lexicon):
-        split = [t.lower().split() if t else [] for t in texts]
-        self.word, *self.more = known.look_up([w for words in split for w in (*words, b"")])
-        size = np.array([len(words) + 1 for words in split], np.int64)
+    """Hashed words of some texts, each with an end sign, and their contexts."""
+
+    def __init__(self, texts: list[bytes | None]):
+        words, size = hashing.words(texts)
+        size = size + 1
+        last = np.cumsum(size) - 1
+        self.word = np.full(len(words) + len(texts), END)
+        inner = np.ones(len(self.word), bool)
+        inner[last] = False
+        self.word[inner] = words
         self.text = np.repeat(np.arange(len(texts)), size)
-        self.place = np.arange(len(self.word)) - np.repeat(np.cumsum(size) - size, size)
+        self.place = np.arange(len(self.word)) - np.repeat(last + 1 - size, size)
 
     def back(self, k: int) -> np.ndarray:
         """The word k places before; undefined where ``place`` < k."""
@@ -88,18 +79,22 @@ def _texts(docs: DataFrame, text: str) -> DataFrame:
 
 
 def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts of about BYTES bytes together; a longer text alone."""
     for b in batches:
-        for at in range(0, len(b), TEXTS):
-            yield b.iloc[at : at + TEXTS]
+        size = np.fromiter((len(t or b"") + 1 for t in b["t"]), np.int64, len(b))
+        block = (np.cumsum(size) - size) // BYTES
+        cuts = np.flatnonzero(np.diff(block, prepend=-1))
+        for at, to in zip(cuts, np.append(cuts[1:], len(b)), strict=True):
+            yield b.iloc[at:to]
 
 
 def word_counts(docs: DataFrame, text: str) -> DataFrame:
     """``h, n``: occurrences of each word hash and of the end sign."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, held, size = known_words(), [], 0
+        held, size = [], 0
         for b in _chunks(batches):
-            held.append(Grams(list(b["t"]), known).word)
+            held.append(Grams(list(b["t"])).word)
             size += len(held[-1])
             if size > HELD:
                 yield _counted(held)
@@ -151,17 +146,17 @@ def followers(docs: DataFrame, text: str, depths: list[int], often, busy, least:
         return pa.RecordBatch.from_arrays([*map(pa.array, columns), *values], names=["k", "s", "p", "part", "xs", "ns"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, size = known_words(), {k: [] for k in depths}, 0
+        held, size = {k: [] for k in depths}, 0
         for b in _chunks(x.to_pandas() for x in batches):
-            g = Grams(list(b["t"]), known)
+            g = Grams(list(b["t"]))
             for k in depths:
                 at, split = candidates(g, k)
                 held[k].append((g.context(k)[at], g.context(k - 1)[at], g.word[at], split))
                 size += len(at)
             if size > HELD:
-                yield from (lists(k, held[k]) for k in depths if sum(len(h[0]) for h in held[k]))
+                yield from (lists(k, held.pop(k)) for k in depths if sum(len(h[0]) for h in held[k]))
                 held, size = {k: [] for k in depths}, 0
-        yield from (lists(k, held[k]) for k in depths if sum(len(h[0]) for h in held[k]))
+        yield from (lists(k, held.pop(k)) for k in depths if sum(len(h[0]) for h in held[k]))
 
     def use(c: dict, starts: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
         a, z = starts[0], ends[-1]
@@ -263,6 +258,137 @@ class Table:
         return value, found
 
 
+#: Sums of the texts of a batch, in lists side by side; a batch is named by its first row.
+_SUMS = {"batch": "bigint", "ids": "array<bigint>", "n_tokens": "array<bigint>", "n_known": "array<bigint>", "base": "array<double>", "more": "array<double>"}
+#: N-grams still to be looked up, by range of hashes: ``sizes`` keys of each of ``ids``.
+_OPEN = {"range": "int", "sizes": "array<int>", "keys": "array<bigint>"}
+
+
+def _ddl(columns: dict[str, str]) -> str:
+    return ", ".join(f"`{c}` {t}" for c, t in columns.items())
+
+
+def _range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
+    return ((_mixed(keys) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
+
+
+def _first_sums(texts: DataFrame, depth: int, heavy, light, unknown: float, ranges: int) -> DataFrame:
+    """Sums over the terms that tasks hold (``range`` null), and the n-grams that may have others."""
+
+    def chunk(b: pd.DataFrame) -> Iterator[dict]:
+        g, n_texts, ids = Grams(list(b["t"])), len(b), b[rows.ROW].to_numpy(np.int64)
+        later_key, later_text = [], []
+
+        def value(at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            own, hit = heavy.value.look_up(keys)
+            maybe = ~hit & rows.in_filter(light.value, keys)
+            later_key.append(keys[maybe])
+            later_text.append(g.text[at[maybe]])
+            return np.bincount(g.text[at], own, n_texts), hit, maybe
+
+        base, hit, _ = value(np.arange(len(g.word)), g.word)
+        n_known, n_tokens = np.bincount(g.text[hit], minlength=n_texts), np.bincount(g.text, minlength=n_texts)
+        more, at = np.zeros(n_texts), np.arange(len(g.word))
+        for k in range(1, depth + 1):
+            at = at[g.place[at] >= k]
+            context = g.context(k)[at]
+            sums, hit, maybe = value(at, _mixed(context ^ _CONTEXT))
+            at, context = at[hit | maybe], context[hit | maybe]
+            more += sums + value(at, pair_key(context, g.word[at]))[0]
+        yield {"batch": ids[0], "ids": ids, "n_tokens": n_tokens, "n_known": n_known, "base": base + n_tokens * unknown, "more": more}
+        keys, whose = np.concatenate(later_key), np.concatenate(later_text)
+        part = _range_of(keys, ranges)
+        order = np.lexsort((whose, part))
+        keys, whose, part = keys[order].view(np.int64), whose[order], part[order]
+        bounds = np.searchsorted(part, np.arange(ranges + 1))
+        for r in np.unique(part):
+            some = slice(bounds[r], bounds[r + 1])
+            owner, sizes = np.unique(whose[some], return_counts=True)
+            yield {"range": r, "batch": ids[0], "ids": ids[owner], "sizes": sizes, "keys": keys[some]}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in _chunks(batches):
+            yield pd.DataFrame([[row.get(c) for c in (*_OPEN, *_SUMS)] for row in chunk(b)], columns=[*_OPEN, *_SUMS], dtype=object)
+
+    return rows.map_frames(texts, run, _ddl(_OPEN | _SUMS))
+
+
+def _packed(tail: DataFrame, ranges: int) -> DataFrame:
+    """``range, term_key, term_value, term_word``: terms in lists by range."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b = b.assign(range=_range_of(b["key"].to_numpy(np.int64).view(np.uint64), ranges)).sort_values("range")
+            cuts = np.flatnonzero(np.diff(b["range"], prepend=-1))
+            parts = {c: np.split(b[c].to_numpy(), cuts[1:]) for c in ("key", "value", "word")}
+            yield pd.DataFrame({"range": b["range"].to_numpy()[cuts], **{f"term_{c}": p for c, p in parts.items()}})
+
+    schema = "range int, term_key array<bigint>, term_value array<double>, term_word array<int>"
+    return rows.map_frames(tail.select("key", "value", "word"), run, schema)
+
+
+def _resolved(opened: DataFrame, packed: DataFrame) -> DataFrame:
+    """Sums over the terms that were not held: terms of a range come first, then its n-grams, batch by batch."""
+    asked = opened.select("range", F.lit(1).alias("turn"), "batch", "ids", "sizes", "keys")
+    terms = packed.withColumns({"turn": F.lit(0), "batch": F.lit(0).cast("bigint")})
+    dealt = terms.unionByName(asked, allowMissingColumns=True).repartition("range").sortWithinPartitions("range", "turn")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, terms, table = None, [], None
+        for b in batches:
+            out = []
+            for row in b.itertuples(index=False):
+                if row.range != now:
+                    now, terms, table = row.range, [], None
+                if row.term_key is not None:
+                    terms.append((row.term_key, row.term_value, row.term_word))
+                    continue
+                if table is None:
+                    table, terms = _RangeTable(terms), []
+                out.append((row.batch, row.ids, np.zeros(len(row.ids), np.int64), *table.sums(row.keys, row.sizes)))
+            yield pd.DataFrame(out, columns=list(_SUMS), dtype=object)
+
+    return rows.map_frames(dealt, run, _ddl(_SUMS))
+
+
+class _RangeTable:
+    """Terms of one range; a term of a word adds to the base and counts as known, others to the rest."""
+
+    def __init__(self, terms: list[tuple]):
+        keys, values, word = (np.concatenate(c) for c in zip(*terms, strict=True)) if terms else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int32))
+        order = np.argsort(keys)
+        self.keys, self.values, self.word = keys[order], values[order], word[order].astype(bool)
+
+    def sums(self, keys: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Known words, base and rest of texts that have so many of the keys each."""
+        whose = np.repeat(np.arange(len(sizes)), sizes)
+        at = np.searchsorted(self.keys, keys)
+        hit = at < len(self.keys)
+        hit[hit] = self.keys[at[hit]] == keys[hit]
+        at, whose = at[hit], whose[hit]
+        value, word = self.values[at], self.word[at]
+        base = np.bincount(whose, value * word, len(sizes))
+        return np.bincount(whose[word], minlength=len(sizes)), base, np.bincount(whose, value * ~word, len(sizes))
+
+
+def _added(parts: DataFrame) -> DataFrame:
+    """One row per text from the sums of its batch."""
+
+    def use(c: dict, starts: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
+        done = []
+        for a, z in zip(starts, ends, strict=True):
+            ids, at = np.unique(np.concatenate(c["ids"][a:z]), return_inverse=True)
+            sums = {s: np.bincount(at, np.concatenate(c[s][a:z]), len(ids)) for s in ("n_tokens", "n_known", "base", "more")}
+            done.append(pd.DataFrame({rows.ROW: ids, **sums}))
+        return pd.concat(done).astype({"n_tokens": "int64", "n_known": "int64"})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return runs(({c: b[c].to_numpy() for c in b.columns} for b in batches), ["batch"], use)
+
+    dealt = parts.repartition("batch").sortWithinPartitions("batch")
+    return rows.map_frames(dealt, run, f"{rows.ROW} bigint, n_tokens bigint, n_known bigint, base double, more double")
+
+
 def score(
     docs: DataFrame, train: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH, min_context: int = MIN_CONTEXT,
     min_pair: int = MIN_PAIR, gain: float = GAIN, head: int = HEAD,
@@ -274,7 +400,8 @@ def score(
     the log10 probability by word frequency with 0.5 added, one unknown word included, and
     the root of the tree; ``score`` is that of the tree. A null text is empty. Without training
     texts both are 0. Repeated rows and keys and null keys are rows of their own; other
-    columns are ignored. Words are told apart by 64-bit hashes. ``head``: terms each task holds.
+    columns are ignored. Words are told apart by 64-bit hashes; empty and very long
+    texts are like any other (a text is hashed in blocks and held by one task). ``head``: terms each task holds.
     """
     spark = docs.sparkSession
     share = spark.sparkContext.broadcast
@@ -282,7 +409,7 @@ def score(
     n, v = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     n, mass = n or 0, (n or 0) + 0.5 * (v + 1)
     unknown = float(np.log10(0.5 / mass))
-    end = int(np.uint64(xxhash.xxh64_intdigest(b"")).view(np.int64))
+    end = int(END.view(np.int64))
     base = counts.select(F.lit(0).cast("bigint").alias("p"), F.col("h").alias("x"), ((F.col("n") + 0.5) / mass).alias("below"))
     terms = [counts.select(F.col("h").alias("key"), "n", (F.log10((F.col("n") + 0.5) / mass) - unknown).alias("value"), F.lit(1).alias("word"))]
     contexts = counts.where(F.col("h") != end)
@@ -310,77 +437,12 @@ def score(
     heavy = share(Table(held["key"].to_numpy().view(np.uint64), held["value"].to_numpy()))
     tail = table.where(~top)
     light = share(rows.bit_filter(tail, "key", BITS))
+    ranges = max(RANGES, math.ceil(tail.count() / RANGE))
     numbered = rows.numbered(docs.select(key, text), key)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def per_word(word: np.ndarray) -> list[np.ndarray]:
-            """Terms of the word and of the context it is, and whether they are found or may exist."""
-            out = []
-            for keys in (word, _mixed(_mixed(word) ^ _CONTEXT)):
-                own, hit = heavy.value.look_up(keys)
-                out += [own, hit, ~hit & rows.in_filter(light.value, keys)]
-            return out
-
-        known = known_words(per_word, [np.float64, bool, bool] * 2)
-        for b in _chunks(batches):
-            g, n_texts = Grams(list(b["t"]), known), len(b)
-            ids = b[rows.ROW].to_numpy()
-            later_key, later_text = [], []
-
-            def value(at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-                own, hit = heavy.value.look_up(keys)
-                maybe = ~hit & rows.in_filter(light.value, keys)
-                later_key.append(keys[maybe])
-                later_text.append(g.text[at[maybe]])
-                return np.bincount(g.text[at], own, n_texts), hit, maybe
-
-            def later(at: np.ndarray, keys: np.ndarray) -> None:
-                later_key.append(keys)
-                later_text.append(g.text[at])
-
-            base, hit, maybe, rest, is_state, may_be = g.more
-            base_sum = np.bincount(g.text, base, n_texts)
-            later(np.flatnonzero(maybe), g.word[maybe])
-            n_known = np.bincount(g.text[hit], minlength=n_texts)
-            n_tokens = np.bincount(g.text, minlength=n_texts)
-            more, at = np.zeros(n_texts), np.flatnonzero(g.place >= 1) if depth else np.zeros(0, np.int64)
-            for k in range(1, depth + 1):
-                if k == 1:  # the context is the word before
-                    sums = np.bincount(g.text[at], rest[at - 1], n_texts)
-                    open_at = at[may_be[at - 1]]
-                    later(open_at, _mixed(g.context(1)[open_at] ^ _CONTEXT))
-                    at = at[is_state[at - 1] | may_be[at - 1]]
-                    context = g.context(1)[at]
-                else:
-                    at = at[g.place[at] >= k]
-                    context = g.context(k)[at]
-                    sums, hit, maybe = value(at, _mixed(context ^ _CONTEXT))
-                    at, context = at[hit | maybe], context[hit | maybe]
-                more += sums + value(at, pair_key(context, g.word[at]))[0]
-            yield pd.DataFrame({
-                rows.ROW: ids, "n_tokens": n_tokens, "n_known": n_known, "base": base_sum + n_tokens * unknown, "more": more,
-            })
-            keys, whose = np.concatenate(later_key), np.concatenate(later_text)
-            _, first, times = np.unique(_mixed(keys + whose.astype(np.uint64) * _BASE), return_index=True, return_counts=True)
-            yield pd.DataFrame({rows.ROW: ids[whose[first]], "key": keys[first].view(np.int64), "times": times})
-
-    columns = {"n_tokens": "Int64", "n_known": "Int64", "base": "Float64", "more": "Float64", "key": "Int64", "times": "Int64"}
-
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in run(batches):
-            yield frame.assign(**{c: pd.array([pd.NA] * len(frame), t) for c, t in columns.items() if c not in frame.columns})
-
-    schema = f"{rows.ROW} bigint, n_tokens bigint, n_known bigint, base double, more double, key bigint, times bigint"
     texts = numbered.select(rows.ROW, F.col(text).cast("binary").alias("t"))
-    first_pass = rows.written(rows.map_frames(texts, whole, schema), "scored")
-    open_terms = first_pass.where("key IS NOT NULL").select(rows.ROW, "key", "times").join(tail.select("key", "value", "word"), "key")
-    product = F.col("times") * F.col("value")
-    closed = open_terms.select(
-        rows.ROW, F.lit(0).alias("n_tokens"), (F.col("times") * F.col("word")).alias("n_known"),
-        (product * F.col("word")).alias("base"), (product * (1 - F.col("word"))).alias("more"),
-    )
-    done = first_pass.where("key IS NULL").select(rows.ROW, "n_tokens", "n_known", "base", "more").unionByName(closed)
-    summed = done.groupBy(rows.ROW).agg(*[F.sum(c).cast(t).alias(c) for c, t in (("n_tokens", "bigint"), ("n_known", "bigint"), ("base", "double"), ("more", "double"))])
+    first_pass = rows.written(_first_sums(texts, depth, heavy, light, unknown, ranges), "scored")
+    later = _resolved(first_pass.where("range IS NOT NULL"), _packed(tail, ranges))
+    summed = _added(first_pass.where("range IS NULL").select(*_SUMS).unionByName(later))
     return summed.join(numbered.select(rows.ROW, key), rows.ROW).select(
         key, "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), F.col("base").alias("base_score"),
         (F.col("base") + F.col("more")).alias("score"),
