@@ -35,7 +35,7 @@ DEPTH = 3
 MIN_CONTEXT, MIN_PAIR, DISCOUNT, GAIN = 50, 4, 0.75, 5.0
 #: Terms held by every task, bits of the filters, bytes of text and n-grams taken at once.
 HEAD, BITS, BYTES, HELD = 3 << 19, 1 << 27, 1 << 20, 1 << 19
-#: Terms of a range of hashes that one task looks up in, and ranges at least.
+#: Terms or n-grams of a range of hashes, which is worked on at once, and ranges at least.
 RANGE, RANGES = 1 << 19, 32
 #: Contexts with more occurrences are counted in PARTS parts by their next word.
 BUSY, PARTS = 1 << 16, 64
@@ -48,6 +48,10 @@ def pair_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return _mixed(context * _PAIR + word)
 
 
+def _range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
+    return ((_mixed(keys) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
+
+
 class Grams:
     """Hashed words of some texts, each with an end sign, and their contexts."""
 
@@ -110,13 +114,13 @@ def _counted(held: list[np.ndarray]) -> pd.DataFrame:
     return pd.DataFrame({"h": h.view(np.int64), "n": n})
 
 
-def followers(docs: DataFrame, text: str, depths: list[int], often, busy, least: int) -> DataFrame:
+def followers(docs: DataFrame, text: str, depths: list[int], often, busy, least: int, ranges: int) -> DataFrame:
     """``k, s, p, x, n``: words ``x`` that follow context ``s`` (parent ``p``) at least ``least`` times;
     with ``x`` null: all occurrences of the context, in parts.
 
     ``often`` and ``busy`` are filters of words (depth 1) or of word pairs (above): a context
     can be frequent only if its words, or all its pairs of neighbours, are. A task sums up
-    what it reads and sends a list per context, or per part of a busy context.
+    what it reads and sends lists per range of hashes of contexts, and of parts of busy contexts.
     """
 
     def key(g: Grams, k: int, at: np.ndarray) -> np.ndarray:
@@ -134,16 +138,18 @@ def followers(docs: DataFrame, text: str, depths: list[int], often, busy, least:
 
     def lists(k: int, parts: list[tuple]) -> pa.RecordBatch:
         s, p, x, b = (np.concatenate(c) for c in zip(*parts, strict=True))
+        parts.clear()
         _, first, n = np.unique(pair_key(s, x), return_index=True, return_counts=True)
-        part = np.where(b[first], x[first] % np.uint64(PARTS), 0).astype(np.int32)
-        order = np.lexsort((part, s[first]))
-        first, n, part = first[order], n[order], part[order]
-        s, p, x = s[first], p[first], x[first]
-        new = np.flatnonzero(np.append(True, (s[1:] != s[:-1]) | (part[1:] != part[:-1])))
-        cuts = pa.array(np.append(new, len(s)).astype(np.int32))
-        columns = [np.full(len(new), k, np.int32), s[new].view(np.int64), p[new].view(np.int64), part[new]]
-        values = [pa.ListArray.from_arrays(cuts, pa.array(v)) for v in (x.view(np.int64), n.astype(np.int32))]
-        return pa.RecordBatch.from_arrays([*map(pa.array, columns), *values], names=["k", "s", "p", "part", "xs", "ns"])
+        s, p, x, b = s[first], p[first], x[first], b[first]
+        part = np.where(b, x % np.uint64(PARTS), np.uint64(PARTS))
+        where = _range_of(pair_key(s, part), ranges)
+        order = np.lexsort((s, where))
+        cuts = np.searchsorted(where[order], np.arange(ranges + 1))
+        some = np.flatnonzero(np.diff(cuts))
+        lengths = pa.array(np.append(cuts[some], len(s)).astype(np.int32))
+        values = [pa.ListArray.from_arrays(lengths, pa.array(v[order])) for v in (s.view(np.int64), p.view(np.int64), x.view(np.int64), n.astype(np.int32))]
+        keys = [pa.array(np.full(len(some), k, np.int32)), pa.array(some.astype(np.int32))]
+        return pa.RecordBatch.from_arrays([*keys, *values], names=["k", "range", "ss", "ps", "xs", "ns"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = {k: [] for k in depths}, 0
@@ -158,28 +164,28 @@ def followers(docs: DataFrame, text: str, depths: list[int], often, busy, least:
                 held, size = {k: [] for k in depths}, 0
         yield from (lists(k, held.pop(k)) for k in depths if sum(len(h[0]) for h in held[k]))
 
-    def use(c: dict, starts: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
-        a, z = starts[0], ends[-1]
-        sizes = np.fromiter(map(len, c["xs"][a:z]), np.int64, z - a)
-        group = np.repeat(np.repeat(np.arange(len(starts)), ends - starts), sizes)
-        x, n = np.concatenate(c["xs"][a:z]), np.concatenate(c["ns"][a:z]).astype(np.int64)
-        order = np.lexsort((x, group))
-        x, n, group = x[order], n[order], group[order]
-        new = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (group[1:] != group[:-1])))
-        x, n, group = x[new], np.add.reduceat(n, new), group[new]
-        total = np.bincount(group, n, len(starts)).astype(np.int64)
-        keep = n >= least
-        at = np.concatenate([starts[group[keep]], starts])
+    def one(k: int, c: dict, some: slice) -> pd.DataFrame:
+        s, p, x, n = (np.concatenate(c[name][some]) for name in ("ss", "ps", "xs", "ns"))
+        order = np.lexsort((x, s))
+        s, p, x, n = s[order], p[order], x[order], n[order].astype(np.int64)
+        new = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (s[1:] != s[:-1])))
+        s, p, x, n = s[new], p[new], x[new], np.add.reduceat(n, new)
+        heads = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+        total, keep = np.add.reduceat(n, heads), n >= least
+        null = np.arange(keep.sum() + len(heads)) >= keep.sum()
         return pd.DataFrame({
-            "k": c["k"][at], "s": c["s"][at], "p": c["p"][at], "n": np.concatenate([n[keep], total]),
-            "x": pd.arrays.IntegerArray(np.concatenate([x[keep], total]), np.arange(len(at)) >= keep.sum()),
+            "k": np.int32(k), "s": np.append(s[keep], s[heads]), "p": np.append(p[keep], p[heads]), "n": np.append(n[keep], total),
+            "x": pd.arrays.IntegerArray(np.append(x[keep], total), null),
         })
 
+    def use(c: dict, starts: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
+        return pd.concat([one(c["k"][a], c, slice(a, z)) for a, z in zip(starts, ends, strict=True)])
+
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return runs(({c: b[c].to_numpy() for c in b.columns} for b in batches), ["k", "s", "part"], use)
+        return runs(({c: b[c].to_numpy() for c in b.columns} for b in batches), ["k", "range"], use)
 
-    sent = _texts(docs, text).mapInArrow(gather, "k int, s bigint, p bigint, part int, xs array<bigint>, ns array<int>")
-    dealt = sent.repartition("k", "s", "part").sortWithinPartitions("k", "s", "part")
+    schema = "k int, range int, ss array<bigint>, ps array<bigint>, xs array<bigint>, ns array<int>"
+    dealt = _texts(docs, text).mapInArrow(gather, schema).repartition("k", "range").sortWithinPartitions("k", "range")
     return rows.map_frames(dealt, add_up, "k int, s bigint, p bigint, n bigint, x bigint")
 
 
@@ -268,10 +274,6 @@ def _ddl(columns: dict[str, str]) -> str:
     return ", ".join(f"`{c}` {t}" for c, t in columns.items())
 
 
-def _range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
-    return ((_mixed(keys) >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int32)
-
-
 def _first_sums(texts: DataFrame, depth: int, heavy, light, unknown: float, ranges: int) -> DataFrame:
     """Sums over the terms that tasks hold (``range`` null), and the n-grams that may have others."""
 
@@ -282,6 +284,7 @@ def _first_sums(texts: DataFrame, depth: int, heavy, light, unknown: float, rang
         def value(at: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             own, hit = heavy.value.look_up(keys)
             maybe = ~hit & rows.in_filter(light.value, keys)
+            maybe[maybe] = rows.in_filter(light.value, keys[maybe] >> np.uint64(32))
             later_key.append(keys[maybe])
             later_text.append(g.text[at[maybe]])
             return np.bincount(g.text[at], own, n_texts), hit, maybe
@@ -414,14 +417,14 @@ def score(
     terms = [counts.select(F.col("h").alias("key"), "n", (F.log10((F.col("n") + 0.5) / mass) - unknown).alias("value"), F.lit(1).alias("word"))]
     contexts = counts.where(F.col("h") != end)
     filters = [share(rows.bit_filter(contexts.where(F.col("n") >= least), "h", BITS)) for least in (min_context, BUSY)]
-    parents = base
+    parents, grams = base, max(RANGES, math.ceil(n / RANGE))
     if depth:
-        found = rows.written(followers(train, text, [1], *filters, min_pair), "followers")
+        found = rows.written(followers(train, text, [1], *filters, min_pair, grams), "followers")
     for k in range(1, depth + 1):
         if k == 2:
             pairs = _keyed(found.where("x IS NOT NULL").where(F.col("x") != end).withColumn("log_ratio", F.lit(0.0)), "pairs")
             filters = [share(rows.bit_filter(pairs.where(F.col("n") >= least), "key", BITS)) for least in (max(min_context, min_pair), BUSY)]
-            found = rows.written(followers(train, text, list(range(2, depth + 1)), *filters, min_pair), "followers")
+            found = rows.written(followers(train, text, list(range(2, depth + 1)), *filters, min_pair, grams), "followers")
         level = rows.written(states(found.where(F.col("k") == k), parents, min_context, gain), "states")
         terms += [_keyed(level, kind).withColumn("word", F.lit(0)) for kind in ("pairs", "states")]
         parents = level.select(F.col("s").alias("p"), "x", F.col("prob").alias("below"))
@@ -436,7 +439,8 @@ def score(
     held = table.where(top).select("key", "value").toArrow().to_pandas()  # at most ``head`` rows
     heavy = share(Table(held["key"].to_numpy().view(np.uint64), held["value"].to_numpy()))
     tail = table.where(~top)
-    light = share(rows.bit_filter(tail, "key", BITS))
+    twice = tail.select(F.explode(F.array("key", F.shiftright("key", 32))).alias("key"))  # two bits a term
+    light = share(rows.bit_filter(twice, "key", BITS))
     ranges = max(RANGES, math.ceil(tail.count() / RANGE))
     numbered = rows.numbered(docs.select(key, text), key)
     texts = numbered.select(rows.ROW, F.col(text).cast("binary").alias("t"))
