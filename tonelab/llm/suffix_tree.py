@@ -163,6 +163,8 @@ def followers(docs: DataFrame, text: str, depths: list[int], often, busy, least:
                 yield from (lists(k, held.pop(k)) for k in depths if sum(len(h[0]) for h in held[k]))
                 held, size = {k: [] for k in depths}, 0
         yield from (lists(k, held.pop(k)) for k in depths if sum(len(h[0]) for h in held[k]))
+        del held
+        pa.default_memory_pool().release_unused()
 
     def one(k: int, c: dict, some: slice) -> pd.DataFrame:
         s, p, x, n = (np.concatenate(c[name][some]) for name in ("ss", "ps", "xs", "ns"))
@@ -178,14 +180,19 @@ def followers(docs: DataFrame, text: str, depths: list[int], often, busy, least:
             "x": pd.arrays.IntegerArray(np.append(x[keep], total), null),
         })
 
-    def use(c: dict, starts: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
-        return pd.concat([one(c["k"][a], c, slice(a, z)) for a, z in zip(starts, ends, strict=True)])
+    def use(c: dict, starts: np.ndarray, ends: np.ndarray) -> Iterator[pd.DataFrame]:
+        return (one(c["k"][a], c, slice(a, z)) for a, z in zip(starts, ends, strict=True))
 
     def add_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return runs(({c: b[c].to_numpy() for c in b.columns} for b in batches), ["k", "range"], use)
+        for frames in runs(({c: b[c].to_numpy() for c in b.columns} for b in batches), ["k", "range"], use):
+            yield from frames
+        pa.default_memory_pool().release_unused()
 
     schema = "k int, range int, ss array<bigint>, ps array<bigint>, xs array<bigint>, ns array<int>"
-    dealt = _texts(docs, text).mapInArrow(gather, schema).repartition("k", "range").sortWithinPartitions("k", "range")
+    sent = _texts(docs, text).mapInArrow(gather, schema)
+    # Small tasks: one range or a few, also where ranges outnumber the session's partitions.
+    tasks = min(ranges, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = sent.repartition(tasks, "k", "range").sortWithinPartitions("k", "range")
     return rows.map_frames(dealt, add_up, "k int, s bigint, p bigint, n bigint, x bigint")
 
 
@@ -235,31 +242,29 @@ def _keyed(pairs: DataFrame, kind: str) -> DataFrame:
 
 
 class Table:
-    """Numbers by 64-bit key, in arrays with open addressing."""
+    """Numbers by 64-bit key: a sparse table of places in dense arrays, with open addressing."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        size = 1 << max(4, (5 * len(keys) // 4).bit_length())
-        self.mask = np.uint64(size - 1)
-        self.keys, self.values, self.used = np.zeros(size, np.uint64), np.zeros(size), np.zeros(size, bool)
-        slot = _mixed(keys) & self.mask
-        while len(keys):
-            free = ~self.used[slot]
-            _, first = np.unique(slot[free], return_index=True)
-            put = np.flatnonzero(free)[first]
-            self.keys[slot[put]], self.values[slot[put]], self.used[slot[put]] = keys[put], values[put], True
-            left = np.ones(len(keys), bool)
-            left[put] = False
-            keys, values, slot = keys[left], values[left], (slot[left] + np.uint64(1)) & self.mask
+        size = 1 << max(4, (2 * len(keys)).bit_length())
+        self.mask, self.keys, self.values = np.uint64(size - 1), keys, values
+        self.place = np.full(size, -1, np.int32)
+        left, slot = np.arange(len(keys), dtype=np.int32), _mixed(keys) & self.mask
+        while len(left):
+            free = self.place[slot] < 0
+            self.place[slot[free]] = left[free]  # of several for one slot, the last stays
+            open_ = self.place[slot] != left
+            left, slot = left[open_], (slot[open_] + np.uint64(1)) & self.mask
 
     def look_up(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Values (0 if there is none), and whether there is one."""
         value, found = np.zeros(len(keys)), np.zeros(len(keys), bool)
         at, slot = np.arange(len(keys)), _mixed(keys) & self.mask
         while len(at):
-            used = self.used[slot]
-            at, slot = at[used], slot[used]
-            hit = self.keys[slot] == keys[at]
-            value[at[hit]], found[at[hit]] = self.values[slot[hit]], True
+            place = self.place[slot]
+            used = place >= 0
+            at, slot, place = at[used], slot[used], place[used]
+            hit = self.keys[place] == keys[at]
+            value[at[hit]], found[at[hit]] = self.values[place[hit]], True
             at, slot = at[~hit], (slot[~hit] + np.uint64(1)) & self.mask
         return value, found
 
