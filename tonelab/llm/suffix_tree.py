@@ -34,7 +34,7 @@ DEPTH = 3
 #: Occurrences of a context; occurrences of a word after it; discount; nats gained.
 MIN_CONTEXT, MIN_PAIR, DISCOUNT, GAIN = 50, 4, 0.75, 5.0
 #: Terms held by every task, bits of the filters, bytes of text and n-grams taken at once.
-HEAD, BITS, BYTES, HELD = 3 << 19, 1 << 27, 1 << 20, 1 << 19
+HEAD, BITS, BYTES, HELD = 1 << 20, 1 << 27, 1 << 19, 1 << 19
 #: Terms or n-grams of a range of hashes, which is worked on at once, and ranges at least.
 RANGE, RANGES = 1 << 19, 32
 #: Contexts with more occurrences are counted in PARTS parts by their next word.
@@ -317,6 +317,7 @@ def _first_sums(texts: DataFrame, depth: int, heavy, light, unknown: float, rang
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in _chunks(batches):
             yield pd.DataFrame([[row.get(c) for c in (*_OPEN, *_SUMS)] for row in chunk(b)], columns=[*_OPEN, *_SUMS], dtype=object)
+        pa.default_memory_pool().release_unused()
 
     return rows.map_frames(texts, run, _ddl(_OPEN | _SUMS))
 
