@@ -9,9 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tonelab.llm import rows
+from tonelab.llm import order, rows
 
 #: Bytes of an archive under one lowest node, and children of a higher node.
 RANGE, FAN_OUT = 1 << 16, 16
@@ -31,19 +30,25 @@ def warc_record(key: Column, url: Column, body: Column) -> Column:
     return F.concat(*head, held, F.lit("\r\n\r\n"))
 
 
-def layout(records: DataFrame, key: str, record: str, per_archive: int = PER_ARCHIVE, also: tuple[str, ...] = ()) -> DataFrame:
-    """``archive, offset, length, digest, key`` and columns ``also``: records placed one after the other, by key.
+def layout(records: DataFrame, key: str, record: str, per_archive: int = PER_ARCHIVE) -> DataFrame:
+    """``archive, offset, length, digest, key``: records placed one after the other, by key and digest.
 
-    An archive holds the records of ``per_archive`` consecutive keys, so no archive grows with
-    the table; rows without a key are dealt to archives by their digest. Contents are hashed
-    where they are; only digests are moved.
+    An archive holds the records of ``per_archive`` consecutive keys; rows without a key are dealt
+    to archives by their digest. Keys may repeat: offsets are running totals over windows of
+    bounded size, so an archive may hold any share of the table. A null record is empty. Contents
+    are hashed where they are, also very long ones; only digests are moved.
     """
-    length, digest = F.octet_length(record).cast("bigint").alias("length"), F.sha2(F.col(record).cast("binary"), 256).alias("digest")
-    narrow = records.select(F.col(key), length, digest, *also)
+    content = F.coalesce(F.col(record), F.lit("")).cast("binary")
+    length, digest = F.octet_length(content).cast("bigint").alias("length"), F.sha2(content, 256).alias("digest")
+    narrow = rows.written(records.select(F.col(key), length, digest), "records")
     number = F.coalesce(F.floor(F.col(key) / per_archive).cast("string"), F.concat(F.lit("x"), F.substring("digest", 1, 4)))
-    ahead = Window.partitionBy("archive").orderBy(key, "digest").rowsBetween(Window.unboundedPreceding, -1)
     placed = narrow.withColumn("archive", F.concat(F.lit("pages-"), number))
-    return placed.select("archive", F.coalesce(F.sum("length").over(ahead), F.lit(0)).alias("offset"), "length", "digest", key, *also)
+    rank, place = rows.OWN + "rank", rows.OWN + "place"
+    placed = order.ranked(placed, ["archive"], [key, "digest"], rank)
+    most = placed.agg(F.max(rank)).first()[0] or 0
+    text, width = order.hexadecimal(F.col(rank), most + 1)
+    summed = order.before(placed.withColumn(place, text), ["archive"], place, F.col("length"), width - order.DIGITS, "offset")
+    return summed.select("archive", "offset", "length", "digest", key)
 
 
 def tree(manifest: DataFrame, levels: int) -> list[DataFrame]:
