@@ -44,6 +44,26 @@ def test_early_stop_equals_the_plain_loop(spark, chunk, patience):
     assert got == {k: (plain_stop(vs, patience), len(vs)) for k, vs in series.items()}
 
 
+@pytest.mark.parametrize("epochs", [[1, 2, 4], [1, 2, 2, 3], [1, 2, 2, 4], [1, None, 2], [1, 2, 5, 6], [None]])
+@pytest.mark.parametrize("chunk", [2, 1024])
+def test_early_stop_refuses_gaps_and_repeats(spark, epochs, chunk):
+    log = spark.createDataFrame([("bad", e, 0.1) for e in epochs] + [("good", e, 0.1) for e in (4, 5, 6, 7)], LOG)
+    with pytest.raises(Exception, match="must follow each other"):
+        runs.early_stop(log, ["run"], "f1", chunk_epochs=chunk).collect()
+    good = runs.early_stop(log.where("run = 'good'"), ["run"], "f1", chunk_epochs=chunk).first()
+    assert (good["stop_epoch"], good["last_epoch"]) == (6, 7)
+    assert runs.early_stop(log.limit(0), ["run"], "f1").count() == 0
+
+
+def test_early_stop_shuffles_the_log_once(spark, tmp_path):
+    spark.createDataFrame([("a", 1, 0.5), (None, 1, 0.5)], LOG).write.parquet(f"{tmp_path}/log")
+    out = runs.early_stop(spark.read.parquet(f"{tmp_path}/log"), ["run"], "f1")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # The rows once; the chunks' maxima, combined by tasks, twice; the chunks once.
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 4
+    assert {r["run"]: r["last_epoch"] for r in out.collect()} == {"a": 1, None: 1}
+
+
 def test_epoch_numbers_over_chunks(spark):
     rows = [("a", d, d * 10 + i) for d in (1, 2, 5) for i in (3, 1, 2)] + [(None, 1, 7)]
     log = spark.createDataFrame(rows, "run string, day int, ts int")

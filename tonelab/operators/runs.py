@@ -84,36 +84,44 @@ def early_stop(
     row without a better metric. Null where a run never stops early. A null or NaN metric
     is never better.
 
-    Epochs are numbered 1, 2, 3, ... A run stops ``patience`` epochs after the
+    Epochs are whole numbers that follow each other; a run with a gap, a repeated or a null
+    epoch fails with an error. A run stops ``patience`` epochs after the
     first record that is not followed by another one in time. Rows are only
     ranked within chunks of epochs; each chunk then becomes one row with its first
-    and last record, so no window holds the rows of a whole run.
+    and last record, so no window holds the rows of a whole run. What earlier chunks
+    reached enters a chunk as a row ahead of its own, so the log is shuffled once.
     """
     value = _number(metric) if higher else -_number(metric)
-    df = log.select(*run, F.col(epoch).alias("_e"), value.alias("_v"))
+    df = log.select(*run, F.col(epoch).cast("bigint").alias("_e"), value.alias("_v"))
     df = df.withColumn("_chunk", F.floor(F.col("_e") / chunk_epochs))
-    df = _with_carry(df, run, "_chunk", F.col("_v"), F.max, "_carry")
-    earlier = (
-        W.Window.partitionBy(*run, "_chunk").orderBy("_e").rowsBetween(W.Window.unboundedPreceding, -1)
-    )
-    best = F.greatest(F.max("_v").over(earlier), F.col("_carry"))
-    record = F.col("_v").isNotNull() & (F.col("_best").isNull() | (F.col("_v") > F.col("_best")))
-    df = df.withColumn("_best", best).withColumn("_record", F.when(record, F.col("_e")))
-    df = df.withColumn("_previous", F.max("_record").over(earlier))
+    before = W.Window.partitionBy(*run).orderBy("_chunk").rowsBetween(W.Window.unboundedPreceding, -1)
+    reached = df.groupBy(*run, "_chunk").agg(F.max("_v").alias("_v")).withColumn("_v", F.max("_v").over(before))
+    reached = reached.withColumns({"_e": F.lit(None).cast("bigint"), "_own": F.lit(False)})
+    df = df.withColumn("_own", F.lit(True)).unionByName(reached)
+    ordered = W.Window.partitionBy(*run, "_chunk").orderBy("_own", "_e")
+    earlier = ordered.rowsBetween(W.Window.unboundedPreceding, -1)
+    record = F.col("_own") & F.col("_v").isNotNull() & (F.col("_best").isNull() | (F.col("_v") > F.col("_best")))
+    df = df.withColumns({"_best": F.max("_v").over(earlier), "_step": F.col("_e") - F.lag("_e").over(ordered)})
+    df = df.withColumn("_record", F.when(record, F.col("_e"))).withColumn("_previous", F.max("_record").over(earlier))
     late = F.col("_record") - F.col("_previous") > patience
     chunks = df.groupBy(*run, "_chunk").agg(
         F.min("_record").alias("_first"),
         F.max("_record").alias("_last"),
         F.min(F.when(late, F.col("_previous") + patience)).alias("_inside"),
+        F.min("_e").alias("_start"),
         F.max("_e").alias("_end"),
+        F.count_if("_own").alias("_rows"),
+        F.count_if(F.col("_step") != 1).alias("_jumps"),
     )
     later = W.Window.partitionBy(*run).orderBy("_chunk").rowsBetween(1, W.Window.unboundedFollowing)
     whole = W.Window.partitionBy(*run)
     chunks = chunks.withColumns({"_next": F.min("_first").over(later), "last_epoch": F.max("_end").over(whole)})
     wait = F.coalesce(F.col("_next") - 1, F.col("last_epoch")) - F.col("_last")
     between = F.when(wait >= patience, F.col("_last") + patience)
+    gapless = (F.sum("_jumps") == 0) & (F.sum("_rows") == F.max("_end") - F.min("_start") + 1)
+    wrong = F.raise_error(F.lit("early_stop: the epochs of a run must follow each other without gaps or repeats")).cast("bigint")
     return chunks.groupBy(*run).agg(
-        F.min(F.least("_inside", between)).alias("stop_epoch"), F.max("last_epoch").alias("last_epoch")
+        F.when(gapless, F.min(F.least("_inside", between))).otherwise(wrong).alias("stop_epoch"), F.max("last_epoch").alias("last_epoch")
     )
 
 
