@@ -8,11 +8,45 @@ from __future__ import annotations
 
 import math
 
-from tonelab.functions.generated import FALLBACKS
-from tonelab.functions.prompts import SENTIMENT_PREFIXES, TASK_TEMPLATES
-from tonelab.functions.text import WHITESPACE
-from tonelab.operators.trials import CLASSIFIER_SPACE, CLASSIFIER_TRIALS, COUNT_MODEL_SPACE, TEXT_SPACE, TEXT_TRIALS
-from tonelab.plans.experiment import DEFAULT_SETTINGS
+# Fixed values, written out again so that the SQL does not follow a change of the library.
+WHITESPACE = "".join(c for c in map(chr, range(0x10000)) if c.isspace())
+SENTIMENT_PREFIXES = {
+    "three_class": "sentiment classification (negative, off, positive): ",
+    "two_class": "sentiment classification (negative, positive): ",
+    "two_class_short": "sentiment (negative or positive): ",
+}
+# (task, style) -> text before and after the review.
+TASK_TEMPLATES = {
+    ("sentiment", "prefix"): ("sentiment classification: ", ""),
+    ("topic", "prefix"): ("topic classification: ", ""),
+    ("selected", "prefix"): ("generate selected content: ", ""),
+    ("sentiment", "prompt"): ("Task: Determine the sentiment of the following review.\nReview: ", "\nSentiment:"),
+    ("topic", "prompt"): ("Task: Identify the topic of the following review.\nReview: ", "\nTopic:"),
+    ("selected", "prompt"): ("Task: Generate the selected content that supports the opinion.\nReview: ", "\nAnswer:"),
+}
+# Labels that can be recognised, label text and label id of unrecognised text.
+FALLBACKS = {
+    "three_class": (("negative", "off", "positive"), "off", 1),
+    "remove_off": (("negative", "positive"), "off", 1),
+    "two_class": (("negative", "positive"), "negative", 0),
+}
+# Smoothing and prior weight.
+DEFAULT_SETTINGS = ((1.0, 1.0), (0.1, 1.0), (0.01, 1.0))
+# Search spaces: kind of draw and its bounds or options.
+CLASSIFIER_SPACE = {
+    "learning_rate": ("log", 1e-5, 5e-5),
+    "per_device_train_batch_size": ("one of", 8, 16, 32),
+    "num_train_epochs": ("one of", 2, 3, 4),
+    "weight_decay": ("even", 0.0, 0.1),
+}
+CLASSIFIER_TRIALS = 3
+TEXT_SPACE = {
+    "learning_rate": ("log", 1e-5, 5e-4),
+    "num_train_epochs": ("whole", 2, 6),
+    "per_device_train_batch_size": ("one of", 8, 16),
+}
+TEXT_TRIALS = 5
+COUNT_MODEL_SPACE = {"smoothing": ("log", 0.01, 10.0), "prior_weight": ("even", 0.0, 1.0)}
 
 
 def quote(s: str) -> str:
@@ -159,8 +193,8 @@ ALL_K = """member AS (
 
 def settings_cte(settings) -> str:
     rows = ", ".join(
-        f"({i}, {s.smoothing!r}::DOUBLE, {s.prior_weight!r}::DOUBLE, NULL::INTEGER)"
-        for i, s in enumerate(settings)
+        f"({i}, {smoothing!r}::DOUBLE, {prior!r}::DOUBLE, NULL::INTEGER)"
+        for i, (smoothing, prior) in enumerate(settings)
     )
     return f"settings(setting, alpha, pw, lim) AS (VALUES {rows})"
 
@@ -328,15 +362,15 @@ def draw(name: str, search: str) -> str:
 
 def drawn(name: str, p, search: str) -> str:
     u = draw(name, search)
-    kind = type(p).__name__
-    if kind == "LogUniform":
-        return f"round(exp({math.log(p.low)!r}::DOUBLE + {u} * {math.log(p.high / p.low)!r}::DOUBLE), 12)"
-    if kind == "Uniform":
-        return f"round({p.low!r}::DOUBLE + {u} * {p.high - p.low!r}::DOUBLE, 12)"
-    if kind == "IntRange":
-        return f"CAST(floor({u} * {p.high - p.low + 1}) + {p.low} AS INTEGER)"
-    options = ", ".join("NULL" if o is None else str(o) for o in p.options)
-    return f"([{options}])[CAST(floor({u} * {len(p.options)}) AS INTEGER) + 1]"
+    kind, low, *_, high = p
+    if kind == "log":
+        return f"round(exp({math.log(low)!r}::DOUBLE + {u} * {math.log(high / low)!r}::DOUBLE), 12)"
+    if kind == "even":
+        return f"round({low!r}::DOUBLE + {u} * {high - low!r}::DOUBLE, 12)"
+    if kind == "whole":
+        return f"CAST(floor({u} * {high - low + 1}) + {low} AS INTEGER)"
+    options = ", ".join(map(str, p[1:]))
+    return f"([{options}])[CAST(floor({u} * {len(p) - 1}) AS INTEGER) + 1]"
 
 
 def trial_sql(space, n: int) -> str:
@@ -410,13 +444,15 @@ def letters(c: str) -> str:
 
 
 def label_text(c: str, policy) -> str:
-    cases = " ".join(f"WHEN starts_with({letters(c)}, '{n[:3]}') THEN '{n}'" for n in policy.domain.names)
-    return f"CASE {cases} ELSE '{policy.text}' END"
+    names, fallback, _ = policy
+    cases = " ".join(f"WHEN starts_with({letters(c)}, '{n[:3]}') THEN '{n}'" for n in names)
+    return f"CASE {cases} ELSE '{fallback}' END"
 
 
 def label_id(c: str, policy) -> str:
-    cases = " ".join(f"WHEN '{n}' THEN {i}" for i, n in enumerate(policy.domain.names))
-    return f"CASE {label_text(c, policy)} {cases} ELSE {policy.label_id} END"
+    names, _, fallback = policy
+    cases = " ".join(f"WHEN '{n}' THEN {i}" for i, n in enumerate(names))
+    return f"CASE {label_text(c, policy)} {cases} ELSE {fallback} END"
 
 
 def template(task: str, style: str) -> str:
