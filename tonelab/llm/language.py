@@ -56,7 +56,7 @@ def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     for at in range(0, len(text), CHARS):
         last = at + CHARS >= len(text)
         part = np.frombuffer(text[at : at + CHARS].encode("utf-32-le", "surrogatepass"), np.uint32)
-        codes = np.concatenate([left, _letters()[part], [SPACE] * last])
+        codes = np.concatenate([left, _letters()[part], np.full(int(last), SPACE)])
         codes = codes[np.concatenate([[True], (codes[1:] != SPACE) | (codes[:-1] != SPACE)])]
         left = codes[1 - GRAM :]
         if len(codes) < GRAM:
@@ -190,7 +190,9 @@ def identify(
 
     The model is learned from the rows with a text and a language whose key's CRC-32 does
     not leave 2 on division by 4 (rows with a null key teach nothing); prediction reads the
-    text alone. Repeated rows are rows of their own; an empty table gives none.
+    text alone. Repeated rows are rows of their own; an empty table gives none. Very long texts
+    are read whole, in blocks. Equal cosines: the first language in alphabetical order. Other
+    columns are ignored.
     """
     held = fold(key, 4, 2)
     languages, vectors = fit(docs.where(~held & F.col(key).isNotNull()), text, lang, dim)
