@@ -50,6 +50,43 @@ def test_lookup_equals_join(spark, prepared):
     assert naive_bayes.with_logits(rows.limit(0), model, candidates).count() == 0
 
 
+def test_joined_lookup_equals_lookup(spark, prepared, tmp_path):
+    """Weights beyond a task, in tables and streams, with repeated rows and odd texts: the logits of the map."""
+    odd = ["", None, "w1", "w1  w2", " w1 w2 ", "W1 É w1", "nie gesehen", "w3 " * 5000, "a\tb", " w1", "x" * 100, "x" * 100]
+    rows = prepared.select("row_key", "text", "label").unionByName(spark.createDataFrame([(f"o{i}", t, i % 3) for i, t in enumerate(odd)], SCHEMA))
+    rows = rows.unionByName(rows.where("label = 1")).withColumn("row_key", F.expr("nullif(row_key, 'o3')"))
+    model = naive_bayes.fit(rows, [Fit("a", "true"), Fit("b", "label <> 1")], (0, 1, 2))
+    candidates = [Candidate("x", "a"), Candidate("y", "b", 0.01, 0.5)]
+    want = naive_bayes.with_logits(rows, model, candidates)
+    order = lambda df: sorted(df.collect(), key=str)
+    rows.repartition(3).write.parquet(f"{tmp_path}/in")
+    for held in (0, 2000, 1 << 20):
+        got = naive_bayes.with_joined_logits(rows, model, candidates, held_bytes=held)
+        assert got.columns == want.columns and order(got) == order(want)
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{tmp_path}/in")
+        scored = naive_bayes.with_joined_logits(stream, model, candidates, held_bytes=held)
+        options = {"path": f"{tmp_path}/out{held}", "checkpointLocation": f"{tmp_path}/state{held}"}
+        scored.writeStream.format("parquet").options(**options).trigger(availableNow=True).start().awaitTermination()
+        assert order(spark.read.schema(want.schema).parquet(options["path"])) == order(want)
+
+
+def test_no_model_is_too_large_for_stage_and_artefact(spark, experiment, monkeypatch, tmp_path):
+    """Without room for any weights in a task, stage and artefact give the same rows, also for a stream and repeated ids."""
+    artefact.save(experiment, str(tmp_path / "model"))
+    model = artefact.load(spark, str(tmp_path / "model"))
+    stage = spark_ml.CountClassifier().fit(experiment.rows)
+    raw = experiment.rows.select("id", "text")
+    raw = raw.unionByName(raw.limit(5))
+    raw.write.parquet(f"{tmp_path}/in")
+    want = sorted(model.predict(raw).collect()), sorted(stage.transform(raw).collect())
+    monkeypatch.setattr(naive_bayes, "can_look_up", lambda *_: False)
+    assert (sorted(model.predict(raw).collect()), sorted(stage.transform(raw).collect())) == want
+    stream = model.predict(spark.readStream.schema(raw.schema).parquet(f"{tmp_path}/in"))
+    options = {"path": f"{tmp_path}/out", "checkpointLocation": f"{tmp_path}/state"}
+    stream.writeStream.format("parquet").options(**options).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(spark.read.parquet(options["path"]).collect()) == want[0]
+
+
 def test_lookup_is_refused_beyond_its_size(prepared):
     model = naive_bayes.fit(prepared, [Fit("a", "true"), Fit("few", "true", max_tokens=3)], (0, 1))
     assert naive_bayes.can_look_up(model, [Candidate("x", "a")])

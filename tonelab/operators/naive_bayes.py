@@ -12,6 +12,8 @@
 * ``with_logits`` looks the words of a text up in a sorted table that each task holds, if the
   measured weights are small enough for that. It is a map: no row is moved, no text joined
   back, and a streaming DataFrame can be scored with it.
+* ``with_joined_logits`` does the same for weights of any size: tasks hold the frequent words, and
+  only words they do not hold are joined. It needs no key and takes streams too.
 
 Log weights are kept as fixed-point integers while they are summed. Integer sums
 do not depend on the order of the rows, so a retried task or another partitioning
@@ -21,7 +23,7 @@ gives the same scores, bit for bit.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tonelab.functions.scores import argmax
 from tonelab.functions.tokens import words
@@ -45,6 +48,8 @@ SHORT_BYTES = 64
 ROW_BYTES, SLOT_BYTES = 32, 9
 # Weights that every Python worker may hold for ``with_logits``.
 LOOKUP_BYTES = 64 * 1024 * 1024
+# Rows of a stream that meet their rare words in one group.
+BLOCK_ROWS = 512
 
 # Every text starts with one empty token. Words are never empty, so the group of
 # this token holds the document counts, and a row without words is not lost.
@@ -297,27 +302,115 @@ def with_logits(df: DataFrame, model: CountModel, candidates: Sequence[Candidate
         raise ValueError(f"the weights of {len(candidates)} candidates are too large to look up; see score")
     slots, weights = _weights(model, candidates)
     names = [w for _, _, w in slots]
-    table = weights.where(" OR ".join(f"{w} IS NOT NULL" for w in names) or "false").select("token", *names).toArrow()
+    held = weights.where(" OR ".join(f"{w} IS NOT NULL" for w in names) or "false").select("token", *names)
+    find = _finder(held, names)
+    sums = F.arrow_udf(lambda lowered: find(lowered)[0], "array<bigint>")
+    found = df.withColumn("_sums", sums(F.lower(F.coalesce(text, F.lit("")))))
+    return found.selectExpr(*[f"`{c}`" for c in df.columns], *_logits(model, slots, [f"_sums[{i}]" for i in range(len(names))]))
+
+
+def _finder(held: DataFrame, names: Sequence[str]) -> Callable[[pa.Array], tuple[pa.Array, pa.Array]]:
+    """For lower-cased texts: the summed weights of the words in ``held``, and the other words, both as lists."""
+    table = held.toArrow()
     tokens = pc.cast(table.column("token"), pa.large_string()).combine_chunks()
     values = np.zeros((len(names), len(tokens) + 1), np.int64)  # the last place is that of unknown words
     for row, name in zip(values, names, strict=True):
         row[:-1] = pc.fill_null(table.column(name), 0).to_numpy()
-    shared = df.sparkSession.sparkContext.broadcast((tokens, values))
+    shared = held.sparkSession.sparkContext.broadcast((tokens, values))
 
-    def sums(lowered: pa.Array) -> pa.Array:
+    def find(lowered: pa.Array) -> tuple[pa.Array, pa.Array]:
         known, weight = shared.value
         split = pc.split_pattern(pc.cast(lowered, pa.large_string()), " ")
         sizes = pc.list_value_length(split).to_numpy()
         if not len(sizes):
-            return pa.array([], pa.list_(pa.int64()))
-        at = pc.fill_null(pc.index_in(pc.list_flatten(split), value_set=known), len(known)).to_numpy()
+            return pa.array([], pa.list_(pa.int64())), pa.array([], pa.list_(pa.string()))
+        pieces = pc.list_flatten(split)
+        at = pc.fill_null(pc.index_in(pieces, value_set=known), len(known)).to_numpy()
         starts = np.append(0, np.cumsum(sizes)[:-1]).astype(np.int64)  # a text has one piece at least
         found = np.stack([np.add.reduceat(w[at], starts) for w in weight]) if len(weight) else np.zeros((0, len(sizes)), np.int64)
         ends = np.arange(0, found.size + 1, max(1, len(names)), dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends[: len(sizes) + 1]), pa.array(found.T.ravel()))
+        sums = pa.ListArray.from_arrays(pa.array(ends[: len(sizes) + 1]), pa.array(found.T.ravel()))
+        other = (at == len(known)) & (pc.binary_length(pieces).to_numpy() > 0)
+        cuts = np.append(0, np.cumsum(np.add.reduceat(other.astype(np.int64), starts))).astype(np.int32)
+        return sums, pa.ListArray.from_arrays(pa.array(cuts), pc.cast(pieces.filter(pa.array(other)), pa.string()))
+
+    return find
+
+
+def with_joined_logits(
+    df: DataFrame, model: CountModel, candidates: Sequence[Candidate], *, text: str = "text", held_bytes: int = LOOKUP_BYTES
+) -> DataFrame:
+    """``with_logits`` for weights of any size: the same columns and the same logits, bit for bit.
 
-    held = df.withColumn("_sums", F.arrow_udf(sums, "array<bigint>")(F.lower(F.coalesce(text, F.lit("")))))
-    return held.selectExpr(*[f"`{c}`" for c in df.columns], *_logits(model, slots, [f"_sums[{i}]" for i in range(len(names))]))
+    Tasks hold the most frequent words that fit ``held_bytes`` (see ``_head_share``). The words of a text that
+    are not among them are joined. Logits depend on the text alone, so in a table equal texts are scored once, by
+    their digest, and meet their rows in one join. In a stream, whose rows cannot be aggregated without a
+    watermark, rows and the weights of their words meet in blocks of ``BLOCK_ROWS`` rows. No key is needed.
+    """
+    if any(model.limits[m.fit] is not None for m in candidates):
+        raise ValueError("a limit on the words read needs a key; see score")
+    slots, weights = _weights(model, candidates)
+    names = [w for _, _, w in slots]
+    least = -(-model.n_tokens // _head_share(held_bytes, candidates, model.labels))
+    head = (F.col("n_total") >= F.lit(least)) & (F.octet_length("token") <= SHORT_BYTES)
+    known = F.expr(" OR ".join(f"{w} IS NOT NULL" for w in names) or "false")
+    tail = weights.where(~head & known).select("token", *names)
+    find = _finder(weights.where(head).select("token", *names), names)
+
+    def look_up(lowered: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays(find(lowered), names=["sums", "words"])
+
+    held = F.arrow_udf(look_up, "sums array<bigint>, words array<string>")(F.lower(F.coalesce(text, F.lit("")))).alias("_held")
+    logits = _logits(model, slots, names)
+    if df.isStreaming:
+        return _met_in_blocks(df, held, tail, names).selectExpr(*[f"`{c}`" for c in df.columns], *logits)
+    digest = F.md5(F.coalesce(text, F.lit(""))).alias("_digest")
+    once = df.select(digest, held).dropDuplicates(["_digest"])
+    total = [F.sum(F.coalesce(w, F.lit(0)) + F.coalesce(F.col("_sums")[i], F.lit(0))).alias(w) for i, w in enumerate(names)]
+    scored = _with_rare_words(once, "_digest", [], tail).groupBy("_digest").agg(*total).selectExpr("_digest", *logits)
+    joined = df.withColumn("_digest", digest).join(scored, "_digest")
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], *[f"logits_{c.name}" for c in candidates])
+
+
+def _with_rare_words(found: DataFrame, key: str, carry: Sequence[str], tail: DataFrame) -> DataFrame:
+    """One row per word of ``_held`` with its weights, and one without a word that has ``_sums`` and ``carry``.
+
+    The row without a word is joined by its key behind a newline, which equals no word and spreads evenly.
+    """
+    first = F.struct(F.concat(F.lit("\n"), F.col(key).cast("string")).alias("token"), F.col("_held.sums").alias("_sums"), *carry)
+    empty = [F.lit(None).cast(found.schema[c].dataType).alias(c) for c in carry]
+    others = F.transform(F.col("_held.words"), lambda w: F.struct(w.alias("token"), F.lit(None).cast("array<bigint>").alias("_sums"), *empty))
+    rows = found.select(key, F.inline(F.concat(F.array(first), others)))
+    return rows.join(tail, "token", "left")
+
+
+def _met_in_blocks(df: DataFrame, held: Column, tail: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The rows of a stream with the summed weights ``names``; rows are numbered per task, as they come."""
+
+    def number(tasks: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        n = 0
+        for task in tasks:
+            yield pa.array((task.to_numpy().astype(np.int64) << 33) + np.arange(n, n + len(task)))
+            n += len(task)
+
+    def meet(block: pa.Table) -> pa.Table:
+        rows = block.filter(pc.is_valid(block.column("_row")))
+        own, place = np.unique(rows.column("_key").to_numpy(), return_inverse=True)
+        at = np.searchsorted(own, block.column("_key").to_numpy())
+        flat = rows.column("_sums").combine_chunks().flatten().to_numpy().reshape(len(own), len(names))
+        out = pa.Table.from_arrays(rows.column("_row").combine_chunks().flatten(), names=columns)
+        for i, name in enumerate(names):
+            total = np.zeros(len(own), np.int64)
+            np.add.at(total, at, pc.fill_null(block.column(name), 0).to_numpy())
+            out = out.append_column(name, pa.array(total[place] + flat[:, i]))
+        return out
+
+    columns = df.columns
+    numbered = F.arrow_udf(number, "bigint").asNondeterministic()(F.spark_partition_id()).alias("_key")
+    found = df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), held, numbered)
+    rows = _with_rare_words(found, "_key", ["_row"], tail).withColumn("_block", F.expr(f"_key div {BLOCK_ROWS}"))
+    schema = StructType([*df.schema.fields, *[StructField(name, LongType()) for name in names]])
+    return rows.groupBy("_block").applyInArrow(meet, schema)
 
 
 def _join_head_and_tail(tokens: DataFrame, weights: DataFrame, n_tokens: int, head_share: int) -> DataFrame:

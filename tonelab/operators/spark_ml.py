@@ -94,7 +94,7 @@ FIT = "all"
 
 
 class CountClassifierModel(Model, _CountParams, MLReadable, MLWritable):
-    """Adds logits and the predicted label: a map over the rows."""
+    """Adds logits and the predicted label: a map over the rows, or a join on words if no task can hold the weights."""
 
     def __init__(self, counts: CountModel | None = None):
         super().__init__()
@@ -104,7 +104,8 @@ class CountClassifierModel(Model, _CountParams, MLReadable, MLWritable):
     def _transform(self, dataset: DataFrame) -> DataFrame:
         candidate = Candidate(FIT, FIT, self.getOrDefault("smoothing"), self.getOrDefault("priorWeight"))
         name, out = f"logits_{FIT}", self.getOrDefault("scoreCol")
-        scored = naive_bayes.with_logits(dataset, self.counts, [candidate], text=self.getOrDefault("textCol")).withColumnRenamed(name, out)
+        add = naive_bayes.with_logits if naive_bayes.can_look_up(self.counts, [candidate]) else naive_bayes.with_joined_logits
+        scored = add(dataset, self.counts, [candidate], text=self.getOrDefault("textCol")).withColumnRenamed(name, out)
         place = F.array(*[F.lit(float(c)) for c in self.getOrDefault("labels")])
         return scored.withColumn(self.getPredictionCol(), F.get(place, argmax(F.col(out))))
 

@@ -1,7 +1,7 @@
 """One folder that scores raw rows elsewhere: cleaning rules, label domain, chosen setting and counts.
 
 The folder is written beside its place and renamed when it is whole. Scoring is a map over the
-rows if the model's weights fit into a task, so it works on a streaming DataFrame too.
+rows if the model's weights fit into a task, else a join on the rare words; both take streams.
 """
 
 from __future__ import annotations
@@ -11,13 +11,12 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tonelab.functions.labels import LabelDomain
 from tonelab.operators import clean, naive_bayes
 from tonelab.operators.naive_bayes import Candidate, CountModel
 from tonelab.operators.stratified import Run
-from tonelab.plans.experiment import KEY, Experiment, prediction_columns, require_keys, with_prediction
+from tonelab.plans.experiment import Experiment, prediction_columns, with_prediction
 from tonelab.plans.holdout import HOLDOUT
 from tonelab.sources.scratch import publish
 
@@ -46,16 +45,11 @@ class Artefact:
     def predict(self, raw: DataFrame) -> DataFrame:
         """``id, text``, ``sentiment`` if given, and the prediction of each row that ``prepare`` keeps.
 
-        A model whose weights no task can hold is joined instead; ids must be unique for that, and
-        the rows no stream.
+        Rows may be a stream and ids may repeat, whatever the size of the model.
         """
         rows = self.prepare(raw)
-        if naive_bayes.can_look_up(self.model, [self.candidate]):
-            scored = naive_bayes.with_logits(rows, self.model, [self.candidate])
-        else:
-            keyed = rows.withColumn(KEY, F.col("id"))
-            require_keys(keyed)
-            scored = keyed.join(naive_bayes.score(keyed, self.model, [self.candidate], key=KEY), KEY)
+        add = naive_bayes.with_logits if naive_bayes.can_look_up(self.model, [self.candidate]) else naive_bayes.with_joined_logits
+        scored = add(rows, self.model, [self.candidate])
         labels = [c for c in ("sentiment",) if c in raw.columns]
         return with_prediction(scored, f"logits_{FIT}", self.domain).select("id", "text", *labels, *prediction_columns(self.domain))
 
