@@ -4,6 +4,7 @@ import collections
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,3 +134,20 @@ def test_odd_tables(spark):
     assert len(alone) == 10  # null and empty texts have the constant alone
     with pytest.raises(ValueError):
         training.train(spark.createDataFrame([("k", "a", 0), ("k", "b", 1)], schema), TWO_CLASS, TRIALS, width=WIDTH)
+
+
+def test_tasks_work_on_few_rows_at_once(spark):
+    """A batch of many rows is cut; vectors and logits of the stretches are those of the rows alone."""
+    batch = pa.RecordBatch.from_pydict({"n": list(range(2 * gradient.SLICE + 3))})
+    cut = list(gradient.slices([batch, batch.slice(0, 0)]))
+    assert [b.num_rows for b in cut] == [gradient.SLICE, gradient.SLICE, 3] and [n for b in cut for n in b.column(0).to_pylist()] == batch.column(0).to_pylist()
+    rows = spark.createDataFrame(reviews(1200, 2), "row_key string, text string, label int").coalesce(1)
+    vectors = gradient.with_features(rows, WIDTH)
+    found = {r["row_key"]: r for r in vectors.collect()}
+    weights = {1: np.arange(WIDTH, dtype=float)[None] / WIDTH}
+    logits = {r["row_key"]: r["logits"][1] for r in gradient.scored(vectors, weights, ["row_key"]).collect()}
+    assert len(found) == len(logits) == 1200
+    for key, text, _ in reviews(1200, 2):
+        dense = np.zeros(WIDTH)
+        dense[found[key]["i"]] = found[key]["x"]
+        assert np.allclose(dense, vector(text)) and np.isclose(logits[key], dense @ weights[1][0])

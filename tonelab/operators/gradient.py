@@ -34,6 +34,8 @@ LOSS_POINT = 1e9
 STEP = 1e5
 #: Word forms whose place a worker remembers.
 REMEMBERED = 1 << 17
+#: Rows that a task works on at once; a batch of Arrow holds up to 10,000.
+SLICE = 512
 
 
 @dataclass(frozen=True)
@@ -52,6 +54,13 @@ def bucket(word: str, width: int) -> int:
     return 1 + int(hashlib.md5(word.encode("utf-8", "surrogatepass")).hexdigest()[:8], 16) % (width - 1)
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches cut into stretches of at most ``SLICE`` rows: what is built from one stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE):
+            yield b.slice(at, SLICE)
+
+
 def with_features(df: DataFrame, width: int, text: str = "text") -> DataFrame:
     """``df`` with ``i`` and ``x`` in the place of ``text``: ascending places of its words, and their counts over the
     length of the vector of counts. The whole cleaned text is read. An empty or null text has the constant alone."""
@@ -77,7 +86,7 @@ def with_features(df: DataFrame, width: int, text: str = "text") -> DataFrame:
     known: dict[str, int] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             i, x = places(b.column(text))
             kept = [b.column(c) for c in others]
             yield pa.RecordBatch.from_arrays([*kept, i, x], names=[*others, "i", "x"])
@@ -185,14 +194,13 @@ def scored(rows: DataFrame, weights: Mapping[int, np.ndarray], columns: Sequence
     kinds = dict(rows.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                held = Vectors.of(pa.nulls(b.num_rows, pa.int32()), b.column("i"), b.column("x"))
-                for number, w in sorted(shared.value.items()):
-                    z = held.logits(w, 0, b.num_rows)
-                    flat = pa.FixedSizeListArray.from_arrays(pa.array(z.ravel()), z.shape[1]).cast(pa.list_(pa.float64()))
-                    trial = pa.array(np.full(b.num_rows, number, np.int32))
-                    yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), trial, flat], names=[*columns, "trial", "logits"])
+        for b in slices(batches):
+            held = Vectors.of(pa.nulls(b.num_rows, pa.int32()), b.column("i"), b.column("x"))
+            for number, w in sorted(shared.value.items()):
+                z = held.logits(w, 0, b.num_rows)
+                flat = pa.FixedSizeListArray.from_arrays(pa.array(z.ravel()), z.shape[1]).cast(pa.list_(pa.float64()))
+                trial = pa.array(np.full(b.num_rows, number, np.int32))
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), trial, flat], names=[*columns, "trial", "logits"])
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "trial int", "logits array<double>"])
     return rows.select(*dict.fromkeys([*columns, "i", "x"])).mapInArrow(run, schema)
