@@ -144,3 +144,16 @@ def test_every_layout_uses_every_row(counts):
         for c, n in counts.items():
             assert sum(s[c] for _, s in segments) == n
             assert all(s[c] >= 0 for _, s in segments)
+
+
+def test_occurrence_keys_of_many_repeated_rows(spark, monkeypatch):
+    """More repeated digests than may be broadcast: the keys of the other route, without a join of the rows."""
+    rows = [(i % 40, f"t{i % 40}", i % 2) for i in range(130)] + [(None, None, None)] * 3 + [(99, "x", 1)] * 20
+    table = spark.createDataFrame(rows, "id int, text string, label int").repartition(3)
+    monkeypatch.setattr(keys, "CHUNK", 8)
+    want = keys.with_occurrence_key(table, table.columns)
+    monkeypatch.setattr(keys, "BROADCAST_ROWS", 2)
+    got = keys.with_occurrence_key(table, table.columns)
+    assert got.columns == want.columns and sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+    assert got.select("row_key").distinct().count() == len(rows)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()

@@ -342,8 +342,7 @@ def with_joined_logits(
 ) -> DataFrame:
     """``with_logits`` for weights of any size: the same columns and the same logits, bit for bit.
 
-    Tasks hold the most frequent words that fit ``held_bytes`` (see ``_head_share``). The words of a text that
-    are not among them are joined. Logits depend on the text alone, so in a table equal texts are scored once, by
+    Tasks hold the most frequent words that fit ``held_bytes``. The words of a text that are not among them are joined. Logits depend on the text alone, so in a table equal texts are scored once, by
     their digest, and meet their rows in one join. In a stream, whose rows cannot be aggregated without a
     watermark, rows and the weights of their words meet in blocks of ``BLOCK_ROWS`` rows. No key is needed.
     """
@@ -351,8 +350,7 @@ def with_joined_logits(
         raise ValueError("a limit on the words read needs a key; see score")
     slots, weights = _weights(model, candidates)
     names = [w for _, _, w in slots]
-    least = -(-model.n_tokens // _head_share(held_bytes, candidates, model.labels))
-    head = (F.col("n_total") >= F.lit(least)) & (F.octet_length("token") <= SHORT_BYTES)
+    head = (F.col("n_total") >= F.lit(_least_held(model, candidates, held_bytes))) & (F.octet_length("token") <= SHORT_BYTES)
     known = F.expr(" OR ".join(f"{w} IS NOT NULL" for w in names) or "false")
     tail = weights.where(~head & known).select("token", *names)
     find = _finder(weights.where(head).select("token", *names), names)
@@ -372,6 +370,14 @@ def with_joined_logits(
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], *[f"logits_{c.name}" for c in candidates])
 
 
+def _least_held(model: CountModel, candidates: Sequence[Candidate], held_bytes: int) -> int:
+    """The least power of two such that all words which occur so often fit ``held_bytes``."""
+    powers = [1 << k for k in range(63)]
+    size = f"least(octet_length(token), {SHORT_BYTES}) + {_row_bytes(candidates, model.labels)}"
+    sizes = model.counts.selectExpr(*[f"coalesce(sum({size}) FILTER (WHERE n_total >= {p}), 0)" for p in powers]).first()
+    return next((p for p, held in zip(powers, sizes, strict=True) if held <= held_bytes), powers[-1])
+
+
 def _with_rare_words(found: DataFrame, key: str, carry: Sequence[str], tail: DataFrame) -> DataFrame:
     """One row per word of ``_held`` with its weights, and one without a word that has ``_sums`` and ``carry``.
 
@@ -381,7 +387,7 @@ def _with_rare_words(found: DataFrame, key: str, carry: Sequence[str], tail: Dat
     empty = [F.lit(None).cast(found.schema[c].dataType).alias(c) for c in carry]
     others = F.transform(F.col("_held.words"), lambda w: F.struct(w.alias("token"), F.lit(None).cast("array<bigint>").alias("_sums"), *empty))
     rows = found.select(key, F.inline(F.concat(F.array(first), others)))
-    return rows.join(tail, "token", "left")
+    return rows.join(tail, "token", "left").drop("token")
 
 
 def _met_in_blocks(df: DataFrame, held: Column, tail: DataFrame, names: Sequence[str]) -> DataFrame:

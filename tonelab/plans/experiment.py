@@ -215,15 +215,13 @@ def predict_rows(
     """Score rows and put the predictions next to them: the prediction export.
 
     With weights that a task can hold the rows are scored where they are, and nothing is shuffled.
-    With a larger model scores come back as one short row per key; they meet the texts in
-    one equi-join on the unique key.
+    With a larger model only the words that no task holds are joined, and the scores of a
+    text meet its rows in one equi-join.
     """
     rows = e.rows if rows is None else rows
     name = f"logits_{candidate.name}"
-    if naive_bayes.can_look_up(e.model, [candidate], lookup_bytes):
-        scored = naive_bayes.with_logits(rows, e.model, [candidate])
-    else:
-        scored = rows.join(naive_bayes.score(rows, e.model, [candidate], key=KEY), KEY)
+    held = naive_bayes.can_look_up(e.model, [candidate], lookup_bytes)
+    scored = (naive_bayes.with_logits if held else naive_bayes.with_joined_logits)(rows, e.model, [candidate])
     return with_prediction(scored, name, e.domain).select("id", "text", "sentiment", "label", *prediction_columns(e.domain))
 
 
