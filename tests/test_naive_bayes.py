@@ -159,3 +159,13 @@ def test_hot_unknown_and_overlong_tokens(spark):
     assert scored(df, model, CANDIDATES[:1], broadcast_bytes=1050) == small
     train = {k: y for k, _, y, r in data if r == "train"}
     same(small["add_one"], plain(train, {k: t for k, t, _, _ in data}))
+
+
+def test_broadcast_words_fill_the_budget(rows):
+    """Words that occur so often fit the measured size, and the next power of two down would not."""
+    model = naive_bayes.fit(rows, FITS[:1], (0, 1))
+    sizes = [(r["n_total"], len(r["token"].encode()) + naive_bayes._row_bytes(CANDIDATES[:1], (0, 1))) for r in model.counts.collect()]
+    for budget in (0, 60, 150, 400, 10_000):
+        least = naive_bayes._least_held(model, CANDIDATES[:1], budget)
+        assert sum(size for n, size in sizes if n >= least) <= budget
+        assert least == 1 or sum(size for n, size in sizes if n >= least // 2) > budget

@@ -41,7 +41,7 @@ FIXED_POINT = 1e9
 
 # Size check of the join in ``score``. A weight table of up to BROADCAST_BYTES is
 # broadcast whole. Beyond that only the frequent tokens that fit are (see
-# ``_head_share``). Tokens longer than SHORT_BYTES are joined by a digest, which
+# ``_head_share`` and ``_least_held``). Tokens longer than SHORT_BYTES are joined by a digest, which
 # bounds the size of those rows too.
 BROADCAST_BYTES = 256 * 1024 * 1024
 SHORT_BYTES = 64
@@ -248,7 +248,8 @@ def score(
         joined = tokens.join(F.broadcast(weights.drop("n_total")), "token", "left")
     else:
         share = _head_share(broadcast_bytes, candidates, model.labels)
-        joined = _join_head_and_tail(tokens, weights, model.n_tokens, share)
+        least = min(-(-model.n_tokens // share), _least_held(model, candidates, broadcast_bytes))
+        joined = _join_head_and_tail(tokens, weights, least)
     sums = joined.groupBy(key, *carry).agg(
         *[
             F.expr(f"coalesce(sum(CASE WHEN {_within(model.limits[m.fit])} THEN {w} END), 0L)").alias(w)
@@ -419,18 +420,18 @@ def _met_in_blocks(df: DataFrame, held: Column, tail: DataFrame, names: Sequence
     return rows.groupBy("_block").applyInArrow(meet, schema)
 
 
-def _join_head_and_tail(tokens: DataFrame, weights: DataFrame, n_tokens: int, head_share: int) -> DataFrame:
+def _join_head_and_tail(tokens: DataFrame, weights: DataFrame, least: int) -> DataFrame:
     """Join against a vocabulary too large to broadcast.
 
-    Frequent tokens carry most occurrences and would be hot join keys. Their
-    number is bounded, so they are broadcast and never shuffled; the others are
+    Frequent tokens, those that occur ``least`` times, carry most occurrences and would be hot
+    join keys. Their number is bounded, so they are broadcast and never shuffled; the others are
     spread over many rare keys. The first branch keeps every row.
     """
     # Words hold no newline, so a digest behind one never equals a word.
     short = F.expr(f"if(octet_length(token) <= {SHORT_BYTES}, token, concat('\n', md5(token)))")
     tokens = tokens.withColumn("token", short)
     weights = weights.withColumn("token", short)
-    frequent = F.col("n_total") >= F.lit(-(-n_tokens // head_share))
+    frequent = F.col("n_total") >= F.lit(least)
     head = weights.filter(frequent).drop("n_total")
     tail = weights.filter(~frequent).drop("n_total")
     near = tokens.join(F.broadcast(head), "token", "left")
