@@ -15,11 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonelab.llm import rows
+from tonelab.llm import hashing, rows
 from tonelab.llm.lexicon import Lexicon
 
 WINDOW = 10
@@ -54,8 +53,8 @@ _ENDS = tuple(".!?:")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def describe(word: bytes) -> tuple[int, int, bool]:
-    """Class, hash and whether it ends a sentence."""
+def describe(word: bytes) -> tuple[int, bytes, bool]:
+    """Class, bare word in lower case and whether it ends a sentence."""
     raw = word.decode("utf-8", "replace")
     bare = raw.strip(_EDGES)
     low = bare.lower()
@@ -67,11 +66,82 @@ def describe(word: bytes) -> tuple[int, int, bool]:
         kind = UNIT
     else:
         kind = NAME if bare[0].isupper() and bare[1:].islower() else LITERAL_KIND
-    return kind, xxhash.xxh64_intdigest(low), raw.rstrip("\"')”’»").endswith(_ENDS)
+    return kind, low.encode(), raw.rstrip("\"')”’»").endswith(_ENDS)
+
+
+def _hashes(kind: np.ndarray, low: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    return [hashing.words([b" ".join(w or b"-" for w in low)])[0]]
 
 
 def words() -> Lexicon:
-    return Lexicon(describe, [np.int64, np.uint64, bool])
+    return Lexicon(describe, [np.int64, object, bool], more=_hashes, more_types=[np.uint64])
+
+
+def _among(chars: str | bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[[c for c in chars.encode() if c < 128] if isinstance(chars, str) else list(chars)] = True
+    return out
+
+
+_BLANK, _BREAK, _EDGE, _QUOTE, _END = map(_among, (b" \t\n\v\f\r", b"\n\r", _EDGES, "\"')", "".join(_ENDS)))
+_LOWER, _UPPER, _DIGIT = _among(bytes(range(97, 123))), _among(bytes(range(65, 91))), _among(b"0123456789$+")
+#: Characters that are taken off an end of a word at most; longer edges are left to ``describe``.
+_OFF = 4
+_FIXED = np.array([hashing.words([w.encode()])[0][0] for w in (*NUMBER_WORDS.split(), *UNITS.split())])
+_FIXED_KIND = np.repeat([NUMBER, UNIT], [len(NUMBER_WORDS.split()), len(UNITS.split())])[np.argsort(_FIXED, kind="stable")]
+_FIXED = np.sort(_FIXED, kind="stable")
+
+
+def described(texts: list[bytes | None], known: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Class, hash, whether it ends a sentence or line, and text of all words: what ``describe`` tells, for ASCII words without calling it.
+
+    Left to it are words with other characters, with digits or signs in front, and a few more.
+    """
+    whole = b"\n".join([*(t or b"" for t in texts), b""])
+    data = np.frombuffer(whole, np.uint8)
+    turn = np.flatnonzero(np.diff(_BLANK[data], prepend=True, append=True))
+    start, stop = turn[::2], turn[1::2]
+    ends = np.cumsum(np.fromiter((len(t or b"") + 1 for t in texts), np.int64, len(texts)))
+    text = np.searchsorted(ends, start, "right")
+    breaks = np.searchsorted(np.flatnonzero(_BREAK[data]), np.append(start, len(data)))
+    end = np.diff(breaks) > 0
+    hard = np.zeros(len(start), bool)
+    hard[np.searchsorted(start, np.flatnonzero(data >= 128), "right") - 1] = True
+
+    def cut(first: np.ndarray, last: np.ndarray, chars: np.ndarray, step: int) -> np.ndarray:
+        """Takes characters off one end; words with too many of them are hard."""
+        ours = (first if step > 0 else last).copy()
+        at = np.flatnonzero(last > first)
+        for _ in range(_OFF + 1):
+            at = at[chars[data[ours[at] - (step < 0)]]]
+            ours[at] += step
+            at = at[ours[at] != (last if step > 0 else first)[at]]
+        hard[at] = True
+        return ours
+
+    before = cut(start, stop, _QUOTE, -1)
+    end |= (before > start) & _END[data[before - 1]]
+    first = cut(start, stop, _EDGE, 1)
+    last = cut(first, stop, _EDGE, -1)
+    bare = last > first
+    head = data[first * bare]
+    second = data[np.where(last - first > 1, first + 1, 0)]
+    named = bare & _UPPER[head] & (last - first > 1)
+    hard |= bare & _DIGIT[head] | named & ~(_LOWER | _UPPER)[second]
+    named &= _LOWER[second]
+    capitals, at = np.flatnonzero(_UPPER[data]), np.flatnonzero(named)
+    named[at] = np.searchsorted(capitals, last[at]) - np.searchsorted(capitals, first[at]) == 1
+    value = np.zeros(len(start), np.uint64)
+    easy = np.flatnonzero(bare & ~hard)
+    value[easy] = hashing.spans(data, first[easy], last[easy])
+    place = np.minimum(np.searchsorted(_FIXED, value), len(_FIXED) - 1)
+    kind = np.where(named, NAME, LITERAL_KIND)
+    kind = np.where(bare, np.where(_FIXED[place] == value, _FIXED_KIND[place], kind), NOTHING)
+    hard = np.flatnonzero(hard)
+    if len(hard):
+        kind[hard], _, ended, value[hard] = known.look_up([whole[a:z] for a, z in zip(start[hard].tolist(), stop[hard].tolist(), strict=True)])
+        end[hard] = ended | (np.diff(breaks)[hard] > 0)
+    return kind, value, end, text
 
 
 class Reading:
@@ -110,12 +180,7 @@ class Reading:
 
 def readings(texts: list[bytes | None], known: Lexicon) -> Iterator[Reading]:
     """The plain words, and the two templates; one if no title-case word begins a sentence or line."""
-    lines = [[line.split() for line in t.splitlines()] if t else [] for t in texts]
-    kind, value, end = known.look_up([w for t in lines for line in t for w in line])
-    per_line = np.array([len(line) for t in lines for line in t], np.int64)
-    end = end.copy()
-    end[np.cumsum(per_line)[per_line > 0] - 1] = True
-    text = np.repeat(np.arange(len(texts)), [sum(map(len, t)) for t in lines])
+    kind, value, end, text = described(texts, known)
     real = np.flatnonzero(kind != NOTHING)
     ended = np.append(0, np.cumsum(end))[real]  # a word begins if anything since the last one ended a sentence
     begins = np.diff(ended, prepend=-1) > 0
