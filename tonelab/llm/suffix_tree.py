@@ -12,6 +12,10 @@ suffix its discount and, if the word is known there, a correction. Scoring is th
 join of the n-grams of the texts with one table of terms. The most frequent terms, a fixed
 number, are held by every task; a filter of fixed size tells which others may exist, and
 only those n-grams are shuffled: as lists per range of hashes, to the terms of that range.
+
+N-grams to be counted are shuffled as words: a frequent word is its rank, one to three bytes, any
+other one its hash. Both ends hold the frequent words, a fixed number. Contexts and their parents
+follow from the words and are not sent.
 """
 
 from __future__ import annotations
@@ -39,6 +43,8 @@ HEAD, BITS, BYTES, HELD = 1 << 20, 1 << 27, 1 << 19, 1 << 19
 RANGE, RANGES = 1 << 19, 32
 #: Contexts with more occurrences are counted in PARTS parts by their next word.
 BUSY, PARTS = 1 << 16, 64
+#: Words that have a rank and slots to look them up; first bytes up to which a rank is one byte, or two; that of a whole number.
+RANKED, SLOTS, _ONE, _TWO, _WHOLE = 1 << 18, 1 << 21, 192, 248, 255
 _CONTEXT, _PAIR = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 #: Stands for the end of a text.
 END = np.uint64(0xEF46DB3751D8E999)
@@ -114,7 +120,71 @@ def _counted(held: list[np.ndarray]) -> pd.DataFrame:
     return pd.DataFrame({"h": h.view(np.int64), "n": n})
 
 
-def followers(docs: DataFrame, text: str, depths: list[int], often, busy, least: int, ranges: int) -> DataFrame:
+class Code:
+    """N-grams of word hashes and their counts as bytes, by the rank of the frequent words.
+
+    A number is a first byte and the bytes that follow from it: none, one or two of a rank, or all eight of a
+    hash or a large count. First bytes and following bytes are kept apart, so both are read at once.
+    """
+
+    def __init__(self, words: np.ndarray):
+        """``words``: hashes, the most frequent one first; of words that meet in a slot only that one has a rank."""
+        self.words = words if len(words) else np.zeros(1, np.uint64)
+        self.slots = np.zeros(SLOTS, np.int32)
+        self.slots[self.words[::-1] & np.uint64(SLOTS - 1)] = np.arange(len(self.words), dtype=np.int32)[::-1]
+        self.more = np.repeat(np.uint8([0, 1, 2, 8]), [_ONE, _TWO - _ONE, _WHOLE - _TWO, 1])
+        self.least = np.cumsum(np.append(0, (1 << 8 * self.more.astype(np.int64))[:-2]), dtype=np.int32)  # rank of a first byte
+        self.least = np.append(self.least, 0).astype(np.int32)
+        rank = np.arange(len(self.words), dtype=np.int32)
+        first = np.searchsorted(self.least[:-1], rank, "right") - 1
+        self.first, self.rest = np.append(first, _WHOLE).astype(np.uint8), np.append(rank - self.least[first], 0).astype(np.uint16)
+
+    def rank(self, words: np.ndarray) -> np.ndarray:
+        """Rank of each word, -1 without one."""
+        rank = self.slots[words & np.uint64(SLOTS - 1)]
+        return np.where(self.words[rank] == words, rank, np.int32(-1))
+
+    def _laid(self, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of following bytes, and where they start."""
+        size = self.more[first]
+        size[:, -1] = (first[:, -1] == _WHOLE) * np.uint8(8)
+        size = size.ravel()
+        return size, np.cumsum(size, dtype=np.int64) - size
+
+    def write(self, ranks: np.ndarray, words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First bytes, following bytes and their number up to each n-gram; ``ranks`` and ``words`` by n-gram and place."""
+        first, rest = np.empty((len(n), ranks.shape[1] + 1), np.uint8), np.zeros((len(n), ranks.shape[1] + 1), np.uint16)
+        first[:, :-1], first[:, -1], rest[:, :-1] = self.first[ranks], np.minimum(n, _WHOLE), self.rest[ranks]
+        size, at = self._laid(first)
+        to = np.append(at.reshape(first.shape)[:, 0], at[-1] + size[-1] if len(at) else 0)
+        more, rest = np.zeros(to[-1], np.uint8), rest.ravel()
+        one, two, whole = (np.flatnonzero(size == x) for x in (1, 2, 8))
+        more[at[one]] = rest[one]
+        more[at[two]], more[at[two] + 1] = rest[two] >> 8, rest[two] & 255
+        row, place = np.divmod(whole, first.shape[1])
+        last = place == ranks.shape[1]
+        value = words[row, np.where(last, 0, place)]
+        value[last] = n[row[last]]
+        more[at[whole][:, None] + np.arange(8)] = value.view(np.uint8).reshape(-1, 8)
+        return first, more, to
+
+    def read(self, k: int, first: bytes, more: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Words by place, and counts."""
+        first, more = np.frombuffer(first, np.uint8).reshape(-1, k + 2), np.frombuffer(more, np.uint8)
+        size, at = self._laid(first)
+        one, two, whole = (np.flatnonzero(size == x) for x in (1, 2, 8))
+        rank = self.least[first]
+        rank[:, -1] = 0
+        flat = rank.ravel()
+        flat[one] += more[at[one]]
+        flat[two] += (more[at[two]].astype(np.int32) << 8) + more[at[two] + 1]
+        out = self.words[rank]
+        out[:, -1] = first[:, -1]
+        out.ravel()[whole] = more[at[whole][:, None] + np.arange(8)].reshape(-1).view(np.uint64)
+        return np.ascontiguousarray(out[:, :-1].T), out[:, -1].astype(np.int64)
+
+
+def followers(docs: DataFrame, text: str, depths: list[int], often, busy, code, least: int, ranges: int) -> DataFrame:
     """``k, s, p, x, n``: words ``x`` that follow context ``s`` (parent ``p``) at least ``least`` times;
     with ``x`` null: all occurrences of the context, in parts.
 
@@ -136,40 +206,57 @@ def followers(docs: DataFrame, text: str, depths: list[int], often, busy, least:
             at = at[rows.in_filter(often.value, older)]
         return at, rows.in_filter(busy.value, key(g, k, at))
 
-    def lists(k: int, parts: list[tuple]) -> pa.RecordBatch:
-        s, p, x, b = (np.concatenate(c) for c in zip(*parts, strict=True))
+    def lists(k: int, parts: list[tuple], words: np.ndarray, rank: np.ndarray) -> pa.RecordBatch:
+        s, at, b = (np.concatenate(c) for c in zip(*parts, strict=True))
         parts.clear()
-        _, first, n = np.unique(pair_key(s, x), return_index=True, return_counts=True)
-        s, p, x, b = s[first], p[first], x[first], b[first]
-        part = np.where(b, x % np.uint64(PARTS), np.uint64(PARTS))
+        _, first, n = np.unique(pair_key(s, words[at]), return_index=True, return_counts=True)
+        s, at, b = s[first], at[first], b[first]
+        part = np.where(b, words[at] % np.uint64(PARTS), np.uint64(PARTS))
         where = _range_of(pair_key(s, part), ranges)
-        order = np.lexsort((s, where))
+        order = np.argsort(where, kind="stable")
         cuts = np.searchsorted(where[order], np.arange(ranges + 1))
+        places = at[order][:, None] - np.arange(k, -1, -1)
+        lead, more, to = code.value.write(rank[places], words[places], n[order])
         some = np.flatnonzero(np.diff(cuts))
-        lengths = pa.array(np.append(cuts[some], len(s)).astype(np.int32))
-        values = [pa.ListArray.from_arrays(lengths, pa.array(v[order])) for v in (s.view(np.int64), p.view(np.int64), x.view(np.int64), n.astype(np.int32))]
+        bounds = np.append(cuts[some], len(order))
+        values = [
+            pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(v))])
+            for at, v in ((bounds * (k + 2), lead), (to[bounds], more))
+        ]
         keys = [pa.array(np.full(len(some), k, np.int32)), pa.array(some.astype(np.int32))]
-        return pa.RecordBatch.from_arrays([*keys, *values], names=["k", "range", "ss", "ps", "xs", "ns"])
+        return pa.RecordBatch.from_arrays([*keys, *values], names=["k", "range", "first", "more"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = {k: [] for k in depths}, 0
+        def sent() -> Iterator[pa.RecordBatch]:
+            words = np.concatenate(read)
+            rank = code.value.rank(words)
+            yield from (lists(k, held[k], words, rank) for k in depths if sum(len(h[0]) for h in held[k]))
+
+        read, held, size, before = [], {k: [] for k in depths}, 0, 0
         for b in _chunks(x.to_pandas() for x in batches):
             g = Grams(list(b["t"]))
             for k in depths:
                 at, split = candidates(g, k)
-                held[k].append((g.context(k)[at], g.context(k - 1)[at], g.word[at], split))
+                held[k].append((g.context(k)[at], at + before, split))
                 size += len(at)
-            if size > HELD:
-                yield from (lists(k, held.pop(k)) for k in depths if sum(len(h[0]) for h in held[k]))
-                held, size = {k: [] for k in depths}, 0
-        yield from (lists(k, held.pop(k)) for k in depths if sum(len(h[0]) for h in held[k]))
-        del held
+            read.append(g.word)
+            before += len(g.word)
+            if size > HELD or before > 4 * HELD:
+                yield from sent()
+                read, held, size, before = [], {k: [] for k in depths}, 0, 0
+        if read:
+            yield from sent()
+        del read, held
         pa.default_memory_pool().release_unused()
 
     def one(k: int, c: dict, some: slice) -> pd.DataFrame:
-        s, p, x, n = (np.concatenate(c[name][some]) for name in ("ss", "ps", "xs", "ns"))
+        words, n = code.value.read(k, b"".join(c["first"][some]), b"".join(c["more"][some]))
+        p, x = np.zeros(len(n), np.uint64), words[-1].view(np.int64)
+        for w in words[-2:0:-1]:
+            p = _mixed(p * _CONTEXT + w)
+        s, p = _mixed(p * _CONTEXT + words[0]).view(np.int64), p.view(np.int64)
         order = np.lexsort((x, s))
-        s, p, x, n = s[order], p[order], x[order], n[order].astype(np.int64)
+        s, p, x, n = s[order], p[order], x[order], n[order]
         new = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (s[1:] != s[:-1])))
         s, p, x, n = s[new], p[new], x[new], np.add.reduceat(n, new)
         heads = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
@@ -188,8 +275,7 @@ def followers(docs: DataFrame, text: str, depths: list[int], often, busy, least:
             yield from frames
         pa.default_memory_pool().release_unused()
 
-    schema = "k int, range int, ss array<bigint>, ps array<bigint>, xs array<bigint>, ns array<int>"
-    sent = _texts(docs, text).mapInArrow(gather, schema)
+    sent = _texts(docs, text).mapInArrow(gather, "k int, range int, first binary, more binary")
     # Small tasks: one range or a few, also where ranges outnumber the session's partitions.
     tasks = min(ranges, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = sent.repartition(tasks, "k", "range").sortWithinPartitions("k", "range")
@@ -204,7 +290,7 @@ def states(found: DataFrame, parents: DataFrame, min_context: int, gain: float)
     parent probability belongs to a parent that was not kept, and goes.
     """
     totals = found.where("x IS NULL").groupBy("s").agg(F.sum("n").alias("total")).where(F.col("total") >= min_context)
-    pairs = found.where("x IS NOT NULL").join(parents, ["p", "x"])
+    pairs = rows.written(found.where("x IS NOT NULL").join(parents, ["p", "x"]), "pairs")
     summed = pairs.groupBy("s").agg(F.sum(F.col("n") - DISCOUNT).alias("own"), F.count(F.lit(1)).alias("types"))
     weights = rows.written(
         totals.join(summed, "s").select("s", "total", (1 - F.col("own") / F.col("total")).alias("rest")), "weights"
@@ -271,8 +357,8 @@ class Table:
 
 #: Sums of the texts of a batch, in lists side by side; a batch is named by its first row.
 _SUMS = {"batch": "bigint", "ids": "array<bigint>", "n_tokens": "array<bigint>", "n_known": "array<bigint>", "base": "array<double>", "more": "array<double>"}
-#: N-grams still to be looked up, by range of hashes: ``sizes`` keys of each of ``ids``.
-_OPEN = {"range": "int", "sizes": "array<int>", "keys": "array<bigint>"}
+#: N-grams still to be looked up, by range of hashes: ``sizes`` keys of each of ``ids``, as bytes.
+_OPEN = {"range": "int", "sizes": "array<int>", "keys": "binary"}
 
 
 def _ddl(columns: dict[str, str]) -> str:
@@ -280,7 +366,7 @@ def _ddl(columns: dict[str, str]) -> str:
 
 
 def _first_sums(texts: DataFrame, depth: int, heavy, light, unknown: float, ranges: int) -> DataFrame:
-    """Sums over the terms that tasks hold (``range`` null), and the n-grams that may have others."""
+    """Sums over the terms that tasks hold (in any range, ``keys`` null), and the n-grams that may have others."""
 
     def chunk(b: pd.DataFrame) -> Iterator[dict]:
         g, n_texts, ids = Grams(list(b["t"])), len(b), b[rows.ROW].to_numpy(np.int64)
@@ -303,7 +389,7 @@ def _first_sums(texts: DataFrame, depth: int, heavy, light, unknown: float, rang
             sums, hit, maybe = value(at, _mixed(context ^ _CONTEXT))
             at, context = at[hit | maybe], context[hit | maybe]
             more += sums + value(at, pair_key(context, g.word[at]))[0]
-        yield {"batch": ids[0], "ids": ids, "n_tokens": n_tokens, "n_known": n_known, "base": base + n_tokens * unknown, "more": more}
+        yield {"range": ids[0] % ranges, "batch": ids[0], "ids": ids, "n_tokens": n_tokens, "n_known": n_known, "base": base + n_tokens * unknown, "more": more}
         keys, whose = np.concatenate(later_key), np.concatenate(later_text)
         part = _range_of(keys, ranges)
         order = np.lexsort((whose, part))
@@ -312,7 +398,7 @@ def _first_sums(texts: DataFrame, depth: int, heavy, light, unknown: float, rang
         for r in np.unique(part):
             some = slice(bounds[r], bounds[r + 1])
             owner, sizes = np.unique(whose[some], return_counts=True)
-            yield {"range": r, "batch": ids[0], "ids": ids[owner], "sizes": sizes, "keys": keys[some]}
+            yield {"range": r, "batch": ids[0], "ids": ids[owner], "sizes": sizes, "keys": keys[some].tobytes()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in _chunks(batches):
@@ -323,24 +409,25 @@ def _first_sums(texts: DataFrame, depth: int, heavy, light, unknown: float, rang
 
 
 def _packed(tail: DataFrame, ranges: int) -> DataFrame:
-    """``range, term_key, term_value, term_word``: terms in lists by range."""
+    """``range, term_key, term_value, term_word``: terms in lists by range, as bytes."""
+    types = {"key": np.int64, "value": np.float64, "word": np.uint8}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b = b.assign(range=_range_of(b["key"].to_numpy(np.int64).view(np.uint64), ranges)).sort_values("range")
             cuts = np.flatnonzero(np.diff(b["range"], prepend=-1))
-            parts = {c: np.split(b[c].to_numpy(), cuts[1:]) for c in ("key", "value", "word")}
+            parts = {c: [p.tobytes() for p in np.split(b[c].to_numpy(t), cuts[1:])] if len(b) else [] for c, t in types.items()}
             yield pd.DataFrame({"range": b["range"].to_numpy()[cuts], **{f"term_{c}": p for c, p in parts.items()}})
 
-    schema = "range int, term_key array<bigint>, term_value array<double>, term_word array<int>"
+    schema = "range int, term_key binary, term_value binary, term_word binary"
     return rows.map_frames(tail.select("key", "value", "word"), run, schema)
 
 
-def _resolved(opened: DataFrame, packed: DataFrame) -> DataFrame:
-    """Sums over the terms that were not held: terms of a range come first, then its n-grams, batch by batch."""
-    asked = opened.select("range", F.lit(1).alias("turn"), "batch", "ids", "sizes", "keys")
+def _resolved(first: DataFrame, packed: DataFrame) -> DataFrame:
+    """All sums: those that were held, and those over other terms. Terms of a range come first, then its n-grams, batch by batch."""
     terms = packed.withColumns({"turn": F.lit(0), "batch": F.lit(0).cast("bigint")})
-    dealt = terms.unionByName(asked, allowMissingColumns=True).repartition("range").sortWithinPartitions("range", "turn")
+    asked = terms.unionByName(first.withColumn("turn", F.lit(1)), allowMissingColumns=True)
+    dealt = asked.repartition("range").sortWithinPartitions("range", "turn")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, terms, table = None, [], None
@@ -352,9 +439,13 @@ def _resolved(opened: DataFrame, packed: DataFrame) -> DataFrame:
                 if row.term_key is not None:
                     terms.append((row.term_key, row.term_value, row.term_word))
                     continue
+                if row.keys is None:
+                    out.append([getattr(row, c) for c in _SUMS])
+                    continue
                 if table is None:
                     table, terms = _RangeTable(terms), []
-                out.append((row.batch, row.ids, np.zeros(len(row.ids), np.int64), *table.sums(row.keys, row.sizes)))
+                sums = table.sums(np.frombuffer(row.keys, np.int64), row.sizes)
+                out.append((row.batch, row.ids, np.zeros(len(row.ids), np.int64), *sums))
             yield pd.DataFrame(out, columns=list(_SUMS), dtype=object)
 
     return rows.map_frames(dealt, run, _ddl(_SUMS))
@@ -364,7 +455,8 @@ class _RangeTable:
     """Terms of one range; a term of a word adds to the base and counts as known, others to the rest."""
 
     def __init__(self, terms: list[tuple]):
-        keys, values, word = (np.concatenate(c) for c in zip(*terms, strict=True)) if terms else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int32))
+        keys, values, word = (b"".join(c) for c in zip(*terms, strict=True)) if terms else (b"", b"", b"")
+        keys, values, word = np.frombuffer(keys, np.int64), np.frombuffer(values), np.frombuffer(word, np.uint8)
         order = np.argsort(keys)
         self.keys, self.values, self.word = keys[order], values[order], word[order].astype(bool)
 
@@ -412,8 +504,29 @@ def score(
     columns are ignored. Words are told apart by 64-bit hashes; empty and very long
     texts are like any other (a text is hashed in blocks and held by one task). ``head``: terms each task holds.
     """
-    spark = docs.sparkSession
-    share = spark.sparkContext.broadcast
+    with rows.freed(docs.sparkSession):
+        return _score(docs, train, key, text, depth, min_context, min_pair, gain, head)
+
+
+def _most_frequent(table: DataFrame, number: int):
+    """Condition on ``size``, a step of the logarithm of the count, that holds for at most so many rows: the most frequent ones."""
+    least, kept = 1 << 30, 0
+    for size, n in sorted(table.groupBy("size").count().collect(), reverse=True):  # a few hundred sizes
+        kept += n
+        if kept > number:
+            break
+        least = size
+    return F.col("size") >= least
+
+
+def _sized(counts: DataFrame) -> DataFrame:
+    return counts.withColumn("size", F.floor(8 * F.log2("n")).cast("int"))
+
+
+def _score(
+    docs: DataFrame, train: DataFrame, key: str, text: str, depth: int, min_context: int, min_pair: int, gain: float, head: int,
+) -> DataFrame:
+    share = docs.sparkSession.sparkContext.broadcast
     counts = rows.written(word_counts(train, text), "words")
     n, v = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     n, mass = n or 0, (n or 0) + 0.5 * (v + 1)
@@ -425,23 +538,20 @@ def score(
     filters = [share(rows.bit_filter(contexts.where(F.col("n") >= least), "h", BITS)) for least in (min_context, BUSY)]
     parents, grams = base, max(RANGES, math.ceil(n / RANGE))
     if depth:
-        found = rows.written(followers(train, text, [1], *filters, min_pair, grams), "followers")
+        sized = _sized(counts)
+        ranked = sized.where(_most_frequent(sized, RANKED)).select("h", "n").toArrow().to_pandas()  # at most RANKED rows
+        code = share(Code(ranked.sort_values("n", ascending=False)["h"].to_numpy(np.int64).view(np.uint64)))
+        found = rows.written(followers(train, text, [1], *filters, code, min_pair, grams), "followers")
     for k in range(1, depth + 1):
         if k == 2:
             pairs = _keyed(found.where("x IS NOT NULL").where(F.col("x") != end).withColumn("log_ratio", F.lit(0.0)), "pairs")
             filters = [share(rows.bit_filter(pairs.where(F.col("n") >= least), "key", BITS)) for least in (max(min_context, min_pair), BUSY)]
-            found = rows.written(followers(train, text, list(range(2, depth + 1)), *filters, min_pair, grams), "followers")
+            found = rows.written(followers(train, text, list(range(2, depth + 1)), *filters, code, min_pair, grams), "followers")
         level = rows.written(states(found.where(F.col("k") == k), parents, min_context, gain), "states")
         terms += [_keyed(level, kind).withColumn("word", F.lit(0)) for kind in ("pairs", "states")]
         parents = level.select(F.col("s").alias("p"), "x", F.col("prob").alias("below"))
-    table = rows.written(functools.reduce(DataFrame.unionByName, terms).withColumn("size", F.floor(8 * F.log2("n")).cast("int")), "terms")
-    least, kept = None, 0
-    for size, number in sorted(table.groupBy("size").count().collect(), reverse=True):  # a few hundred sizes
-        kept += number
-        if kept > head:
-            break
-        least = size
-    top = F.col("size") >= (least if least is not None else 1 << 30)
+    table = rows.written(_sized(functools.reduce(DataFrame.unionByName, terms)), "terms")
+    top = _most_frequent(table, head)
     held = table.where(top).select("key", "value").toArrow().to_pandas()  # at most ``head`` rows
     heavy = share(Table(held["key"].to_numpy().view(np.uint64), held["value"].to_numpy()))
     tail = table.where(~top)
@@ -450,9 +560,7 @@ def score(
     ranges = max(RANGES, math.ceil(tail.count() / RANGE))
     numbered = rows.numbered(docs.select(key, text), key)
     texts = numbered.select(rows.ROW, F.col(text).cast("binary").alias("t"))
-    first_pass = rows.written(_first_sums(texts, depth, heavy, light, unknown, ranges), "scored")
-    later = _resolved(first_pass.where("range IS NOT NULL"), _packed(tail, ranges))
-    summed = _added(first_pass.where("range IS NULL").select(*_SUMS).unionByName(later))
+    summed = _added(_resolved(_first_sums(texts, depth, heavy, light, unknown, ranges), _packed(tail, ranges)))
     return summed.join(numbered.select(rows.ROW, key), rows.ROW).select(
         key, "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), F.col("base").alias("base_score"),
         (F.col("base") + F.col("more")).alias("score"),
