@@ -4,6 +4,7 @@ import numpy as np
 
 from tests.llm import cases
 from tonelab.llm import rows, suffix_tree
+from tonelab.sources import scratch
 
 
 def test_code():
@@ -27,7 +28,7 @@ def test_code():
 
 
 def test_what_is_written(spark, monkeypatch):
-    names, written = [], rows.written
+    names, written, removed, remove = [], rows.written, [], scratch.remove
     setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(setting)
 
@@ -36,7 +37,9 @@ def test_what_is_written(spark, monkeypatch):
         return written(df, name)
 
     monkeypatch.setattr(rows, "written", note)
+    monkeypatch.setattr(scratch, "remove", lambda spark, path: (removed.append(path), remove(spark, path)))
     texts = cases.plain(spark, {i: "a b c d e f g " * 20 for i in range(8)})
     found = suffix_tree.score(texts, texts, min_context=20, head=4).collect()
     assert len(found) == 8 and len({round(r["score"], 6) for r in found}) == 1
+    assert len(removed) == 1 and "/model-" in removed[0] and [name for name, _ in names][-1] == "terms"
     assert "scored" not in dict(names) and {on for _, on in names} == {"true"} and spark.conf.get(setting) == before
