@@ -43,3 +43,48 @@ def test_what_is_written(spark, monkeypatch):
     assert len(found) == 8 and len({round(r["score"], 6) for r in found}) == 1
     assert len(removed) == 1 and "/model-" in removed[0] and [name for name, _ in names][-1] == "terms"
     assert "scored" not in dict(names) and {on for _, on in names} == {"true"} and spark.conf.get(setting) == before
+
+
+def test_filter_is_sent_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    hashes = rng.integers(-(1 << 63), 1 << 63, (3000, 2))
+    frame = spark.createDataFrame(hashes.tolist(), "h bigint, g bigint").repartition(3)
+    sent, mapped = [], rows.map_frames
+
+    def note(df, f, schema):
+        sent.append((schema, out := mapped(df, f, schema)))
+        return out
+
+    monkeypatch.setattr(rows, "map_frames", note)
+    monkeypatch.setattr(rows, "MARKS", 700)
+    for bits in (1 << 7, 1 << 18):
+        for columns, own in ((["h", "g"], hashes), ("h", hashes[:, 0])):
+            sent.clear()
+            held = rows.bit_filter(frame, columns, bits)
+            marks = np.zeros(bits, bool)
+            marks[own.ravel() & (bits - 1)] = True
+            assert (np.unpackbits(held, bitorder="little") == marks).all()
+            # Two bytes a place before the shuffle; a key and a word of 64 bits before.
+            assert sent[0][0] == "part int, low binary" and sum(len(r["low"]) for r in sent[0][1].collect()) <= 2 * own.size
+    assert not rows.bit_filter(frame.limit(0), "h", 1 << 18).any()
+
+
+def test_sums_are_laid_out_short(spark):
+    for numbers in ([0, 0], [1, 255], [0, 256], [3, 1 << 16], [1 << 33, 0]):
+        data = suffix_tree._laid_out(np.array(numbers))
+        assert suffix_tree._numbers(data, 2).tolist() == numbers
+    assert suffix_tree._laid_out(np.zeros(3)) is None and len(suffix_tree._laid_out(np.arange(256))) == 256
+    assert suffix_tree._doubles(suffix_tree._laid_out(np.array([0.5, -2.0])), 2).tolist() == [0.5, -2.0]
+    # Texts that stand first, last and alone in a batch, with no term held by tasks and all.
+    texts = cases.plain(spark, {i: ["", None, "a b c d " * 30, "x"][i % 4] for i in range(40)})
+    one, all_ = ({r["doc_id"]: r for r in suffix_tree.score(texts, texts, min_context=20, head=h).collect()} for h in (0, 1 << 20))
+    for i, r in one.items():
+        assert r[:4] == all_[i][:4] and np.allclose(r[4:], all_[i][4:], rtol=1e-12), i
+
+
+def test_filters_are_destroyed(spark, monkeypatch):
+    gone, kind = [], type(spark.sparkContext.broadcast(0))
+    destroy = kind.destroy
+    monkeypatch.setattr(kind, "destroy", lambda self, *a: (gone.append(self), destroy(self, *a)))
+    texts = cases.plain(spark, {i: "a b c d e f g " * 20 for i in range(8)})
+    assert suffix_tree.score(texts, texts, min_context=20).count() == 8 and len(gone) == 5  # none before

@@ -20,6 +20,8 @@ OWN = "_tonelab_"
 ROW = OWN + "row"
 #: Rows of two or three numbers that may be broadcast: about 50 MB on each executor.
 BROADCAST_ROWS = 1_000_000
+#: Bits of a filter in one part, a place in which takes two bytes; hashes a task turns into places at once.
+SPAN, MARKS = 1 << 16, 1 << 20
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -80,18 +82,46 @@ def numbered(docs: DataFrame, key: str) -> DataFrame:
     return written(ordered.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
 
 
-def bit_filter(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
-    """A filter of ``bits`` bits as bytes: a set bit for each hash, by its lowest bits.
+def bit_filter(hashes: DataFrame, column: str | list, bits: int) -> np.ndarray:
+    """A filter of ``bits`` bits as bytes: a set bit for each hash, by its lowest bits; ``column`` may be a list of columns.
 
-    Its size, also on the way to the driver, does not depend on the table.
+    Its size, also on the way to the driver, does not depend on the table. Tasks send the places of bits
+    in lists for parts of the filter, two bytes a place.
     """
-    slot = F.col(column).bitwiseAND(bits - 1)
-    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), (slot % 64).cast("int"))
-    marks = hashes.select(F.floor(slot / 64).cast("int").alias("word"), one.alias("bit"))
-    found = marks.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow().to_pandas()
-    held = np.zeros(bits // 64, np.int64)
-    held[found["word"].to_numpy(int)] = found["bits"].to_numpy(np.int64)
-    return held.view(np.uint8)
+    span = min(bits, SPAN)
+
+    def lists(held: list[np.ndarray]) -> pd.DataFrame:
+        marks = np.unique((np.concatenate(held) & (bits - 1)).astype(np.uint32))
+        part, first = np.unique(marks // span, return_index=True)
+        return pd.DataFrame({"part": part, "low": [x.tobytes() for x in np.split((marks % span).astype("<u2"), first[1:])]})
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for b in batches:
+            held.append(b.to_numpy(np.int64).ravel())
+            n += len(held[-1])
+            if n > MARKS:
+                yield lists(held)
+                held, n = [], 0
+        if n:
+            yield lists(held)
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = {}
+        for b in batches:
+            for part, low in zip(b["part"], b["low"], strict=True):
+                marks = np.zeros(span, bool)
+                marks[np.frombuffer(low, "<u2")] = True
+                held[part] = held.get(part, 0) | np.packbits(marks, bitorder="little")
+        yield pd.DataFrame({"part": [*held], "bits": [x.tobytes() for x in held.values()]})
+
+    columns = [column] if isinstance(column, str) else column
+    sent = map_frames(hashes.select(*columns), send, "part int, low binary")
+    found = map_frames(sent.repartition("part"), join, "part int, bits binary").toArrow().to_pylist()
+    out = np.zeros((bits // span, span // 8), np.uint8)
+    for row in found:
+        out[row["part"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.ravel()
 
 
 def in_filter(held: np.ndarray, hashes: np.ndarray) -> np.ndarray:

@@ -356,10 +356,27 @@ class Table:
         return value, found
 
 
-#: Sums of the texts of a batch, in lists side by side; a batch is named by its first row.
-_SUMS = {"batch": "bigint", "ids": "array<bigint>", "n_tokens": "array<bigint>", "n_known": "array<bigint>", "base": "array<double>", "more": "array<double>"}
-#: N-grams still to be looked up, by range of hashes: ``sizes`` keys of each of ``ids``, as bytes.
-_OPEN = {"range": "int", "sizes": "array<int>", "keys": "binary"}
+#: Sums of ``texts`` texts of a batch, side by side as bytes; a batch is named by its first row. ``ids``, rows of all its
+#: texts, and ``n_tokens`` come once a batch; ``whose`` are the places of the texts in it, of all if null. A null sum is 0.
+_SUMS = {"batch": "bigint", "texts": "int", "ids": "binary", "n_tokens": "binary", "whose": "binary", "n_known": "binary", "base": "binary", "more": "binary"}
+#: N-grams still to be looked up, by range of hashes: ``sizes`` keys of each of ``whose`` texts.
+_OPEN = {"range": "int", "sizes": "binary", "keys": "binary"}
+
+
+def _laid_out(numbers: np.ndarray) -> bytes | None:
+    """Numbers from 0 on, in as few bytes each as the largest needs, or doubles; null if all are 0."""
+    if not numbers.any():
+        return None
+    return (numbers if numbers.dtype == np.float64 else numbers.astype(np.min_scalar_type(numbers.max()))).tobytes()
+
+
+def _numbers(data: bytes | None, n: int) -> np.ndarray:
+    """The whole numbers that ``_laid_out`` wrote."""
+    return np.zeros(n, np.int64) if data is None else np.frombuffer(data, f"u{len(data) // n}").astype(np.int64)
+
+
+def _doubles(data: bytes | None, n: int) -> np.ndarray:
+    return np.zeros(n) if data is None else np.frombuffer(data)
 
 
 def _ddl(columns: dict[str, str]) -> str:
@@ -390,7 +407,9 @@ def _first_sums(texts: DataFrame, depth: int, heavy, light, unknown: float, rang
             sums, hit, maybe = value(at, _mixed(context ^ _CONTEXT))
             at, context = at[hit | maybe], context[hit | maybe]
             more += sums + value(at, pair_key(context, g.word[at]))[0]
-        yield {"range": ids[0] % ranges, "batch": ids[0], "ids": ids, "n_tokens": n_tokens, "n_known": n_known, "base": base + n_tokens * unknown, "more": more}
+        base += n_tokens * unknown
+        sums = {c: _laid_out(x) for c, x in {"n_tokens": n_tokens, "n_known": n_known, "base": base, "more": more}.items()}
+        yield {"range": ids[0] % ranges, "batch": ids[0], "texts": n_texts, "ids": ids.tobytes(), **sums}
         keys, whose = np.concatenate(later_key), np.concatenate(later_text)
         part = _range_of(keys, ranges)
         order = np.lexsort((whose, part))
@@ -399,7 +418,7 @@ def _first_sums(texts: DataFrame, depth: int, heavy, light, unknown: float, rang
         for r in np.unique(part):
             some = slice(bounds[r], bounds[r + 1])
             owner, sizes = np.unique(whose[some], return_counts=True)
-            yield {"range": r, "batch": ids[0], "ids": ids[owner], "sizes": sizes, "keys": keys[some].tobytes()}
+            yield {"range": r, "batch": ids[0], "texts": len(owner), "whose": _laid_out(owner), "sizes": _laid_out(sizes), "keys": keys[some].tobytes()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in _chunks(batches):
@@ -426,7 +445,7 @@ def _packed(tail: DataFrame, ranges: int) -> DataFrame:
 
 def _resolved(first: DataFrame, packed: DataFrame) -> DataFrame:
     """All sums: those that were held, and those over other terms. Terms of a range come first, then its n-grams, batch by batch."""
-    terms = packed.withColumns({"turn": F.lit(0), "batch": F.lit(0).cast("bigint")})
+    terms = packed.withColumns({"turn": F.lit(0), "batch": F.lit(0).cast("bigint"), "texts": F.lit(0)})
     asked = terms.unionByName(first.withColumn("turn", F.lit(1)), allowMissingColumns=True)
     dealt = asked.repartition("range").sortWithinPartitions("range", "turn")
 
@@ -445,8 +464,9 @@ def _resolved(first: DataFrame, packed: DataFrame) -> DataFrame:
                     continue
                 if table is None:
                     table, terms = _RangeTable(terms), []
-                sums = table.sums(np.frombuffer(row.keys, np.int64), row.sizes)
-                out.append((row.batch, row.ids, np.zeros(len(row.ids), np.int64), *sums))
+                sums = table.sums(np.frombuffer(row.keys, np.int64), _numbers(row.sizes, row.texts))
+                # A null ``whose`` names all texts; of places that are all 0 there is one, the first text's.
+                out.append((row.batch, row.texts, None, None, row.whose or b"\0", *map(_laid_out, sums)))
             yield pd.DataFrame(out, columns=list(_SUMS), dtype=object)
 
     return rows.map_frames(dealt, run, _ddl(_SUMS))
@@ -479,10 +499,13 @@ def _added(parts: DataFrame) -> DataFrame:
     def use(c: dict, starts: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
         done = []
         for a, z in zip(starts, ends, strict=True):
-            ids, at = np.unique(np.concatenate(c["ids"][a:z]), return_inverse=True)
-            sums = {s: np.bincount(at, np.concatenate(c[s][a:z]), len(ids)) for s in ("n_tokens", "n_known", "base", "more")}
-            done.append(pd.DataFrame({rows.ROW: ids, **sums}))
-        return pd.concat(done).astype({"n_tokens": "int64", "n_known": "int64"})
+            first = next(i for i in range(a, z) if c["ids"][i] is not None)
+            n, sizes = c["texts"][first], c["texts"][a:z]
+            at = np.concatenate([np.arange(n) if w is None else _numbers(w, k) for w, k in zip(c["whose"][a:z], sizes, strict=True)])
+            read = {"n_known": _numbers, "base": _doubles, "more": _doubles}
+            sums = {s: np.bincount(at, np.concatenate([*map(f, c[s][a:z], sizes)]), n) for s, f in read.items()}
+            done.append(pd.DataFrame({rows.ROW: np.frombuffer(c["ids"][first], np.int64), "n_tokens": _numbers(c["n_tokens"][first], n), **sums}))
+        return pd.concat(done).astype({"n_known": "int64"})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return runs(({c: b[c].to_numpy() for c in b.columns} for b in batches), ["batch"], use)
@@ -528,6 +551,10 @@ def _score(
     docs: DataFrame, train: DataFrame, key: str, text: str, depth: int, min_context: int, min_pair: int, gain: float, head: int,
 ) -> DataFrame:
     share = docs.sparkSession.sparkContext.broadcast
+
+    def counted(depths: list[int], *used) -> DataFrame:
+        return rows.written(followers(train, text, depths, *used, code, min_pair, grams), "followers")
+
     with scratch.scope(docs.sparkSession, "model") as folder:
         counts = rows.written(word_counts(train, text), "words")
         n, v = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
@@ -543,23 +570,28 @@ def _score(
             sized = _sized(counts)
             ranked = sized.where(_most_frequent(sized, RANKED)).select("h", "n").toArrow().to_pandas()  # at most RANKED rows
             code = share(Code(ranked.sort_values("n", ascending=False)["h"].to_numpy(np.int64).view(np.uint64)))
-            found = rows.written(followers(train, text, [1], *filters, code, min_pair, grams), "followers")
+            found = counted([1], *filters)
+        for done in filters:  # each would stay on the disk of every executor
+            done.destroy()
         for k in range(1, depth + 1):
             if k == 2:
                 pairs = _keyed(found.where("x IS NOT NULL").where(F.col("x") != end).withColumn("log_ratio", F.lit(0.0)), "pairs")
                 filters = [share(rows.bit_filter(pairs.where(F.col("n") >= least), "key", BITS)) for least in (max(min_context, min_pair), BUSY)]
-                found = rows.written(followers(train, text, list(range(2, depth + 1)), *filters, code, min_pair, grams), "followers")
+                found = counted([*range(2, depth + 1)], *filters)
+                for done in filters:
+                    done.destroy()
             level = rows.written(states(found.where(F.col("k") == k), parents, min_context, gain), "states")
             terms += [_keyed(level, kind).withColumn("word", F.lit(0)) for kind in ("pairs", "states")]
             parents = level.select(F.col("s").alias("p"), "x", F.col("prob").alias("below"))
+        if depth:
+            code.destroy()
     table = rows.written(_sized(functools.reduce(DataFrame.unionByName, terms)), "terms")
     scratch.remove(docs.sparkSession, folder)  # all that was kept to make the terms
     top = _most_frequent(table, head)
     held = table.where(top).select("key", "value").toArrow().to_pandas()  # at most ``head`` rows
     heavy = share(Table(held["key"].to_numpy().view(np.uint64), held["value"].to_numpy()))
     tail = table.where(~top)
-    twice = tail.select(F.explode(F.array("key", F.shiftright("key", 32))).alias("key"))  # two bits a term
-    light = share(rows.bit_filter(twice, "key", BITS))
+    light = share(rows.bit_filter(tail, ["key", F.shiftright("key", 32)], BITS))  # two bits a term
     ranges = max(RANGES, math.ceil(tail.count() / RANGE))
     numbered = rows.numbered(docs.select(key, text), key)
     texts = numbered.select(rows.ROW, F.col(text).cast("binary").alias("t"))
