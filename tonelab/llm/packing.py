@@ -12,11 +12,13 @@ import functools
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,18 +33,34 @@ END = 1
 #: Words whose ids a worker remembers: half of them met lately, half before that.
 REMEMBERED = 1 << 18
 ID_BYTES = 4
-#: Words encoded in one call, parted by a digit, which is an id of its own; and signs at their end.
-JOINED, MARK, SIGNS = 256, "0", b".,;:!?"
+#: Bytes of texts that are taken at once, words that are looked up at once, and signs at their end: all of ASCII, but what begins or ends a special token.
+BYTES, WORDS, SIGNS = 1 << 20, 1 << 12, b"!\"#$%&'()*+,-./:;=?@[\\]^_`{}~"
 #: Words of these letters are the same after the tokenizer's normalising and splitting.
 LETTERS = re.compile("[a-zß-öø-ÿ]+")
 ACCENTED = [*map(chr, (*range(0xDF, 0xF7), *range(0xF8, 0x100)))]
 
 
+class Known(dict):
+    """Ids by word; one that is missing comes from ``older``, the words known before, or is learnt."""
+
+    def __init__(self, learn: Callable[[bytes], bytes], older: Known | None = None):
+        super().__init__()
+        self.learn, self.older = learn, {} if older is None else older
+        if older:
+            older.older = {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        self[word] = ids = self.learn(word) if ids is None else ids
+        return ids
+
+
 class Encoder:
     """Ids of a text as little-endian 32-bit numbers.
 
     The tokenizer lowers case and never joins characters across white space, nor a letter and
-    a sign. So words are encoded one by one, without signs at their end, and frequent ones once.
+    a sign. So words are encoded one by one, without signs at their end, each once for many texts,
+    and frequent ones are remembered.
     A word of plain letters goes to the tokenizer's model as it is, others through all its steps.
     A text is cut at special tokens as they are written, before lowering; each is its id.
     """
@@ -58,64 +76,80 @@ class Encoder:
         self.special = {t: np.array([i], "<u4").tobytes() for t, i in special.items()}
         longest = sorted(special, key=len, reverse=True)
         self.at_special = re.compile(b"(" + b"|".join(map(re.escape, longest)) + b")") if special else None
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         spell = self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.spelling = str.maketrans({c: spell(c)[0][0] for c in ACCENTED})
-        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.raw = [i.to_bytes(ID_BYTES, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.forget()
 
     def encode(self, text: bytes | None) -> bytes:
         if not text or not self.at_special or not self.at_special.search(text):
-            return self.plain(text)
+            return self.plain([text])[0]
         parts = self.at_special.split(text)
-        return b"".join(self.special[p] if i % 2 else self.plain(p) for i, p in enumerate(parts))
-
-    def plain(self, text: bytes | None) -> bytes:
-        """Ids of a text without special tokens; those that lower case makes are no special tokens."""
-        words = text.lower().split() if text else []
-        new = set(words).difference(self.known)
-        if len(self.known) + 2 * len(new) > REMEMBERED // 2:  # what was not met since the last time goes
-            self.older, self.known = self.known, {}
-            new = set(words)
-        again = new & self.older.keys()
-        self.known.update((w, self.older[w]) for w in again)
-        new -= again
-        if new:
-            self.learn(new)
-        return b"".join(map(self.known.__getitem__, words))
+        return b"".join(self.special[p] if i % 2 else self.plain([p])[0] for i, p in enumerate(parts))
+
+    def encode_all(self, texts: list[bytes | None]) -> Iterator[bytes]:
+        """Ids of each text; texts without special tokens are taken together, about BYTES bytes at once."""
+        held, size = [], 0
+        for t in texts:
+            if t and self.at_special and self.at_special.search(t):
+                yield from self.plain(held)
+                yield self.encode(t)
+                held, size = [], 0
+                continue
+            held.append(t)
+            size += len(t or b"")
+            if size > BYTES:
+                yield from self.plain(held)
+                held, size = [], 0
+        yield from self.plain(held)
+
+    def plain(self, texts: list[bytes | None]) -> list[bytes]:
+        """Ids of texts without special tokens; those that lower case makes are no special tokens."""
+        split = pc.ascii_split_whitespace(pa.array([(t or b"").lower() for t in texts], pa.large_binary()).view(pa.large_utf8()))
+        words = split.flatten()
+        there = pc.not_equal(pc.binary_length(words), 0)  # white space at the ends makes empty words
+        upto = np.append(0, np.cumsum(there.to_numpy(zero_copy_only=False)))[split.offsets.to_numpy()]
+        coded = words.filter(there).dictionary_encode()
+        ids = self.look_up(coded.dictionary.view(pa.large_binary()).to_numpy(zero_copy_only=False).tolist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // ID_BYTES
+        flat, start, word = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size, coded.indices.to_numpy()
+        out = []
+        for a, z in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True):
+            parts = []
+            for at in range(a, z, WORDS):
+                some = word[at : min(at + WORDS, z)]
+                n = size[some]
+                to = np.cumsum(n)
+                parts.append(flat[np.repeat(start[some] - to + n, n) + np.arange(to[-1])].tobytes())
+            out.append(b"".join(parts))
+        return out
+
+    def look_up(self, words: list[bytes]) -> list[bytes]:
+        out = []
+        for at in range(0, len(words), WORDS):
+            if len(self.known) + 3 * WORDS > REMEMBERED // 2:  # what was not met since the last time goes
+                self.known = Known(self.learn, self.known)
+            out.extend(map(self.known.__getitem__, words[at : at + WORDS]))
+        return out
 
     def forget(self) -> None:
-        self.known, self.older = {}, {}
-
-    def learn(self, new: set[bytes]) -> None:
-        parts, whole, known, raw, tokenize = {}, set(), self.known, self.raw, self.model.tokenize
-        for w in new:
-            if w.isalpha() or not (stem := w.rstrip(SIGNS)) or stem == w or not stem[-1:].isalpha():
-                whole.add(w)
-            else:
-                parts[w] = (stem, w[len(stem) :])
-                whole.update(parts[w])
-        missing = []
-        for w in whole.difference(known):
-            if w.isalpha():  # of bytes: letters a to z alone
-                known[w] = b"".join([raw[t.id] for t in tokenize(w.decode("ascii"))])
-            elif LETTERS.fullmatch(word := w.decode("utf-8", "replace")):
-                known[w] = b"".join([raw[t.id] for t in tokenize(word.translate(self.spelling))])
-            else:
-                missing.append(w)
-        missing.sort()
-        plain = [w for w in missing if MARK.encode() not in w]
-        for at in range(0, len(plain), JOINED):
-            part = plain[at : at + JOINED]
-            ids = self.ids(f" {MARK} ".join(w.decode("utf-8", "replace") for w in part))
-            cuts = [-1, *np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)]
-            self.known.update((w, ids[a + 1 : b].tobytes()) for w, a, b in zip(part, cuts[:-1], cuts[1:], strict=True))
-        for w in missing:
-            if MARK.encode() in w:
-                self.known[w] = self.ids(w.decode("utf-8", "replace")).tobytes()
-        self.known.update((w, self.known[a] + self.known[b]) for w, (a, b) in parts.items())
+        self.known = Known(self.learn)
+
+    def learn(self, w: bytes) -> bytes:
+        """Ids of a word met first."""
+        if w.isalpha():  # of bytes: letters a to z alone
+            return b"".join([self.raw[t.id] for t in self.tokenize(w.decode("ascii"))])
+        stem = w.rstrip(SIGNS)
+        if len(stem) < len(w):
+            signs = w[len(stem) :]
+            if not stem:
+                return self.ids(signs.decode("ascii")).tobytes()
+            if stem.isalpha() or LETTERS.fullmatch(stem.decode("utf-8", "replace")):
+                return self.known[stem] + self.known[signs]
+        elif LETTERS.fullmatch(word := w.decode("utf-8", "replace")):
+            return b"".join([self.raw[t.id] for t in self.tokenize(word.translate(self.spelling))])
+        return self.ids(w.decode("utf-8", "replace")).tobytes()
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.without_special.encode(text, add_special_tokens=False).ids, "<u4")
@@ -216,13 +250,14 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
         packer = Packer(length, windows, first_id(0))
         code = encoder(path)
         for b in batches:
-            for doc, t in zip(b["doc"].astype(object), b["text"], strict=True):
-                ids = code.encode(t) + end
+            for doc, ids in zip(b["doc"].astype(object), code.encode_all(list(b["text"])), strict=True):
+                ids += end
                 packer.add(doc, 0, ids, len(ids) // ID_BYTES)
             yield packer.rows()
         packer.leave()
         yield packer.rows()
         code.forget()  # the worker lives on, for other work
+        pa.default_memory_pool().release_unused()
 
     def again(level: int, last: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
