@@ -14,12 +14,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonelab.llm import rows
-from tonelab.llm.lexicon import Lexicon
 
 #: A run: the fewest sentences from its start on with at least so many sentences and words.
 SENTENCES, WORDS = 3, 24
@@ -36,13 +37,37 @@ BYTES, SEEN, KEPT = (rows.OWN + name for name in ("bytes", "seen", "kept"))
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def describe(word: bytes) -> tuple[int, bool]:
-    """Hash, and whether the word ends a sentence."""
-    return xxhash.xxh64_intdigest(word), word.rstrip(b"\"')").endswith((b".", b"!", b"?"))
+def _table(signs: bytes) -> np.ndarray:
+    """Whether each byte is one of the signs."""
+    out = np.zeros(256, bool)
+    out[[*signs]] = True
+    return out
 
 
-def words_known() -> Lexicon:
-    return Lexicon(describe, [np.uint64, bool])
+_BLANK, _QUOTE, _STOP = _table(b"\t\n\v\f\r "), _table(b"\"')"), _table(b".!?")
+
+
+def _words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words, text after text; whether a word ends a line or a sentence; number of words of each text.
+
+    A word is hashed once for all texts; the rest is read off the bytes at once.
+    """
+    whole = b"\n".join([*(t or b"" for t in texts), b""]).lower()
+    data = np.frombuffer(whole, np.uint8)
+    place = np.arange(len(data))
+    blank = _BLANK[data]
+    turn = np.flatnonzero(np.diff(blank, prepend=True))
+    begin, last = turn[::2], turn[1::2] - 1  # the last byte is blank
+    letter = np.maximum.accumulate(np.where(_QUOTE[data], -1, place))[last]  # the last one that is no quote
+    ends = (letter >= begin) & _STOP[data[letter]]
+    before = np.searchsorted(last, np.flatnonzero(data == ord("\n")))  # words before each end of a line
+    ends[before[before > 0] - 1] = True
+    split = pc.ascii_split_whitespace(pa.array([whole], pa.large_binary()).view(pa.large_utf8())).flatten()
+    coded = split.filter(pc.not_equal(pc.binary_length(split), 0)).dictionary_encode()
+    met = coded.dictionary.view(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, met), np.uint64, len(met))[coded.indices.to_numpy()]
+    upto = np.cumsum(np.fromiter((len(t or b"") + 1 for t in texts), np.int64, len(texts)))
+    return hashes, ends, np.diff(np.searchsorted(begin, upto), prepend=0)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -63,14 +88,8 @@ class Cut:
     text; ``run_*``: text, first and end sentence, and hash of the run that starts at a sentence.
     """
 
-    def __init__(self, texts: list[bytes | None], known: Lexicon, least: int, words: int):
-        lines = [[line.split() for line in t.lower().split(b"\n")] if t else [] for t in texts]
-        flat = [w for t in lines for line in t for w in line]
-        hashes, ends = known.look_up(flat)
-        ends = ends.copy()
-        per_line = np.array([len(line) for t in lines for line in t], np.int64)
-        ends[np.cumsum(per_line)[per_line > 0] - 1] = True
-        per_text = np.array([sum(map(len, t)) for t in lines], np.int64)
+    def __init__(self, texts: list[bytes | None], least: int, words: int):
+        hashes, ends, per_text = _words(texts)
         # Long sentences end after chosen words as well.
         last = np.flatnonzero(ends)
         size = np.diff(last, prepend=-1)
@@ -78,7 +97,7 @@ class Cut:
         last = np.flatnonzero(ends)
         begin = np.append(0, last[:-1] + 1) if len(last) else last
         size = last + 1 - begin
-        within = np.arange(len(flat)) - np.repeat(begin, size)
+        within = np.arange(len(hashes)) - np.repeat(begin, size)
         spread = hashes * _powers(_BASE, int(size.max(initial=0)))[within]
         sentence = _mixed(np.add.reduceat(spread, begin)) if len(last) else hashes
         self.text = np.repeat(np.arange(len(texts)), per_text)[begin]
@@ -117,11 +136,10 @@ def _hashes(whole: DataFrame, text: str, least: int, words: int) -> DataFrame:
     """``_row, hs``: the hashes of a row's runs, each once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = words_known()
         for b in batches:
             for at in range(0, len(b), TEXTS):
                 part = b.iloc[at : at + TEXTS]
-                cut = Cut(list(part["t"]), known, least, words)
+                cut = Cut(list(part["t"]), least, words)
                 met = pd.DataFrame({"t": cut.run_text, "h": cut.run_hash}).drop_duplicates()
                 ends = np.searchsorted(met["t"].to_numpy(), np.arange(1, len(part)))
                 yield pd.DataFrame({rows.ROW: part[rows.ROW].to_numpy(), "hs": np.split(met["h"].to_numpy(), ends)})
@@ -165,12 +183,11 @@ def drop_repeated_spans(
     joined = whole.withColumn(BYTES, F.col(text).cast("binary")).join(rows.small(seen, size, limit), rows.ROW, "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = words_known()
         for b in batches:
             for at in range(0, len(b), TEXTS):
                 part = b.iloc[at : at + TEXTS]
                 texts = list(part[BYTES])
-                cut = Cut(texts, known, least, words)
+                cut = Cut(texts, least, words)
                 old = [np.zeros(0, np.int64) if s is None else s for s in part[SEEN]]
                 seen = pd.DataFrame({"h": np.concatenate(old), "t": np.repeat(np.arange(len(old)), [len(s) for s in old]), "seen": True})
                 met = pd.DataFrame({"h": cut.run_hash, "t": cut.run_text})
