@@ -30,7 +30,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     found = language.identify(told, also=(rows.ROW, letter, "lang"))
     none = (F.col("lang_pred") == language.UNKNOWN) & ~F.col(letter)
     other = (F.col("lang_pred") != language.UNKNOWN) & (F.col("lang_pred") != F.col("lang")) & (F.col("score") >= SURE)
-    return rows.without(whole, found.where(none | other)).select(docs.columns)
+    with rows.short_batches(spark):
+        return rows.without(whole, found.where(none | other)).select(docs.columns)
 
 
 def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,13 +25,13 @@ SPACE = 32
 #: Characters whose n-grams are counted at once, texts whose vectors are summed at once.
 CHARS, TEXTS = 1 << 20, 64
 #: n-grams whose vectors are held at once; n-gram counts of a task before they are passed on.
-GRAMS, HELD = 1 << 12, 1 << 18
+GRAMS, HELD = 1 << 11, 1 << 18
 
 
 @functools.cache
 def _letters() -> np.ndarray:
     """Code point -> lower-case letter, or a blank for everything that is no letter."""
-    out = np.full(0x110000, SPACE, np.int64)
+    out = np.full(0x110000, SPACE, np.int32)
     for c in map(chr, range(0x110000)):
         if c.isalpha():
             low = c.lower()
@@ -144,7 +144,8 @@ def fit(texts: DataFrame, text: str, lang: str, dim: int = DIM) -> tuple[list[st
     counted = rows.map_frames(labelled, count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     parts = rows.map_frames(counted, bundle, "lang string, x array<double>")
     flat = parts.select("lang", F.posexplode("x").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
-    model = flat.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("x")).orderBy("lang").collect()
+    with rows.short_batches(texts.sparkSession):
+        model = flat.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("x")).orderBy("lang").collect()
     vectors = np.array([[p["x"] for p in r["x"]] for r in model]).reshape(len(model), dim)
     return [r["lang"] for r in model], vectors
 

@@ -69,19 +69,24 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.without_special = Tokenizer.from_file(path)  # for what lowering turns into special tokens
+        self.path = path
+        self.without_special = Tokenizer.from_file(path)  # what lowering turns into special tokens is none
         self.without_special.encode_special_tokens = True
-        special = {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        special = {t.content.encode(): i for i, t in self.without_special.get_added_tokens_decoder().items()}
         self.special = {t: np.array([i], "<u4").tobytes() for t, i in special.items()}
         longest = sorted(special, key=len, reverse=True)
         self.at_special = re.compile(b"(" + b"|".join(map(re.escape, longest)) + b")") if special else None
-        self.tokenize = self.tokenizer.model.tokenize
-        spell = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        self.tokenize = self.without_special.model.tokenize
+        spell = self.without_special.pre_tokenizer.pre_tokenize_str
         self.spelling = str.maketrans({c: spell(c)[0][0] for c in ACCENTED})
-        self.raw = [i.to_bytes(ID_BYTES, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.raw = [i.to_bytes(ID_BYTES, "little") for i in range(self.without_special.get_vocab_size())]
         self.forget()
 
+    @functools.cached_property
+    def tokenizer(self):
+        """The tokenizer of the file, with its special tokens; tasks do not need it."""
+        return type(self.without_special).from_file(self.path)
+
     def encode(self, text: bytes | None) -> bytes:
         if not text or not self.at_special or not self.at_special.search(text):
             return self.plain([text])[0]
@@ -257,7 +262,6 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
         packer.leave()
         yield packer.rows()
         code.forget()  # the worker lives on, for other work
-        pa.default_memory_pool().release_unused()
 
     def again(level: int, last: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -273,7 +277,8 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
 
     # Not pandas' guess: integers with nulls would become doubles.
     texts = docs.select(F.col(key).alias("doc"), F.col(text).cast("binary").alias("text"))
-    out = rows.written(rows.map_frames(texts, encode, schema), "pieces")
+    with rows.short_batches(docs.sparkSession):
+        out = rows.written(rows.map_frames(texts, encode, schema), "pieces")
     done, level = out.where("ids IS NULL").drop("ids"), 0
     tasks = out.where("ids IS NOT NULL").agg(F.max(F.col("sequence_id").bitwiseAND((1 << 56) - 1))).first()[0]
     tasks = None if tasks is None else (tasks >> 32) + 1

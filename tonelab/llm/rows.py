@@ -20,6 +20,8 @@ OWN = "_tonelab_"
 ROW = OWN + "row"
 #: Rows of two or three numbers that may be broadcast: about 50 MB on each executor.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of texts that a Python worker is sent at once.
+BATCH_BYTES = 1 << 21
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -45,6 +47,21 @@ def freed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(setting, before)
 
 
+@contextlib.contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """Steps run meanwhile send rows to Python workers by BATCH_BYTES, a longer row alone.
+
+    Spark's own 64 MB lie in the executor and in each worker several times over, and neither gives all of it back.
+    """
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a written table for broadcast if it has few rows; else leave it to a shuffle."""
     return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df
@@ -59,6 +76,7 @@ def map_frames(df: DataFrame, f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.
         for frame in f(b.to_pandas() for b in batches):
             if len(frame):
                 yield from pa.Table.from_pandas(frame, types, preserve_index=False).combine_chunks().to_batches()
+        pa.default_memory_pool().release_unused()  # the worker lives on, for other work
 
     return df.mapInArrow(run, out)
 

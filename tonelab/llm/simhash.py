@@ -125,7 +125,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     other. Equal fingerprints are grouped before they are compared, so exact copies cost
     one row. Other columns of ``docs`` are ignored; an empty table gives none.
     """
-    found = rows.written(fingerprints(rows.numbered(docs, key), key, text, shingle), "fingerprints")
+    whole = rows.numbered(docs, key)
+    with rows.short_batches(docs.sparkSession):
+        found = rows.written(fingerprints(whole, key, text, shingle), "fingerprints")
     joined = components(links(found.select("fp").distinct(), radius)).withColumnRenamed("node", "fp")
     group = F.coalesce("component", "fp").alias("group")
     named = rows.written(found.join(joined, "fp", "left").select(key, rows.ROW, "fp", group), "groups")

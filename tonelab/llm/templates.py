@@ -328,7 +328,8 @@ def contaminated(
     share = spark.sparkContext.broadcast(rows.bit_filter(wanted, "h", FILTER_BITS))
     numbered = rows.numbered(docs.select(*dict.fromkeys((key, text, *also))), key)
     texts = numbered.select(F.col(rows.ROW).alias("id"), F.col(text).cast("binary").alias("t"))
-    found = rows.written(_hits(texts, sizes, lambda h: rows.in_filter(share.value, h), window).drop("whole"), "document-windows")
+    with rows.short_batches(spark):
+        found = rows.written(_hits(texts, sizes, lambda h: rows.in_filter(share.value, h), window).drop("whole"), "document-windows")
     # Templates.
     asked_for = wanted.where(~plain).select(
         "h", "size", F.col("id").alias(item), F.col("pos").alias("at"), F.col("slots").alias("theirs"), F.col("reading").alias("read"), "whole"
