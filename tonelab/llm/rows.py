@@ -28,10 +28,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the cluster's shared folder and read it back: cuts lineage."""
+def written(df: DataFrame, name: str, **options: int) -> DataFrame:
+    """Write ``df`` to the cluster's shared folder and read it back: cuts lineage. ``options`` are Parquet's."""
     path = scratch_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
